@@ -97,3 +97,64 @@ ORACLE["backlog_sliding_1h"] = windows_sql(60, 5, "sliding_1h")
 ORACLE["backlog_sliding_24h"] = windows_sql(24 * 60, 60, "sliding_24h")
 ORACLE["backlog_tumbling_daily"] = windows_sql(24 * 60, 24 * 60, "tumbling_daily")
 ORACLE["backlog_tumbling_hourly"] = windows_sql(60, 60, "tumbling_hourly")
+
+PARSED_COLS = """lsn, order_id, source_table, op, make_timestamp((epoch_us(ts) // 1000) * 1000) AS ts,
+  order_status, CASE WHEN has_bu THEN business_unit END AS business_unit,
+  CAST(total_value AS VARCHAR) AS total_value, CASE WHEN has_bu THEN 7 ELSE 6 END AS image_keys"""
+
+ORACLE["cdc_parse_envelope"] = f"WITH {CHG} SELECT {PARSED_COLS} FROM chg WHERE k <> 13"
+ORACLE["cdc_parse_unwrapped"] = f"WITH {CHG} SELECT {PARSED_COLS} FROM chg"
+ORACLE["cdc_row_image"] = f"""WITH {CHG}
+SELECT lsn, op, CASE WHEN op = 'd' THEN 'before' ELSE 'after' END AS image_side, order_id,
+       CASE WHEN has_bu THEN 7 ELSE 6 END AS image_keys FROM chg"""
+ORACLE["cdc_dlq_split"] = f"""WITH {CHG}
+SELECT 'cdc.public.orders' AS source_topic,
+       CASE lsn % 3 WHEN 0 THEN 'malformed_json' WHEN 1 THEN 'invalid_op' ELSE 'missing_field' END AS reason,
+       count(*) AS n_rejects
+FROM chg WHERE k = 13 GROUP BY ALL"""
+# LSN 0 is never deduplicated, so its repeated copy survives
+ORACLE["cdc_union_dedup"] = f"""WITH {CHG}
+SELECT order_id, source_table, op, ts, lsn FROM chg
+UNION ALL
+SELECT order_id, source_table, op, ts, lsn FROM chg WHERE lsn = 0"""
+ORACLE["snapshot_plus_changes"] = """
+WITH lines AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS order_id, l_shipdate AS ts,
+         row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+           ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount,
+                    l_tax, l_returnflag, l_linestatus) AS rn
+  FROM lineitem),
+ev AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS order_id, 'orders' AS source_table, 'r' AS op,
+         o_orderdate AS ts, 5 AS n_keys FROM orders
+  UNION ALL
+  SELECT order_id, 'order_line_items', CASE WHEN rn = 1 THEN 'c' ELSE 'u' END, ts, 4 FROM lines)
+SELECT source_table, op, count(*) AS n_events, count(DISTINCT order_id) AS n_orders,
+       min(ts) AS min_ts, max(ts) AS max_ts, CAST(sum(n_keys) AS BIGINT) AS image_values
+FROM ev GROUP BY ALL"""
+
+
+def fold_sql(as_of: str | None = None) -> str:
+    where = f"WHERE ts <= TIMESTAMP '{as_of}'" if as_of else ""
+    seq = "(ts, lsn)"
+    h = "op <> 'd'"
+    return f"""WITH {CHG}
+SELECT order_id, '' AS customer_id, '' AS customer_name, '' AS channel,
+  coalesce(arg_max(business_unit, {seq}) FILTER (WHERE {h} AND has_bu), '') AS business_unit,
+  'USD' AS currency,
+  coalesce(arg_max(order_status, {seq}) FILTER (WHERE {h}), 'CREATED') AS order_status,
+  coalesce(arg_max(priority_tier, {seq}) FILTER (WHERE {h}), 3) AS priority_tier,
+  CAST(coalesce(arg_max(total_value, {seq}) FILTER (WHERE {h}), 0) AS DOUBLE) AS total_value,
+  arg_max(expected_ship_date, {seq}) FILTER (WHERE {h}) AS expected_ship_date,
+  coalesce(arg_min(product_family, {seq}) FILTER (WHERE {h}), '') AS product_family,
+  min(ts) FILTER (WHERE {h}) AS created_at, max(ts) FILTER (WHERE {h}) AS updated_at,
+  count(*) AS event_count, TRUE AS atp_feasible
+FROM chg {where} GROUP BY order_id"""
+
+
+ORACLE["order_state_fold"] = fold_sql()
+ORACLE["order_state_as_of"] = fold_sql("2024-01-15 12:00:00")
+ORACLE["order_state_changelog"] = f"""WITH {CHANGELOG}
+SELECT order_id, lsn, op, business_unit, product_family, order_status, priority_tier,
+       CAST(total_value AS DOUBLE) AS total_value, expected_ship_date, created_at, updated_at
+FROM cl"""

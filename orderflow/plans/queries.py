@@ -56,3 +56,123 @@ def backlog_tumbling_daily(spark, sf_dir):
 def backlog_tumbling_hourly(spark, sf_dir):
     return BL.backlog_windows(_event_records(spark, sf_dir), "1 hour", None,
                               "tumbling_hourly")
+
+
+# ---------------------------------------------------------------------------
+# CDC parsing, union, dedup, snapshot
+# ---------------------------------------------------------------------------
+from pyspark.sql import Window  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from orderflow.functions import expressions as X  # noqa: E402
+from orderflow.operators import cdc as CDC  # noqa: E402
+
+
+def _parsed_view(valid: DataFrame) -> DataFrame:
+    img = F.coalesce(F.col("after"), F.col("before"))
+    return valid.select("lsn", "order_id", "source_table", "op", "ts",
+                        img["order_status"].alias("order_status"),
+                        img["business_unit"].alias("business_unit"),
+                        img["total_value"].alias("total_value"),
+                        F.size(img).alias("image_keys"))
+
+
+@register("cdc_parse_envelope")
+def cdc_parse_envelope(spark, sf_dir):
+    return _parsed_view(CDC.valid(CDC.parse_envelope(A.raw_envelope_lines(spark, sf_dir))))
+
+
+@register("cdc_parse_unwrapped")
+def cdc_parse_unwrapped(spark, sf_dir):
+    return _parsed_view(CDC.valid(CDC.parse_unwrapped(A.raw_unwrapped_lines(spark, sf_dir))))
+
+
+@register("cdc_row_image")
+def cdc_row_image(spark, sf_dir):
+    ch = ST.row_image(A.change_stream(spark, sf_dir))
+    return ch.select("lsn", "op",
+                     F.when(F.col("op") == "d", "before").otherwise("after").alias("image_side"),
+                     F.col("row")["order_id"].alias("order_id"),
+                     F.size("row").alias("image_keys"))
+
+
+@register("cdc_dlq_split")
+def cdc_dlq_split(spark, sf_dir):
+    dlq = CDC.dead_letters(CDC.parse_envelope(A.raw_envelope_lines(spark, sf_dir)),
+                           "cdc.public.orders")
+    return dlq.groupBy("source_topic", "reason").agg(F.count(F.lit(1)).alias("n_rejects"))
+
+
+@register("cdc_union_dedup")
+def cdc_union_dedup(spark, sf_dir):
+    ch = CDC.dedup_lsn(A.duplicated_change_stream(spark, sf_dir))
+    return ch.select("order_id", "source_table", "op", "ts", "lsn")
+
+
+def star_change_stream(spark, sf_dir) -> DataFrame:
+    """Adapter A as CDC: the orders table as a snapshot (op 'r') followed by
+    every lineitem row as a line upsert ('c' first sight of a line id, else 'u')."""
+    o = A.read_table(spark, sf_dir, "orders")
+    snap = CDC.snapshot_as_changes(
+        o, "orders", F.col("o_orderkey").cast("string"), F.col("o_orderdate"),
+        ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])
+    le = A.star_line_events(spark, sf_dir)
+    first = F.row_number().over(Window.partitionBy("line_id").orderBy("seq")) == 1
+    lines = le.select(
+        "order_id", F.lit("order_line_items").alias("source_table"),
+        F.when(first, "c").otherwise("u").alias("op"),
+        F.col("l_shipdate").alias("ts"), F.lit(None).cast("bigint").alias("lsn"),
+        F.lit(None).cast("map<string,string>").alias("before"),
+        F.create_map(F.lit("line_id"), F.col("line_id"), F.lit("sku"), F.col("sku"),
+                     F.lit("product_family"), F.col("product_family"),
+                     F.lit("quantity"), F.col("quantity").cast("string")).alias("after"))
+    return CDC.union_changes(snap, lines)
+
+
+@register("snapshot_plus_changes")
+def snapshot_plus_changes(spark, sf_dir):
+    ch = ST.row_image(star_change_stream(spark, sf_dir))
+    return ch.groupBy("source_table", "op").agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.count_distinct("order_id").alias("n_orders"),
+        F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
+        F.sum(F.size("row")).alias("image_values"))
+
+
+# ---------------------------------------------------------------------------
+# order-state fold
+# ---------------------------------------------------------------------------
+
+def _clean_changes(spark, sf_dir) -> DataFrame:
+    return CDC.dedup_lsn(A.change_stream(spark, sf_dir))
+
+
+def _state_view(st: DataFrame) -> DataFrame:
+    return st.select(
+        "order_id", "customer_id", "customer_name", "channel", "business_unit", "currency",
+        "order_status", "priority_tier", X.money_out(F.col("total_value")).alias("total_value"),
+        "expected_ship_date", "product_family", "created_at", "updated_at", "event_count",
+        ST.atp_by_status(F.col("order_status"), F.lit(0)).alias("atp_feasible"))
+
+
+@register("order_state_fold")
+def order_state_fold(spark, sf_dir):
+    return _state_view(ST.fold_orders(_clean_changes(spark, sf_dir)))
+
+
+STATE_AS_OF = "2024-01-15 12:00:00"
+
+
+@register("order_state_as_of")
+def order_state_as_of(spark, sf_dir):
+    as_of = F.lit(STATE_AS_OF).cast("timestamp_ntz")
+    return _state_view(ST.fold_orders(_clean_changes(spark, sf_dir), as_of=as_of))
+
+
+@register("order_state_changelog")
+def order_state_changelog(spark, sf_dir):
+    cl = ST.order_changelog(_clean_changes(spark, sf_dir))
+    return cl.select("order_id", "lsn", "op", "business_unit", "product_family",
+                     "order_status", "priority_tier",
+                     X.money_out(F.col("total_value")).alias("total_value"),
+                     "expected_ship_date", "created_at", "updated_at")

@@ -183,3 +183,54 @@ def star_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.sum(F.when(F.col("l_returnflag") == "N", q).otherwise(F.lit(0).cast(S.QTY)))
                  .alias("on_order_qty"),
                  F.max("l_shipdate").alias("updated_at")))
+
+
+# ---------------------------------------------------------------------------
+# Adapter B on the wire: raw JSON lines (both CDC shapes), duplicates, lateness
+# ---------------------------------------------------------------------------
+
+def _envelope_json(r: DataFrame, op: Column, with_ts: bool = True) -> Column:
+    fields = [op.alias("op"), F.col("source_table").alias("__table")]
+    if with_ts:
+        fields.append(X.ts_to_ms(F.col("ts")).alias("ts_ms"))
+    fields += [F.col("lsn"), F.col("before"), F.col("after")]
+    return F.to_json(F.struct(*fields))
+
+
+def raw_envelope_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelope JSON per change event; rows with ``k = 13`` are corrupted for
+    the dead-letter path (truncated text, bad op, or missing ``ts_ms`` by
+    ``event_id % 3``)."""
+    ch = change_stream(spark, sf_dir)
+    k = event_rows(spark, sf_dir).select("lsn", "k")
+    r = ch.join(k, "lsn")
+    good = _envelope_json(r, F.col("op"))
+    bad_op = _envelope_json(r, F.lit("x"))
+    no_ts = _envelope_json(r, F.col("op"), with_ts=False)
+    kind = F.col("lsn") % 3
+    value = (F.when(F.col("k") != 13, good)
+             .when(kind == 0, F.substring(good, 1, 25))
+             .when(kind == 1, bad_op).otherwise(no_ts))
+    return r.select(F.col("lsn").alias("event_id"), value.alias("value"))
+
+
+def raw_unwrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unwrapped (flattened) JSON per change event: image columns plus
+    ``__op, __table, __lsn, __source_ts_ms``, ``__deleted`` on deletes and a
+    static ``pipeline_source``."""
+    ch = change_stream(spark, sf_dir)
+    image = F.coalesce(F.col("after"), F.col("before"))
+    meta = F.create_map(
+        F.lit("__op"), F.col("op"), F.lit("__table"), F.col("source_table"),
+        F.lit("__lsn"), F.col("lsn").cast("string"),
+        F.lit("__source_ts_ms"), X.ts_to_ms(F.col("ts")).cast("string"),
+        F.lit("__deleted"), F.when(F.col("op") == "d", "true").otherwise("false"),
+        F.lit("pipeline_source"), F.lit("debezium-postgres"))
+    return ch.select(F.col("lsn").alias("event_id"),
+                     F.to_json(F.map_concat(image, meta)).alias("value"))
+
+
+def duplicated_change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change stream with every ``event_id % 50 = 0`` row delivered twice."""
+    ch = change_stream(spark, sf_dir)
+    return ch.unionByName(ch.where(F.col("lsn") % 50 == 0))
