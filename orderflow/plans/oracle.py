@@ -158,3 +158,196 @@ ORACLE["order_state_changelog"] = f"""WITH {CHANGELOG}
 SELECT order_id, lsn, op, business_unit, product_family, order_status, priority_tier,
        CAST(total_value AS DOUBLE) AS total_value, expected_ship_date, created_at, updated_at
 FROM cl"""
+
+# ---------------------------------------------------------------------------
+# Adapter A in SQL: current lines, first family, order state
+# ---------------------------------------------------------------------------
+LSEQ_COLS = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+             "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_linenumber"]
+LSEQ = ", ".join(LSEQ_COLS)
+LSEQ_DESC = ", ".join(f"{c} DESC" for c in LSEQ_COLS)
+
+STAR = f"""
+lraw AS (
+  SELECT l.*, p.p_type, p.p_name,
+         CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) AS line_id,
+         row_number() OVER (PARTITION BY l.l_orderkey, l.l_linenumber ORDER BY {LSEQ_DESC}) AS rn_last
+  FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey),
+lcur AS (SELECT * FROM lraw WHERE rn_last = 1),
+lfam AS (SELECT l_orderkey, arg_min(p_type, ({LSEQ})) AS first_family FROM lraw GROUP BY l_orderkey),
+hdr AS (
+  SELECT o.o_orderkey, CAST(o.o_orderkey AS VARCHAR) AS order_id,
+         CAST(o.o_custkey AS VARCHAR) AS customer_id, c.c_name AS customer_name,
+         c.c_mktsegment AS channel, r.r_name AS business_unit,
+         CASE o.o_orderstatus WHEN 'O' THEN 'CREATED' WHEN 'P' THEN 'IN_PRODUCTION'
+              WHEN 'F' THEN 'SHIPPED' END AS order_status,
+         CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS priority_tier,
+         CAST(o.o_totalprice AS DECIMAL(15,2)) AS total_value, 'USD' AS currency,
+         o.o_orderdate AS created_at,
+         o.o_orderdate + CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) * 30 * INTERVAL 1 DAY
+           AS expected_ship_date
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+       LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+       LEFT JOIN region r ON n.n_regionkey = r.r_regionkey),
+lagg AS (
+  SELECT l_orderkey, count(*) AS line_count, sum(CAST(l_quantity AS DECIMAL(15,3))) AS total_demand,
+         count(*) FILTER (WHERE l_linestatus = 'F') AS allocation_count,
+         max(l_shipdate) AS last_ship_date,
+         sum(CAST(l_quantity * (l_extendedprice / l_quantity) AS DECIMAL(15,2))) AS lines_value
+  FROM lcur GROUP BY l_orderkey),
+st AS (
+  SELECT h.*, coalesce(f.first_family, '') AS product_family, h.created_at AS updated_at,
+         coalesce(a.line_count, 0) AS line_count,
+         coalesce(a.total_demand, CAST(0 AS DECIMAL(15,3))) AS total_demand,
+         coalesce(a.allocation_count, 0) AS allocation_count,
+         coalesce(a.lines_value, CAST(0 AS DECIMAL(15,2))) AS lines_value,
+         CASE WHEN h.order_status IN ('SHIPPED', 'DELIVERED') THEN a.last_ship_date END AS ship_date,
+         CASE WHEN coalesce(a.total_demand, 0) = 0 THEN TRUE ELSE h.order_status IN {ATP} END
+           AS atp_feasible
+  FROM hdr h LEFT JOIN lagg a ON h.o_orderkey = a.l_orderkey
+       LEFT JOIN lfam f ON h.o_orderkey = f.l_orderkey)"""
+
+ORACLE["order_line_items_flat"] = f"""WITH {STAR}
+SELECT l.line_id, CAST(l.l_orderkey AS VARCHAR) AS order_id, h.business_unit, h.order_status,
+       CAST(l.l_partkey AS VARCHAR) AS sku, l.p_type AS product_family, l.p_name AS description,
+       l.l_quantity AS quantity, l.l_extendedprice / l.l_quantity AS unit_price,
+       'OPEN' AS line_status
+FROM lcur l LEFT JOIN hdr h ON l.l_orderkey = h.o_orderkey"""
+
+ORACLE["order_total_check"] = f"""WITH {STAR}
+SELECT order_id, CAST(total_value AS DOUBLE) AS header_total, CAST(lines_value AS DOUBLE) AS lines_total,
+       CAST(total_value - lines_value AS DOUBLE) AS difference,
+       CAST(total_demand AS DOUBLE) AS total_demand, line_count,
+       (total_value - lines_value) = 0 AS consistent
+FROM st"""
+
+HIST = CHG + """,
+hv AS (
+  SELECT order_id, ts, lsn, order_status AS status,
+         lag(order_status, 1, 'CREATED') OVER (PARTITION BY order_id ORDER BY ts, lsn) AS prev_status
+  FROM chg WHERE op <> 'd'),
+hist AS (
+  SELECT order_id, row_number() OVER (PARTITION BY order_id ORDER BY ts, lsn) AS seq_no, status,
+         ts AS timestamp, 'pipeline' AS source, prev_status
+  FROM hv WHERE status IS DISTINCT FROM prev_status)"""
+
+ORACLE["status_history"] = f"WITH {HIST} SELECT * FROM hist"
+ORACLE["status_timeline"] = f"""WITH {HIST}
+SELECT order_id, seq_no, status, timestamp AS entered_at,
+       lead(timestamp) OVER (PARTITION BY order_id ORDER BY seq_no) AS left_at,
+       (epoch_us(lead(timestamp) OVER (PARTITION BY order_id ORDER BY seq_no)) - epoch_us(timestamp))
+         / 1000000.0 AS seconds_in_stage
+FROM hist"""
+ORACLE["illegal_transitions"] = f"""WITH {HIST}
+SELECT prev_status AS from_status, status AS to_status, order_id, seq_no, timestamp
+FROM hist
+WHERE (prev_status, status) NOT IN (
+  ('CREATED', 'ALLOCATED'), ('CREATED', 'CANCELLED'), ('ALLOCATED', 'IN_PRODUCTION'),
+  ('ALLOCATED', 'CANCELLED'), ('IN_PRODUCTION', 'SHIPPED'), ('SHIPPED', 'DELIVERED'))"""
+
+ISEQ = ("(ts, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, "
+        "l_tax, l_returnflag, l_linestatus)")
+INV = f"""
+inv_ev AS (
+  SELECT CAST(l_partkey AS VARCHAR) AS sku, 'WH-' || CAST(l_suppkey % 4 AS VARCHAR) AS warehouse_id,
+         CASE WHEN l_discount = 0.0 THEN 'd' ELSE 'u' END AS op, l_shipdate AS ts,
+         CAST(l_quantity AS DECIMAL(15,3)) AS available_qty,
+         CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS DECIMAL(15,3)) ELSE 0 END AS allocated_qty,
+         CASE WHEN l_returnflag = 'N' THEN CAST(l_quantity AS DECIMAL(15,3)) ELSE 0 END AS on_order_qty,
+         l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+         l_returnflag, l_linestatus
+  FROM lineitem),
+pos0 AS (
+  SELECT sku, warehouse_id, arg_max(op, {ISEQ}) AS op, arg_max(ts, {ISEQ}) AS updated_at,
+         arg_max(available_qty, {ISEQ}) AS available_qty,
+         arg_max(allocated_qty, {ISEQ}) AS allocated_qty,
+         arg_max(on_order_qty, {ISEQ}) AS on_order_qty
+  FROM inv_ev GROUP BY sku, warehouse_id),
+pos AS (SELECT * FROM pos0 WHERE op <> 'd'),
+sup AS (
+  SELECT sku, count(*) AS warehouse_count, sum(available_qty) AS available_qty,
+         sum(allocated_qty) AS allocated_qty, sum(on_order_qty) AS on_order_qty,
+         max(updated_at) AS updated_at
+  FROM pos GROUP BY sku)"""
+
+QTY3 = ("CAST(available_qty AS DOUBLE) AS available_qty, CAST(allocated_qty AS DOUBLE) AS allocated_qty, "
+        "CAST(on_order_qty AS DOUBLE) AS on_order_qty")
+
+ORACLE["inventory_position"] = f"WITH {INV} SELECT sku, warehouse_id, {QTY3}, updated_at FROM pos"
+ORACLE["inventory_deltas"] = f"""WITH {INV}
+SELECT sku, warehouse_id, CAST(sum(available_qty) AS DOUBLE) AS available_qty,
+       CAST(sum(allocated_qty) AS DOUBLE) AS allocated_qty,
+       CAST(sum(on_order_qty) AS DOUBLE) AS on_order_qty, count(*) AS n_events
+FROM inv_ev GROUP BY sku, warehouse_id"""
+ORACLE["supply_by_sku"] = f"WITH {INV} SELECT sku, warehouse_count, {QTY3}, updated_at FROM sup"
+ORACLE["supply_heatmap"] = f"""WITH {INV},
+fam AS (SELECT CAST(p_partkey AS VARCHAR) AS sku, p_type AS product_family FROM part),
+pv AS (
+  SELECT product_family,
+    CAST(coalesce(sum(available_qty) FILTER (WHERE warehouse_id = 'WH-0'), 0) AS DOUBLE) AS wh_0,
+    CAST(coalesce(sum(available_qty) FILTER (WHERE warehouse_id = 'WH-1'), 0) AS DOUBLE) AS wh_1,
+    CAST(coalesce(sum(available_qty) FILTER (WHERE warehouse_id = 'WH-2'), 0) AS DOUBLE) AS wh_2,
+    CAST(coalesce(sum(available_qty) FILTER (WHERE warehouse_id = 'WH-3'), 0) AS DOUBLE) AS wh_3
+  FROM pos JOIN fam USING (sku) GROUP BY product_family),
+lt AS (
+  SELECT p.p_type AS product_family,
+         round(quantile_cont((epoch_us(l.l_shipdate) - epoch_us(o.o_orderdate)) / 86400000000.0, 0.05), 6) AS lead_days_p05,
+         round(quantile_cont((epoch_us(l.l_shipdate) - epoch_us(o.o_orderdate)) / 86400000000.0, 0.95), 6) AS lead_days_p95
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey
+  GROUP BY p.p_type)
+SELECT pv.*, lt.lead_days_p05, lt.lead_days_p95 FROM pv LEFT JOIN lt USING (product_family)"""
+
+ORACLE["inventory_asof_orders"] = f"""WITH {STAR}, {INV},
+ln AS (
+  SELECT l.line_id, CAST(l.l_partkey AS VARCHAR) AS sku, h.created_at AS line_ts
+  FROM lcur l JOIN hdr h ON l.l_orderkey = h.o_orderkey),
+m AS (
+  SELECT ln.line_id, ln.sku, ln.line_ts,
+         arg_max({{'inv_ts': e.ts, 'warehouse_id': e.warehouse_id, 'op': e.op,
+                   'available_qty': e.available_qty}},
+                 (e.ts, e.l_orderkey, e.l_linenumber, e.l_suppkey, e.l_quantity, e.l_extendedprice,
+                  e.l_discount, e.l_tax, e.l_returnflag, e.l_linestatus)) AS cur
+  FROM ln LEFT JOIN inv_ev e ON e.sku = ln.sku AND e.ts <= ln.line_ts
+  GROUP BY ln.line_id, ln.sku, ln.line_ts)
+SELECT line_id, sku, line_ts, cur.inv_ts AS inv_ts, cur.warehouse_id AS warehouse_id, cur.op AS op,
+       CAST(cur.available_qty AS DOUBLE) AS available_qty
+FROM m"""
+
+ORACLE["enrich_broadcast"] = f"""WITH {STAR}, {INV}
+SELECT l.line_id, CAST(l.l_partkey AS VARCHAR) AS sku, l.l_quantity AS quantity,
+       coalesce(s.warehouse_count, 0) AS warehouse_count,
+       coalesce(CAST(s.available_qty AS DOUBLE), 0.0) AS available_qty,
+       l.l_quantity <= coalesce(CAST(s.available_qty AS DOUBLE), 0.0) AS covered
+FROM lcur l LEFT JOIN sup s ON CAST(l.l_partkey AS VARCHAR) = s.sku"""
+
+ORACLE["atp_by_status"] = f"""WITH {STAR}
+SELECT order_id, order_status, CAST(total_demand AS DOUBLE) AS total_demand, atp_feasible FROM st"""
+
+ORACLE["atp_by_inventory"] = f"""WITH {STAR}, {INV},
+dem AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS order_id, CAST(l_partkey AS VARCHAR) AS sku,
+         sum(CAST(l_quantity AS DECIMAL(15,3))) AS demand
+  FROM lcur GROUP BY ALL),
+j AS (
+  SELECT d.order_id, d.demand, coalesce(s.available_qty, 0) AS available
+  FROM dem d LEFT JOIN (SELECT sku, sum(available_qty) AS available_qty FROM pos GROUP BY sku) s
+       USING (sku))
+SELECT order_id, count(*) AS sku_count, CAST(sum(demand) AS DOUBLE) AS total_demand,
+       CAST(sum(available) AS DOUBLE) AS total_available, sum(demand) <= sum(available) AS atp_pooled,
+       bool_and(demand <= available) AS atp_per_sku
+FROM j GROUP BY order_id"""
+
+ORACLE["supply_demand_gap"] = f"""WITH {STAR}, {INV},
+dem AS (
+  SELECT l.p_type AS product_family, sum(CAST(l.l_quantity AS DECIMAL(15,3))) AS demand_qty
+  FROM lcur l JOIN hdr h ON l.l_orderkey = h.o_orderkey
+  WHERE h.order_status IN {UNFULFILLED} GROUP BY l.p_type),
+sp AS (
+  SELECT p.p_type AS product_family, sum(available_qty) AS available_qty, sum(on_order_qty) AS on_order_qty
+  FROM pos JOIN part p ON pos.sku = CAST(p.p_partkey AS VARCHAR) GROUP BY p.p_type)
+SELECT coalesce(d.product_family, s.product_family) AS product_family,
+       CAST(coalesce(d.demand_qty, 0) AS DOUBLE) AS demand_qty,
+       CAST(coalesce(s.available_qty, 0) AS DOUBLE) AS available_qty,
+       CAST(coalesce(s.on_order_qty, 0) AS DOUBLE) AS on_order_qty,
+       CAST(coalesce(d.demand_qty, 0) - coalesce(s.available_qty, 0) AS DOUBLE) AS gap_qty
+FROM dem d FULL OUTER JOIN sp s ON d.product_family = s.product_family"""

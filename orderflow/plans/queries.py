@@ -176,3 +176,176 @@ def order_state_changelog(spark, sf_dir):
                      "order_status", "priority_tier",
                      X.money_out(F.col("total_value")).alias("total_value"),
                      "expected_ship_date", "created_at", "updated_at")
+
+
+# ---------------------------------------------------------------------------
+# star-schema order state, lines, totals
+# ---------------------------------------------------------------------------
+from orderflow import schemas as S  # noqa: E402
+from orderflow.operators import history as H  # noqa: E402
+from orderflow.operators import inventory as INV  # noqa: E402
+from orderflow.operators import orders as ORD  # noqa: E402
+
+
+@register("order_line_items_flat")
+def order_line_items_flat(spark, sf_dir):
+    lines = A.star_lines(spark, sf_dir)
+    hdr = A.star_orders(spark, sf_dir).select("o_orderkey", "business_unit", "order_status")
+    j = lines.join(hdr, lines.l_orderkey == hdr.o_orderkey, "left")
+    return j.select("line_id", "order_id", "business_unit", "order_status", "sku",
+                    "product_family", "description", "quantity", "unit_price",
+                    F.lit(S.DEFAULT_LINE_STATUS).alias("line_status"))
+
+
+@register("order_total_check")
+def order_total_check(spark, sf_dir):
+    st = ORD.star_order_state(spark, sf_dir)
+    diff = F.col("total_value") - F.col("lines_value")
+    return st.select("order_id", X.money_out(F.col("total_value")).alias("header_total"),
+                     X.money_out(F.col("lines_value")).alias("lines_total"),
+                     X.money_out(diff).alias("difference"),
+                     F.col("total_demand").cast("double").alias("total_demand"),
+                     "line_count", (diff == 0).alias("consistent"))
+
+
+# ---------------------------------------------------------------------------
+# status history / timeline / transitions (adapter B)
+# ---------------------------------------------------------------------------
+
+def _history(spark, sf_dir):
+    return H.status_history(_clean_changes(spark, sf_dir))
+
+
+@register("status_history")
+def status_history(spark, sf_dir):
+    return _history(spark, sf_dir).drop("lsn")
+
+
+@register("status_timeline")
+def status_timeline(spark, sf_dir):
+    return H.status_timeline(_history(spark, sf_dir))
+
+
+@register("illegal_transitions")
+def illegal_transitions(spark, sf_dir):
+    return H.illegal_transitions(spark, _history(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# inventory, supply, as-of, ATP
+# ---------------------------------------------------------------------------
+
+def _qty_out(df, cols):
+    return [F.col(c).cast("double").alias(c) for c in cols]
+
+
+QTY_COLS = ["available_qty", "allocated_qty", "on_order_qty"]
+
+
+@register("inventory_position")
+def inventory_position(spark, sf_dir):
+    p = INV.inventory_position(INV.inventory_events(spark, sf_dir))
+    return p.select("sku", "warehouse_id", *_qty_out(p, QTY_COLS), "updated_at")
+
+
+@register("inventory_deltas")
+def inventory_deltas(spark, sf_dir):
+    d = INV.inventory_deltas(INV.inventory_events(spark, sf_dir))
+    return d.select("sku", "warehouse_id", *_qty_out(d, QTY_COLS), "n_events")
+
+
+@register("supply_by_sku")
+def supply_by_sku(spark, sf_dir):
+    s = INV.supply_by_sku(INV.inventory_position(INV.inventory_events(spark, sf_dir)))
+    return s.select("sku", "warehouse_count", *_qty_out(s, QTY_COLS), "updated_at")
+
+
+@register("supply_heatmap")
+def supply_heatmap(spark, sf_dir):
+    """AGG-15: family x warehouse available quantity (pivot on the fixed
+    warehouse list) plus the empirical 5-95 % ship-lead interval per family."""
+    ev = INV.inventory_events(spark, sf_dir)
+    part = A.read_table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("sku"), F.col("p_type").alias("product_family"))
+    pos = INV.inventory_position(ev).join(part, "sku")
+    whs = [f"WH-{i}" for i in range(4)]
+    pv = (pos.groupBy("product_family").pivot("warehouse_id", whs)
+          .agg(F.sum("available_qty")))
+    pv = pv.select("product_family", *[F.coalesce(F.col(w), F.lit(0)).cast("double")
+                                       .alias(w.replace("-", "_").lower()) for w in whs])
+    li = A.read_table(spark, sf_dir, "lineitem")
+    o = A.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    lead = (F.unix_micros(F.col("l_shipdate").cast("timestamp")) -
+            F.unix_micros(F.col("o_orderdate").cast("timestamp"))) / F.lit(86400.0 * 1e6)
+    lt = (li.join(o, li.l_orderkey == o.o_orderkey)
+          .join(part, F.col("l_partkey").cast("string") == part.sku)
+          .groupBy("product_family")
+          .agg(F.percentile(lead, F.array(F.lit(0.05), F.lit(0.95))).alias("p")))
+    return pv.join(lt, "product_family", "left").select(
+        "*", X.ratio(F.col("p")[0]).alias("lead_days_p05"),
+        X.ratio(F.col("p")[1]).alias("lead_days_p95")).drop("p")
+
+
+@register("inventory_asof_orders")
+def inventory_asof_orders(spark, sf_dir):
+    lines = A.star_lines(spark, sf_dir)
+    hdr = A.star_orders(spark, sf_dir).select("o_orderkey", "created_at")
+    ln = lines.join(hdr, lines.l_orderkey == hdr.o_orderkey)
+    r = INV.asof_inventory(ln, INV.inventory_events(spark, sf_dir), F.col("created_at"))
+    return r.select("line_id", "sku", "line_ts", "inv_ts", "warehouse_id", "op",
+                    F.col("available_qty").cast("double").alias("available_qty"))
+
+
+@register("enrich_broadcast")
+def enrich_broadcast(spark, sf_dir):
+    lines = A.star_lines(spark, sf_dir)
+    sup = INV.supply_by_sku(INV.inventory_position(INV.inventory_events(spark, sf_dir)))
+    e = INV.enrich_with_state(lines.select("line_id", "sku", "quantity"),
+                              sup.select("sku", "warehouse_count", "available_qty"), "sku")
+    return e.select("line_id", "sku", "quantity",
+                    F.coalesce(F.col("warehouse_count"), F.lit(0)).alias("warehouse_count"),
+                    F.coalesce(F.col("available_qty").cast("double"), F.lit(0.0))
+                    .alias("available_qty"),
+                    (F.col("quantity") <= F.coalesce(F.col("available_qty").cast("double"),
+                                                     F.lit(0.0))).alias("covered"))
+
+
+@register("atp_by_status")
+def atp_by_status(spark, sf_dir):
+    st = ORD.star_order_state(spark, sf_dir)
+    return st.select("order_id", "order_status",
+                     F.col("total_demand").cast("double").alias("total_demand"), "atp_feasible")
+
+
+@register("atp_by_inventory")
+def atp_by_inventory(spark, sf_dir):
+    pos = INV.inventory_position(INV.inventory_events(spark, sf_dir))
+    r = INV.atp_by_inventory(A.star_lines(spark, sf_dir), pos)
+    return r.select("order_id", "sku_count",
+                    F.col("total_demand").cast("double").alias("total_demand"),
+                    F.col("total_available").cast("double").alias("total_available"),
+                    "atp_pooled", "atp_per_sku")
+
+
+@register("supply_demand_gap")
+def supply_demand_gap(spark, sf_dir):
+    """JN-4: open demand per family vs inventory position per family
+    (both sides aggregated first, then a full outer join on family)."""
+    st = ORD.star_order_state(spark, sf_dir).select("o_orderkey", "order_status")
+    lines = A.star_lines(spark, sf_dir)
+    open_lines = lines.join(st, lines.l_orderkey == st.o_orderkey).where(
+        F.col("order_status").isin(*S.UNFULFILLED_STATUSES))
+    demand = open_lines.groupBy("product_family").agg(
+        F.sum(F.col("quantity").cast(S.QTY)).alias("demand_qty"))
+    part = A.read_table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("sku"), F.col("p_type").alias("product_family"))
+    pos = INV.inventory_position(INV.inventory_events(spark, sf_dir)).join(part, "sku")
+    supply = pos.groupBy("product_family").agg(F.sum("available_qty").alias("available_qty"),
+                                               F.sum("on_order_qty").alias("on_order_qty"))
+    j = demand.join(supply, "product_family", "full_outer")
+    z = F.lit(0).cast(S.QTY)
+    d, a = F.coalesce(F.col("demand_qty"), z), F.coalesce(F.col("available_qty"), z)
+    return j.select("product_family", d.cast("double").alias("demand_qty"),
+                    a.cast("double").alias("available_qty"),
+                    F.coalesce(F.col("on_order_qty"), z).cast("double").alias("on_order_qty"),
+                    (d - a).cast("double").alias("gap_qty"))

@@ -129,7 +129,7 @@ def _line_order() -> list[Column]:
     """Total order of lineitem rows within one (l_orderkey, l_linenumber)."""
     return [F.col(c) for c in ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity",
                                "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
-                               "l_linestatus")]
+                               "l_linestatus", "l_linenumber")]
 
 
 def star_line_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,8 +162,9 @@ def star_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             "unit_price", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate"]
     latest = ev.groupBy("line_id").agg(
         F.max_by(F.struct(*cols), F.col("seq")).alias("v"),
-        F.min("seq").alias("first_seq"))
-    return latest.select("line_id", "v.*", "first_seq")
+        F.min("seq").alias("first_seq"),
+        F.min_by(F.col("product_family"), F.col("seq")).alias("first_family"))
+    return latest.select("line_id", "v.*", "first_seq", "first_family")
 
 
 def warehouse_of(suppkey: Column) -> Column:
