@@ -351,3 +351,85 @@ SELECT coalesce(d.product_family, s.product_family) AS product_family,
        CAST(coalesce(s.on_order_qty, 0) AS DOUBLE) AS on_order_qty,
        CAST(coalesce(d.demand_qty, 0) - coalesce(s.available_qty, 0) AS DOUBLE) AS gap_qty
 FROM dem d FULL OUTER JOIN sp s ON d.product_family = s.product_family"""
+
+# ---------------------------------------------------------------------------
+# search, facets, listings, trends
+# ---------------------------------------------------------------------------
+
+def tokens_sql(expr: str) -> str:
+    return (f"list_filter(regexp_split_to_array(lower(coalesce({expr}, '')), '[^\\p{{L}}\\p{{N}}]+'), "
+            f"lambda x: x <> '')")
+
+
+HITS = STAR + f""",
+lhit AS (
+  SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS order_id FROM lcur
+  WHERE list_has_any({tokens_sql('p_name')}, ['widget']) OR CAST(l_partkey AS VARCHAR) = 'widget'),
+hits AS (
+  SELECT st.* FROM st
+  WHERE order_status = 'CREATED'
+    AND updated_at >= TIMESTAMP '1996-01-01' AND updated_at < TIMESTAMP '1999-01-01'
+    AND (list_has_any({tokens_sql('customer_name')}, ['widget']) OR order_id = 'widget'
+         OR order_id IN (SELECT order_id FROM lhit)))"""
+
+ORACLE["order_search_page"] = f"""WITH {HITS}
+SELECT row_number() OVER (ORDER BY updated_at DESC, order_id) AS position, order_id,
+       customer_name, business_unit, product_family, order_status, priority_tier,
+       CAST(total_value AS DOUBLE) AS total_value, updated_at
+FROM hits ORDER BY updated_at DESC, order_id LIMIT 20 OFFSET 20"""
+
+ORACLE["order_search_facets"] = f"""WITH {HITS},
+g AS (
+  SELECT CASE WHEN GROUPING(order_status) = 0 THEN 'order_status'
+              WHEN GROUPING(business_unit) = 0 THEN 'business_unit'
+              WHEN GROUPING(product_family) = 0 THEN 'product_family'
+              WHEN GROUPING(priority_tier) = 0 THEN 'priority_tier'
+              WHEN GROUPING(channel) = 0 THEN 'channel' ELSE 'total' END AS facet,
+         coalesce(order_status, business_unit, product_family, CAST(priority_tier AS VARCHAR),
+                  channel) AS key,
+         count(*) AS doc_count
+  FROM hits
+  GROUP BY GROUPING SETS ((order_status), (business_unit), (product_family), (priority_tier),
+                          (channel), ())),
+r AS (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY doc_count DESC, key) AS rank FROM g)
+SELECT facet, key, doc_count, rank FROM r
+WHERE rank <= CASE facet WHEN 'order_status' THEN 10 WHEN 'business_unit' THEN 20
+                         WHEN 'product_family' THEN 20 WHEN 'priority_tier' THEN 10
+                         WHEN 'channel' THEN 20 ELSE 1 END"""
+
+ORACLE["order_lookup"] = f"""WITH {STAR}
+SELECT order_id, customer_id, customer_name, channel, business_unit, product_family, order_status,
+       priority_tier, CAST(total_value AS DOUBLE) AS total_value, created_at, expected_ship_date,
+       line_count, ship_date, atp_feasible
+FROM st WHERE o_orderkey = 7"""
+
+ORACLE["orders_by_status"] = f"""WITH {STAR}
+SELECT order_id, order_status, updated_at, customer_name, product_family, priority_tier,
+       CAST(total_value AS DOUBLE) AS total_value
+FROM st WHERE business_unit = 'AMERICA' AND order_status = 'CREATED'
+ORDER BY updated_at DESC, order_id LIMIT 100"""
+
+
+def trend_sql(base: str, src: str, ts: str, unit: str, measures: str, names: list[str]) -> str:
+    step = {"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAY"}[unit]
+    fill = ", ".join(f"coalesce(c.{n}, 0) AS {n}" for n in names)
+    return f"""WITH {base},
+c AS (SELECT CAST(date_trunc('{unit}', {ts}) AS TIMESTAMP) AS bucket, {measures} FROM {src} GROUP BY 1),
+g AS (SELECT unnest(generate_series(min(bucket), max(bucket), {step})) AS bucket FROM c)
+SELECT g.bucket, {fill} FROM g LEFT JOIN c USING (bucket)"""
+
+
+_OT = "count(*) AS order_count, CAST(sum(total_value) AS DOUBLE) AS total_value"
+for _u in ("hour", "day", "week"):
+    ORACLE[f"order_trends_{_u}"] = trend_sql(STAR, "st", "created_at", _u, _OT,
+                                             ["order_count", "total_value"])
+ORACLE["status_trends_day"] = trend_sql(
+    HIST, "hist", "timestamp", "day",
+    "count(*) AS status_changes, count(*) FILTER (WHERE status IN ('SHIPPED', 'DELIVERED')) AS fulfilled, "
+    "count(*) FILTER (WHERE status = 'CANCELLED') AS cancelled",
+    ["status_changes", "fulfilled", "cancelled"])
+ORACLE["order_intake_rate"] = f"""WITH d AS ({trend_sql(STAR, "st", "created_at", "day",
+                                               "count(*) AS orders", ["orders"])})
+SELECT bucket, orders,
+       round(avg(orders) OVER (ORDER BY bucket ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS avg_7d
+FROM d"""

@@ -349,3 +349,82 @@ def supply_demand_gap(spark, sf_dir):
                     a.cast("double").alias("available_qty"),
                     F.coalesce(F.col("on_order_qty"), z).cast("double").alias("on_order_qty"),
                     (d - a).cast("double").alias("gap_qty"))
+
+
+# ---------------------------------------------------------------------------
+# search, facets, lookups, listings, calendar trends
+# ---------------------------------------------------------------------------
+from orderflow.operators import search as SR  # noqa: E402
+
+SEARCH = dict(q="widget", status="CREATED", date_from="1996-01-01", date_to="1998-12-31")
+
+
+def _search_hits(spark, sf_dir):
+    st = ORD.star_order_state(spark, sf_dir)
+    return SR.filter_orders(st, A.star_lines(spark, sf_dir), **SEARCH)
+
+
+@register("order_search_page")
+def order_search_page(spark, sf_dir):
+    p = SR.search_page(_search_hits(spark, sf_dir), page=2, size=20)
+    return p.select("position", "order_id", "customer_name", "business_unit", "product_family",
+                    "order_status", "priority_tier",
+                    X.money_out(F.col("total_value")).alias("total_value"), "updated_at")
+
+
+@register("order_search_facets")
+def order_search_facets(spark, sf_dir):
+    return SR.search_facets(_search_hits(spark, sf_dir))
+
+
+@register("order_lookup")
+def order_lookup(spark, sf_dir):
+    st = ORD.star_order_state(spark, sf_dir)
+    return SR.lookup(st, "7").select(
+        "order_id", "customer_id", "customer_name", "channel", "business_unit",
+        "product_family", "order_status", "priority_tier",
+        X.money_out(F.col("total_value")).alias("total_value"), "created_at",
+        "expected_ship_date", "line_count", "ship_date", "atp_feasible")
+
+
+@register("orders_by_status")
+def orders_by_status(spark, sf_dir):
+    return SR.orders_by_status(ORD.star_order_state(spark, sf_dir), "AMERICA", "CREATED", 100)
+
+
+def _trend(spark, sf_dir, unit):
+    st = ORD.star_order_state(spark, sf_dir)
+    return SR.calendar_histogram(st, "created_at", unit, {
+        "order_count": F.count(F.lit(1)),
+        "total_value": X.money_out(F.sum("total_value"))})
+
+
+@register("order_trends_hour")
+def order_trends_hour(spark, sf_dir):
+    return _trend(spark, sf_dir, "hour")
+
+
+@register("order_trends_day")
+def order_trends_day(spark, sf_dir):
+    return _trend(spark, sf_dir, "day")
+
+
+@register("order_trends_week")
+def order_trends_week(spark, sf_dir):
+    return _trend(spark, sf_dir, "week")
+
+
+@register("status_trends_day")
+def status_trends_day(spark, sf_dir):
+    h = _history(spark, sf_dir)
+    return SR.calendar_histogram(h, "timestamp", "day", {
+        "status_changes": F.count(F.lit(1)),
+        "fulfilled": F.count_if(F.col("status").isin(*S.SHIPPED_STATUSES)),
+        "cancelled": F.count_if(F.col("status") == "CANCELLED")})
+
+
+@register("order_intake_rate")
+def order_intake_rate(spark, sf_dir):
+    st = ORD.star_order_state(spark, sf_dir)
+    daily = SR.calendar_histogram(st, "created_at", "day", {"orders": F.count(F.lit(1))})
+    return SR.trailing_rate(daily, "orders", 7)
