@@ -151,6 +151,7 @@ def backlog_summary(metrics: DataFrame, business_unit: str | None = None,
     rank = F.row_number().over(
         Window.partitionBy("is_total").orderBy(F.desc("doc_count"), F.asc("product_family")))
     g = g.withColumn("rank", rank).where((F.col("is_total") == 1) | (F.col("rank") <= top_n))
+    gap = F.coalesce(F.col("gap"), F.lit(0).cast(S.MONEY))
     return g.select(
         F.lit(business_unit or "ALL").alias("business_unit"),
         F.when(F.col("is_total") == 1, F.lit("ALL")).otherwise(F.col("product_family"))
@@ -158,7 +159,8 @@ def backlog_summary(metrics: DataFrame, business_unit: str | None = None,
         X.money_out(F.coalesce(F.col("demand"), F.lit(0).cast(S.MONEY))).alias("demand"),
         X.money_out(F.coalesce(F.col("supply"), F.lit(0).cast(S.MONEY))).alias("supply"),
         X.money_out(F.coalesce(F.col("gap"), F.lit(0).cast(S.MONEY))).alias("gap"),
-        F.coalesce(F.col("orders"), F.lit(0)).cast("bigint").alias("order_count"))
+        F.coalesce(F.col("orders"), F.lit(0)).cast("bigint").alias("order_count"),
+        F.when(gap > 0, "At Risk").otherwise("Covered").alias("status_label"))
 
 
 def backlog_detail(metrics: DataFrame, business_unit: str, product_family: str,
@@ -200,3 +202,40 @@ def backlog_reconciliation(left: DataFrame, right: DataFrame) -> DataFrame:
             .otherwise(F.abs(a - b) / F.greatest(F.abs(a), F.abs(b)))
         cols.append(X.ratio(diff).alias(f"{m}_rel_diff"))
     return j.select(*cols)
+
+
+def backlog_windows_direct(records: DataFrame, size: str, slide: str | None = None,
+                           window_type: str | None = None) -> DataFrame:
+    """Reference formulation: every record expanded to all its windows by
+    ``F.window`` and aggregated once (no panes). Used to reconcile the pane
+    plan (JN-8); it multiplies the input by ``size / slide`` before the
+    shuffle, which is why ``backlog_windows`` is the production path."""
+    slide = slide or size
+    wtype = window_type or f"window_{size}"
+    w = F.window(F.col("ts"), size, slide)
+    g = records.groupBy(*KEY, w.alias("w")).agg(*_measures(records))
+    return g.select(*KEY, F.lit(wtype).alias("window_type"),
+                    X.to_ntz(F.col("w.start")).alias("window_start"),
+                    X.to_ntz(F.col("w.end")).alias("window_end"), *_finish(g))
+
+
+def horizon_mix(records: DataFrame) -> DataFrame:
+    """PRJ-8 + FLT-6: records per horizon bucket and status class."""
+    cls = (F.when(F.col("status").isin(*S.UNFULFILLED_STATUSES), "unfulfilled")
+           .when(F.col("status").isin(*S.SHIPPED_STATUSES), "fulfilled")
+           .when(F.col("status") == "CANCELLED", "cancelled").otherwise("other"))
+    return (records.groupBy("horizon", cls.alias("status_class"))
+            .agg(F.count(F.lit(1)).alias("n_records"),
+                 X.money_out(F.sum("total_value")).alias("total_value"),
+                 F.count_if(F.col("atp_feasible")).alias("n_atp")))
+
+
+def backlog_documents(metrics: DataFrame) -> DataFrame:
+    """PRJ-13 + SNK-7: metric rows as search documents with the composite id
+    ``bu|family|horizon|window_type|window_start``."""
+    ws = F.date_format(F.col("window_start").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssxxx")
+    return metrics.select(
+        F.concat_ws("|", "bu", "product_family", "horizon", "window_type", ws).alias("doc_id"),
+        F.col("bu").alias("business_unit"), "product_family",
+        F.col("horizon").alias("horizon_bucket"), "window_type", ws.alias("window_start"),
+        "unfulfilled_demand", "available_supply", "demand_gap", "order_count", "avg_priority")

@@ -433,3 +433,92 @@ ORACLE["order_intake_rate"] = f"""WITH d AS ({trend_sql(STAR, "st", "created_at"
 SELECT bucket, orders,
        round(avg(orders) OVER (ORDER BY bucket ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS avg_7d
 FROM d"""
+
+# ---------------------------------------------------------------------------
+# backlog summary / detail / trend / depth / documents
+# ---------------------------------------------------------------------------
+
+def window_select(size_min: int, slide_min: int, wtype: str, alias: str) -> str:
+    n = size_min // slide_min
+    return f"""{alias}x AS (
+  SELECT rec.*, time_bucket(INTERVAL {slide_min} MINUTE, ts) - i * INTERVAL {slide_min} MINUTE AS window_start
+  FROM rec, range({n}) t(i)),
+{alias} AS (
+  SELECT bu, product_family, horizon, '{wtype}' AS window_type, window_start,
+         window_start + INTERVAL {size_min} MINUTE AS window_end, {MEASURES}
+  FROM {alias}x GROUP BY ALL)"""
+
+
+METRICS = RECORDS + ",\n" + window_select(60, 5, "sliding_1h", "ms") + ",\n" + \
+    window_select(24 * 60, 24 * 60, "tumbling_daily", "mt") + """,
+m AS (SELECT * FROM ms UNION ALL SELECT * FROM mt)"""
+
+ORACLE["backlog_summary"] = f"""WITH {METRICS},
+fam AS (
+  SELECT product_family, sum(CAST(unfulfilled_demand AS DECIMAL(15,2))) AS demand,
+         sum(CAST(available_supply AS DECIMAL(15,2))) AS supply,
+         sum(CAST(demand_gap AS DECIMAL(15,2))) AS gap, sum(order_count) AS orders,
+         count(*) AS doc_count
+  FROM m GROUP BY product_family),
+top AS (SELECT * FROM fam QUALIFY row_number() OVER (ORDER BY doc_count DESC, product_family) <= 50),
+tot AS (
+  SELECT 'ALL' AS product_family, sum(CAST(unfulfilled_demand AS DECIMAL(15,2))) AS demand,
+         sum(CAST(available_supply AS DECIMAL(15,2))) AS supply,
+         sum(CAST(demand_gap AS DECIMAL(15,2))) AS gap, sum(order_count) AS orders
+  FROM m),
+u AS (SELECT product_family, demand, supply, gap, orders FROM top UNION ALL SELECT * FROM tot)
+SELECT 'ALL' AS business_unit, product_family, CAST(coalesce(demand, 0) AS DOUBLE) AS demand,
+       CAST(coalesce(supply, 0) AS DOUBLE) AS supply, CAST(coalesce(gap, 0) AS DOUBLE) AS gap,
+       CAST(coalesce(orders, 0) AS BIGINT) AS order_count,
+       CASE WHEN coalesce(gap, 0) > 0 THEN 'At Risk' ELSE 'Covered' END AS status_label
+FROM u"""
+
+ORACLE["backlog_detail"] = f"""WITH {METRICS}
+SELECT * FROM m
+WHERE bu = 'North America' AND product_family = 'Networking' AND horizon = 'D30'
+  AND window_type = 'sliding_1h'
+ORDER BY window_start DESC LIMIT 100"""
+
+ORACLE["backlog_trend_delta"] = f"""WITH {RECORDS},
+{window_select(24 * 60, 24 * 60, "tumbling_daily", "mt")}
+SELECT bu, product_family, horizon, window_type, window_start,
+  lag(window_start) OVER w AS prev_window_start,
+  CAST(CAST(unfulfilled_demand AS DECIMAL(15,2)) - lag(CAST(unfulfilled_demand AS DECIMAL(15,2))) OVER w AS DOUBLE) AS unfulfilled_demand_delta,
+  CAST(CAST(available_supply AS DECIMAL(15,2)) - lag(CAST(available_supply AS DECIMAL(15,2))) OVER w AS DOUBLE) AS available_supply_delta,
+  CAST(CAST(demand_gap AS DECIMAL(15,2)) - lag(CAST(demand_gap AS DECIMAL(15,2))) OVER w AS DOUBLE) AS demand_gap_delta
+FROM mt
+WINDOW w AS (PARTITION BY bu, product_family, horizon, window_type ORDER BY window_start)"""
+
+ORACLE["backlog_depth_cube"] = f"""WITH fo AS ({fold_sql("2024-01-31 00:00:00")}),
+r AS (
+  SELECT business_unit AS bu, product_family, {horizon_sql('expected_ship_date', EV_AS_OF)} AS horizon,
+         order_status AS status, CAST(total_value AS DECIMAL(15,2)) AS total_value,
+         priority_tier AS priority, TRUE AS atp_feasible
+  FROM fo)
+SELECT coalesce(bu, 'ALL') AS bu, coalesce(product_family, 'ALL') AS product_family,
+       coalesce(horizon, 'ALL') AS horizon,
+       CAST(GROUPING(bu, product_family, horizon) AS INTEGER) AS grouping_id, {MEASURES}
+FROM r GROUP BY CUBE (bu, product_family, horizon)"""
+
+ORACLE["horizon_buckets"] = f"""WITH {RECORDS}
+SELECT horizon,
+       CASE WHEN status IN {UNFULFILLED} THEN 'unfulfilled'
+            WHEN status IN ('SHIPPED', 'DELIVERED') THEN 'fulfilled'
+            WHEN status = 'CANCELLED' THEN 'cancelled' ELSE 'other' END AS status_class,
+       count(*) AS n_records, CAST(sum(total_value) AS DOUBLE) AS total_value,
+       count(*) FILTER (WHERE atp_feasible) AS n_atp
+FROM rec GROUP BY ALL"""
+
+ORACLE["backlog_documents"] = f"""WITH {METRICS},
+d AS (SELECT *, strftime(window_start, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS ws FROM m)
+SELECT concat_ws('|', bu, product_family, horizon, window_type, ws) AS doc_id,
+       bu AS business_unit, product_family, horizon AS horizon_bucket, window_type,
+       ws AS window_start, unfulfilled_demand, available_supply, demand_gap, order_count, avg_priority
+FROM d"""
+
+ORACLE["backlog_reconciliation"] = f"""WITH {RECORDS},
+{window_select(60, 5, "sliding_1h", "ms")}
+SELECT bu, product_family, horizon, window_type, window_start,
+       0.0 AS unfulfilled_demand_rel_diff, 0.0 AS available_supply_rel_diff,
+       0.0 AS demand_gap_rel_diff, 0.0 AS order_count_rel_diff
+FROM ms"""

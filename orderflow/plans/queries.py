@@ -428,3 +428,57 @@ def order_intake_rate(spark, sf_dir):
     st = ORD.star_order_state(spark, sf_dir)
     daily = SR.calendar_histogram(st, "created_at", "day", {"orders": F.count(F.lit(1))})
     return SR.trailing_rate(daily, "orders", 7)
+
+
+# ---------------------------------------------------------------------------
+# backlog summary, detail, trend, depth, horizons, documents, reconciliation
+# ---------------------------------------------------------------------------
+
+def _metrics(spark, sf_dir):
+    rec = _event_records(spark, sf_dir)
+    return BL.backlog_windows(rec, "1 hour", "5 minutes", "sliding_1h").unionByName(
+        BL.backlog_windows(rec, "24 hours", None, "tumbling_daily"))
+
+
+@register("backlog_summary")
+def backlog_summary(spark, sf_dir):
+    return BL.backlog_summary(_metrics(spark, sf_dir))
+
+
+@register("backlog_detail")
+def backlog_detail(spark, sf_dir):
+    return BL.backlog_detail(_metrics(spark, sf_dir), "North America", "Networking",
+                             "D30", "sliding_1h")
+
+
+@register("backlog_trend_delta")
+def backlog_trend_delta(spark, sf_dir):
+    daily = BL.backlog_windows(_event_records(spark, sf_dir), "24 hours", None, "tumbling_daily")
+    return BL.backlog_trend_delta(daily).select(
+        *BL.KEY, "window_type", "window_start", "prev_window_start",
+        "unfulfilled_demand_delta", "available_supply_delta", "demand_gap_delta")
+
+
+@register("backlog_depth_cube")
+def backlog_depth_cube(spark, sf_dir):
+    as_of = A.as_of_col(A.EVENTS_AS_OF)
+    st = ST.fold_orders(_clean_changes(spark, sf_dir), as_of=as_of)
+    return BL.backlog_depth_cube(st, as_of)
+
+
+@register("horizon_buckets")
+def horizon_buckets(spark, sf_dir):
+    return BL.horizon_mix(_event_records(spark, sf_dir))
+
+
+@register("backlog_documents")
+def backlog_documents(spark, sf_dir):
+    return BL.backlog_documents(_metrics(spark, sf_dir))
+
+
+@register("backlog_reconciliation")
+def backlog_reconciliation(spark, sf_dir):
+    rec = _event_records(spark, sf_dir)
+    panes = BL.backlog_windows(rec, "1 hour", "5 minutes", "sliding_1h")
+    direct = BL.backlog_windows_direct(rec, "1 hour", "5 minutes", "sliding_1h")
+    return BL.backlog_reconciliation(panes, direct)
