@@ -134,8 +134,10 @@ SELECT source_table, op, count(*) AS n_events, count(DISTINCT order_id) AS n_ord
 FROM ev GROUP BY ALL"""
 
 
-def fold_sql(as_of: str | None = None) -> str:
-    where = f"WHERE ts <= TIMESTAMP '{as_of}'" if as_of else ""
+def fold_sql(as_of: str | None = None, where: str | None = None) -> str:
+    if as_of:
+        where = f"WHERE ts <= TIMESTAMP '{as_of}'"
+    where = where or ""
     seq = "(ts, lsn)"
     h = "op <> 'd'"
     return f"""WITH {CHG}
@@ -522,3 +524,142 @@ SELECT bu, product_family, horizon, window_type, window_start,
        0.0 AS unfulfilled_demand_rel_diff, 0.0 AS available_supply_rel_diff,
        0.0 AS demand_gap_rel_diff, 0.0 AS order_count_rel_diff
 FROM ms"""
+
+# ---------------------------------------------------------------------------
+# fulfilment, exceptions, alerts, governance, skew, upsert, late data
+# ---------------------------------------------------------------------------
+
+def _days(later: str, earlier: str) -> str:
+    return f"((epoch_us({later}) - epoch_us({earlier})) / 86400000000.0)"
+
+
+FUL = STAR + f""",
+f AS (
+  SELECT st.*,
+    CASE WHEN {_days('ship_date', 'created_at')} >= 0 THEN {_days('ship_date', 'created_at')} END AS cycle_days,
+    order_status IN {UNFULFILLED} AND expected_ship_date < {STAR_AS_OF} AS is_delayed,
+    order_status IN {UNFULFILLED} AND updated_at < {STAR_AS_OF} - INTERVAL 7 DAY AS is_stuck,
+    order_status = 'CREATED' AND line_count > 0 AND allocation_count = 0 AS is_alloc_failed
+  FROM st)"""
+
+ORACLE["fulfillment_daily"] = f"""WITH {FUL},
+g AS (
+  SELECT business_unit, CAST(created_at AS DATE) AS metric_date,
+    round(avg(CASE WHEN order_status IN ('SHIPPED', 'DELIVERED') AND ship_date IS NOT NULL
+                   THEN CAST(ship_date <= expected_ship_date AS INTEGER) END), 6) AS on_time_rate,
+    round(quantile_cont(cycle_days, 0.5), 6) AS cycle_time_p50,
+    round(quantile_cont(cycle_days, 0.95), 6) AS cycle_time_p95,
+    count(*) FILTER (WHERE is_delayed OR is_stuck OR is_alloc_failed) AS exception_count,
+    count(*) AS total_orders,
+    count(*) FILTER (WHERE order_status IN ('SHIPPED', 'DELIVERED')) AS shipped_orders
+  FROM f GROUP BY ALL)
+SELECT * FROM g
+QUALIFY row_number() OVER (PARTITION BY business_unit ORDER BY metric_date DESC) <= 90"""
+
+ORACLE["cycle_time_histogram"] = f"""WITH {FUL}
+SELECT CAST(floor(cycle_days / 30.0) AS BIGINT) AS bin,
+       CAST(floor(cycle_days / 30.0) AS BIGINT) * 30 AS bin_start_days, count(*) AS n_orders
+FROM f WHERE cycle_days IS NOT NULL GROUP BY 1, 2"""
+
+ORACLE["exception_queue"] = f"""WITH {FUL},
+x AS (
+  SELECT *, 'delayed' AS exception_type FROM f WHERE is_delayed
+  UNION ALL SELECT *, 'stuck' FROM f WHERE is_stuck
+  UNION ALL SELECT *, 'allocation_failed' FROM f WHERE is_alloc_failed)
+SELECT order_id, business_unit, order_status, exception_type,
+       round({_days(STAR_AS_OF, 'created_at')}, 6) AS days_open,
+       CASE WHEN exception_type = 'delayed'
+            THEN round({_days(STAR_AS_OF, 'expected_ship_date')}, 6) END AS days_late
+FROM x"""
+
+ORACLE["threshold_alerts"] = f"""WITH {FUL},
+um AS (
+  SELECT business_unit,
+    CAST(sum(total_value) FILTER (WHERE order_status IN {UNFULFILLED}) AS DOUBLE) AS open_backlog_value,
+    round(avg(CAST((is_delayed OR is_stuck OR is_alloc_failed) AS INTEGER)), 6) AS exception_rate,
+    round(quantile_cont(cycle_days, 0.95), 6) AS cycle_time_p95_days
+  FROM f GROUP BY business_unit),
+lng AS (
+  SELECT business_unit, 'open_backlog_value' AS metric, open_backlog_value AS value FROM um
+  UNION ALL SELECT business_unit, 'exception_rate', exception_rate FROM um
+  UNION ALL SELECT business_unit, 'cycle_time_p95_days', cycle_time_p95_days FROM um),
+th AS (
+  SELECT metric, scope, CAST(threshold AS DOUBLE) AS threshold FROM (VALUES
+    ('open_backlog_value', 'ALL', 500000000), ('exception_rate', 'ALL', 0.67),
+    ('cycle_time_p95_days', 'ALL', 2120), ('open_backlog_value', 'EUROPE', 400000000))
+    t(metric, scope, threshold)),
+j AS (
+  SELECT l.business_unit, l.metric, l.value, th.scope, th.threshold,
+         row_number() OVER (PARTITION BY l.business_unit, l.metric
+                            ORDER BY CASE WHEN th.scope = 'ALL' THEN 1 ELSE 0 END) AS rn
+  FROM lng l JOIN th ON l.metric = th.metric AND (th.scope = l.business_unit OR th.scope = 'ALL'))
+SELECT business_unit, metric, value, scope, threshold FROM j WHERE rn = 1 AND value > threshold"""
+
+ORACLE["bu_scoped_orders"] = f"""WITH {STAR}
+SELECT order_id, business_unit, order_status, CAST(total_value AS DOUBLE) AS total_value
+FROM st WHERE business_unit IN ('EUROPE', 'MIDDLE EAST', 'AFRICA')"""
+
+ORACLE["retention_active_orders"] = f"""WITH {STAR}
+SELECT order_id, updated_at, order_status, round({_days(STAR_AS_OF, 'updated_at')}, 6) AS age_days
+FROM st WHERE updated_at >= {STAR_AS_OF} - INTERVAL 90 DAY"""
+
+ORACLE["dashboard_labels"] = f"""WITH {STAR}
+SELECT order_id, priority_tier,
+       CASE WHEN priority_tier BETWEEN 1 AND 5
+            THEN (['P1-Critical', 'P2-High', 'P3-Medium', 'P4-Low', 'P5-Minimal'])[priority_tier]
+            ELSE 'P' || CAST(priority_tier AS VARCHAR) END AS priority_label,
+       priority_tier <= 2 AS high_priority,
+       CAST(round(total_value / 1000, 0) AS BIGINT) AS value_k, order_status
+FROM st"""
+
+ORACLE["hot_keys_salted_totals"] = """
+SELECT event_type, count(*) AS n_rows,
+       CAST(sum(CAST(value AS DECIMAL(15,2))) AS DOUBLE) AS total_value,
+       count(DISTINCT user_id) AS n_distinct,
+       count(*) > 0.05 * (SELECT count(*) FROM events) AS is_hot
+FROM events GROUP BY event_type"""
+
+_UPS_COLS = ("order_id, {src} AS source, business_unit, order_status, total_value, updated_at, "
+             "(business_unit <> '' AND order_status <> '') AS listed")
+ORACLE["upsert_latest_orders"] = f"""WITH
+b AS ({fold_sql(where="WHERE ts < TIMESTAMP '2024-01-15 00:00:00'")}),
+d AS ({fold_sql(where="WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'")})
+SELECT {_UPS_COLS.format(src="'delta'")} FROM d
+UNION ALL
+SELECT {_UPS_COLS.format(src="'base'")} FROM b WHERE order_id NOT IN (SELECT order_id FROM d)"""
+
+ARRIVALS = CHG + """,
+a AS (SELECT lsn, order_id, ts, business_unit, k,
+             ts + (k % 7) * 10 * INTERVAL 1 SECOND AS arrival_ts FROM chg)"""
+
+ORACLE["late_events"] = f"""WITH {ARRIVALS},
+w AS (
+  SELECT *, max(ts) OVER (ORDER BY arrival_ts, lsn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+            - INTERVAL 30 SECOND AS watermark
+  FROM a)
+SELECT lsn, order_id, ts, arrival_ts, watermark,
+       (epoch_us(watermark) - epoch_us(ts)) / 1000000.0 AS lateness_seconds
+FROM w WHERE ts < watermark"""
+
+ORACLE["pipeline_latency"] = f"""WITH {ARRIVALS}
+SELECT business_unit, count(*) AS n,
+       round(quantile_cont((k % 7) * 10.0, 0.5), 6) AS p50_s,
+       round(quantile_cont((k % 7) * 10.0, 0.95), 6) AS p95_s,
+       round(quantile_cont((k % 7) * 10.0, 0.99), 6) AS p99_s
+FROM a GROUP BY business_unit"""
+
+
+def _iso(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+
+
+ORACLE["order_documents"] = f"""WITH {STAR}
+SELECT order_id, customer_id, customer_name, channel, business_unit, product_family, order_status,
+       priority_tier, CAST(total_value AS DOUBLE) AS total_value, currency, atp_feasible,
+       {_iso('created_at')} AS created_at, {_iso('updated_at')} AS updated_at,
+       {_iso('expected_ship_date')} AS expected_ship_date, line_count,
+       CASE WHEN ship_date IS NOT NULL
+            THEN (['FedEx', 'UPS', 'DHL', 'Amazon Logistics'])[o_orderkey % 4 + 1] END AS shipment_carrier,
+       CASE WHEN ship_date IS NOT NULL THEN 'SHIPPED' END AS shipment_status,
+       {_iso('ship_date')} AS shipment_ship_date
+FROM st"""

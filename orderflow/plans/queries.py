@@ -482,3 +482,141 @@ def backlog_reconciliation(spark, sf_dir):
     panes = BL.backlog_windows(rec, "1 hour", "5 minutes", "sliding_1h")
     direct = BL.backlog_windows_direct(rec, "1 hour", "5 minutes", "sliding_1h")
     return BL.backlog_reconciliation(panes, direct)
+
+
+# ---------------------------------------------------------------------------
+# fulfilment, exceptions, alerts, governance, skew, upsert, late data
+# ---------------------------------------------------------------------------
+from orderflow.operators import fulfillment as FUL  # noqa: E402
+from orderflow.operators import governance as GOV  # noqa: E402
+from orderflow.operators import merge as MRG  # noqa: E402
+
+
+def _star_as_of():
+    return A.as_of_col(A.STAR_AS_OF)
+
+
+@register("fulfillment_daily")
+def fulfillment_daily(spark, sf_dir):
+    return FUL.fulfillment_daily(ORD.star_order_state(spark, sf_dir), _star_as_of())
+
+
+@register("cycle_time_histogram")
+def cycle_time_histogram(spark, sf_dir):
+    return FUL.cycle_time_histogram(ORD.star_order_state(spark, sf_dir))
+
+
+@register("exception_queue")
+def exception_queue(spark, sf_dir):
+    return FUL.exception_queue(ORD.star_order_state(spark, sf_dir), _star_as_of())
+
+
+@register("threshold_alerts")
+def threshold_alerts(spark, sf_dir):
+    m = FUL.unit_metrics(ORD.star_order_state(spark, sf_dir), _star_as_of())
+    return FUL.threshold_alerts(spark, m)
+
+
+@register("bu_scoped_orders")
+def bu_scoped_orders(spark, sf_dir):
+    st = ORD.star_order_state(spark, sf_dir)
+    s = GOV.scope_to_user(st, GOV.entitlements(spark), "ops_emea")
+    return s.select("order_id", "business_unit", "order_status",
+                    X.money_out(F.col("total_value")).alias("total_value"))
+
+
+@register("retention_active_orders")
+def retention_active_orders(spark, sf_dir):
+    st = ORD.star_order_state(spark, sf_dir)
+    r = GOV.retention(st, "updated_at", _star_as_of(), S.RETENTION_DAYS["order_state"])
+    return r.select("order_id", "updated_at", "order_status",
+                    X.ratio(FUL._days_between(_star_as_of(), F.col("updated_at")))
+                    .alias("age_days"))
+
+
+@register("dashboard_labels")
+def dashboard_labels(spark, sf_dir):
+    return GOV.dashboard_labels(ORD.star_order_state(spark, sf_dir))
+
+
+@register("hot_keys_salted_totals")
+def hot_keys_salted_totals(spark, sf_dir):
+    ev = A.read_table(spark, sf_dir, "events")
+    return GOV.salted_totals(ev, "event_type", X.money(F.col("value")), "user_id")
+
+
+UPSERT_SPLIT = "2024-01-15 00:00:00"
+
+
+@register("upsert_latest_orders")
+def upsert_latest_orders(spark, sf_dir):
+    """Stored snapshot (events before the split) upserted with the state of
+    the orders touched after it; listing eligibility as in the bu/status table."""
+    ch = _clean_changes(spark, sf_dir)
+    split = F.lit(UPSERT_SPLIT).cast("timestamp_ntz")
+    base = ST.fold_orders(ch.where(F.col("ts") < split)).withColumn("source", F.lit("base"))
+    delta = ST.fold_orders(ch.where(F.col("ts") >= split)).withColumn("source", F.lit("delta"))
+    m = MRG.upsert_merge(base, delta, ["order_id"])
+    return m.select("order_id", "source", "business_unit", "order_status",
+                    X.money_out(F.col("total_value")).alias("total_value"), "updated_at",
+                    ((F.col("business_unit") != "") & (F.col("order_status") != ""))
+                    .alias("listed"))
+
+
+def _arrivals(spark, sf_dir):
+    r = A.event_rows(spark, sf_dir)
+    return r.select("lsn", "order_id", "ts", "business_unit",
+                    (F.col("ts") + F.make_dt_interval(secs=(F.col("k") % 7) * 10))
+                    .alias("arrival_ts"))
+
+
+@register("late_events")
+def late_events(spark, sf_dir):
+    late = GOV.late_rows(_arrivals(spark, sf_dir), "ts", "arrival_ts", "lsn", 30)
+    return late.select("lsn", "order_id", "ts", "arrival_ts", "watermark", "lateness_seconds")
+
+
+@register("pipeline_latency")
+def pipeline_latency(spark, sf_dir):
+    a = _arrivals(spark, sf_dir)
+    lat = (F.unix_micros(F.col("arrival_ts").cast("timestamp")) -
+           F.unix_micros(F.col("ts").cast("timestamp"))) / F.lit(1e6)
+    return GOV.latency_percentiles(a, "business_unit", lat)
+
+
+@register("order_documents")
+def order_documents(spark, sf_dir):
+    """PRJ-12: search documents (ISO timestamps, shipment object flattened)."""
+    st = ORD.star_order_state(spark, sf_dir)
+    carrier = X.pick(S.CARRIERS, F.col("o_orderkey") % 4)
+    return st.select(
+        "order_id", "customer_id", "customer_name", "channel", "business_unit",
+        "product_family", "order_status", "priority_tier",
+        X.money_out(F.col("total_value")).alias("total_value"), "currency", "atp_feasible",
+        SR.iso("created_at").alias("created_at"), SR.iso("updated_at").alias("updated_at"),
+        SR.iso("expected_ship_date").alias("expected_ship_date"), "line_count",
+        F.when(F.col("ship_date").isNotNull(), carrier).alias("shipment_carrier"),
+        F.when(F.col("ship_date").isNotNull(), F.lit("SHIPPED")).alias("shipment_status"),
+        SR.iso("ship_date").alias("shipment_ship_date"))
+
+
+@register("order_storage_rows")
+def order_storage_rows(spark, sf_dir):
+    """PRJ-10/11: storage rows with nested children as JSON text, and the
+    round trip back to structs. The per-order line list is bounded by the
+    order's own lines (an entity document, not a data-sized group)."""
+    lines = A.star_lines(spark, sf_dir)
+    items = lines.groupBy("order_id").agg(F.sort_array(F.collect_list(F.struct(
+        F.col("first_seq").alias("_o"), F.struct(
+            "line_id", "sku", "product_family", "description", "quantity", "unit_price",
+            F.lit(S.DEFAULT_LINE_STATUS).alias("line_status")).alias("item")))).alias("li"))
+    items = items.select("order_id", F.to_json(F.transform("li", lambda x: x["item"]))
+                         .alias("line_items"))
+    st = ORD.star_order_state(spark, sf_dir).join(items, "order_id", "left")
+    li_json = F.coalesce(F.col("line_items"), F.lit("[]"))
+    back = F.from_json(li_json, "array<struct<line_id:string,quantity:double>>")
+    return st.select("order_id", "business_unit", "order_status",
+                     X.money_out(F.col("total_value")).alias("total_value"),
+                     li_json.alias("line_items"), F.size(back).alias("line_items_parsed"),
+                     F.aggregate(back, F.lit(0.0), lambda acc, x: acc + x["quantity"])
+                     .alias("parsed_quantity"))
