@@ -36,7 +36,7 @@ def backlog_records(changelog: DataFrame, as_of: Column) -> DataFrame:
         F.col("product_family"),
         X.classify_horizon(F.col("expected_ship_date"), as_of).alias("horizon"),
         F.col("order_status").alias("status"),
-        F.col("total_value"),
+        X.money(F.col("total_value")).alias("total_value"),
         F.col("priority_tier").alias("priority"),
         ST.atp_by_status(F.col("order_status"), demand).alias("atp_feasible"),
         F.coalesce(F.col("updated_at"), as_of).alias("ts"),

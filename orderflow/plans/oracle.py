@@ -455,7 +455,9 @@ METRICS = RECORDS + ",\n" + window_select(60, 5, "sliding_1h", "ms") + ",\n" + \
     window_select(24 * 60, 24 * 60, "tumbling_daily", "mt") + """,
 m AS (SELECT * FROM ms UNION ALL SELECT * FROM mt)"""
 
-ORACLE["backlog_summary"] = f"""WITH {METRICS},
+def summary_sql(metrics_ctes: str, extra: str = "") -> str:
+    """Backlog summary over a CTE chain that defines ``m`` (metric rows)."""
+    return f"""WITH {metrics_ctes},
 fam AS (
   SELECT product_family, sum(CAST(unfulfilled_demand AS DECIMAL(15,2))) AS demand,
          sum(CAST(available_supply AS DECIMAL(15,2))) AS supply,
@@ -472,9 +474,12 @@ u AS (SELECT product_family, demand, supply, gap, orders FROM top UNION ALL SELE
 SELECT 'ALL' AS business_unit, product_family, CAST(coalesce(demand, 0) AS DOUBLE) AS demand,
        CAST(coalesce(supply, 0) AS DOUBLE) AS supply, CAST(coalesce(gap, 0) AS DOUBLE) AS gap,
        CAST(coalesce(orders, 0) AS BIGINT) AS order_count,
-       CASE WHEN coalesce(gap, 0) > 0 THEN 'At Risk' ELSE 'Covered' END AS status_label
+       CASE WHEN coalesce(gap, 0) > 0 THEN 'At Risk' ELSE 'Covered' END AS status_label{extra}
 FROM u"""
 
+
+ORACLE["backlog_summary"] = summary_sql(METRICS)
+
 ORACLE["backlog_detail"] = f"""WITH {METRICS}
 SELECT * FROM m
 WHERE bu = 'North America' AND product_family = 'Networking' AND horizon = 'D30'
@@ -663,3 +668,30 @@ SELECT order_id, customer_id, customer_name, channel, business_unit, product_fam
        CASE WHEN ship_date IS NOT NULL THEN 'SHIPPED' END AS shipment_status,
        {_iso('ship_date')} AS shipment_ship_date
 FROM st"""
+
+# ---------------------------------------------------------------------------
+# streaming runs: same results as batch over the accepted events; windows
+# only once closed by the final watermark (max event time - 30 s)
+# ---------------------------------------------------------------------------
+# accepted stream events: corrupted (k = 13) rows go to the dead letters; the
+# repeated copy of LSN 0 is never deduplicated
+# (event time travels as epoch milliseconds on the wire)
+STREAM_CHG = CHG.replace("chg AS (", "chg0 AS (") + """,
+chg1 AS (
+  SELECT * REPLACE (make_timestamp((epoch_us(ts) // 1000) * 1000) AS ts) FROM chg0 WHERE k <> 13),
+chg AS (SELECT * FROM chg1 UNION ALL SELECT * FROM chg1 WHERE lsn = 0)"""
+STREAM_CHANGELOG = STREAM_CHG + CHANGELOG[len(CHG):]
+STREAM_RECORDS = STREAM_CHANGELOG + RECORDS[len(CHANGELOG):]
+
+ORACLE["stream_dedup"] = f"WITH {STREAM_CHG} SELECT {PARSED_COLS} FROM chg"
+ORACLE["stream_order_state"] = f"""WITH {STREAM_CHANGELOG}
+SELECT order_id, lsn, op, business_unit, product_family, order_status, priority_tier,
+       CAST(total_value AS DOUBLE) AS total_value, expected_ship_date, created_at, updated_at
+FROM cl"""
+ORACLE["stream_backlog_windows"] = f"""WITH {STREAM_RECORDS},
+{window_select(60, 5, "sliding_1h", "ms")}
+SELECT * FROM ms WHERE window_end <= (SELECT max(ts) FROM rec) - INTERVAL 30 SECOND"""
+ORACLE["stream_dashboard_push"] = summary_sql(
+    STREAM_RECORDS + ",\n" + window_select(60, 5, "sliding_1h", "ms") + """,
+m AS (SELECT * FROM ms WHERE window_end <= (SELECT max(ts) FROM rec) - INTERVAL 30 SECOND)""",
+    ", 'backlog_update' AS type")

@@ -620,3 +620,86 @@ def order_storage_rows(spark, sf_dir):
                      li_json.alias("line_items"), F.size(back).alias("line_items_parsed"),
                      F.aggregate(back, F.lit(0.0), lambda acc, x: acc + x["quantity"])
                      .alias("parsed_quantity"))
+
+
+# ---------------------------------------------------------------------------
+# streaming runs (file streams driven to completion with availableNow)
+# ---------------------------------------------------------------------------
+import os  # noqa: E402
+import uuid  # noqa: E402
+
+from orderflow.session import scratch_path  # noqa: E402
+from orderflow.streaming import jobs as JOBS  # noqa: E402
+from orderflow.streaming import sinks as SK  # noqa: E402
+from orderflow.streaming.sources import text_stream  # noqa: E402
+
+
+def _run_dir(spark, name: str) -> str:
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:10]}")
+
+
+def _write_raw(spark, sf_dir, root) -> str:
+    path = os.path.join(root, "raw")
+    A.raw_envelope_lines(spark, sf_dir, duplicates=True).select("value").write.text(path)
+    return path
+
+
+def _run_fold(spark, sf_dir, root) -> str:
+    raw = _write_raw(spark, sf_dir, root)
+    out = os.path.join(root, "enriched")
+    q, q_dlq = JOBS.start_order_state_job(spark, raw, out, os.path.join(root, "dlq"),
+                                          os.path.join(root, "ckpt"))
+    q.awaitTermination()
+    q_dlq.awaitTermination()
+    return out
+
+
+@register("stream_dedup")
+def stream_dedup(spark, sf_dir):
+    root = _run_dir(spark, "stream-dedup")
+    raw = _write_raw(spark, sf_dir, root)
+    out = os.path.join(root, "out")
+    d = JOBS.dedup_stream(CDC.valid(CDC.parse_envelope(text_stream(spark, raw))))
+    q = (d.writeStream.format("parquet").option("checkpointLocation",
+                                                os.path.join(root, "ckpt"))
+         .trigger(availableNow=True).start(out))
+    q.awaitTermination()
+    return _parsed_view(spark.read.parquet(out))
+
+
+@register("stream_order_state")
+def stream_order_state(spark, sf_dir):
+    out = _run_fold(spark, sf_dir, _run_dir(spark, "stream-fold"))
+    cl = spark.read.schema(JOBS.enriched_schema()).parquet(out)
+    return cl.select("order_id", "lsn", "op", "business_unit", "product_family",
+                     "order_status", "priority_tier", "total_value",
+                     "expected_ship_date", "created_at", "updated_at")
+
+
+def _run_backlog(spark, sf_dir, root) -> str:
+    enriched = _run_fold(spark, sf_dir, root)
+    metrics = os.path.join(root, "metrics")
+    q = JOBS.start_backlog_job(spark, enriched, metrics, os.path.join(root, "ckpt-backlog"),
+                               A.as_of_col(A.EVENTS_AS_OF))
+    q.awaitTermination()
+    return metrics
+
+
+@register("stream_backlog_windows")
+def stream_backlog_windows(spark, sf_dir):
+    metrics = _run_backlog(spark, sf_dir, _run_dir(spark, "stream-backlog"))
+    return SK.read_latest(spark, metrics, JOBS.WINDOW_KEY)
+
+
+@register("stream_dashboard_push")
+def stream_dashboard_push(spark, sf_dir):
+    root = _run_dir(spark, "stream-dashboard")
+    metrics = _run_backlog(spark, sf_dir, root)
+    schema = spark.read.parquet(metrics).schema
+    summary = os.path.join(root, "summary")
+    q = JOBS.start_dashboard_job(spark, metrics, summary, os.path.join(root, "ckpt-dash"),
+                                 schema)
+    q.awaitTermination()
+    s = spark.read.parquet(summary)
+    last = s.agg(F.max("batch_id").alias("batch_id"))
+    return s.join(last, "batch_id").drop("batch_id", "_batch")

@@ -22,6 +22,7 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.executorEnv.PYTHONWARNINGS": "ignore::FutureWarning",
     # Broadcast only what the planner has measured below this bound; anything
     # larger falls back to a shuffle join. Fixed-domain lookups are hinted.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),

@@ -198,11 +198,12 @@ def _envelope_json(r: DataFrame, op: Column, with_ts: bool = True) -> Column:
     return F.to_json(F.struct(*fields))
 
 
-def raw_envelope_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_envelope_lines(spark: SparkSession, sf_dir: str,
+                       duplicates: bool = False) -> DataFrame:
     """Envelope JSON per change event; rows with ``k = 13`` are corrupted for
     the dead-letter path (truncated text, bad op, or missing ``ts_ms`` by
     ``event_id % 3``)."""
-    ch = change_stream(spark, sf_dir)
+    ch = duplicated_change_stream(spark, sf_dir) if duplicates else change_stream(spark, sf_dir)
     k = event_rows(spark, sf_dir).select("lsn", "k")
     r = ch.join(k, "lsn")
     good = _envelope_json(r, F.col("op"))
