@@ -23,7 +23,7 @@ def line_rollup(lines: DataFrame) -> DataFrame:
     return lines.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("line_count"),
         F.sum(qty).alias("total_demand"),
-        F.min_by(F.col("first_family"), F.col("first_seq")).alias("first_family"),
+        F.min_by(F.col("first_partkey"), F.col("first_seq")).alias("first_partkey"),
         F.count_if(F.col("l_linestatus") == "F").alias("allocation_count"),
         F.max("l_shipdate").alias("last_ship_date"),
         F.sum(X.money(F.col("quantity") * F.col("unit_price"))).alias("lines_value"))
@@ -34,6 +34,10 @@ def star_order_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollups, shipment date for shipped orders and the ATP flag (JN-3)."""
     h = A.star_orders(spark, sf_dir)
     roll = line_rollup(A.star_lines(spark, sf_dir))
+    # family of the order's first line: one part lookup per order, not per line
+    fam = A.read_table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("first_partkey"), F.col("p_type").alias("first_family"))
+    roll = roll.join(fam, "first_partkey", "left")
     j = h.join(roll, h.o_orderkey == roll.l_orderkey, "left")
     return j.select(
         "order_id", "o_orderkey", "customer_id", "customer_name", "channel",
