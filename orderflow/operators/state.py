@@ -57,7 +57,13 @@ def prepare(changes: DataFrame) -> DataFrame:
     """Add ``seq``, ``is_header`` and, per header field, ``has_<f>``/``v_<f>``."""
     df = row_image(changes) if IMAGE not in changes.columns else changes
     is_header = (F.col("source_table") == "orders") & (F.col("op") != "d")
-    cols = [F.struct(F.col("ts"), F.col("lsn")).alias("seq"), is_header.alias("is_header")]
+    # an explicit `seq` (a struct) overrides the default (ts, lsn) event order
+    if "seq" in df.columns:
+        df = df.withColumnRenamed("seq", "_seq_in")
+        seq = F.col("_seq_in")
+    else:
+        seq = F.struct(F.col("ts"), F.col("lsn"))
+    cols = [seq.alias("seq"), is_header.alias("is_header")]
     for name, (value, _default, extra) in _field_specs().items():
         has = is_header & F.map_contains_key(F.col(IMAGE), name)
         if extra is not None:
@@ -108,7 +114,7 @@ def order_changelog(changes: DataFrame) -> DataFrame:
     """
     ev = prepare(changes)
     specs = _field_specs()
-    w = (Window.partitionBy("order_id").orderBy(F.col("ts"), F.col("lsn"))
+    w = (Window.partitionBy("order_id").orderBy(F.col("seq"))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cols = [F.col("order_id"), F.col("source_table"), F.col("op"), F.col("ts"), F.col("lsn")]
     for name in HEADER_OUT:
@@ -130,3 +136,86 @@ def atp_by_status(status: Column, total_demand: Column) -> Column:
     """JN-3 as coded: zero demand is feasible, else status in the ATP set."""
     return F.when(F.coalesce(total_demand, F.lit(0)) == 0, F.lit(True)) \
         .otherwise(status.isin(*S.ATP_STATUSES))
+
+
+# ---------------------------------------------------------------------------
+# children: line items, allocations, shipment (ST-2, ST-3, ST-4, ST-7)
+# ---------------------------------------------------------------------------
+
+def _child_latest(ev: DataFrame, table: str, id_key: str, fields: dict) -> DataFrame:
+    """Latest version per (order, child id) — a whole-record replace with
+    defaults for missing keys, as the source does — plus first-seen order."""
+    img = F.col(IMAGE)
+    vals = [F.coalesce(img[k], F.lit(d)).alias(k) if d is not None else img[k].alias(k)
+            for k, d in fields.items()]
+    c = ev.where((F.col("source_table") == table) & (F.col("op") != "d"))
+    return (c.groupBy("order_id", img[id_key].alias(id_key))
+            .agg(F.max_by(F.struct(*vals), F.col("seq")).alias("v"),
+                 F.min("seq").alias("first_seq"))
+            .select("order_id", id_key, "v.*", "first_seq"))
+
+
+LINE_FIELDS = {"sku": "", "product_family": "", "description": None, "quantity": "0",
+               "unit_price": "0", "line_status": S.DEFAULT_LINE_STATUS}
+ALLOC_FIELDS = {"sku": "", "warehouse_id": "", "allocated_qty": "0",
+                "status": S.DEFAULT_ALLOCATION_STATUS}
+
+
+def fold_children(changes: DataFrame) -> DataFrame:
+    """Per-order child rollups: line count and demand, allocations, latest
+    shipment, and the product-family candidate from the first line (the
+    first version of the first-seen line with a non-empty family)."""
+    ev = prepare(changes)
+    lines = _child_latest(ev, "order_line_items", "line_id", LINE_FIELDS)
+    qty = F.col("quantity").try_cast(S.QTY)
+    lr = lines.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("line_count"),
+        F.sum(F.coalesce(qty, F.lit(0).cast(S.QTY))).alias("total_demand"),
+        F.min_by("line_id", "first_seq").alias("first_line_id"))
+    img = F.col(IMAGE)
+    lv = (ev.where((F.col("source_table") == "order_line_items") & (F.col("op") != "d")
+                   & (F.coalesce(img["product_family"], F.lit("")) != ""))
+          .groupBy("order_id", img["line_id"].alias("first_line_id"))
+          .agg(F.min_by(img["product_family"], F.col("seq")).alias("line_family"),
+               F.min("seq").alias("line_family_seq")))
+    lr = lr.join(lv, ["order_id", "first_line_id"], "left").drop("first_line_id")
+    al = _child_latest(ev, "allocation_records", "allocation_id", ALLOC_FIELDS)
+    ar = al.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("allocation_count"),
+        F.sum(F.coalesce(F.col("allocated_qty").try_cast(S.QTY), F.lit(0).cast(S.QTY)))
+        .alias("allocated_qty"))
+    sh = ev.where((F.col("source_table") == "shipments") & (F.col("op") != "d"))
+    sr = sh.groupBy("order_id").agg(F.max_by(F.struct(
+        F.coalesce(img["shipment_id"], F.lit("")).alias("shipment_id"),
+        img["carrier"].alias("carrier"), img["tracking_number"].alias("tracking_number"),
+        F.coalesce(img["status"], F.lit(S.DEFAULT_SHIPMENT_STATUS)).alias("status"),
+        X.flexible_ts(img["ship_date"]).alias("ship_date"),
+        X.flexible_ts(img["delivery_date"]).alias("delivery_date")), F.col("seq"))
+        .alias("shipment"))
+    return lr.join(ar, "order_id", "full_outer").join(sr, "order_id", "full_outer")
+
+
+def order_state(changes: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Full fold: header (``fold_orders``) + children (``fold_children``);
+    family = header candidate or first-line candidate, whichever came first;
+    ATP as coded (JN-3) on the folded demand."""
+    if as_of is not None:
+        changes = changes.where(F.col("ts") <= as_of)
+    ev = prepare(changes)
+    fam_h = (ev.where(F.col("has_family")).groupBy("order_id")
+             .agg(F.min_by("v_family", "seq").alias("h_family"),
+                  F.min("seq").alias("h_family_seq")))
+    h = fold_orders(changes).drop("product_family")
+    c = fold_children(changes)
+    j = h.join(c, "order_id", "left").join(fam_h, "order_id", "left")
+    use_line = F.col("line_family").isNotNull() & (
+        F.col("h_family").isNull() | (F.col("line_family_seq") < F.col("h_family_seq")))
+    fam = F.when(use_line, F.col("line_family")).otherwise(F.coalesce("h_family", F.lit("")))
+    demand = F.coalesce(F.col("total_demand"), F.lit(0).cast(S.QTY))
+    return j.select(
+        *[c for c in h.columns], fam.alias("product_family"),
+        F.coalesce(F.col("line_count"), F.lit(0)).cast("bigint").alias("line_count"),
+        demand.alias("total_demand"),
+        F.coalesce(F.col("allocation_count"), F.lit(0)).cast("bigint").alias("allocation_count"),
+        F.col("shipment"),
+        atp_by_status(F.col("order_status"), demand).alias("atp_feasible"))

@@ -695,3 +695,18 @@ ORACLE["stream_dashboard_push"] = summary_sql(
     STREAM_RECORDS + ",\n" + window_select(60, 5, "sliding_1h", "ms") + """,
 m AS (SELECT * FROM ms WHERE window_end <= (SELECT max(ts) FROM rec) - INTERVAL 30 SECOND)""",
     ", 'backlog_update' AS type")
+
+ORACLE["star_cdc_fold"] = f"""WITH {STAR},
+alloc AS (SELECT l_orderkey, count(DISTINCT l_linenumber) AS allocation_count
+          FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_orderkey),
+ship AS (SELECT l.l_orderkey, max(l.l_shipdate) AS ship_date
+         FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+         WHERE o.o_orderstatus = 'F' GROUP BY l.l_orderkey)
+SELECT st.order_id, business_unit, order_status, priority_tier,
+       CAST(total_value AS DOUBLE) AS total_value, product_family, line_count,
+       CAST(total_demand AS DOUBLE) AS total_demand,
+       coalesce(a.allocation_count, 0) AS allocation_count, s.ship_date,
+       CASE WHEN s.ship_date IS NOT NULL THEN 'SHIPPED' END AS shipment_status,
+       atp_feasible, created_at, updated_at
+FROM st LEFT JOIN alloc a ON st.o_orderkey = a.l_orderkey
+        LEFT JOIN ship s ON st.o_orderkey = s.l_orderkey"""

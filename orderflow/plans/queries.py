@@ -703,3 +703,87 @@ def stream_dashboard_push(spark, sf_dir):
     s = spark.read.parquet(summary)
     last = s.agg(F.max("batch_id").alias("batch_id"))
     return s.join(last, "batch_id").drop("batch_id", "_batch")
+
+
+# ---------------------------------------------------------------------------
+# full fold (header + children) over the star schema as a change stream
+# ---------------------------------------------------------------------------
+
+def _kv(**cols):
+    out = []
+    for k, c in cols.items():
+        out += [F.lit(k), c.cast("string")]
+    return F.create_map(*out)
+
+
+def _seq(ts, *tie):
+    names = ["partkey", "suppkey", "quantity", "extendedprice", "discount", "tax",
+             "returnflag", "linestatus", "linenumber"]
+    types = ["bigint", "bigint", "double", "double", "double", "double", "string", "string",
+             "int"]
+    vals = list(tie) + [None] * (len(names) - len(tie))
+    return F.struct(ts.cast("timestamp_ntz").alias("ts"),
+                    *[(F.lit(None) if v is None else v).cast(t).alias(n)
+                      for v, n, t in zip(vals, names, types)])
+
+
+def star_domain_changes(spark, sf_dir) -> DataFrame:
+    """Adapter A as a multi-table CDC stream in the order domain: header
+    snapshot rows, then line, allocation and shipment upserts taken from
+    lineitem, each with its position in the total order (``seq``)."""
+    hdr = A.star_orders(spark, sf_dir)
+    h = hdr.select(
+        "order_id", F.lit("orders").alias("source_table"), F.lit("r").alias("op"),
+        F.col("created_at").alias("ts"), F.lit(None).cast("bigint").alias("lsn"),
+        F.lit(None).cast("map<string,string>").alias("before"),
+        _kv(order_id=F.col("order_id"), customer_id=F.col("customer_id"),
+            customer_name=F.col("customer_name"), channel=F.col("channel"),
+            business_unit=F.col("business_unit"), order_status=F.col("order_status"),
+            priority_tier=F.col("priority_tier"), total_value=F.col("total_value"),
+            currency=F.col("currency"), expected_ship_date=F.col("expected_ship_date"))
+        .alias("after"),
+        _seq(F.col("created_at")).alias("seq"))
+    li = A.read_table(spark, sf_dir, "lineitem")
+    p = A.read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    o = A.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    lx = li.join(p, li.l_partkey == p.p_partkey, "left").join(o, li.l_orderkey == o.o_orderkey)
+    seq = _seq(F.col("l_shipdate"), F.col("l_partkey"), F.col("l_suppkey"),
+               F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount"),
+               F.col("l_tax"), F.col("l_returnflag"), F.col("l_linestatus"),
+               F.col("l_linenumber"))
+    line_id = F.concat_ws("-", F.col("l_orderkey").cast("string"),
+                          F.col("l_linenumber").cast("string"))
+    base = [F.col("l_orderkey").cast("string").alias("order_id")]
+
+    def child(table, image, where=None):
+        d = lx if where is None else lx.where(where)
+        return d.select(*base, F.lit(table).alias("source_table"), F.lit("u").alias("op"),
+                        F.col("l_shipdate").alias("ts"), F.lit(None).cast("bigint").alias("lsn"),
+                        F.lit(None).cast("map<string,string>").alias("before"),
+                        image.alias("after"), seq.alias("seq"))
+
+    lines = child("order_line_items", _kv(
+        line_id=line_id, sku=F.col("l_partkey"), product_family=F.col("p_type"),
+        description=F.col("p_name"), quantity=F.col("l_quantity"),
+        unit_price=F.col("l_extendedprice") / F.col("l_quantity")))
+    allocs = child("allocation_records", _kv(
+        allocation_id=line_id, sku=F.col("l_partkey"),
+        warehouse_id=A.warehouse_of(F.col("l_suppkey")), allocated_qty=F.col("l_quantity")),
+        F.col("l_linestatus") == "F")
+    ships = child("shipments", _kv(
+        shipment_id=F.concat(F.lit("SHP-"), F.col("l_orderkey").cast("string")),
+        carrier=X.pick(S.CARRIERS, F.col("l_orderkey") % 4), status=F.lit("SHIPPED"),
+        ship_date=F.col("l_shipdate")), F.col("o_orderstatus") == "F")
+    return CDC.union_changes(h, lines, allocs, ships)
+
+
+@register("star_cdc_fold")
+def star_cdc_fold(spark, sf_dir):
+    st = ST.order_state(star_domain_changes(spark, sf_dir))
+    return st.select(
+        "order_id", "business_unit", "order_status", "priority_tier",
+        X.money_out(F.col("total_value")).alias("total_value"), "product_family",
+        "line_count", F.col("total_demand").cast("double").alias("total_demand"),
+        "allocation_count", F.col("shipment.ship_date").alias("ship_date"),
+        F.col("shipment.status").alias("shipment_status"), "atp_feasible",
+        "created_at", "updated_at")
