@@ -710,3 +710,23 @@ SELECT st.order_id, business_unit, order_status, priority_tier,
        atp_feasible, created_at, updated_at
 FROM st LEFT JOIN alloc a ON st.o_orderkey = a.l_orderkey
         LEFT JOIN ship s ON st.o_orderkey = s.l_orderkey"""
+
+ORACLE["pipeline_event_log"] = f"""WITH {CHG}
+SELECT order_id, ts AS event_ts, source_table || '.' || op AS event_type, lsn AS source_lsn,
+  to_json(CASE WHEN has_bu THEN MAP {{
+      'order_id': order_id, 'order_status': order_status, 'business_unit': business_unit,
+      'product_family': product_family, 'priority_tier': CAST(priority_tier AS VARCHAR),
+      'total_value': CAST(total_value AS VARCHAR),
+      'expected_ship_date': CAST(expected_ship_date AS VARCHAR)}}
+    ELSE MAP {{
+      'order_id': order_id, 'order_status': order_status,
+      'product_family': product_family, 'priority_tier': CAST(priority_tier AS VARCHAR),
+      'total_value': CAST(total_value AS VARCHAR),
+      'expected_ship_date': CAST(expected_ship_date AS VARCHAR)}} END) AS payload
+FROM chg WHERE ts >= {EV_AS_OF} - INTERVAL 7 DAY"""
+
+ORACLE["serving_orders_by_status"] = f"""WITH fo AS ({fold_sql("2024-01-31 00:00:00")})
+SELECT order_id, order_status, updated_at, customer_name, product_family, priority_tier,
+       total_value
+FROM fo WHERE business_unit = 'EMEA' AND order_status = 'SHIPPED'
+ORDER BY updated_at DESC, order_id LIMIT 100"""

@@ -629,6 +629,7 @@ import os  # noqa: E402
 import uuid  # noqa: E402
 
 from orderflow.session import scratch_path  # noqa: E402
+from orderflow.sources.tables import read_serving_table  # noqa: E402
 from orderflow.streaming import jobs as JOBS  # noqa: E402
 from orderflow.streaming import sinks as SK  # noqa: E402
 from orderflow.streaming.sources import text_stream  # noqa: E402
@@ -787,3 +788,40 @@ def star_cdc_fold(spark, sf_dir):
         "allocation_count", F.col("shipment.ship_date").alias("ship_date"),
         F.col("shipment.status").alias("shipment_status"), "atp_feasible",
         "created_at", "updated_at")
+
+
+# ---------------------------------------------------------------------------
+# audit log, serving tables with partition pruning, point-in-time export
+# ---------------------------------------------------------------------------
+
+@register("pipeline_event_log")
+def pipeline_event_log(spark, sf_dir):
+    """SNK-8: normalised CDC rows as audit records (payload = row image JSON),
+    restricted to the 7-day retention window before ``as_of`` (FLT-9)."""
+    ch = ST.row_image(A.change_stream(spark, sf_dir))
+    log = ch.select("order_id", F.col("ts").alias("event_ts"),
+                    F.concat_ws(".", "source_table", "op").alias("event_type"),
+                    F.col("lsn").alias("source_lsn"), F.to_json("row").alias("payload"))
+    return GOV.retention(log, "event_ts", A.as_of_col(A.EVENTS_AS_OF),
+                         S.RETENTION_DAYS["pipeline_event_log"])
+
+
+@register("serving_orders_by_status")
+def serving_orders_by_status(spark, sf_dir):
+    """SNK-11 + SNK-3 + SRC-5: export the point-in-time order state as a
+    serving table partitioned like its key ((bu, status) directories), then
+    answer the listing query from it — the equality filters prune
+    directories before any file is opened."""
+    root = _run_dir(spark, "serving")
+    st = ST.fold_orders(_clean_changes(spark, sf_dir), as_of=A.as_of_col(A.EVENTS_AS_OF))
+    listing = st.where((F.col("business_unit") != "") & (F.col("order_status") != ""))
+    path = os.path.join(root, "orders_by_bu_status")
+    (listing.select("business_unit", "order_status", "updated_at", "order_id",
+                    "customer_name", "product_family", "priority_tier",
+                    X.money_out(F.col("total_value")).alias("total_value"))
+     .repartition("business_unit", "order_status")
+     .write.partitionBy("business_unit", "order_status").parquet(path))
+    df = read_serving_table(spark, path, business_unit="EMEA", order_status="SHIPPED")
+    return (df.select("order_id", "order_status", "updated_at", "customer_name",
+                      "product_family", "priority_tier", "total_value")
+            .orderBy(F.desc("updated_at"), F.asc("order_id")).limit(100))
