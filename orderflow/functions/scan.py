@@ -1,10 +1,10 @@
 """Skew-safe running (prefix) scans.
 
-A running value over an ordered key — "latest value so far", "maximum so
-far" — is normally a window partitioned by the key, which puts a hot key (or
-a global order with no key at all) into one task. ``segmented_scan`` splits
-each key into ordered *segments* (e.g. time buckets) and computes the prefix
-in two levels:
+A running value over an ordered key — "latest value so far", "first value",
+"maximum so far", "count so far" — is normally a window partitioned by the
+key, which puts a hot key (or a global order with no key at all) into one
+task. ``segmented_scan_multi`` splits each key into ordered *segments* (e.g.
+hours of event time) and computes the prefix in two levels:
 
 1. inside each (key, segment): the local running value (a window whose
    partitions are segments, so many tasks share a hot key);
@@ -23,33 +23,60 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def segmented_scan(df: DataFrame, keys: list[str], segment: Column, order: list[str],
-                   value: Column, how: str, out: str, inclusive: bool = True) -> DataFrame:
-    """Add column ``out``: running ``how`` ('last' non-null or 'max') of
-    ``value`` per ``keys`` in ``order``. ``segment`` must be non-decreasing
-    in ``order`` within a key. ``inclusive=False`` excludes the current row."""
-    d = df.withColumn("_seg", segment).withColumn("_val", value)
+def _local(how: str, c: str, w):
+    return {"last": lambda: F.last(c, ignorenulls=True).over(w),
+            "first": lambda: F.first(c, ignorenulls=True).over(w),
+            "max": lambda: F.max(c).over(w),
+            "sum": lambda: F.sum(c).over(w)}[how]()
+
+
+def _seg_final(how: str, c: str, order: list[str]):
+    nn = F.when(F.col(c).isNotNull(), F.struct(*order))
+    return {"last": lambda: F.max_by(F.col(c), nn),
+            "first": lambda: F.min_by(F.col(c), nn),
+            "max": lambda: F.max(c),
+            "sum": lambda: F.sum(c)}[how]()
+
+
+def _combine(how: str, local: Column, carry: Column) -> Column:
+    return {"last": lambda: F.coalesce(local, carry),
+            "first": lambda: F.coalesce(carry, local),
+            "max": lambda: F.greatest(local, carry),
+            "sum": lambda: F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))}[how]()
+
+
+def segmented_scan_multi(df: DataFrame, keys: list[str], segment: Column, order: list[str],
+                         specs: list[tuple[str, Column, str]],
+                         inclusive: bool = True) -> DataFrame:
+    """Add one output column per ``(out, value, how)`` in ``specs``:
+    the running ``how`` ('last'/'first' non-null, 'max', 'sum') of ``value``
+    per ``keys`` in ``order``. ``segment`` must be non-decreasing in
+    ``order`` within a key; ``inclusive=False`` excludes the current row."""
+    d = df.withColumn("_seg", segment)
+    for i, (_o, val, _h) in enumerate(specs):
+        d = d.withColumn(f"_v{i}", val)
     hi = Window.currentRow if inclusive else -1
     w_local = (Window.partitionBy(*keys, "_seg").orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, hi))
-    if how == "last":
-        local = F.last("_val", ignorenulls=True).over(w_local)
-        seg_final = F.max_by(F.col("_val"),
-                             F.when(F.col("_val").isNotNull(), F.struct(*order)))
-        combine = lambda lo, carry: F.coalesce(lo, carry)
-        carry_fn = lambda c, w: F.last(c, ignorenulls=True).over(w)
-    elif how == "max":
-        local = F.max("_val").over(w_local)
-        seg_final = F.max("_val")
-        combine = lambda lo, carry: F.greatest(lo, carry)
-        carry_fn = lambda c, w: F.max(c).over(w)
-    else:
-        raise ValueError(how)
-    segs = d.groupBy(*keys, "_seg").agg(seg_final.alias("_seg_final"))
+    for i, (_o, _v, how) in enumerate(specs):
+        d = d.withColumn(f"_l{i}", _local(how, f"_v{i}", w_local))
+    segs = d.groupBy(*keys, "_seg").agg(
+        *[_seg_final(how, f"_v{i}", order).alias(f"_f{i}") for i, (_o, _v, how) in
+          enumerate(specs)])
     w_seg = (Window.partitionBy(*keys).orderBy("_seg")
              .rowsBetween(Window.unboundedPreceding, -1))
-    carry = segs.select(*keys, "_seg", carry_fn(F.col("_seg_final"), w_seg).alias("_carry"))
-    res = (d.withColumn("_local", local)
-           .join(carry, [*keys, "_seg"], "left")
-           .withColumn(out, combine(F.col("_local"), F.col("_carry"))))
-    return res.drop("_seg", "_val", "_local", "_carry")
+    carry_fn = {"last": lambda c: F.last(c, ignorenulls=True), "first":
+                lambda c: F.first(c, ignorenulls=True), "max": F.max, "sum": F.sum}
+    carry = segs.select(*keys, "_seg", *[carry_fn[how](f"_f{i}").over(w_seg).alias(f"_c{i}")
+                                         for i, (_o, _v, how) in enumerate(specs)])
+    res = d.join(carry, [*keys, "_seg"], "left")
+    for i, (out, _v, how) in enumerate(specs):
+        res = res.withColumn(out, _combine(how, F.col(f"_l{i}"), F.col(f"_c{i}")))
+    drop = ["_seg"] + [f"_{p}{i}" for i in range(len(specs)) for p in "vlc"]
+    return res.drop(*drop)
+
+
+def segmented_scan(df: DataFrame, keys: list[str], segment: Column, order: list[str],
+                   value: Column, how: str, out: str, inclusive: bool = True) -> DataFrame:
+    """Single-column form of ``segmented_scan_multi``."""
+    return segmented_scan_multi(df, keys, segment, order, [(out, value, how)], inclusive)

@@ -11,23 +11,30 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orderflow import schemas as S
+from orderflow.functions.scan import segmented_scan
 from orderflow.operators import state as ST
 
 
-def status_history(changes: DataFrame) -> DataFrame:
+def status_history(changes: DataFrame, segment: str = "hour") -> DataFrame:
     """ST-5/WIN-2: an entry whenever a header event's status differs from the
     current one; the initial status is CREATED, so a first CREATED adds
-    nothing. Events without the key neither add nor reset anything."""
+    nothing. Events without the key neither add nor reset anything.
+
+    The previous status and the entry number are running values per order,
+    computed as segmented scans (hour buckets), so a hot order is spread
+    over many tasks."""
     ev = ST.prepare(changes).where(F.col("has_order_status"))
-    w = Window.partitionBy("order_id").orderBy("ts", "lsn")
-    prev = F.lag("v_order_status", 1, S.DEFAULT_STATUS).over(w)
-    ch = (ev.select("order_id", "ts", "lsn", F.col("v_order_status").alias("status"),
-                    prev.alias("prev_status"))
+    seg = F.date_trunc(segment, F.col("ts"))
+    p = segmented_scan(ev, ["order_id"], seg, ["seq"], F.col("v_order_status"), "last",
+                       "_prev", inclusive=False)
+    ch = (p.select("order_id", "ts", "lsn", "seq", F.col("v_order_status").alias("status"),
+                   F.coalesce(F.col("_prev"), F.lit(S.DEFAULT_STATUS)).alias("prev_status"))
           .where(~F.col("status").eqNullSafe(F.col("prev_status"))))
-    w2 = Window.partitionBy("order_id").orderBy("ts", "lsn")
-    return ch.select("order_id", F.row_number().over(w2).cast("bigint").alias("seq_no"), "status",
-                     F.col("ts").alias("timestamp"), F.lit(S.HISTORY_SOURCE).alias("source"),
-                     "prev_status", "lsn")
+    n = segmented_scan(ch, ["order_id"], seg, ["seq"], F.lit(1).cast("bigint"), "sum",
+                       "seq_no")
+    return n.select("order_id", F.col("seq_no").cast("bigint").alias("seq_no"), "status",
+                    F.col("ts").alias("timestamp"), F.lit(S.HISTORY_SOURCE).alias("source"),
+                    "prev_status", "lsn")
 
 
 def status_timeline(history: DataFrame) -> DataFrame:

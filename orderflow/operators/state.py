@@ -12,7 +12,8 @@ current value (Q20); null ``total_value`` becomes 0.
 * ``fold_orders``      final state per order — one hash aggregate with
   partial (map-side) aggregation, so a hot order does not pin one task.
 * ``order_changelog``  state after every accepted event (what the stream
-  emits) — running ``last(.. ignorenulls)`` over the per-order event order.
+  emits) — running ``last(.. ignorenulls)`` over the per-order event order,
+  as a segmented two-level scan (skew-safe).
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from orderflow import schemas as S
 from orderflow.functions import expressions as X
+from orderflow.functions.scan import segmented_scan_multi
 
 IMAGE = "row"
 
@@ -105,31 +107,32 @@ def fold_orders(changes: DataFrame, as_of: Column | None = None) -> DataFrame:
     return g.select(*out)
 
 
-def order_changelog(changes: DataFrame) -> DataFrame:
+def order_changelog(changes: DataFrame, segment: str = "hour") -> DataFrame:
     """State after each accepted event (ST-12): one output row per input row.
 
     Every field is ``last(value if key present) ignoring nulls`` over the
     order's events up to and including the current one; struct-wrapping keeps
-    a present null distinct from an absent key.
+    a present null distinct from an absent key. The running values are a
+    two-level segmented scan (``functions.scan``) over ``segment`` buckets of
+    event time, so an order with a huge share of all events is processed by
+    many tasks, never collected into one.
     """
     ev = prepare(changes)
     specs = _field_specs()
-    w = (Window.partitionBy("order_id").orderBy(F.col("seq"))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    scan = [(f"_r_{n}", F.when(F.col(f"has_{n}"), F.struct(F.col(f"v_{n}").alias("v"))),
+             "last") for n in HEADER_OUT]
+    scan += [("_fam", F.when(F.col("has_family"), F.col("v_family")), "first"),
+             ("_created", F.when(F.col("is_header"), F.col("ts")), "first"),
+             ("_updated", F.when(F.col("is_header"), F.col("ts")), "last")]
+    seg = F.date_trunc(segment, F.col("seq").getField("ts"))
+    r = segmented_scan_multi(ev, ["order_id"], seg, ["seq"], scan)
     cols = [F.col("order_id"), F.col("source_table"), F.col("op"), F.col("ts"), F.col("lsn")]
     for name in HEADER_OUT:
-        run = F.last(F.when(F.col(f"has_{name}"), F.struct(F.col(f"v_{name}").alias("v"))),
-                     ignorenulls=True).over(w)
+        run = F.col(f"_r_{name}")
         cols.append(F.when(run.isNull(), specs[name][1]).otherwise(run["v"]).alias(name))
-    fam = F.first(F.when(F.col("has_family"), F.col("v_family")), ignorenulls=True).over(w)
-    cols += [
-        F.coalesce(fam, F.lit("")).alias("product_family"),
-        F.first(F.when(F.col("is_header"), F.col("ts")), ignorenulls=True).over(w)
-        .alias("created_at"),
-        F.last(F.when(F.col("is_header"), F.col("ts")), ignorenulls=True).over(w)
-        .alias("updated_at"),
-    ]
-    return ev.select(*cols)
+    cols += [F.coalesce(F.col("_fam"), F.lit("")).alias("product_family"),
+             F.col("_created").alias("created_at"), F.col("_updated").alias("updated_at")]
+    return r.select(*cols)
 
 
 def atp_by_status(status: Column, total_demand: Column) -> Column:

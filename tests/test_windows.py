@@ -58,7 +58,9 @@ def test_segmented_scan_equals_window(spark, rows):
                                "k int, ts timestamp_ntz, i int, v int")
     seg = F.date_trunc("day", F.col("ts"))
     for how, fn in (("last", lambda c, w: F.last(c, ignorenulls=True).over(w)),
-                    ("max", lambda c, w: F.max(c).over(w))):
+                    ("first", lambda c, w: F.first(c, ignorenulls=True).over(w)),
+                    ("max", lambda c, w: F.max(c).over(w)),
+                    ("sum", lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0)))):
         for inclusive in (True, False):
             w = Window.partitionBy("k").orderBy("ts", "i").rowsBetween(
                 Window.unboundedPreceding, 0 if inclusive else -1)
