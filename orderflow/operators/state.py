@@ -77,7 +77,8 @@ def prepare(changes: DataFrame) -> DataFrame:
     return df.select("*", *cols)
 
 
-def fold_orders(changes: DataFrame, as_of: Column | None = None) -> DataFrame:
+def fold_orders(changes: DataFrame, as_of: Column | None = None,
+                keep_family_seq: bool = False) -> DataFrame:
     """Final header state per order (ST-1, ST-6, ST-7, ST-11).
 
     ``as_of`` folds only events with ``ts <= as_of`` (point-in-time, SNK-11).
@@ -93,6 +94,7 @@ def fold_orders(changes: DataFrame, as_of: Column | None = None) -> DataFrame:
     aggs += [
         F.min_by(F.col("v_family"), F.when(F.col("has_family"), F.col("seq")))
         .alias("header_family"),
+        F.min(F.when(F.col("has_family"), F.col("seq"))).alias("_family_seq"),
         F.min(F.when(F.col("is_header"), F.col("ts"))).alias("created_at"),
         F.max(F.when(F.col("is_header"), F.col("ts"))).alias("updated_at"),
         F.count(F.lit(1)).alias("event_count"),
@@ -104,6 +106,8 @@ def fold_orders(changes: DataFrame, as_of: Column | None = None) -> DataFrame:
         out.append(F.when(s.isNull(), specs[name][1]).otherwise(s["v"]).alias(name))
     out += [F.coalesce(F.col("header_family"), F.lit("")).alias("product_family"),
             "created_at", "updated_at", "event_count"]
+    if keep_family_seq:
+        out += [F.col("header_family").alias("_h_family"), "_family_seq"]
     return g.select(*out)
 
 
@@ -145,78 +149,84 @@ def atp_by_status(status: Column, total_demand: Column) -> Column:
 # children: line items, allocations, shipment (ST-2, ST-3, ST-4, ST-7)
 # ---------------------------------------------------------------------------
 
-def _child_latest(ev: DataFrame, table: str, id_key: str, fields: dict) -> DataFrame:
-    """Latest version per (order, child id) — a whole-record replace with
-    defaults for missing keys, as the source does — plus first-seen order."""
-    img = F.col(IMAGE)
-    vals = [F.coalesce(img[k], F.lit(d)).alias(k) if d is not None else img[k].alias(k)
-            for k, d in fields.items()]
-    c = ev.where((F.col("source_table") == table) & (F.col("op") != "d"))
-    return (c.groupBy("order_id", img[id_key].alias(id_key))
-            .agg(F.max_by(F.struct(*vals), F.col("seq")).alias("v"),
-                 F.min("seq").alias("first_seq"))
-            .select("order_id", id_key, "v.*", "first_seq"))
-
-
 LINE_FIELDS = {"sku": "", "product_family": "", "description": None, "quantity": "0",
                "unit_price": "0", "line_status": S.DEFAULT_LINE_STATUS}
 ALLOC_FIELDS = {"sku": "", "warehouse_id": "", "allocated_qty": "0",
                 "status": S.DEFAULT_ALLOCATION_STATUS}
+CHILD_TABLES = ["order_line_items", "allocation_records", "shipments"]
 
 
-def fold_children(changes: DataFrame) -> DataFrame:
-    """Per-order child rollups: line count and demand, allocations, latest
-    shipment, and the product-family candidate from the first line (the
-    first version of the first-seen line with a non-empty family)."""
-    ev = prepare(changes)
-    lines = _child_latest(ev, "order_line_items", "line_id", LINE_FIELDS)
-    qty = F.col("quantity").try_cast(S.QTY)
-    lr = lines.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("line_count"),
-        F.sum(F.coalesce(qty, F.lit(0).cast(S.QTY))).alias("total_demand"),
-        F.min_by("line_id", "first_seq").alias("first_line_id"))
+def _child_versions(ev: DataFrame) -> DataFrame:
+    """One aggregation for all three child tables: latest row image per
+    (order, table, child id) — a whole-record replace, as the source does —
+    with first-seen position and, for lines, the first non-empty family."""
     img = F.col(IMAGE)
-    lv = (ev.where((F.col("source_table") == "order_line_items") & (F.col("op") != "d")
-                   & (F.coalesce(img["product_family"], F.lit("")) != ""))
-          .groupBy("order_id", img["line_id"].alias("first_line_id"))
-          .agg(F.min_by(img["product_family"], F.col("seq")).alias("line_family"),
-               F.min("seq").alias("line_family_seq")))
-    lr = lr.join(lv, ["order_id", "first_line_id"], "left").drop("first_line_id")
-    al = _child_latest(ev, "allocation_records", "allocation_id", ALLOC_FIELDS)
-    ar = al.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("allocation_count"),
-        F.sum(F.coalesce(F.col("allocated_qty").try_cast(S.QTY), F.lit(0).cast(S.QTY)))
-        .alias("allocated_qty"))
-    sh = ev.where((F.col("source_table") == "shipments") & (F.col("op") != "d"))
-    sr = sh.groupBy("order_id").agg(F.max_by(F.struct(
+    table = F.col("source_table")
+    child_id = (F.when(table == "order_line_items", img["line_id"])
+                .when(table == "allocation_records", img["allocation_id"])
+                .otherwise(F.lit("")))
+    fam = img["product_family"]
+    has_fam = (table == "order_line_items") & fam.isNotNull() & (fam != "")
+    kids = ev.where(table.isin(*CHILD_TABLES) & (F.col("op") != "d"))
+    return kids.groupBy("order_id", "source_table", child_id.alias("child_id")).agg(
+        F.max_by(img, F.col("seq")).alias("img"),
+        F.max("seq").alias("last_seq"),
+        F.min("seq").alias("first_seq"),
+        F.min_by(fam, F.when(has_fam, F.col("seq"))).alias("fam"),
+        F.min(F.when(has_fam, F.col("seq"))).alias("fam_seq"))
+
+
+def fold_children(changes: DataFrame) -> DataFrame:
+    """Per-order child rollups (ST-2/3/4): line count and demand, allocation
+    count and quantity, the latest shipment, and the product-family candidate
+    of the first-seen line (its first version with a non-empty family).
+    Two aggregations over one scan; no per-order arrays are collected."""
+    ev = prepare(changes) if "seq" not in changes.columns or IMAGE not in changes.columns \
+        else changes
+    v = _child_versions(ev)
+    img = F.col("img")
+    table = F.col("source_table")
+    is_line, is_alloc, is_ship = (table == "order_line_items"), \
+        (table == "allocation_records"), (table == "shipments")
+    zero = F.lit(0).cast(S.QTY)
+    qty = F.coalesce(F.coalesce(img["quantity"], F.lit(LINE_FIELDS["quantity"])).try_cast(S.QTY),
+                     zero)
+    aqty = F.coalesce(F.coalesce(img["allocated_qty"], F.lit("0")).try_cast(S.QTY), zero)
+    shipment = F.struct(
         F.coalesce(img["shipment_id"], F.lit("")).alias("shipment_id"),
         img["carrier"].alias("carrier"), img["tracking_number"].alias("tracking_number"),
         F.coalesce(img["status"], F.lit(S.DEFAULT_SHIPMENT_STATUS)).alias("status"),
         X.flexible_ts(img["ship_date"]).alias("ship_date"),
-        X.flexible_ts(img["delivery_date"]).alias("delivery_date")), F.col("seq"))
-        .alias("shipment"))
-    return lr.join(ar, "order_id", "full_outer").join(sr, "order_id", "full_outer")
+        X.flexible_ts(img["delivery_date"]).alias("delivery_date"))
+    return v.groupBy("order_id").agg(
+        F.count_if(is_line).alias("line_count"),
+        F.sum(F.when(is_line, qty)).alias("total_demand"),
+        F.min_by(F.struct(F.col("fam").alias("line_family"),
+                          F.col("fam_seq").alias("line_family_seq")),
+                 F.when(is_line, F.col("first_seq"))).alias("first_line"),
+        F.count_if(is_alloc).alias("allocation_count"),
+        F.sum(F.when(is_alloc, aqty)).alias("allocated_qty"),
+        F.max_by(shipment, F.when(is_ship, F.col("last_seq"))).alias("shipment")) \
+        .select("order_id", "line_count", "total_demand", "first_line.line_family",
+                "first_line.line_family_seq", "allocation_count", "allocated_qty", "shipment")
 
 
 def order_state(changes: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Full fold: header (``fold_orders``) + children (``fold_children``);
-    family = header candidate or first-line candidate, whichever came first;
-    ATP as coded (JN-3) on the folded demand."""
+    """Full fold: header (``fold_orders``) + children (``fold_children``),
+    joined on the order key; family = header candidate or first-line
+    candidate, whichever came first (ST-7); ATP as coded (JN-3) on the
+    folded demand."""
     if as_of is not None:
         changes = changes.where(F.col("ts") <= as_of)
-    ev = prepare(changes)
-    fam_h = (ev.where(F.col("has_family")).groupBy("order_id")
-             .agg(F.min_by("v_family", "seq").alias("h_family"),
-                  F.min("seq").alias("h_family_seq")))
-    h = fold_orders(changes).drop("product_family")
+    h = fold_orders(changes, keep_family_seq=True).drop("product_family")
     c = fold_children(changes)
-    j = h.join(c, "order_id", "left").join(fam_h, "order_id", "left")
+    j = h.join(c, "order_id", "left")
     use_line = F.col("line_family").isNotNull() & (
-        F.col("h_family").isNull() | (F.col("line_family_seq") < F.col("h_family_seq")))
-    fam = F.when(use_line, F.col("line_family")).otherwise(F.coalesce("h_family", F.lit("")))
+        F.col("_h_family").isNull() | (F.col("line_family_seq") < F.col("_family_seq")))
+    fam = F.when(use_line, F.col("line_family")).otherwise(F.coalesce("_h_family", F.lit("")))
     demand = F.coalesce(F.col("total_demand"), F.lit(0).cast(S.QTY))
     return j.select(
-        *[c for c in h.columns], fam.alias("product_family"),
+        *[c for c in h.columns if not c.startswith("_")], fam.alias("product_family"),
         F.coalesce(F.col("line_count"), F.lit(0)).cast("bigint").alias("line_count"),
         demand.alias("total_demand"),
         F.coalesce(F.col("allocation_count"), F.lit(0)).cast("bigint").alias("allocation_count"),
