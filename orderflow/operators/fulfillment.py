@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from orderflow import schemas as S
 from orderflow.functions import expressions as X
+from orderflow.functions.quantiles import exact_quantiles
 from orderflow.operators.orders import cycle_days
 
 STUCK_DAYS = 7
@@ -67,18 +68,21 @@ def fulfillment_daily(state: DataFrame, as_of: Column,
     shipped = F.col("order_status").isin(*S.SHIPPED_STATUSES)
     on_time = F.when(shipped & F.col("ship_date").isNotNull(),
                      (F.col("ship_date") <= F.col("expected_ship_date")).cast("int"))
-    g = f.groupBy("business_unit", F.to_date("created_at").alias("metric_date")).agg(
+    f = f.withColumn("metric_date", F.to_date("created_at"))
+    g = f.groupBy("business_unit", "metric_date").agg(
         F.count(F.lit(1)).alias("total_orders"),
         F.count_if(shipped).alias("shipped_orders"),
         X.ratio(F.avg(on_time)).alias("on_time_rate"),
-        F.percentile(F.col("cycle_days"), F.array(F.lit(0.5), F.lit(0.95))).alias("p"),
         F.count_if(F.col("is_delayed") | F.col("is_stuck") | F.col("is_alloc_failed"))
         .alias("exception_count"))
+    q = exact_quantiles(f, ["business_unit", "metric_date"], F.col("cycle_days"),
+                        {"p50": 0.5, "p95": 0.95}).drop("n")
+    g = g.join(q, ["business_unit", "metric_date"], "left")
     w = Window.partitionBy("business_unit").orderBy(F.desc("metric_date"))
     return (g.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= days)
             .select("business_unit", "metric_date", "on_time_rate",
-                    X.ratio(F.col("p")[0]).alias("cycle_time_p50"),
-                    X.ratio(F.col("p")[1]).alias("cycle_time_p95"),
+                    X.ratio(F.col("p50")).alias("cycle_time_p50"),
+                    X.ratio(F.col("p95")).alias("cycle_time_p95"),
                     "exception_count", "total_orders", "shipped_orders"))
 
 
@@ -98,8 +102,9 @@ def unit_metrics(state: DataFrame, as_of: Column) -> DataFrame:
     g = f.groupBy("business_unit").agg(
         F.sum(F.when(open_, F.col("total_value"))).alias("open_value"),
         F.avg((F.col("is_delayed") | F.col("is_stuck") | F.col("is_alloc_failed"))
-              .cast("int")).alias("exc_rate"),
-        F.percentile(F.col("cycle_days"), 0.95).alias("p95"))
+              .cast("int")).alias("exc_rate"))
+    q = exact_quantiles(f, ["business_unit"], F.col("cycle_days"), {"p95": 0.95}).drop("n")
+    g = g.join(q, "business_unit", "left")
     return g.select("business_unit", F.stack(
         F.lit(3),
         F.lit("open_backlog_value"), X.money_out(F.col("open_value")),

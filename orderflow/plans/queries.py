@@ -182,6 +182,7 @@ def order_state_changelog(spark, sf_dir):
 # star-schema order state, lines, totals
 # ---------------------------------------------------------------------------
 from orderflow import schemas as S  # noqa: E402
+from orderflow.functions.quantiles import exact_quantiles  # noqa: E402
 from orderflow.operators import history as H  # noqa: E402
 from orderflow.operators import inventory as INV  # noqa: E402
 from orderflow.operators import orders as ORD  # noqa: E402
@@ -279,11 +280,11 @@ def supply_heatmap(spark, sf_dir):
             F.unix_micros(F.col("o_orderdate").cast("timestamp"))) / F.lit(86400.0 * 1e6)
     lt = (li.join(o, li.l_orderkey == o.o_orderkey)
           .join(part, F.col("l_partkey").cast("string") == part.sku)
-          .groupBy("product_family")
-          .agg(F.percentile(lead, F.array(F.lit(0.05), F.lit(0.95))).alias("p")))
+          .select("product_family", lead.alias("lead")))
+    lt = exact_quantiles(lt, ["product_family"], F.col("lead"), {"p05": 0.05, "p95": 0.95})
     return pv.join(lt, "product_family", "left").select(
-        "*", X.ratio(F.col("p")[0]).alias("lead_days_p05"),
-        X.ratio(F.col("p")[1]).alias("lead_days_p95")).drop("p")
+        *pv.columns, X.ratio(F.col("p05")).alias("lead_days_p05"),
+        X.ratio(F.col("p95")).alias("lead_days_p95"))
 
 
 @register("inventory_asof_orders")

@@ -68,3 +68,21 @@ def test_segmented_scan_equals_window(spark, rows):
             got = sorted(segmented_scan(df, ["k"], seg, ["ts", "i"], F.col("v"), how, "o",
                                         inclusive).select(*df.columns, "o").collect())
             assert got == want, (how, inclusive)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.one_of(st.none(), st.integers(-50, 50))),
+                min_size=1, max_size=60))
+def test_exact_quantiles_equal_percentile(spark, rows):
+    from orderflow.functions.quantiles import exact_quantiles
+    df = spark.createDataFrame(rows, "g int, v int")
+    probs = {"p0": 0.0, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p1": 1.0}
+    want = {r["g"]: [round(x, 9) if x is not None else None for x in (r["p"] or [None] * 5)]
+            for r in df.groupBy("g").agg(F.percentile(F.col("v").cast("double"),
+                                                      F.array(*[F.lit(p) for p in probs.values()]))
+                                         .alias("p")).collect()}
+    got = {r["g"]: [round(r[k], 9) for k in probs]
+           for r in exact_quantiles(df, ["g"], F.col("v"), probs).collect()}
+    for g, vals in got.items():
+        assert vals == want[g]
+    assert all(want[g] == [None] * 5 for g in want if g not in got)
