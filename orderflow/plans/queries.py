@@ -6,13 +6,32 @@ These compose the operators over the adapters of FIXTURES.md. They are the
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from orderflow import schemas as S
+from orderflow.functions import expressions as X
+from orderflow.functions.quantiles import exact_quantiles
 from orderflow.operators import backlog as BL
+from orderflow.operators import cdc as CDC
+from orderflow.operators import fulfillment as FUL
+from orderflow.operators import governance as GOV
+from orderflow.operators import history as H
+from orderflow.operators import inventory as INV
+from orderflow.operators import merge as MRG
+from orderflow.operators import orders as ORD
+from orderflow.operators import search as SR
 from orderflow.operators import state as ST
+from orderflow.session import scratch_path
 from orderflow.sources import adapters as A
+from orderflow.sources.tables import read_serving_table
+from orderflow.streaming import jobs as JOBS
+from orderflow.streaming import sinks as SK
+from orderflow.streaming.sources import text_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,11 +80,6 @@ def backlog_tumbling_hourly(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # CDC parsing, union, dedup, snapshot
 # ---------------------------------------------------------------------------
-from pyspark.sql import Window  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
-
-from orderflow.functions import expressions as X  # noqa: E402
-from orderflow.operators import cdc as CDC  # noqa: E402
 
 
 def _parsed_view(valid: DataFrame) -> DataFrame:
@@ -181,11 +195,6 @@ def order_state_changelog(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # star-schema order state, lines, totals
 # ---------------------------------------------------------------------------
-from orderflow import schemas as S  # noqa: E402
-from orderflow.functions.quantiles import exact_quantiles  # noqa: E402
-from orderflow.operators import history as H  # noqa: E402
-from orderflow.operators import inventory as INV  # noqa: E402
-from orderflow.operators import orders as ORD  # noqa: E402
 
 
 @register("order_line_items_flat")
@@ -355,7 +364,6 @@ def supply_demand_gap(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # search, facets, lookups, listings, calendar trends
 # ---------------------------------------------------------------------------
-from orderflow.operators import search as SR  # noqa: E402
 
 SEARCH = dict(q="widget", status="CREATED", date_from="1996-01-01", date_to="1998-12-31")
 
@@ -488,9 +496,6 @@ def backlog_reconciliation(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # fulfilment, exceptions, alerts, governance, skew, upsert, late data
 # ---------------------------------------------------------------------------
-from orderflow.operators import fulfillment as FUL  # noqa: E402
-from orderflow.operators import governance as GOV  # noqa: E402
-from orderflow.operators import merge as MRG  # noqa: E402
 
 
 def _star_as_of():
@@ -637,14 +642,6 @@ STORAGE_PART_LINES = 1000
 # ---------------------------------------------------------------------------
 # streaming runs (file streams driven to completion with availableNow)
 # ---------------------------------------------------------------------------
-import os  # noqa: E402
-import uuid  # noqa: E402
-
-from orderflow.session import scratch_path  # noqa: E402
-from orderflow.sources.tables import read_serving_table  # noqa: E402
-from orderflow.streaming import jobs as JOBS  # noqa: E402
-from orderflow.streaming import sinks as SK  # noqa: E402
-from orderflow.streaming.sources import text_stream  # noqa: E402
 
 
 def _run_dir(spark, name: str) -> str:
