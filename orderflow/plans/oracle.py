@@ -747,3 +747,6 @@ SELECT st.order_id, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS n_parts, bus
        coalesce(li.line_items, '[]') AS line_items, CAST(coalesce(li.n, 0) AS INTEGER) AS line_items_parsed,
        coalesce(li.q, 0.0) AS parsed_quantity
 FROM st LEFT JOIN li ON st.order_id = li.order_id"""
+
+# the streamed position table must equal the batch position
+ORACLE["stream_inventory_position"] = ORACLE["inventory_position"]

@@ -834,3 +834,22 @@ def serving_orders_by_status(spark, sf_dir):
     return (df.select("order_id", "order_status", "updated_at", "customer_name",
                       "product_family", "priority_tier", "total_value")
             .orderBy(F.desc("updated_at"), F.asc("order_id")).limit(100))
+
+
+@register("stream_inventory_position")
+def stream_inventory_position(spark, sf_dir):
+    """Inventory change events streamed in time-ordered files, folded into
+    the position table per micro-batch; equals the batch position."""
+    root = _run_dir(spark, "stream-inventory")
+    ev = INV.inventory_events(spark, sf_dir)
+    src = os.path.join(root, "events")
+    for lo, hi in (("1990-01-01", "1997-01-01"), ("1997-01-01", "1999-01-01"),
+                   ("1999-01-01", "2100-01-01")):           # three time-ordered files
+        (ev.where((F.col("ts") >= lo) & (F.col("ts") < hi)).coalesce(1)
+         .write.mode("append").parquet(src))
+    state = os.path.join(root, "state")
+    q = JOBS.start_inventory_state_job(spark, src, state, os.path.join(root, "ckpt"),
+                                       spark.read.parquet(src).schema)
+    q.awaitTermination()
+    p = SK.read_state(spark, state)
+    return p.select("sku", "warehouse_id", *_qty_out(p, QTY_COLS), F.col("ts").alias("updated_at"))

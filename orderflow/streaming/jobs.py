@@ -111,3 +111,16 @@ def start_dashboard_job(spark: SparkSession, metrics_dir: str, summary_dir: str,
     src = spark.readStream.schema(metrics_schema).parquet(metrics_dir)
     return _trigger(src.writeStream.option("checkpointLocation", ckpt).foreachBatch(push),
                     available_now, interval).start()
+
+
+def start_inventory_state_job(spark: SparkSession, events_dir: str, state_dir: str, ckpt: str,
+                              schema: T.StructType, max_files: int | None = 1,
+                              available_now: bool = True, interval: str = "30 seconds"):
+    """STR-6/AGG-9 on a stream: inventory change events maintain the
+    (sku, warehouse) position table once per micro-batch; enrichment jobs
+    read its latest committed version (a stream-static join per batch)."""
+    src = parquet_stream(spark, events_dir, schema, max_files)
+    return _trigger(src.writeStream.option("checkpointLocation", ckpt)
+                    .foreachBatch(SK.state_snapshot_sink(spark, state_dir,
+                                                         ["sku", "warehouse_id"], "seq")),
+                    available_now, interval).start()

@@ -75,3 +75,25 @@ def upsert_sink(spark: SparkSession, path: str, key: list[str], order: Column,
             rows = latest if listing_filter is None else latest.where(listing_filter)
             batch_append_sink(listing_path)(rows, batch_id)
     return write
+
+
+def state_snapshot_sink(spark: SparkSession, path: str, key: list[str], order: str):
+    """Keyed state table maintained per micro-batch (STR-6: the inventory
+    position behind the broadcast enrichment). Stored rows and the batch are
+    merged by *event order* (``order`` column kept in the table), so an
+    older event arriving late never overwrites a newer one; delete events
+    stay as tombstones (``op = 'd'``) for the same reason and are filtered
+    by ``read_state``."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        prev = [v for v in _versions(spark, path) if v < batch_id]
+        rows = batch
+        if prev:
+            rows = spark.read.parquet(os.path.join(path, f"v={prev[-1]}")).unionByName(batch)
+        latest_per_key(rows, key, F.col(order)).write.mode("overwrite") \
+            .parquet(os.path.join(path, f"v={batch_id}"))
+    return write
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame | None:
+    snap = read_snapshot(spark, path)
+    return None if snap is None else snap.where(F.col("op") != "d")
