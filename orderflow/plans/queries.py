@@ -38,8 +38,15 @@ QUERIES: dict[str, Query] = {}
 
 
 def register(name: str):
+    """Register a query. Every query is defined in UTC (event times are
+    timestamp_ntz; window alignment and ISO offsets assume a UTC session), so
+    the wrapper pins the session time zone before the plan is analysed."""
     def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = run
         return fn
     return deco
 
