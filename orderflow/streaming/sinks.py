@@ -9,7 +9,8 @@ the result. Two forms, both plain parquet writes from ``foreachBatch``:
   closed windows — no rewrite of earlier data, so cost tracks the batch.
 * ``upsert_sink``: the batch is reduced to its latest row per key and merged
   with the current snapshot into a new version directory ``v=N`` (written
-  once; a replay rewrites the same version from the same inputs).
+  once; a replay rewrites the same version from the same inputs). A version
+  becomes visible only after its commit marker (``_commits/v=N``) is written.
 """
 
 from __future__ import annotations
@@ -37,40 +38,47 @@ def read_latest(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
         .drop("_b")
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(
-                st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
+COMMITS = "_commits"
+
+
+def _commit(spark: SparkSession, path: str, version: int) -> None:
+    """Record a finished version. The marker is written only after the
+    version's data write has succeeded, so readers never see partial data."""
+    spark.range(1).select(F.lit(version).cast("bigint").alias("version")) \
+        .write.mode("overwrite").parquet(os.path.join(path, COMMITS, f"v={version}"))
+
+
+def _latest_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
+    """Highest committed version (optionally below ``below``): one scalar."""
+    try:
+        c = spark.read.parquet(os.path.join(path, COMMITS))
+    except Exception:  # noqa: BLE001 - no commit yet (path absent)
+        return None
+    if below is not None:
+        c = c.where(F.col("version") < below)
+    return c.agg(F.max("version")).first()[0]
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    v = _versions(spark, path)
-    return spark.read.parquet(os.path.join(path, f"v={v[-1]}")) if v else None
+    v = _latest_version(spark, path)
+    return None if v is None else spark.read.parquet(os.path.join(path, f"v={v}"))
 
 
 def upsert_sink(spark: SparkSession, path: str, key: list[str], order: Column,
                 listing_path: str | None = None, listing_filter: Column | None = None):
     """SNK-2 (+ SNK-3 when ``listing_path`` is given): latest row per key in
-    the batch replaces the stored row. Only committed versions (``_SUCCESS``)
-    are read, so a crash mid-write leaves the previous version current."""
+    the batch replaces the stored row. Only committed versions are read, so a
+    crash mid-write leaves the previous version current."""
     def write(batch: DataFrame, batch_id: int) -> None:
         latest = latest_per_key(batch, key, order)
-        prev = [v for v in _versions(spark, path) if v < batch_id]
-        if prev:
-            cur = spark.read.parquet(os.path.join(path, f"v={prev[-1]}"))
+        prev = _latest_version(spark, path, below=batch_id)
+        if prev is not None:
+            cur = spark.read.parquet(os.path.join(path, f"v={prev}"))
             merged = upsert_merge(cur, latest, key)
         else:
             merged = latest
         merged.write.mode("overwrite").parquet(os.path.join(path, f"v={batch_id}"))
+        _commit(spark, path, batch_id)
         if listing_path is not None:
             rows = latest if listing_filter is None else latest.where(listing_filter)
             batch_append_sink(listing_path)(rows, batch_id)
@@ -85,12 +93,13 @@ def state_snapshot_sink(spark: SparkSession, path: str, key: list[str], order: s
     stay as tombstones (``op = 'd'``) for the same reason and are filtered
     by ``read_state``."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        prev = [v for v in _versions(spark, path) if v < batch_id]
+        prev = _latest_version(spark, path, below=batch_id)
         rows = batch
-        if prev:
-            rows = spark.read.parquet(os.path.join(path, f"v={prev[-1]}")).unionByName(batch)
+        if prev is not None:
+            rows = spark.read.parquet(os.path.join(path, f"v={prev}")).unionByName(batch)
         latest_per_key(rows, key, F.col(order)).write.mode("overwrite") \
             .parquet(os.path.join(path, f"v={batch_id}"))
+        _commit(spark, path, batch_id)
     return write
 
 
