@@ -14,10 +14,12 @@ hours of event time) and computes the prefix in two levels:
 3. the carry-in from earlier segments is joined back and combined with the
    local value.
 
-The result equals the single-window scan exactly. The carry pass reads the
-input a second time, but only the key, segment, order and value columns,
-and reduces them map-side to one row per segment before any shuffle, so
-its cost is a narrow scan, not a second full shuffle of the data.
+The result equals the single-window scan exactly. Cost: the carry pass
+evaluates the input a second time with only the key, segment, order and
+value columns, reduced map-side to one row per segment before its shuffle.
+Upstream work of the input (e.g. an LSN-dedup shuffle) is repeated for those
+columns; write the input to the shared checkpoint folder first when that
+upstream is expensive.
 """
 
 from __future__ import annotations
