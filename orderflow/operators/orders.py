@@ -33,7 +33,7 @@ def star_order_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: header fields, family from the first line, child
     rollups, shipment date for shipped orders and the ATP flag (JN-3)."""
     h = A.star_orders(spark, sf_dir)
-    roll = line_rollup(A.star_lines(spark, sf_dir))
+    roll = line_rollup(A.star_line_versions(spark, sf_dir))
     # family of the order's first line: one part lookup per order, not per line
     fam = A.read_table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("first_partkey"), F.col("p_type").alias("first_family"))

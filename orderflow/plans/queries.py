@@ -305,7 +305,7 @@ def supply_heatmap(spark, sf_dir):
 
 @register("inventory_asof_orders")
 def inventory_asof_orders(spark, sf_dir):
-    lines = A.star_lines(spark, sf_dir)
+    lines = A.star_line_versions(spark, sf_dir)
     hdr = A.star_orders(spark, sf_dir).select("o_orderkey", "created_at")
     ln = lines.join(hdr, lines.l_orderkey == hdr.o_orderkey)
     r = INV.asof_inventory(ln, INV.inventory_events(spark, sf_dir), F.col("created_at"))
@@ -315,7 +315,7 @@ def inventory_asof_orders(spark, sf_dir):
 
 @register("enrich_broadcast")
 def enrich_broadcast(spark, sf_dir):
-    lines = A.star_lines(spark, sf_dir)
+    lines = A.star_line_versions(spark, sf_dir)
     sup = INV.supply_by_sku(INV.inventory_position(INV.inventory_events(spark, sf_dir)))
     e = INV.enrich_with_state(lines.select("line_id", "sku", "quantity"),
                               sup.select("sku", "warehouse_count", "available_qty"), "sku")
@@ -337,7 +337,7 @@ def atp_by_status(spark, sf_dir):
 @register("atp_by_inventory")
 def atp_by_inventory(spark, sf_dir):
     pos = INV.inventory_position(INV.inventory_events(spark, sf_dir))
-    r = INV.atp_by_inventory(A.star_lines(spark, sf_dir), pos)
+    r = INV.atp_by_inventory(A.star_line_versions(spark, sf_dir), pos)
     return r.select("order_id", "sku_count",
                     F.col("total_demand").cast("double").alias("total_demand"),
                     F.col("total_available").cast("double").alias("total_available"),

@@ -154,13 +154,12 @@ def star_line_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             ))
 
 
-def star_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Current line items: last write per (l_orderkey, l_linenumber) by the
-    total order (WIN-1 via ``max_by``). Reduction happens on the narrow,
-    numeric-keyed lineitem columns first (a filter on ``l_orderkey`` reaches
-    the scan); descriptive part columns are joined to the survivors only.
-    ``first_partkey`` is the part of the first row in the total order (the
-    order's product family comes from the first line, ST-7)."""
+def star_line_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current line items without descriptive columns: last write per
+    (l_orderkey, l_linenumber) by the total order (WIN-1 via ``max_by``).
+    The reduction runs on the narrow, numeric-keyed lineitem columns (a
+    filter on ``l_orderkey`` reaches the scan). ``first_partkey`` is the part
+    of the first row in the total order (the order's family, ST-7)."""
     li = read_table(spark, sf_dir, "lineitem")
     seq = F.struct(*_line_order())
     vals = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag",
@@ -170,22 +169,30 @@ def star_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.min(seq).alias("first_seq"),
                    F.min_by(F.col("l_partkey"), seq).alias("first_partkey"))
               .select("l_orderkey", "l_linenumber", "v.*", "first_seq", "first_partkey"))
-    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    j = latest.join(p, latest.l_partkey == p.p_partkey, "left")
-    return j.select(
+    return latest.select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"),
                     F.col("l_linenumber").cast("string")).alias("line_id"),
         F.col("l_orderkey").cast("string").alias("order_id"),
-        "l_orderkey", "l_linenumber",
+        "l_orderkey", "l_linenumber", "l_partkey",
         F.col("l_partkey").cast("string").alias("sku"),
-        F.col("p_type").alias("product_family"),
-        F.col("p_name").alias("description"),
         F.col("l_quantity").alias("quantity"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
         "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate", "first_seq",
         "first_partkey")
 
 
+def star_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current line items with their part's family and description, joined
+    to the surviving versions only (not to every lineitem row)."""
+    v = star_line_versions(spark, sf_dir)
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    j = v.join(p, v.l_partkey == p.p_partkey, "left")
+    return j.select("line_id", "order_id", "l_orderkey", "l_linenumber", "sku",
+                    F.col("p_type").alias("product_family"), F.col("p_name").alias("description"),
+                    "quantity", "unit_price", "l_suppkey", "l_returnflag", "l_linestatus",
+                    "l_shipdate", "first_seq", "first_partkey")
+
+
 def warehouse_of(suppkey: Column) -> Column:
     return F.concat(F.lit("WH-"), (suppkey % 4).cast("string"))
 
