@@ -48,8 +48,12 @@ def ts_to_ms(ts: Column) -> Column:
 
 
 def ts_to_iso(ts: Column) -> Column:
-    """ISO-8601 text with an explicit UTC offset (PRJ-9)."""
-    return F.date_format(ts.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    """ISO-8601 text with a ``+00:00`` offset (PRJ-9); the fraction appears
+    only when the time has microseconds, as in common ISO renderings."""
+    t = ts.cast("timestamp")
+    whole = F.unix_micros(t) % F.lit(1_000_000) == 0
+    return F.when(whole, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ssxxx")) \
+        .otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"))
 
 
 def flexible_ts(text: Column) -> Column:

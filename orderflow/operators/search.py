@@ -136,6 +136,7 @@ def trailing_rate(daily: DataFrame, count_col: str, days: int = 7) -> DataFrame:
     return daily.withColumn(f"avg_{days}d", X.ratio(F.avg(count_col).over(w)))
 
 
-def iso(col, fmt: str = "yyyy-MM-dd'T'HH:mm:ssxxx"):
-    return F.date_format(F.col(col).cast("timestamp"), fmt)
+def iso(col: str):
+    """ISO text of a timestamp column (see ``expressions.ts_to_iso``)."""
+    return X.ts_to_iso(F.col(col))
 

@@ -655,7 +655,8 @@ FROM a GROUP BY business_unit"""
 
 
 def _iso(c: str) -> str:
-    return f"strftime({c}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+    return (f"CASE WHEN epoch_us({c}) % 1000000 = 0 THEN strftime({c}, '%Y-%m-%dT%H:%M:%S') "
+            f"ELSE strftime({c}, '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00'")
 
 
 ORACLE["order_documents"] = f"""WITH {STAR}
@@ -750,3 +751,11 @@ FROM st LEFT JOIN li ON st.order_id = li.order_id"""
 
 # the streamed position table must equal the batch position
 ORACLE["stream_inventory_position"] = ORACLE["inventory_position"]
+
+ORACLE["stream_order_documents"] = f"""WITH {STREAM_CHANGELOG},
+last AS (SELECT * FROM cl QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, lsn DESC) = 1)
+SELECT order_id, '' AS customer_id, '' AS customer_name, '' AS channel, business_unit,
+       product_family, order_status, priority_tier, CAST(total_value AS DOUBLE) AS total_value,
+       'USD' AS currency, {_iso('created_at')} AS created_at, {_iso('updated_at')} AS updated_at,
+       {_iso('expected_ship_date')} AS expected_ship_date
+FROM last"""

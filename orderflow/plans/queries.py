@@ -860,3 +860,15 @@ def stream_inventory_position(spark, sf_dir):
     q.awaitTermination()
     p = SK.read_state(spark, state)
     return p.select("sku", "warehouse_id", *_qty_out(p, QTY_COLS), F.col("ts").alias("updated_at"))
+
+
+@register("stream_order_documents")
+def stream_order_documents(spark, sf_dir):
+    """Enriched stream -> search documents upserted by order id (SNK-6);
+    the final index holds each order's latest state."""
+    root = _run_dir(spark, "stream-docs")
+    enriched = _run_fold(spark, sf_dir, root)
+    docs = os.path.join(root, "docs")
+    q = JOBS.start_index_sync_job(spark, enriched, docs, os.path.join(root, "ckpt-docs"))
+    q.awaitTermination()
+    return SK.read_snapshot(spark, docs).drop("_seq")
