@@ -41,3 +41,17 @@ def test_stream_windows_equal_batch_over_time_ordered_batches(spark, sf):
     want = BL.backlog_windows(rec, S.SLIDING_SIZE, S.SLIDING_SLIDE, "sliding_1h").where(closed)
     cols = want.columns
     assert sorted(got.select(*cols).collect()) == sorted(want.collect())
+
+
+def test_fold_job_reports_observed_metrics(spark, sf):
+    from orderflow.plans import queries as Q
+    root = scratch_path(spark, f"observe-{uuid.uuid4().hex[:8]}")
+    raw = Q._write_raw(spark, sf, root)
+    q, q_dlq = JOBS.start_order_state_job(spark, raw, os.path.join(root, "out"),
+                                          os.path.join(root, "dlq"), os.path.join(root, "ckpt"))
+    q.awaitTermination()
+    q_dlq.awaitTermination()
+    seen = [p["observedMetrics"]["fold"] for p in q.recentProgress
+            if p.get("observedMetrics", {}).get("fold")]
+    assert seen and sum(int(m["rows"]) for m in seen) == \
+        spark.read.parquet(os.path.join(root, "out")).count()
