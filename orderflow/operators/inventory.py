@@ -2,8 +2,9 @@
 LIM-7, JN-1/2/4/5/9).
 
 Inventory change events come from adapter A: every lineitem row is a change
-of its (sku, warehouse) row at ``l_shipdate``; rows with zero discount are
-deletes of that row (row-level delete is the default; the whole-SKU delete
+of its (sku, warehouse) row at ``l_shipdate`` carrying available (returned,
+flag R), allocated (status F) and on-order (flag N) quantities; rows with
+zero discount are deletes of that row (row-level delete is the default; the whole-SKU delete
 of the original code is ``whole_sku=True``, Q16).
 """
 
@@ -30,7 +31,7 @@ def inventory_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity",
                  "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
                  "l_linestatus").alias("seq"),
-        q.alias("available_qty"),
+        F.when(F.col("l_returnflag") == "R", q).otherwise(zero).alias("available_qty"),
         F.when(F.col("l_linestatus") == "F", q).otherwise(zero).alias("allocated_qty"),
         F.when(F.col("l_returnflag") == "N", q).otherwise(zero).alias("on_order_qty"))
 

@@ -253,7 +253,7 @@ INV = f"""
 inv_ev AS (
   SELECT CAST(l_partkey AS VARCHAR) AS sku, 'WH-' || CAST(l_suppkey % 4 AS VARCHAR) AS warehouse_id,
          CASE WHEN l_discount = 0.0 THEN 'd' ELSE 'u' END AS op, l_shipdate AS ts,
-         CAST(l_quantity AS DECIMAL(15,3)) AS available_qty,
+         CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS DECIMAL(15,3)) ELSE 0 END AS available_qty,
          CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS DECIMAL(15,3)) ELSE 0 END AS allocated_qty,
          CASE WHEN l_returnflag = 'N' THEN CAST(l_quantity AS DECIMAL(15,3)) ELSE 0 END AS on_order_qty,
          l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,

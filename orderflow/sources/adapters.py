@@ -197,20 +197,6 @@ def warehouse_of(suppkey: Column) -> Column:
     return F.concat(F.lit("WH-"), (suppkey % 4).cast("string"))
 
 
-def star_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inventory position per (sku, warehouse) from all lineitem rows."""
-    li = read_table(spark, sf_dir, "lineitem")
-    q = X.money(F.col("l_quantity")).cast(S.QTY)
-    return (li.groupBy(F.col("l_partkey").cast("string").alias("sku"),
-                       warehouse_of(F.col("l_suppkey")).alias("warehouse_id"))
-            .agg(F.sum(F.when(F.col("l_returnflag") == "R", q).otherwise(F.lit(0).cast(S.QTY)))
-                 .alias("available_qty"),
-                 F.sum(F.when(F.col("l_linestatus") == "F", q).otherwise(F.lit(0).cast(S.QTY)))
-                 .alias("allocated_qty"),
-                 F.sum(F.when(F.col("l_returnflag") == "N", q).otherwise(F.lit(0).cast(S.QTY)))
-                 .alias("on_order_qty"),
-                 F.max("l_shipdate").alias("updated_at")))
-
 
 # ---------------------------------------------------------------------------
 # Adapter B on the wire: raw JSON lines (both CDC shapes), duplicates, lateness
