@@ -51,8 +51,10 @@ def dedup_stream(changes: DataFrame, strict: bool = False) -> DataFrame:
 
 def start_order_state_job(spark: SparkSession, raw_dir: str, out_dir: str, dlq_dir: str,
                           ckpt: str, available_now: bool = True,
-                          interval: str = "30 seconds"):
-    parsed = CDC.parse_envelope(text_stream(spark, raw_dir))
+                          interval: str = "30 seconds", max_files: int | None = None):
+    """``max_files`` bounds a micro-batch, which also bounds the rows one
+    order contributes to a single call of the stateful function."""
+    parsed = CDC.parse_envelope(text_stream(spark, raw_dir, max_files))
     dlq = CDC.dead_letters(parsed, "cdc.public.orders")
     q_dlq = _trigger(dlq.writeStream.format("parquet")
                      .option("checkpointLocation", os.path.join(ckpt, "dlq")),
