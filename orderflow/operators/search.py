@@ -140,3 +140,16 @@ def iso(col: str):
     """ISO text of a timestamp column (see ``expressions.ts_to_iso``)."""
     return X.ts_to_iso(F.col(col))
 
+
+
+def status_listing_as_coded(changelog: DataFrame) -> DataFrame:
+    """Q10 as coded: the (bu, status) listing is insert-only, one row per
+    emitted state keyed by (bu, status, updated_at, order_id) — an order
+    shows under every status it ever had. A later write to the same key
+    overwrites it (latest by event order). Requires non-empty bu and status."""
+    rows = changelog.where((F.col("business_unit") != "") & (F.col("order_status") != ""))
+    key = ["business_unit", "order_status", "updated_at", "order_id"]
+    vals = ["customer_name", "product_family", "priority_tier", "total_value"]
+    return (rows.groupBy(*key)
+            .agg(F.max_by(F.struct(*vals), F.struct("ts", "lsn")).alias("v"))
+            .select(*key, "v.*"))

@@ -759,3 +759,16 @@ SELECT order_id, '' AS customer_id, '' AS customer_name, '' AS channel, business
        'USD' AS currency, {_iso('created_at')} AS created_at, {_iso('updated_at')} AS updated_at,
        {_iso('expected_ship_date')} AS expected_ship_date
 FROM last"""
+
+ORACLE["orders_by_status_as_coded"] = f"""WITH {CHANGELOG},
+lst AS (
+  SELECT business_unit, order_status, updated_at, order_id,
+         arg_max({{'customer_name': '', 'product_family': product_family,
+                   'priority_tier': priority_tier, 'total_value': total_value}}, (ts, lsn)) AS v
+  FROM cl WHERE business_unit <> '' AND order_status <> ''
+  GROUP BY ALL)
+SELECT order_id, order_status, updated_at, v.customer_name AS customer_name,
+       v.product_family AS product_family, v.priority_tier AS priority_tier,
+       CAST(v.total_value AS DOUBLE) AS total_value
+FROM lst WHERE business_unit = 'EMEA' AND order_status = 'SHIPPED'
+ORDER BY updated_at DESC, order_id LIMIT 100"""

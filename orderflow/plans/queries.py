@@ -872,3 +872,10 @@ def stream_order_documents(spark, sf_dir):
     q = JOBS.start_index_sync_job(spark, enriched, docs, os.path.join(root, "ckpt-docs"))
     q.awaitTermination()
     return SK.read_snapshot(spark, docs).drop("_seq")
+
+
+@register("orders_by_status_as_coded")
+def orders_by_status_as_coded(spark, sf_dir):
+    """LIM-2 over the insert-only listing (Q10, ``current=False``)."""
+    listing = SR.status_listing_as_coded(ST.order_changelog(_clean_changes(spark, sf_dir)))
+    return SR.orders_by_status(listing, "EMEA", "SHIPPED", 100)
