@@ -55,6 +55,7 @@ def main() -> None:
         print(f"# {name}: {times[name]}s", file=sys.stderr, flush=True)
     n_events = spark.read.parquet(os.path.join(SF_DIR, "events.parquet")).count()
     fold_s = times.get("order_state_changelog")
+    win_s = times.get("backlog_sliding_1h")
     out = {
         "metric": "total_query_seconds",
         "value": round(sum(times.values()), 3),
@@ -63,6 +64,7 @@ def main() -> None:
         "sf": _sf_value(SF_DIR),
         "cpus": int(CPUS),
         "fold_events_per_sec": round(n_events / fold_s, 1) if fold_s else None,
+        "window_events_per_sec": round(n_events / win_s, 1) if win_s else None,
     }
     print(json.dumps(out))
     spark.stop()
