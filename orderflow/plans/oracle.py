@@ -526,8 +526,8 @@ FROM d"""
 ORACLE["backlog_reconciliation"] = f"""WITH {RECORDS},
 {window_select(60, 5, "sliding_1h", "ms")}
 SELECT bu, product_family, horizon, window_type, window_start,
-       0.0 AS unfulfilled_demand_rel_diff, 0.0 AS available_supply_rel_diff,
-       0.0 AS demand_gap_rel_diff, 0.0 AS order_count_rel_diff
+       CAST(0 AS DOUBLE) AS unfulfilled_demand_rel_diff, CAST(0 AS DOUBLE) AS available_supply_rel_diff,
+       CAST(0 AS DOUBLE) AS demand_gap_rel_diff, CAST(0 AS DOUBLE) AS order_count_rel_diff
 FROM ms"""
 
 # ---------------------------------------------------------------------------
@@ -648,9 +648,9 @@ FROM w WHERE ts < watermark"""
 
 ORACLE["pipeline_latency"] = f"""WITH {ARRIVALS}
 SELECT business_unit, count(*) AS n,
-       round(quantile_cont((k % 7) * 10.0, 0.5), 6) AS p50_s,
-       round(quantile_cont((k % 7) * 10.0, 0.95), 6) AS p95_s,
-       round(quantile_cont((k % 7) * 10.0, 0.99), 6) AS p99_s
+       round(quantile_cont(CAST((k % 7) * 10 AS DOUBLE), 0.5), 6) AS p50_s,
+       round(quantile_cont(CAST((k % 7) * 10 AS DOUBLE), 0.95), 6) AS p95_s,
+       round(quantile_cont(CAST((k % 7) * 10 AS DOUBLE), 0.99), 6) AS p99_s
 FROM a GROUP BY business_unit"""
 
 
@@ -714,7 +714,7 @@ FROM st LEFT JOIN alloc a ON st.o_orderkey = a.l_orderkey
 
 ORACLE["pipeline_event_log"] = f"""WITH {CHG}
 SELECT order_id, ts AS event_ts, source_table || '.' || op AS event_type, lsn AS source_lsn,
-  to_json(CASE WHEN has_bu THEN MAP {{
+  CAST(to_json(CASE WHEN has_bu THEN MAP {{
       'order_id': order_id, 'order_status': order_status, 'business_unit': business_unit,
       'product_family': product_family, 'priority_tier': CAST(priority_tier AS VARCHAR),
       'total_value': CAST(total_value AS VARCHAR),
@@ -723,7 +723,7 @@ SELECT order_id, ts AS event_ts, source_table || '.' || op AS event_type, lsn AS
       'order_id': order_id, 'order_status': order_status,
       'product_family': product_family, 'priority_tier': CAST(priority_tier AS VARCHAR),
       'total_value': CAST(total_value AS VARCHAR),
-      'expected_ship_date': CAST(expected_ship_date AS VARCHAR)}} END) AS payload
+      'expected_ship_date': CAST(expected_ship_date AS VARCHAR)}} END) AS VARCHAR) AS payload
 FROM chg WHERE ts >= {EV_AS_OF} - INTERVAL 7 DAY"""
 
 ORACLE["serving_orders_by_status"] = f"""WITH fo AS ({fold_sql("2024-01-31 00:00:00")})
@@ -736,10 +736,10 @@ ORACLE["order_storage_rows"] = f"""WITH {STAR},
 fs AS (SELECT l_orderkey, l_linenumber, min(({LSEQ})) AS first_seq FROM lineitem GROUP BY ALL),
 li AS (
   SELECT CAST(l.l_orderkey AS VARCHAR) AS order_id,
-         to_json(list({{'line_id': l.line_id, 'sku': CAST(l.l_partkey AS VARCHAR),
+         CAST(to_json(list({{'line_id': l.line_id, 'sku': CAST(l.l_partkey AS VARCHAR),
                        'product_family': l.p_type, 'description': l.p_name,
                        'quantity': l.l_quantity, 'unit_price': l.l_extendedprice / l.l_quantity,
-                       'line_status': 'OPEN'}} ORDER BY f.first_seq)) AS line_items,
+                       'line_status': 'OPEN'}} ORDER BY f.first_seq)) AS VARCHAR) AS line_items,
          count(*) AS n, sum(l.l_quantity) AS q
   FROM lcur l JOIN fs f ON l.l_orderkey = f.l_orderkey AND l.l_linenumber = f.l_linenumber
   GROUP BY l.l_orderkey)
