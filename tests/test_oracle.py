@@ -15,14 +15,23 @@ def con(sf):
     return oracle_connection(sf)
 
 
+TYPES = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
+         "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN",
+         "TimestampNTZType()": "TIMESTAMP", "DateType()": "DATE"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, sf, con, name):
-    sdf = QUERIES[name](spark, sf).toPandas()
+    df = QUERIES[name](spark, sf)
+    sdf = df.toPandas()
     if name not in ORACLE:
         assert len(sdf) > 0
         return
     ok, msg = compare(name, sdf, con.execute(ORACLE[name]).df())
     assert ok, msg
+    want = {r[0]: r[1] for r in con.execute(f"DESCRIBE {ORACLE[name]}").fetchall()}
+    got = {f.name: TYPES.get(str(f.dataType), str(f.dataType)) for f in df.schema.fields}
+    assert got == want
 
 
 def test_entry_smoke(spark):
