@@ -665,7 +665,8 @@ def _run_fold(spark, sf_dir, root) -> str:
     raw = _write_raw(spark, sf_dir, root)
     out = os.path.join(root, "enriched")
     q, q_dlq = JOBS.start_order_state_job(spark, raw, out, os.path.join(root, "dlq"),
-                                          os.path.join(root, "ckpt"))
+                                          os.path.join(root, "ckpt"),
+                                          ttl_days=S.RETENTION_DAYS["order_state"])
     q.awaitTermination()
     q_dlq.awaitTermination()
     return out

@@ -11,6 +11,7 @@ It emits the state after every event — the changelog the batch
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +62,8 @@ def fold_input(changes: DataFrame) -> DataFrame:
             v = v.cast("timestamp")
         cols += [F.col(f"has_{f}"), v.alias(f"v_{f}")]
     cols += [F.col("has_family"), F.col("v_family")]
+    if "event_ts" in changes.columns:      # keep the watermarked event-time column
+        cols.append(F.col("event_ts"))
     return ev.select(*cols)
 
 
@@ -80,8 +83,8 @@ def _carry(has: np.ndarray, values: np.ndarray, prior, last: bool = True) -> np.
     return out
 
 
-def fold_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    if state.hasTimedOut:
+def fold_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None = None):
+    if state.hasTimedOut:                 # TTL expired: the order leaves the state store
         state.remove()
         return
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "lsn"], kind="stable")
@@ -112,15 +115,30 @@ def fold_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
                        (last[f].to_pydatetime() if isinstance(last[f], pd.Timestamp) else
                         (int(last[f]) if f == "priority_tier" else last[f]))
                        for f in STATE_SCHEMA.fieldNames()))
+    if ttl_ms:
+        base = last["updated_at"] if not pd.isna(last["updated_at"]) else res["ts"].max()
+        expire = int(pd.Timestamp(base).value // 1_000_000) + ttl_ms
+        state.setTimeoutTimestamp(max(expire, state.getCurrentWatermarkMs() + 1))
     yield res[[f.name for f in OUT_SCHEMA.fields]]
 
 
-def stream_order_state(changes: DataFrame) -> DataFrame:
+def stream_order_state(changes: DataFrame, ttl_days: int | None = None) -> DataFrame:
     """Keyed fold over a (possibly streaming) change DataFrame; one output
-    row per accepted event, timestamps cast back to ``timestamp_ntz``."""
-    out = (fold_input(changes).groupBy("order_id")
-           .applyInPandasWithState(fold_group, OUT_SCHEMA, STATE_SCHEMA, "append",
-                                   GroupStateTimeout.NoTimeout))
+    row per accepted event, timestamps cast back to ``timestamp_ntz``.
+
+    ``ttl_days`` (the order-state retention, 90 days in the source) expires
+    an order's state once the event-time watermark passes its last update
+    plus the TTL; the input must carry a watermarked ``event_ts`` column
+    (``streaming.jobs.dedup_stream`` provides it)."""
+    if ttl_days:
+        ttl_ms = int(ttl_days) * 86_400_000
+        fn = functools.partial(fold_group, ttl_ms=ttl_ms)
+        timeout = GroupStateTimeout.EventTimeTimeout
+    else:
+        fn, timeout = fold_group, GroupStateTimeout.NoTimeout
+    src = fold_input(changes)
+    out = (src.groupBy("order_id")
+           .applyInPandasWithState(fn, OUT_SCHEMA, STATE_SCHEMA, "append", timeout))
     return out.select(*[F.col(c).cast("timestamp_ntz").alias(c)
                         if c in ("ts", "expected_ship_date", "created_at", "updated_at")
                         else F.col(c) for c in OUT_SCHEMA.fieldNames()])

@@ -46,20 +46,24 @@ def dedup_stream(changes: DataFrame, strict: bool = False) -> DataFrame:
     keyed = F.col("lsn").isNotNull() & (F.col("lsn") != 0)
     key = ["order_id", "lsn"] if strict else ["order_id", "source_table", "_pk", "lsn"]
     kept = df.where(keyed).dropDuplicatesWithinWatermark(key)
-    return kept.unionByName(df.where(~keyed)).drop("_pk", "event_ts")
+    # event_ts stays: it carries the watermark to later stateful operators
+    return kept.unionByName(df.where(~keyed)).drop("_pk")
 
 
 def start_order_state_job(spark: SparkSession, raw_dir: str, out_dir: str, dlq_dir: str,
                           ckpt: str, available_now: bool = True,
-                          interval: str = "30 seconds", max_files: int | None = None):
+                          interval: str = "30 seconds", max_files: int | None = None,
+                          ttl_days: int | None = None):
     """``max_files`` bounds a micro-batch, which also bounds the rows one
-    order contributes to a single call of the stateful function."""
+    order contributes to a single call of the stateful function; ``ttl_days``
+    expires idle orders from the state store (event time)."""
     parsed = CDC.parse_envelope(text_stream(spark, raw_dir, max_files))
     dlq = CDC.dead_letters(parsed, "cdc.public.orders")
     q_dlq = _trigger(dlq.writeStream.format("parquet")
                      .option("checkpointLocation", os.path.join(ckpt, "dlq")),
                      available_now, interval).start(dlq_dir)
-    enriched = observe_fold(FOLD.stream_order_state(dedup_stream(CDC.valid(parsed))))
+    enriched = observe_fold(FOLD.stream_order_state(dedup_stream(CDC.valid(parsed)),
+                                                    ttl_days=ttl_days))
     q = _trigger(enriched.writeStream.format("parquet")
                  .option("checkpointLocation", os.path.join(ckpt, "fold")),
                  available_now, interval).start(out_dir)

@@ -55,3 +55,20 @@ def test_fold_job_reports_observed_metrics(spark, sf):
             if p.get("observedMetrics", {}).get("fold")]
     assert seen and sum(int(m["rows"]) for m in seen) == \
         spark.read.parquet(os.path.join(root, "out")).count()
+
+
+def test_fold_with_state_ttl_matches_without(spark, sf):
+    """With a 90-day TTL nothing in the 30-day fixture expires, so the
+    changelog equals the TTL-free run; the event-time timeout is accepted."""
+    from orderflow.plans import queries as Q
+    root = scratch_path(spark, f"ttl-{uuid.uuid4().hex[:8]}")
+    raw = Q._write_raw(spark, sf, root)
+    outs = []
+    for ttl in (None, S.RETENTION_DAYS["order_state"]):
+        out = os.path.join(root, f"out-{ttl}")
+        q, q_dlq = JOBS.start_order_state_job(spark, raw, out, os.path.join(root, f"dlq-{ttl}"),
+                                              os.path.join(root, f"ckpt-{ttl}"), ttl_days=ttl)
+        q.awaitTermination()
+        q_dlq.awaitTermination()
+        outs.append(sorted(spark.read.parquet(out).drop("total_value").collect()))
+    assert outs[0] == outs[1]
