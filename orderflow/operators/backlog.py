@@ -127,12 +127,12 @@ def backlog_depth_cube(state: DataFrame, as_of: Column) -> DataFrame:
 
 def backlog_summary(metrics: DataFrame, business_unit: str | None = None,
                     horizon: str | None = None, window_type: str | None = None,
-                    top_n: int = S.SUMMARY_FAMILY_SIZE) -> DataFrame:
+                    top_n: int = S.SUMMARY_FAMILY_SIZE, latest_only: bool = False) -> DataFrame:
     """AGG-2 + AGG-3 in one pass: ``rollup(product_family)`` gives the family
     rows and the grand total; families ranked by record count, top ``top_n``.
 
     As coded, every stored window of every type is summed (Q7); pass
-    ``window_type`` to restrict it.
+    ``window_type`` and/or ``latest_only`` to restrict it.
     """
     m = metrics
     if business_unit:
@@ -141,6 +141,9 @@ def backlog_summary(metrics: DataFrame, business_unit: str | None = None,
         m = m.where(F.col("horizon") == horizon)
     if window_type:
         m = m.where(F.col("window_type") == window_type)
+    if latest_only:   # only the newest window of each key and window type
+        newest = F.max("window_start").over(Window.partitionBy(*KEY, "window_type"))
+        m = m.withColumn("_newest", newest).where(F.col("window_start") == F.col("_newest"))
     g = m.rollup("product_family").agg(
         F.sum(F.col("unfulfilled_demand").cast(S.MONEY)).alias("demand"),
         F.sum(F.col("available_supply").cast(S.MONEY)).alias("supply"),

@@ -86,3 +86,13 @@ def test_exact_quantiles_equal_percentile(spark, rows):
     for g, vals in got.items():
         assert vals == want[g]
     assert all(want[g] == [None] * 5 for g in want if g not in got)
+
+
+def test_summary_latest_only_uses_newest_window_per_key(spark):
+    rec = records(spark, [5, 65, 125])                     # three hourly windows
+    m = BL.backlog_windows(rec, "1 hour", None, "tumbling_1h")
+    full = {r["product_family"]: r for r in BL.backlog_summary(m).collect()}
+    last = {r["product_family"]: r for r in BL.backlog_summary(m, latest_only=True).collect()}
+    newest = m.orderBy(F.desc("window_start")).first()
+    assert last["ALL"]["demand"] == newest["unfulfilled_demand"]
+    assert full["ALL"]["demand"] == m.agg(F.sum("unfulfilled_demand")).first()[0]
