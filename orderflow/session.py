@@ -57,11 +57,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and lineage-cutting tables.
 
     The cluster names it in ``spark.checkpoint.dir``; that value always wins.
-    Only when it is unset (unit tests, a laptop) do we pick a scratch folder
-    and record it in the session so later calls agree.
+    Only when it is unset on a local master (unit tests, a laptop) do we pick
+    a scratch folder and record it in the session so later calls agree; on a
+    cluster an unset value is an error, never a machine-local folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
         d = tempfile.mkdtemp(prefix="orderflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
