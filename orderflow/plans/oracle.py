@@ -455,7 +455,7 @@ METRICS = RECORDS + ",\n" + window_select(60, 5, "sliding_1h", "ms") + ",\n" + \
     window_select(24 * 60, 24 * 60, "tumbling_daily", "mt") + """,
 m AS (SELECT * FROM ms UNION ALL SELECT * FROM mt)"""
 
-def summary_sql(metrics_ctes: str, extra: str = "") -> str:
+def summary_sql(metrics_ctes: str, extra: str = "", label: str = "ALL") -> str:
     """Backlog summary over a CTE chain that defines ``m`` (metric rows)."""
     return f"""WITH {metrics_ctes},
 fam AS (
@@ -471,7 +471,7 @@ tot AS (
          sum(CAST(demand_gap AS DECIMAL(15,2))) AS gap, sum(order_count) AS orders
   FROM m),
 u AS (SELECT product_family, demand, supply, gap, orders FROM top UNION ALL SELECT * FROM tot)
-SELECT 'ALL' AS business_unit, product_family, CAST(coalesce(demand, 0) AS DOUBLE) AS demand,
+SELECT '{label}' AS business_unit, product_family, CAST(coalesce(demand, 0) AS DOUBLE) AS demand,
        CAST(coalesce(supply, 0) AS DOUBLE) AS supply, CAST(coalesce(gap, 0) AS DOUBLE) AS gap,
        CAST(coalesce(orders, 0) AS BIGINT) AS order_count,
        CASE WHEN coalesce(gap, 0) > 0 THEN 'At Risk' ELSE 'Covered' END AS status_label{extra}
@@ -772,3 +772,7 @@ SELECT order_id, order_status, updated_at, v.customer_name AS customer_name,
        CAST(v.total_value AS DOUBLE) AS total_value
 FROM lst WHERE business_unit = 'EMEA' AND order_status = 'SHIPPED'
 ORDER BY updated_at DESC, order_id LIMIT 100"""
+
+ORACLE["backlog_summary_filtered"] = summary_sql(
+    RECORDS + ",\n" + window_select(60, 5, "sliding_1h", "ms") + """,
+m AS (SELECT * FROM ms WHERE bu = 'North America' AND horizon = 'D7')""", label="North America")

@@ -880,3 +880,10 @@ def orders_by_status_as_coded(spark, sf_dir):
     """LIM-2 over the insert-only listing (Q10, ``current=False``)."""
     listing = SR.status_listing_as_coded(ST.order_changelog(_clean_changes(spark, sf_dir)))
     return SR.orders_by_status(listing, "EMEA", "SHIPPED", 100)
+
+
+@register("backlog_summary_filtered")
+def backlog_summary_filtered(spark, sf_dir):
+    """FLT-5 + Q7 parameters: one business unit, one horizon, one window type."""
+    return BL.backlog_summary(_metrics(spark, sf_dir), business_unit="North America",
+                              horizon="D7", window_type="sliding_1h")
