@@ -776,3 +776,14 @@ ORDER BY updated_at DESC, order_id LIMIT 100"""
 ORACLE["backlog_summary_filtered"] = summary_sql(
     RECORDS + ",\n" + window_select(60, 5, "sliding_1h", "ms") + """,
 m AS (SELECT * FROM ms WHERE bu = 'North America' AND horizon = 'D7')""", label="North America")
+
+ORACLE["order_search_terms_page"] = f"""WITH {STAR}
+SELECT row_number() OVER (ORDER BY updated_at DESC, order_id) AS position, order_id,
+       customer_name, business_unit, product_family, order_status, priority_tier,
+       CAST(total_value AS DOUBLE) AS total_value, updated_at
+FROM st WHERE business_unit = 'ASIA' AND product_family = 'PROMO'
+ORDER BY updated_at DESC, order_id LIMIT 50"""
+
+ORACLE["order_trends_day_unit"] = trend_sql(
+    STAR + ",\nste AS (SELECT * FROM st WHERE business_unit = 'EUROPE')", "ste", "created_at", "day",
+    _OT, ["order_count", "total_value"])

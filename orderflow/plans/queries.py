@@ -887,3 +887,24 @@ def backlog_summary_filtered(spark, sf_dir):
     """FLT-5 + Q7 parameters: one business unit, one horizon, one window type."""
     return BL.backlog_summary(_metrics(spark, sf_dir), business_unit="North America",
                               horizon="D7", window_type="sliding_1h")
+
+
+@register("order_search_terms_page")
+def order_search_terms_page(spark, sf_dir):
+    """FLT-1/FLT-4: term filters on unit and family, no text query
+    (match-all), first page of 50 by recency."""
+    st = ORD.star_order_state(spark, sf_dir)
+    hits = SR.filter_orders(st, business_unit="ASIA", product_family="PROMO")
+    p = SR.search_page(hits, page=1, size=50)
+    return p.select("position", "order_id", "customer_name", "business_unit", "product_family",
+                    "order_status", "priority_tier",
+                    X.money_out(F.col("total_value")).alias("total_value"), "updated_at")
+
+
+@register("order_trends_day_unit")
+def order_trends_day_unit(spark, sf_dir):
+    """AGG-6 restricted to one business unit (the trends endpoint's filter)."""
+    st = SR.filter_orders(ORD.star_order_state(spark, sf_dir), business_unit="EUROPE")
+    return SR.calendar_histogram(st, "created_at", "day", {
+        "order_count": F.count(F.lit(1)),
+        "total_value": X.money_out(F.sum("total_value"))})
