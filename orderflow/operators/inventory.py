@@ -19,8 +19,13 @@ from orderflow.sources import adapters as A
 from orderflow.sources.tables import read_table
 
 
-def inventory_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inventory_events(spark: SparkSession, sf_dir: str, sku: str | None = None) -> DataFrame:
+    """Inventory change events; a numeric ``sku`` filters the native part
+    key so the predicate reaches the parquet scan."""
     li = read_table(spark, sf_dir, "lineitem")
+    if sku is not None:
+        li = li.where(F.col("l_partkey") == F.lit(int(sku))) if sku.isdigit() \
+            else li.where(F.col("l_partkey").cast("string") == F.lit(sku))
     q = F.col("l_quantity").cast(S.QTY)
     zero = F.lit(0).cast(S.QTY)
     return li.select(

@@ -787,3 +787,6 @@ ORDER BY updated_at DESC, order_id LIMIT 50"""
 ORACLE["order_trends_day_unit"] = trend_sql(
     STAR + ",\nste AS (SELECT * FROM st WHERE business_unit = 'EUROPE')", "ste", "created_at", "day",
     _OT, ["order_count", "total_value"])
+
+ORACLE["supply_for_sku"] = (f"WITH {INV} SELECT sku, warehouse_id, {QTY3}, updated_at FROM pos "
+                            "WHERE sku = '42'")

@@ -908,3 +908,10 @@ def order_trends_day_unit(spark, sf_dir):
     return SR.calendar_histogram(st, "created_at", "day", {
         "order_count": F.count(F.lit(1)),
         "total_value": X.money_out(F.sum("total_value"))})
+
+
+@register("supply_for_sku")
+def supply_for_sku(spark, sf_dir):
+    """LIM-7 as the endpoint asks it: every warehouse row of one SKU."""
+    p = INV.inventory_position(INV.inventory_events(spark, sf_dir, sku="42"))
+    return p.select("sku", "warehouse_id", *_qty_out(p, QTY_COLS), "updated_at")
