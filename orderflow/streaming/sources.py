@@ -40,3 +40,11 @@ def kafka_stream(spark: SparkSession, servers: str, topics: list[str],
             .option("startingOffsets", starting_offsets)
             .load()
             .selectExpr("topic", "CAST(value AS STRING) AS value", "timestamp"))
+
+
+def route_by_topic(stream: DataFrame, topics: list[str]) -> dict[str, DataFrame]:
+    """SRC-3: one multi-topic subscription split into per-topic streams by
+    the ``topic`` column (a filter each; the source is read once per query
+    that uses a branch)."""
+    from pyspark.sql import functions as F
+    return {t: stream.where(F.col("topic") == F.lit(t)).select("value") for t in topics}
