@@ -42,6 +42,7 @@ SLIDING_SIZE, SLIDING_SLIDE = "1 hour", "5 minutes"
 TUMBLING_DAILY = "24 hours"
 RETENTION_DAYS = {"order_state": 90, "backlog_metrics": 30, "fulfillment_metrics": 365,
                   "pipeline_event_log": 7}
+PIPELINE_SOURCE = "debezium-postgres"      # static field of the unwrapped CDC record
 SEARCH_PAGE_MAX = 200
 BY_STATUS_LIMIT_MAX = 500
 BACKLOG_SERIES_LIMIT = 100

@@ -239,7 +239,7 @@ def raw_unwrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("__lsn"), F.col("lsn").cast("string"),
         F.lit("__source_ts_ms"), X.ts_to_ms(F.col("ts")).cast("string"),
         F.lit("__deleted"), F.when(F.col("op") == "d", "true").otherwise("false"),
-        F.lit("pipeline_source"), F.lit("debezium-postgres"))
+        F.lit("pipeline_source"), F.lit(S.PIPELINE_SOURCE))
     return ch.select(F.col("lsn").alias("event_id"),
                      F.to_json(F.map_concat(image, meta)).alias("value"))
 

@@ -115,3 +115,12 @@ def test_priority_labels(spark):
     df = spark.createDataFrame([(1,), (5,), (7,)], "t int")
     assert [r[0] for r in df.select(X.priority_label(F.col("t"))).collect()] == \
         ["P1-Critical", "P5-Minimal", "P7"]
+
+
+def test_route_by_topic(spark):
+    from orderflow.streaming.sources import route_by_topic
+    df = spark.createDataFrame([("orders.enriched", "a"), ("backlog.metrics", "b"),
+                                ("orders.enriched", "c")], "topic string, value string")
+    r = route_by_topic(df, ["orders.enriched", "backlog.metrics"])
+    assert sorted(x[0] for x in r["orders.enriched"].collect()) == ["a", "c"]
+    assert [x[0] for x in r["backlog.metrics"].collect()] == ["b"]
