@@ -63,9 +63,7 @@ def search_page(hits: DataFrame, page: int = 1, size: int = 20) -> DataFrame:
     return top.withColumn("position", (F.row_number().over(w) + F.lit(start)).cast("bigint"))
 
 
-FACETS = ["order_status", "business_unit", "product_family", "priority_tier", "channel"]
-FACET_SIZE = {"order_status": 10, "business_unit": 20, "product_family": 20,
-              "priority_tier": 10, "channel": 20}
+FACETS = list(S.FACET_SIZES)
 
 
 def search_facets(hits: DataFrame) -> DataFrame:
@@ -86,7 +84,7 @@ def search_facets(hits: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("facet")
                                .orderBy(F.desc("doc_count"), F.asc("key")))
     limit = F.lit(1)
-    for c, s in FACET_SIZE.items():
+    for c, s in S.FACET_SIZES.items():
         limit = F.when(F.col("facet") == c, F.lit(s)).otherwise(limit)
     return g.withColumn("rank", rank).where(F.col("rank") <= limit) \
         .withColumn("rank", F.col("rank").cast("bigint"))

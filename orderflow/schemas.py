@@ -47,7 +47,8 @@ SEARCH_PAGE_MAX = 200
 BY_STATUS_LIMIT_MAX = 500
 BACKLOG_SERIES_LIMIT = 100
 FULFILLMENT_DAYS_LIMIT = 90
-FACET_SIZES = {"order_status": 10, "business_unit": 20, "product_family": 20}
+FACET_SIZES = {"order_status": 10, "business_unit": 20, "product_family": 20,
+               "priority_tier": 10, "channel": 20}
 SUMMARY_FAMILY_SIZE = 50
 HOT_KEY_SHARE = 0.05
 # ---------------------------------------------------------------------------
