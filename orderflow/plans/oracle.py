@@ -694,7 +694,9 @@ ORACLE["stream_backlog_windows"] = f"""WITH {STREAM_RECORDS},
 SELECT * FROM ms WHERE window_end <= (SELECT max(ts) FROM rec) - INTERVAL 30 SECOND"""
 ORACLE["stream_dashboard_push"] = summary_sql(
     STREAM_RECORDS + ",\n" + window_select(60, 5, "sliding_1h", "ms") + """,
-m AS (SELECT * FROM ms WHERE window_end <= (SELECT max(ts) FROM rec) - INTERVAL 30 SECOND)""",
+closed AS (SELECT * FROM ms WHERE window_end <= (SELECT max(ts) FROM rec) - INTERVAL 30 SECOND),
+m AS (SELECT * FROM closed
+      WHERE window_start >= (SELECT max(window_start) FROM closed) - INTERVAL 30 DAY)""",
     ", 'backlog_update' AS type")
 
 ORACLE["star_cdc_fold"] = f"""WITH {STAR},

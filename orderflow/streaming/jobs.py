@@ -124,6 +124,10 @@ def start_dashboard_job(spark: SparkSession, metrics_dir: str, summary_dir: str,
         if batch.isEmpty():
             return
         m = SK.read_latest(spark, metrics_dir, WINDOW_KEY)
+        # the metric table's retention (30 days, event time) bounds each recompute
+        newest = m.select(F.max("window_start")).scalar()
+        m = m.where(F.col("window_start") >= newest - F.make_dt_interval(
+            days=F.lit(S.RETENTION_DAYS["backlog_metrics"])))
         summary = BL.backlog_summary(m).withColumn("type", F.lit("backlog_update"))
         SK.batch_append_sink(summary_dir)(summary, batch_id)
     src = spark.readStream.schema(metrics_schema).parquet(metrics_dir)
