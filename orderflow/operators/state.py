@@ -123,19 +123,34 @@ def order_changelog(changes: DataFrame, segment: str = "hour") -> DataFrame:
     """
     ev = prepare(changes)
     specs = _field_specs()
+    # running line demand (for ATP): each line upsert contributes its quantity
+    # minus that line's previous quantity
+    img = F.col(IMAGE)
+    is_line = (F.col("source_table") == "order_line_items") & (F.col("op") != "d")
+    qty = F.coalesce(F.coalesce(img["quantity"], F.lit("0")).try_cast(S.QTY),
+                     F.lit(0).cast(S.QTY))
+    # non-line rows get a per-timestamp key so they never pile up in one group
+    ev = ev.withColumn("_line", F.when(is_line, F.concat(F.lit("L"), img["line_id"]))
+                       .otherwise(F.concat(F.lit("#"), F.col("ts").cast("string"))))
+    prev = F.lag(qty).over(Window.partitionBy("order_id", "_line").orderBy("seq"))
+    ev = ev.withColumn("_delta", F.when(is_line, qty - F.coalesce(prev, F.lit(0).cast(S.QTY)))
+                       .otherwise(F.lit(0).cast(S.QTY)))
     scan = [(f"_r_{n}", F.when(F.col(f"has_{n}"), F.struct(F.col(f"v_{n}").alias("v"))),
              "last") for n in HEADER_OUT]
+    scan.append(("_demand", F.col("_delta"), "sum"))
     scan += [("_fam", F.when(F.col("has_family"), F.col("v_family")), "first"),
              ("_created", F.when(F.col("is_header"), F.col("ts")), "first"),
              ("_updated", F.when(F.col("is_header"), F.col("ts")), "last")]
     seg = F.date_trunc(segment, F.col("seq").getField("ts"))
     r = segmented_scan_multi(ev, ["order_id"], seg, ["seq"], scan)
-    cols = [F.col("order_id"), F.col("source_table"), F.col("op"), F.col("ts"), F.col("lsn")]
+    cols = [F.col("order_id"), F.col("source_table"), F.col("op"), F.col("ts"), F.col("lsn"),
+            F.col("seq")]
     for name in HEADER_OUT:
         run = F.col(f"_r_{name}")
         cols.append(F.when(run.isNull(), specs[name][1]).otherwise(run["v"]).alias(name))
     cols += [F.coalesce(F.col("_fam"), F.lit("")).alias("product_family"),
-             F.col("_created").alias("created_at"), F.col("_updated").alias("updated_at")]
+             F.col("_created").alias("created_at"), F.col("_updated").alias("updated_at"),
+             F.col("_demand").cast(S.QTY).alias("total_demand")]
     return r.select(*cols)
 
 

@@ -107,3 +107,13 @@ def test_fold_invariant_to_partitioning_and_duplicates(spark, evs, parts):
     dup = frame(spark, rows + rows[::2]).repartition(parts)
     got = sorted(ST.fold_orders(CDC.dedup_lsn(dup)).collect())
     assert got == want
+
+
+def test_changelog_running_demand_matches_full_fold(spark, sf):
+    from orderflow.plans.queries import star_domain_changes
+    ch = star_domain_changes(spark, sf)
+    final = dict(ST.order_changelog(ch).groupBy("order_id")
+                 .agg(F.max_by("total_demand", "seq")).collect())
+    want = dict(ST.order_state(ch).select("order_id", "total_demand").collect())
+    assert final.keys() == want.keys()
+    assert all(final[k] == want[k] for k in want)
