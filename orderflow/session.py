@@ -9,7 +9,7 @@ skew-join splitting, broadcast conversion behind a measured size).
 from __future__ import annotations
 
 import os
-import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -57,21 +57,37 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and lineage-cutting tables.
 
     The cluster names it in ``spark.checkpoint.dir``; that value always wins.
-    Only when it is unset on a local master (unit tests, a laptop) do we pick
-    a scratch folder and record it in the session so later calls agree; on a
-    cluster an unset value is an error, never a machine-local folder.
+    Where it is unset, a folder under the warehouse serves, which every
+    executor shares as well; never a machine-local one.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
-        d = tempfile.mkdtemp(prefix="orderflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application.
+
+    Spark serves the archive from the driver's own scratch space, as it does
+    for ``--py-files``; installing the package on the cluster works as well.
+    """
+    sc = spark.sparkContext
+    if any(name.startswith("orderflow-") for name in sc._python_includes):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(sc._temp_dir, f"orderflow-{sc.applicationId}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A named location under the shared checkpoint folder."""
     return os.path.join(checkpoint_root(spark), name)
