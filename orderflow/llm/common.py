@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderflow.session import checkpoint_root
+
 #: Words are runs of characters other than space and TAB..CR.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Files of the public tokenizers; a parameter of every operator that reads them.
@@ -19,17 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+    """Cut the lineage with a table written to the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` always wins. Only where it is unset, as in tests, a
-    folder under the warehouse (shared as well) is used.
+    The files stay until the folder is cleaned, like any checkpoint's.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
+    checkpoint_root(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_of(col: str = "text") -> Column:
