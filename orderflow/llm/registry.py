@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.llm import chatfsm, fairqueue, histosort, quality, simhash, viterbi, winnow
+from orderflow.llm import chatfsm, fairqueue, histosort, quality, simhash, suffixmerge, superkmer, viterbi, winnow
 from orderflow.llm.common import table, text_of
 from orderflow.session import ship_package
 
@@ -40,6 +40,18 @@ def op3_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")).select("doc_id", "n_chars", "n_pieces", "score")
 
 
+@query
+def op4_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = superkmer.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256")
+
+
+@query
+def op10_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixmerge.remove_repeats(table(spark, sf_dir, "documents"), window=50)
+    return out.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 @query
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = winnow.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
