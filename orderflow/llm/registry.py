@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.llm import chatfsm, fairqueue, histosort, quality, simhash, suffixmerge, superkmer, viterbi, winnow
+from orderflow.llm import chatfsm, fairqueue, histosort, quality, sanitize, simhash, suffixmerge, superkmer, viterbi, winnow
 from orderflow.llm.common import table, text_of
 from orderflow.session import ship_package
 
@@ -86,6 +86,17 @@ def op8_chat_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("formatted").cast("long").alias("formatted_chars"), "valid")
 
 
+@query
+def op9_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sanitize.disclosure_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.filter("personal", lambda s: s["kind"] == kind)
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in sanitize.PATTERNS]
+    terms = F.transform("terms", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    spans = F.concat(F.transform("personal", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), terms)
+    return out.select("doc_id", *counts, F.sha2(sanitize.report(F.col("personal")), 256).alias("base_sha256"),
+                      sanitize.report(spans).alias("spans"), F.size("terms").cast("long").alias("n_term"))
+
+
 ORACLE["op8_chat_fsm"] = r"""
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
