@@ -26,9 +26,8 @@ LAST = (1 << 63) - 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Grams met in more pieces than this are compared window by window, spread over all tasks.
 HOT = 2000
-#: kind 0: a finished document; 1: a text that waits for its spans; 2: a piece.
-MIXED = "kind int, k long, k2 long, doc long, n long, start int, at int, h long, weight int, body binary, sha string"
-SCHEMA = pa.schema([("kind", pa.int32()), ("k", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("start", pa.int32()), ("at", pa.int32()), ("h", pa.int64()), ("weight", pa.int32()), ("body", pa.binary()), ("sha", pa.string())])
+PIECE = pa.schema([("k", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("weight", pa.int32()), ("start", pa.int32()), ("at", pa.int32()), ("h", pa.int64()), ("body", pa.binary())])
+PIECE_SQL = "k long, k2 long, doc long, weight int, start int, at int, h long, body binary"
 
 
 @dataclass(frozen=True)
@@ -58,21 +57,22 @@ class Words:
 
 @dataclass(frozen=True)
 class Bytes:
-    """Single bytes as units; grams of 16."""
+    """Single bytes as units; grams of 24, which few strings share by chance."""
 
     window: int
-    gram: int = 16
+    gram: int = 24
 
     def split(self, text: bytes) -> bytes:
         return text
 
     def hashes(self, units: bytes) -> np.ndarray:
-        n = len(units) - 15
-        words = np.ndarray((n + 8,), "<u8", units, strides=(1,))
-        g = words[:n] * MIX
-        g ^= g >> np.uint64(32)
-        g = (g ^ words[8:]) * MIX
-        return g ^ (g >> np.uint64(32))
+        n = len(units) - self.gram + 1
+        eights = np.ndarray((n + 16,), "<u8", units, strides=(1,))
+        g = np.zeros(n, np.uint64)
+        for i in (0, 8, 16):
+            g = (g ^ eights[i:n + i]) * MIX
+            g ^= g >> np.uint64(32)
+        return g
 
     def join(self, units: bytes) -> bytes:
         return units
@@ -102,93 +102,136 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text.alias("text"), F.xxhash64(text).alias("k"), F.xxhash64(F.lit(1), text).alias("k2"))
 
 
+#: Texts whose anchors one row may number; the last number marks an entry that only tells.
+NUMBERED = 0xFFFF
+TOLD = np.uint16(NUMBERED)
+GRAMS = pa.schema([("bucket", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("d", pa.binary()), ("ks", pa.binary())])
+
+
+def batch_grams(batches: Iterator[pa.RecordBatch], unit, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Anchor hashes of a batch's different texts by bucket: hashes (high and low bits), text numbers d, and the texts' k.
+
+    What the batch holds twice is known to repeat: it goes out as such (negative buckets, by
+    text), and one entry (d = TOLD) tells the others. So a gram that most texts hold puts one
+    entry a batch into its bucket.
+    """
+    for batch in (b.slice(i, NUMBERED) for b in batches for i in range(0, b.num_rows, NUMBERED)):
+        ks, found, seen = [], [], set()
+        for k, text in zip(batch.column("k").to_pylist(), batch.column("text").cast(pa.binary())):
+            if k in seen:  # a copy, which the key counts tell already
+                continue
+            seen.add(k)
+            h = pieces(unit, unit.split(text.as_py()))[3] >> np.uint64(16)
+            found.append(np.unique(h, return_counts=True))
+            ks.append(k)
+        if not ks:
+            continue
+        k = np.array(ks, np.int64)
+        h = np.concatenate([x for x, _ in found])
+        d = np.repeat(np.arange(len(ks), dtype=np.uint16), [len(x) for x, _ in found])
+        twice = np.concatenate([n for _, n in found]) > 1
+        order = np.argsort(h, kind="stable")
+        h, d, twice = h[order], d[order], twice[order]
+        same = h[1:] == h[:-1]
+        known = twice.copy()
+        known[1:] |= same
+        known[:-1] |= same
+        first = np.append(True, ~same) & known
+        rows = []
+        for sign, hs, ds in ((1, np.concatenate([h[~known], h[first]]), np.concatenate([d[~known], np.full(int(first.sum()), TOLD)])), (-1, h[known], d[known])):
+            b = ((hs if sign > 0 else k[ds].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(b, kind="stable")
+            hs, ds, b = hs[order], ds[order], b[order]
+            edges = np.flatnonzero(np.diff(b)) + 1
+            for x, y, z in zip(np.split(hs, edges), np.split(ds, edges), np.split(b, edges)) if len(b) else ():
+                real = y != TOLD
+                own, number = np.unique(y[real], return_inverse=True)
+                y = y.copy()
+                y[real] = number
+                rows.append((int(z[0]) if sign > 0 else -1 - int(z[0]), (x >> np.uint64(16)).astype(np.uint32).tobytes(), x.astype(np.uint16).tobytes(), y.tobytes(), k[own].tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), GRAMS)], schema=GRAMS)
+
+
+def matched_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, hs) of hashes that a bucket holds twice; rows come sorted by bucket."""
+    schema = pa.schema([("k", pa.int64()), ("hs", pa.list_(pa.int64()))])
+
+    def bucket_rows(bucket: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate([np.frombuffer(x, np.uint32).astype(np.uint64) << np.uint64(16) | np.frombuffer(y, np.uint16) for x, y, _, _ in parts])
+        k = np.concatenate([np.append(np.frombuffer(ks, np.int64), 0)[np.minimum(np.frombuffer(d, np.uint16), len(ks) // 8)] for _, _, d, ks in parts])
+        told = np.concatenate([np.frombuffer(d, np.uint16) == TOLD for _, _, d, _ in parts])
+        if bucket >= 0:
+            order = np.argsort(h, kind="stable")
+            h, k, told = h[order], k[order], told[order]
+            same = h[1:] == h[:-1]
+            keep = np.zeros(len(h), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            h, k = h[keep & ~told], k[keep & ~told]
+        if len(h):
+            order = np.lexsort((h, k))
+            h, k = h[order].view(np.int64), k[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (k[1:] != k[:-1]))
+            h, k = h[new], k[new]
+            edges = np.append(np.append(0, np.flatnonzero(np.diff(k)) + 1), len(k))
+            hs = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(h))
+            yield pa.RecordBatch.from_arrays([pa.array(k[edges[:-1]]), hs], schema=schema)
+
+    last, parts = None, []
+    for batch in batches:
+        for bucket, *part in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != last and parts:
+                yield from bucket_rows(last, parts)
+                parts = []
+            last = bucket
+            parts.append(tuple(part))
+    if parts:
+        yield from bucket_rows(last, parts)
+
+
 def repeated_grams(rows: DataFrame, unit) -> DataFrame:
-    """(k, hs): for each text the anchors' hashes that occur elsewhere too.
+    """(k, hs): for each text the anchors' hashes (48 bits) that occur elsewhere too.
 
-    A batch counts its own texts first. What it finds twice is known to repeat and goes
-    to its text directly (dealt by text, ``s``); one row a batch tells the others. So a
-    gram that most texts hold puts one row a batch into its task.
+    Hashes travel as packed arrays, one a batch and bucket; there are 4 buckets a shuffle
+    partition, so their size is that of any shuffle's.
     """
+    buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.select("k", "text").mapInArrow(lambda batches: batch_grams(batches, unit, buckets), "bucket int, high binary, low binary, d binary, ks binary")
+    met = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(matched_grams, "k long, hs array<long>")
+    return met.select("k", F.explode("hs").alias("h")).groupBy("k").agg(F.collect_set("h").alias("hs"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ks, sizes, found = [], [], []
-            seen = set()
-            for k, text in zip(batch.column("k").to_pylist(), batch.column("text").cast(pa.binary())):
-                if k in seen:  # a copy, which the key counts tell already
-                    continue
-                seen.add(k)
-                _, _, _, h = pieces(unit, unit.split(text.as_py()))
-                h, n = np.unique(h, return_counts=True)
-                ks.append(k)
-                sizes.append(len(h))
-                found.append((h, n))
-            if not ks:
-                continue
-            h = np.concatenate([x for x, _ in found]).view(np.int64)
-            k = np.repeat(np.array(ks, np.int64), sizes)
-            _, inverse, rows_ = np.unique(h, return_inverse=True, return_counts=True)
-            twice = np.bincount(inverse, np.concatenate([n for _, n in found])) > 1
-            known = twice[inverse]
-            tell = np.zeros(len(h), bool)
-            tell[np.unique(inverse, return_index=True)[1]] = True
-            tell &= known
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([h, h[tell]])), pa.array(np.concatenate([k, np.zeros(tell.sum(), np.int64)])),
-                pa.array(np.concatenate([np.where(known, k | 1, 0), np.zeros(tell.sum(), np.int64)])),
-                pa.array(np.concatenate([np.where(known, 2, 1), np.full(tell.sum(), 3)]).astype(np.int32))], ["h", "k", "s", "w"])
-
-    # w: 1 seen once, 2 known to repeat, 3 the row that tells the others
-    met = rows.select("k", "text").mapInArrow(run, "h long, k long, s long, w int")
-    from pyspark.sql import Window
-    met = met.withColumn("t", F.sum("w").over(Window.partitionBy("h", "s"))).where("t > 1 and w < 3")
-    return met.groupBy("k").agg(F.collect_set("h").alias("hs"))
-
-
-def mixed(docs: DataFrame, unit, copies_go: str) -> DataFrame:
-    """Finished documents, waiting texts and pieces as one written table (see MIXED).
-
-    ``copies_go``: of documents with equal texts, "all" (every window of theirs repeats) or
-    "later" (those whose doc isn't the smallest) lose everything, if a window long.
+
+def found_pieces(docs: DataFrame, unit) -> DataFrame:
+    """Pieces of repeated anchors in one document of each text, as a written table.
+
+    (k, k2, doc, weight, start, at, h, body): weight is 2 if the text has copies.
     """
     rows = keyed(docs)
     texts = rows.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc").alias("first"))
-    cands = repeated_grams(rows, unit)
-    info = texts.join(cands, "k", "left").select(F.col("k").alias("i"), F.col("k2").alias("i2"), "copies", "first", "hs")
-    joined = rows.join(info, (F.col("k") == F.col("i")) & (F.col("k2") == F.col("i2"))).drop("i", "i2")
+    info = texts.join(repeated_grams(rows, unit), "k").select(F.col("k").alias("i"), F.col("k2").alias("i2"), "copies", "first", "hs")
+    joined = rows.join(info, (F.col("k") == F.col("i")) & (F.col("k2") == F.col("i2")) & (F.col("doc") == F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hashlib import sha256
-
         for batch in batches:
             out: list[tuple] = []
             size = 0
-            for doc, k, k2, copies, first, text, hs in zip(*(batch.column(c).to_pylist() for c in ("doc", "k", "k2", "copies", "first")), batch.column("text").cast(pa.binary()), batch.column("hs")):
-                text = text.as_py()
-                units = unit.split(text)
-                n = len(units)
-                gone = n >= unit.window and copies > 1 and (copies_go == "all" or doc > first)
-                chosen = hs.values.to_numpy() if hs.is_valid and doc == first and n >= unit.window else None
-                if gone or chosen is None:
-                    out.append((0, k, k2, doc, n, None, None, None, None, None, None if gone else sha256(unit.join(units)).hexdigest()))
-                else:
-                    out.append((1, k, k2, doc, n, None, None, None, None, text, None))
-                    size += len(text)
-                if chosen is not None:
-                    start, end, at, h = pieces(unit, units)
-                    h = h.view(np.int64)
-                    for i in np.flatnonzero(np.isin(h, chosen)).tolist():
-                        a, b = int(start[i]), int(end[i]) + unit.window - 1
-                        body = unit.join(units[a:b])
-                        out.append((2, k, k2, doc, None, a, int(at[i]), int(h[i]), min(copies, 2), body, None))
-                        size += len(body)
-                if size > 1 << 24 or len(out) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), SCHEMA)], schema=SCHEMA)
+            for doc, k, k2, copies, text, hs in zip(*(batch.column(c).to_pylist() for c in ("doc", "k", "k2", "copies")), batch.column("text").cast(pa.binary()), batch.column("hs")):
+                units = unit.split(text.as_py())
+                start, end, at, h = pieces(unit, units)
+                h = (h >> np.uint64(16)).view(np.int64)
+                chosen = np.flatnonzero(np.isin(h, hs.values.to_numpy()))
+                for a, b, p, x in zip(start[chosen].tolist(), (end[chosen] + unit.window - 1).tolist(), at[chosen].tolist(), h[chosen].tolist()):
+                    body = unit.join(units[a:b])
+                    out.append((k, k2, doc, min(copies, 2), a, p, x, body))
+                    size += len(body)
+                if size > 1 << 24:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), PIECE)], schema=PIECE)
                     out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), SCHEMA)], schema=SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), PIECE)], schema=PIECE)
 
-    return cut(joined.mapInArrow(run, MIXED))
+    return cut(joined.select("doc", "k", "k2", "copies", "text", "hs").mapInArrow(run, PIECE_SQL))
 
 
 def hot_grams(found: DataFrame, hot: int) -> tuple[DataFrame, DataFrame | None]:
@@ -200,24 +243,35 @@ def hot_grams(found: DataFrame, hot: int) -> tuple[DataFrame, DataFrame | None]:
 
 
 def windows(found: DataFrame, unit) -> DataFrame:
-    """(window binary, doc, weight, k, k2, a): one row for each window of the pieces."""
+    """(w binary, i, b, b2, ...): one row for each window of the strings (body, b, b2, doc, weight)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 units = unit.split(row["body"])
                 n = len(units) - unit.window + 1
-                yield pa.RecordBatch.from_pydict({"w": [unit.join(units[i:i + unit.window]) for i in range(n)], "doc": [row["doc"]] * n, "weight": pa.array([row["weight"]] * n, pa.int32()),
-                                                  "k": [row["k"]] * n, "k2": [row["k2"]] * n, "a": pa.array(range(row["start"], row["start"] + n), pa.int32())})
+                yield pa.RecordBatch.from_pydict({"w": [unit.join(units[i:i + unit.window]) for i in range(n)], "i": pa.array(range(n), pa.int32()), "b": [row["b"]] * n, "b2": [row["b2"]] * n,
+                                                  "doc": [row["doc"]] * n, "weight": pa.array([row["weight"]] * n, pa.int64())})
+
+    return found.select("body", "b", "b2", "doc", "weight").mapInArrow(run, "w binary, i int, b long, b2 long, doc long, weight long")
 
-    return found.select("body", "doc", "weight", "k", "k2", "start").mapInArrow(run, "w binary, doc long, weight int, k long, k2 long, a int")
 
+def hot_marks(found: DataFrame, unit, value: Column, repeats) -> DataFrame:
+    """Marks (k, k2, a, b) of windows in pieces of crowded grams.
 
-def hot_marks(found: DataFrame, unit, value: Column, repeats: Column) -> DataFrame:
-    """Marks (k, k2, a, b) of windows for which ``repeats`` holds, given ``value`` (``v``) over equal windows."""
-    each = cut(windows(found, unit))
-    v = each.groupBy(F.col("w").alias("w_")).agg(value.alias("v"))
-    return each.join(v, F.col("w") == F.col("w_")).where(repeats).select("k", "k2", "a", (F.col("a") + unit.window).alias("b"))
+    Equal pieces meet in one string (their weights summed, the smallest doc). ``value`` is
+    aggregated over equal windows of these; ``repeats(v, doc)`` tells whether a window of a doc's
+    goes. A piece has fewer windows than a window has units, so those that go cover one span.
+    """
+    found = found.withColumns({"b": F.xxhash64("body"), "b2": F.xxhash64(F.lit(1), "body")})
+    strings = found.groupBy("body", "b", "b2").agg(F.min("doc").alias("doc"), F.sum("weight").alias("weight"))
+    each = cut(windows(strings, unit))
+    values = each.groupBy(F.col("w").alias("w_")).agg(value.alias("v"))
+    of = each.join(values, F.col("w") == F.col("w_")).groupBy(F.col("b").alias("c"), F.col("b2").alias("c2")).agg(F.collect_list(F.struct("i", "v")).alias("vs"))
+    told = found.join(of, (F.col("b") == F.col("c")) & (F.col("b2") == F.col("c2")))
+    going = F.transform(F.filter("vs", lambda x: repeats(x["v"], F.col("doc"))), lambda x: x["i"])
+    told = told.select("k", "k2", "start", going.alias("going")).where(F.size("going") > 0)
+    return told.select("k", "k2", (F.col("start") + F.array_min("going")).alias("a"), (F.col("start") + F.array_max("going") + unit.window).alias("b"))
 
 
 def spread(flags: list[bool], start: int, window: int) -> list[tuple[int, int]]:
@@ -235,39 +289,41 @@ def spread(flags: list[bool], start: int, window: int) -> list[tuple[int, int]]:
 RESULT = "doc long, n long, n_removed long, spans array<struct<start:int,end:int>>, sha string"
 
 
-def finish(table: DataFrame, marks: DataFrame, unit) -> DataFrame:
-    """(doc_id, n, n_removed, spans, kept_sha256) of every document from its marks."""
+def finish(docs: DataFrame, marks: DataFrame, unit, copies_go: str) -> DataFrame:
+    """(doc_id, n, n_removed, spans, kept_sha256) of every document from its text's marks.
+
+    ``copies_go``: of documents with equal texts "all" (every window of theirs repeats) or the
+    "later" ones (whose doc isn't the smallest) lose everything, if a window long.
+    """
     from hashlib import sha256
 
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("sha", pa.string())])
-    empty = sha256(b"").hexdigest()
+    rows = keyed(docs)
     marks = marks.groupBy(F.col("k").alias("m"), F.col("k2").alias("m2")).agg(F.collect_set(F.struct("a", "b")).alias("marks"))
-    waiting = table.where("kind = 1").select("k", "k2", "doc", F.col("body"))
-    waiting = waiting.join(marks, (F.col("k") == F.col("m")) & (F.col("k2") == F.col("m2")), "left").select("doc", "body", "marks")
+    info = rows.groupBy(F.col("k").alias("i"), F.col("k2").alias("i2")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc").alias("first"))
+    info = info.join(marks, (F.col("i") == F.col("m")) & (F.col("i2") == F.col("m2")), "left")
+    gone = F.col("copies") > 1 if copies_go == "all" else F.col("doc") > F.col("first")
+    joined = rows.join(info, (F.col("k") == F.col("i")) & (F.col("k2") == F.col("i2"))).select("doc", "text", "marks", gone.alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text, found in zip(batch.column("doc").to_pylist(), batch.column("body"), batch.column("marks").to_pylist()):
+            out = []
+            for doc, gone, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc", "gone")), batch.column("text").cast(pa.binary()), batch.column("marks").to_pylist()):
                 units = unit.split(text.as_py())
+                n = len(units)
                 merged: list[list[int]] = []
-                for a, b in sorted((x["a"], x["b"]) for x in found or ()):
+                for a, b in [(0, n)] if gone and n >= unit.window else sorted((x["a"], x["b"]) for x in found or ()):
                     if merged and a <= merged[-1][1]:
                         merged[-1][1] = max(b, merged[-1][1])
                     else:
                         merged.append([a, b])
-                edges = [0, *(x for ab in merged for x in ab), len(units)]
-                kept = [units[a:b] for a, b in zip(edges[::2], edges[1::2])]
-                lost = sum(b - a for a, b in merged)
-                kept = unit.join([x for part in kept for x in part] if isinstance(units, list) else b"".join(kept))
-                rows.append((doc, len(units), lost, [{"start": a, "end": b} for a, b in merged], sha256(kept).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
-
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("end")))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    gone = F.col("sha").isNull()
-    done = table.where("kind = 0").select("doc", "n", F.when(gone, F.col("n")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
-                                          F.when(gone, whole).otherwise(none).alias("spans"), F.coalesce("sha", F.lit(empty)).alias("sha"))
-    out = done.unionByName(waiting.mapInArrow(run, RESULT))
+                edges = [0, *(x for ab in merged for x in ab), n]
+                parts = [units[a:b] for a, b in zip(edges[::2], edges[1::2])]
+                kept = unit.join([x for part in parts for x in part] if isinstance(units, list) else b"".join(parts))
+                out.append((doc, n, sum(b - a for a, b in merged), [{"start": a, "end": b} for a, b in merged], sha256(kept).hexdigest()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    out = joined.mapInArrow(run, RESULT)
     return out.select(F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), "n", "n_removed", "spans", F.col("sha").alias("kept_sha256"))

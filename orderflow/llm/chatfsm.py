@@ -42,7 +42,7 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    parts = F.transform(F.split(unescape(role), r"\\\\\\\\", -1), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
+    parts = F.transform(F.split(unescape(role), r"\\\\", -1), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
     return F.array_join(parts, "\\")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from functools import lru_cache
@@ -33,6 +34,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
+
+    It learns of them from the driver's garbage collection, which may otherwise be late.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_of(col: str = "text") -> Column:
     """A text, null as the empty one."""
     return F.coalesce(F.col(col), F.lit(""))

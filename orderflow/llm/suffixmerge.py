@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.anchors import HOT, Bytes, finish, hot_grams, hot_marks, mixed, spread
+from orderflow.llm.anchors import HOT, Bytes, finish, found_pieces, hot_grams, hot_marks, spread
+from orderflow.llm.common import release
 from orderflow.llm.superkmer import MARKS
 
-RUN = pa.schema([("bucket", pa.int64()), ("shared", pa.binary()), ("rest", pa.list_(pa.binary())), ("before", pa.list_(pa.binary())), ("start", pa.list_(pa.int32())), ("last", pa.list_(pa.int32())), ("doc", pa.list_(pa.int64())), ("k", pa.list_(pa.int64())), ("k2", pa.list_(pa.int64()))])
-RUN_SQL = "bucket long, shared binary, rest array<binary>, before array<binary>, start array<int>, last array<int>, doc array<long>, k array<long>, k2 array<long>"
+RUN = pa.schema([("bucket", pa.int64()), ("shared", pa.binary()), ("rests", pa.binary()), ("rest_sizes", pa.binary()), ("befores", pa.binary()), ("before_sizes", pa.binary()), ("lasts", pa.binary()), ("starts", pa.binary()), ("owners", pa.binary()), ("texts", pa.binary())])
+RUN_SQL = "bucket long, shared binary, rests binary, rest_sizes binary, befores binary, before_sizes binary, lasts binary, starts binary, owners binary, texts binary"
 
 
 def common(a: bytes, b: bytes, known: int = 0) -> int:
@@ -47,17 +48,25 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], window: int, buckets: int) ->
         by: dict[int, list] = {}
         for h, body, at, start, doc, k, k2 in zip(*(batch.column(c).to_pylist() for c in ("h", "body", "at", "start", "doc", "k", "k2"))):
             cut = at - start
-            by.setdefault(h % buckets, []).append((body[cut:cut + window], body[:cut], start, len(body) - window, doc, k, k2))
+            by.setdefault(h % buckets, []).append((body[cut:cut + window], body[:cut], len(body) - window, start, (doc, k, k2)))
         rows = []
         for bucket, run in by.items():
             run.sort(key=lambda x: x[0])
-            shared = [0] + [common(a[0], b[0]) for a, b in zip(run, run[1:])]
-            columns = list(zip(*run))
-            rows.append((bucket, bytes(shared), [s[n:] for s, n in zip(columns[0], shared)], *map(list, columns[1:])))
+            suffixes, befores, lasts, starts, owners = zip(*run)
+            shared = [0] + [common(a, b) for a, b in zip(suffixes, suffixes[1:])]
+            rests = [s[n:] for s, n in zip(suffixes, shared)]
+            texts = {owner: i for i, owner in enumerate(dict.fromkeys(owners))}
+            rows.append((bucket, bytes(shared), b"".join(rests), bytes(map(len, rests)), b"".join(befores), bytes(map(len, befores)), bytes(lasts),
+                         np.array(starts, np.int32).tobytes(), np.array([texts[o] for o in owners], np.int32).tobytes(), np.array(list(texts), np.int64).tobytes()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), RUN)], schema=RUN)
 
 
+def parted(blob: bytes, sizes: bytes) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(sizes, np.uint8), dtype=np.int64).tolist()
+    return [blob[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class LoserTree:
     """Merges front-coded runs [(shared prefix lengths, rests)]; yields (shared, run, place) in order.
 
@@ -145,13 +154,16 @@ def smallest_docs(group: list[tuple], window: int) -> list[tuple[int, int, int,
 
 
 def merge_bucket(runs: list[dict], window: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
+    columns = [(parted(r["befores"], r["before_sizes"]), np.frombuffer(r["starts"], np.int32).tolist(), r["lasts"], np.frombuffer(r["owners"], np.int32).tolist(),
+                np.frombuffer(r["texts"], np.int64).reshape(-1, 3).tolist()) for r in runs]
     group: list[tuple] = []
-    for shared, run, place, suffix in LoserTree([(r["shared"], r["rest"]) for r in runs]):
+    for shared, run, place, suffix in LoserTree([(r["shared"], parted(r["rests"], r["rest_sizes"])) for r in runs]):
         if shared < gram and group:
-            yield from smallest_docs(group, window)
+            if len(group) > 1:
+                yield from smallest_docs(group, window)
             group = []
-        r = runs[run]
-        group.append((shared, suffix, r["before"][place], r["start"][place], r["last"][place], r["doc"][place], r["k"][place], r["k2"][place]))
+        befores, starts, lasts, owners, texts = columns[run]
+        group.append((shared, suffix, befores[place], starts[place], lasts[place], *texts[owners[place]]))
     if group:
         yield from smallest_docs(group, window)
 
@@ -182,20 +194,20 @@ def remove_repeats(docs: DataFrame, window: int = 50, buckets: int | None = None
     A byte goes if a string of ``window`` bytes that covers it also starts in a document
     with a smaller doc_id; strings are judged on the input and never cross documents. Null
     texts are empty; a null doc_id counts as the largest; documents of equal doc_id don't
-    cost each other anything. ``buckets`` (16 a shuffle partition by default) part the
+    cost each other anything. ``buckets`` (2 a shuffle partition by default) part the
     grams, so that one's runs fit a task; grams in more than ``hot`` pieces are compared by exact
     window over all tasks. An empty table gives an empty result; other columns are ignored.
     """
-    if not 17 <= window <= 255:
-        raise ValueError("window must be 17 to 255 bytes")
+    if not 25 <= window <= 255:
+        raise ValueError("window must be 25 to 255 bytes")
     unit = Bytes(window)
-    buckets = buckets or 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = mixed(docs, unit, "later")
-    found = table.where("kind = 2").select("h", "body", "at", "start", "doc", "k", "k2", "weight")
+    buckets = buckets or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = found_pieces(docs, unit)
+    release(docs.sparkSession)
     usual, crowded = hot_grams(found, hot)
     gram = unit.gram
     runs = usual.drop("weight").mapInArrow(lambda batches: sorted_runs(batches, window, buckets), RUN_SQL)
     marks = runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: merged(batches, window, gram), "k long, k2 long, a int, b int")
     if crowded is not None:
-        marks = marks.union(hot_marks(crowded, unit, F.min("doc"), F.col("doc") > F.col("v")))
-    return finish(table, marks, unit)
+        marks = marks.union(hot_marks(crowded, unit, F.min("doc"), lambda v, doc: v < doc))
+    return finish(docs, marks, unit, "later")

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.anchors import HOT, Words, finish, hot_grams, hot_marks, mixed, spread
+from orderflow.llm.anchors import HOT, Words, finish, found_pieces, hot_grams, hot_marks, spread
+from orderflow.llm.common import release
 
 MARKS = pa.schema([("k", pa.int64()), ("k2", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
@@ -82,10 +83,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, minimiser: int = 6, hot: i
     are ignored.
     """
     unit = Words(window, minimiser)
-    table = mixed(docs, unit, "all")
-    found = table.where("kind = 2").select("h", "body", "weight", "k", "k2", "start", "doc")
+    found = found_pieces(docs, unit)
+    release(docs.sparkSession)
     usual, crowded = hot_grams(found, hot)
-    marks = usual.drop("doc").repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: count_bucket(batches, window), "k long, k2 long, a int, b int")
+    marks = usual.drop("doc", "at").repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: count_bucket(batches, window), "k long, k2 long, a int, b int")
     if crowded is not None:
-        marks = marks.union(hot_marks(crowded, unit, F.sum("weight"), F.col("v") > 1))
-    return finish(table, marks, unit)
+        marks = marks.union(hot_marks(crowded, unit, F.sum("weight"), lambda v, doc: v > 1))
+    return finish(docs, marks, unit, "all")
