@@ -303,6 +303,7 @@ def finish(docs: DataFrame, marks: DataFrame, unit, copies_go: str) -> DataFrame
     marks = marks.groupBy(F.col("k").alias("m"), F.col("k2").alias("m2")).agg(F.collect_set(F.struct("a", "b")).alias("marks"))
     info = rows.groupBy(F.col("k").alias("i"), F.col("k2").alias("i2")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc").alias("first"))
     info = info.join(marks, (F.col("i") == F.col("m")) & (F.col("i2") == F.col("m2")), "left")
+    info = cut(info)  # read back, it leaves Spark free to split the copies of a text in the join
     gone = F.col("copies") > 1 if copies_go == "all" else F.col("doc") > F.col("first")
     joined = rows.join(info, (F.col("k") == F.col("i")) & (F.col("k2") == F.col("i2"))).select("doc", "text", "marks", gone.alias("gone"))
 

@@ -94,8 +94,7 @@ def disclosing(docs: DataFrame, near: DataFrame, least_contexts: int, least_shar
     both = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= least_contexts)
     both = cut(both)
     words = F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(r"\p{L}{4,}+"), F.lit(0)))
-    wanted = both.select("term").distinct()
-    held = docs.select(F.explode(words).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
+    held = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
     every = docs.agg(F.count(F.lit(1)).alias("n"))
     rated = both.join(held, "term").join(contexts, "entity").join(F.broadcast(every))  # one row
     share = F.col("both") / F.greatest("of_term", "both")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderflow.llm.common import cut
+
 #: Byte by byte: A-Z lowered; all ASCII but 0-9 and a-z parts words.
 FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -132,5 +134,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     met = trained.join(tested, "h").groupBy("key", "item").agg(F.collect_set(F.struct("p", "q")).alias("at"))
     met = met.join(items.withColumnRenamed("key", "item"), "item")
     met = met.groupBy(F.col("key").alias("_met")).agg(F.collect_list(F.struct("item_ids", "text", "at")).alias("_meetings"))
+    met = cut(met)  # read back, it leaves Spark free to split the copies of a text in the join
     out = keyed.join(met, F.col("_key") == F.col("_met"), "left")
     return out.withColumn(column, judge(F.col("text"), F.col("_meetings"), window)).drop("_key", "_met", "_meetings")
