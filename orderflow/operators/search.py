@@ -55,8 +55,9 @@ def filter_orders(state: DataFrame, lines: DataFrame | None = None, q: str | Non
 
 def search_page(hits: DataFrame, page: int = 1, size: int = 20) -> DataFrame:
     """LIM-1: sort by recency, skip ``(page-1)*size``, take ``size`` (1..200)."""
-    size = max(1, min(size, S.SEARCH_PAGE_MAX))
-    start = (max(page, 1) - 1) * size
+    if page < 1 or not 1 <= size <= S.SEARCH_PAGE_MAX:
+        raise ValueError(f"page must be 1 or more, size 1 to {S.SEARCH_PAGE_MAX}")
+    start = (page - 1) * size
     top = hits.orderBy(F.desc("updated_at"), F.asc("order_id")).offset(start).limit(size)
     # numbering happens after the limit: at most `size` rows reach this window
     w = Window.orderBy(F.desc("updated_at"), F.asc("order_id"))
@@ -101,7 +102,8 @@ def lookup(state: DataFrame, order_id: str, key_col: str = "o_orderkey") -> Data
 def orders_by_status(state: DataFrame, business_unit: str, status: str,
                      limit: int = 100) -> DataFrame:
     """LIM-2: newest orders of one (bu, status), current status only (Q10)."""
-    limit = max(1, min(limit, S.BY_STATUS_LIMIT_MAX))
+    if not 1 <= limit <= S.BY_STATUS_LIMIT_MAX:
+        raise ValueError(f"limit must be 1 to {S.BY_STATUS_LIMIT_MAX}")
     return (state.where((F.col("business_unit") == business_unit) &
                         (F.col("order_status") == status))
             .select("order_id", "order_status", "updated_at", "customer_name", "product_family",

@@ -695,9 +695,13 @@ SELECT * FROM ms WHERE window_end <= (SELECT max(ts) FROM rec) - INTERVAL 30 SEC
 ORACLE["stream_dashboard_push"] = summary_sql(
     STREAM_RECORDS + ",\n" + window_select(60, 5, "sliding_1h", "ms") + """,
 closed AS (SELECT * FROM ms WHERE window_end <= (SELECT max(ts) FROM rec) - INTERVAL 30 SECOND),
-m AS (SELECT * FROM closed
-      WHERE window_start >= (SELECT max(window_start) FROM closed) - INTERVAL 30 DAY)""",
+m AS (SELECT * FROM closed)""",
     ", 'backlog_update' AS type")
+ORACLE["stream_order_state_out_of_order"] = f"""WITH {STREAM_CHANGELOG},
+last AS (SELECT * FROM cl QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, lsn DESC) = 1)
+SELECT order_id, business_unit, product_family, order_status, priority_tier,
+       CAST(total_value AS DOUBLE) AS total_value, expected_ship_date, created_at, updated_at
+FROM last"""
 
 ORACLE["star_cdc_fold"] = f"""WITH {STAR},
 alloc AS (SELECT l_orderkey, count(DISTINCT l_linenumber) AS allocation_count

@@ -665,8 +665,7 @@ def _run_fold(spark, sf_dir, root) -> str:
     raw = _write_raw(spark, sf_dir, root)
     out = os.path.join(root, "enriched")
     q, q_dlq = JOBS.start_order_state_job(spark, raw, out, os.path.join(root, "dlq"),
-                                          os.path.join(root, "ckpt"),
-                                          ttl_days=S.RETENTION_DAYS["order_state"])
+                                          os.path.join(root, "ckpt"))
     q.awaitTermination()
     q_dlq.awaitTermination()
     return out
@@ -694,6 +693,37 @@ def stream_order_state(spark, sf_dir):
                      "expected_ship_date", "created_at", "updated_at")
 
 
+#: micro-batches of the out-of-order runs, and files in each
+STREAM_PARTS, STREAM_FILES = 4, 2
+
+
+@register("stream_order_state_out_of_order")
+def stream_order_state_out_of_order(spark, sf_dir):
+    """STR-4/STR-5 over four micro-batches in no order of time, a tenth of the
+    rows delivered again in a later one; each order's last version is the
+    state that the batch fold finds."""
+    root = _run_dir(spark, "stream-shuffled")
+    raw = os.path.join(root, "raw")
+    lines = A.raw_envelope_lines(spark, sf_dir, duplicates=True).select("value")
+    mix = F.xxhash64("value")
+    part = F.pmod(mix, F.lit(STREAM_PARTS))
+    again = F.pmod(mix, F.lit(10)) == 0
+    for k in range(STREAM_PARTS):
+        rows = lines.where((part == k) | (again & (part == k - 1)))
+        rows.repartition(STREAM_FILES).write.mode("append").text(raw)
+    out = os.path.join(root, "enriched")
+    runs = JOBS.start_order_state_job(spark, raw, out, os.path.join(root, "dlq"),
+                                      os.path.join(root, "ckpt"), max_files=STREAM_FILES)
+    for q in runs:
+        q.awaitTermination()
+    cl = spark.read.schema(JOBS.enriched_schema()).parquet(out)
+    newest = Window.partitionBy("order_id").orderBy(F.desc("version"))
+    cl = cl.withColumn("_n", F.row_number().over(newest)).where("_n = 1")
+    return cl.select("order_id", "business_unit", "product_family", "order_status",
+                     "priority_tier", "total_value", "expected_ship_date", "created_at",
+                     "updated_at")
+
+
 def _run_backlog(spark, sf_dir, root) -> str:
     enriched = _run_fold(spark, sf_dir, root)
     metrics = os.path.join(root, "metrics")
@@ -846,18 +876,17 @@ def serving_orders_by_status(spark, sf_dir):
 
 @register("stream_inventory_position")
 def stream_inventory_position(spark, sf_dir):
-    """Inventory change events streamed in time-ordered files, folded into
-    the position table per micro-batch; equals the batch position."""
+    """Inventory change events streamed in three micro-batches in no order of
+    time, folded into the position table; equals the batch position."""
     root = _run_dir(spark, "stream-inventory")
     ev = INV.inventory_events(spark, sf_dir)
     src = os.path.join(root, "events")
-    for lo, hi in (("1990-01-01", "1997-01-01"), ("1997-01-01", "1999-01-01"),
-                   ("1999-01-01", "2100-01-01")):           # three time-ordered files
-        (ev.where((F.col("ts") >= lo) & (F.col("ts") < hi)).coalesce(1)
-         .write.mode("append").parquet(src))
+    part = F.pmod(F.xxhash64("sku", "warehouse_id", "ts"), F.lit(STREAM_PARTS))
+    for k in range(STREAM_PARTS):
+        ev.where(part == k).repartition(STREAM_FILES).write.mode("append").parquet(src)
     state = os.path.join(root, "state")
     q = JOBS.start_inventory_state_job(spark, src, state, os.path.join(root, "ckpt"),
-                                       spark.read.parquet(src).schema)
+                                       spark.read.parquet(src).schema, max_files=STREAM_FILES)
     q.awaitTermination()
     p = SK.read_state(spark, state)
     return p.select("sku", "warehouse_id", *_qty_out(p, QTY_COLS), F.col("ts").alias("updated_at"))

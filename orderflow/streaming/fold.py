@@ -5,6 +5,8 @@ This is the only Python on the data path. The per-group function is
 vectorised: for every field it finds, per event, the index of the latest
 event that carried the key (a running maximum over positions) and takes the
 value from there, falling back to the state carried from earlier batches.
+Every field's state keeps the event position (ts, lsn) it was set at, so an
+event that arrives late, in whatever batch, never moves a field backwards.
 It emits the state after every event — the changelog the batch
 ``state.order_changelog`` computes — so stream and batch agree row by row.
 """
@@ -36,11 +38,20 @@ STATE_SCHEMA = T.StructType(
      T.StructField("product_family", T.StringType()),
      T.StructField("created_at", T.TimestampType()),
      T.StructField("updated_at", T.TimestampType())])
+STATE_FIELDS = STATE_SCHEMA.fieldNames()
+
+#: what the state store holds: the folded values, each one's event position
+#: (null: never set) and the number of events folded so far
+STORED_SCHEMA = T.StructType(
+    STATE_SCHEMA.fields +
+    [T.StructField(f"{kind}_{f}", T.LongType()) for f in STATE_FIELDS for kind in ("ts", "lsn")] +
+    [T.StructField("version", T.LongType())])
 
 OUT_SCHEMA = T.StructType(
     [T.StructField("order_id", T.StringType()), T.StructField("source_table", T.StringType()),
      T.StructField("op", T.StringType()), T.StructField("ts", T.TimestampType()),
-     T.StructField("lsn", T.LongType())] + STATE_SCHEMA.fields)
+     T.StructField("lsn", T.LongType()),
+     T.StructField("version", T.LongType())] + STATE_SCHEMA.fields)
 
 DEFAULTS = {"customer_id": "", "customer_name": "", "channel": "", "business_unit": "",
             "currency": S.DEFAULT_CURRENCY, "order_status": S.DEFAULT_STATUS,
@@ -83,43 +94,87 @@ def _carry(has: np.ndarray, values: np.ndarray, prior, last: bool = True) -> np.
     return out
 
 
-def fold_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None = None):
-    if state.hasTimedOut:                 # TTL expired: the order leaves the state store
-        state.remove()
-        return
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "lsn"], kind="stable")
-    pdf = pdf.reset_index(drop=True)
-    cur = dict(zip(STATE_SCHEMA.fieldNames(), state.get)) if state.exists else dict(DEFAULTS)
+NO_LSN = -(1 << 62)     # a null lsn sorts before any other at the same ts
+
+
+def _newer(ts: np.ndarray, lsn: np.ndarray, at: tuple | None, default: bool) -> np.ndarray:
+    """Which events lie after position ``at`` (``default`` where it was never set)."""
+    if at is None:
+        return np.full(len(ts), default)
+    return (ts > at[0]) | ((ts == at[0]) & (lsn > at[1]))
+
+
+def _older(ts: np.ndarray, lsn: np.ndarray, at: tuple | None) -> np.ndarray:
+    if at is None:
+        return np.full(len(ts), True)
+    return (ts < at[0]) | ((ts == at[0]) & (lsn < at[1]))
+
+
+def _fold_chunk(pdf: pd.DataFrame, cur: dict, at: dict, version: int) -> pd.DataFrame:
+    """State after each event of one Arrow chunk; ``cur`` and ``at`` move on."""
+    pdf = pdf.sort_values(["ts", "lsn"], kind="stable").reset_index(drop=True)
+    ts = pdf["ts"].to_numpy("datetime64[us]").astype(np.int64)
+    lsn = pdf["lsn"].fillna(NO_LSN).to_numpy(np.int64)
+    hdr = pdf["is_header"].fillna(False).to_numpy(dtype=bool)
+    times = pdf["ts"].to_numpy(dtype=object)
     out = {"order_id": pdf["order_id"], "source_table": pdf["source_table"], "op": pdf["op"],
-           "ts": pdf["ts"], "lsn": pdf["lsn"]}
+           "ts": pdf["ts"], "lsn": pdf["lsn"], "version": version + 1 + np.arange(len(pdf))}
+
+    def carry(field: str, has: np.ndarray, values: np.ndarray, last: bool) -> None:
+        has = has & (_newer(ts, lsn, at[field], True) if last else _older(ts, lsn, at[field]))
+        out[field] = _carry(has, values, cur[field], last)
+        if has.any():
+            k = np.flatnonzero(has)[-1 if last else 0]
+            cur[field], at[field] = values[k], (int(ts[k]), int(lsn[k]))
+
     for f in VALUE_FIELDS:
-        has = pdf[f"has_{f}"].fillna(False).to_numpy(dtype=bool)
-        out[f] = _carry(has, pdf[f"v_{f}"].to_numpy(dtype=object), cur[f])
-    fam_has = pdf["has_family"].fillna(False).to_numpy(dtype=bool)
-    if cur["product_family"]:
-        fam_has = np.zeros_like(fam_has)
-    out["product_family"] = _carry(fam_has, pdf["v_family"].to_numpy(dtype=object),
-                                   cur["product_family"], last=False)
-    hdr = pdf["is_header"].fillna(False).to_numpy(dtype=bool)
-    ts = pdf["ts"].to_numpy(dtype=object)
-    created_has = hdr if cur["created_at"] is None else np.zeros_like(hdr)
-    out["created_at"] = _carry(created_has, ts, cur["created_at"], last=False)
-    out["updated_at"] = _carry(hdr, ts, cur["updated_at"])
+        carry(f, pdf[f"has_{f}"].fillna(False).to_numpy(dtype=bool),
+              pdf[f"v_{f}"].to_numpy(dtype=object), True)
+    carry("product_family", pdf["has_family"].fillna(False).to_numpy(dtype=bool),
+          pdf["v_family"].to_numpy(dtype=object), False)
+    carry("created_at", hdr, times, False)
+    carry("updated_at", hdr, times, True)
     res = pd.DataFrame(out)
     for c in ("expected_ship_date", "created_at", "updated_at", "ts"):
         res[c] = pd.to_datetime(res[c])
     res["priority_tier"] = res["priority_tier"].astype("Int32")
     res["total_value"] = res["total_value"].astype("float64")
-    last = res.iloc[-1]
-    state.update(tuple(None if pd.isna(last[f]) else
-                       (last[f].to_pydatetime() if isinstance(last[f], pd.Timestamp) else
-                        (int(last[f]) if f == "priority_tier" else last[f]))
-                       for f in STATE_SCHEMA.fieldNames()))
+    return res[[f.name for f in OUT_SCHEMA.fields]]
+
+
+def _plain(field: str, value):
+    if pd.isna(value):
+        return None
+    if field in ("created_at", "updated_at", "expected_ship_date"):
+        return pd.Timestamp(value).to_pydatetime()
+    return int(value) if field == "priority_tier" else value
+
+
+def fold_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None = None):
+    """One order's events of a micro-batch, chunk by chunk (an order's whole
+    batch is never held at once)."""
+    if state.hasTimedOut:                 # TTL expired: the order leaves the state store
+        state.remove()
+        return
+    cur, at, version = dict(DEFAULTS), dict.fromkeys(STATE_FIELDS), 0
+    if state.exists:
+        stored = dict(zip(STORED_SCHEMA.fieldNames(), state.get))
+        cur = {f: stored[f] for f in STATE_FIELDS}
+        at = {f: None if stored[f"ts_{f}"] is None else (stored[f"ts_{f}"], stored[f"lsn_{f}"])
+              for f in STATE_FIELDS}
+        version = stored["version"]
+    newest = None
+    for pdf in pdfs:
+        res = _fold_chunk(pdf, cur, at, version)
+        version += len(res)
+        newest = res["ts"].max() if newest is None else max(newest, res["ts"].max())
+        yield res
+    positions = [x for f in STATE_FIELDS for x in (at[f] or (None, None))]
+    state.update((*(_plain(f, cur[f]) for f in STATE_FIELDS), *positions, version))
     if ttl_ms:
-        base = last["updated_at"] if not pd.isna(last["updated_at"]) else res["ts"].max()
+        base = cur["updated_at"] if not pd.isna(cur["updated_at"]) else newest
         expire = int(pd.Timestamp(base).value // 1_000_000) + ttl_ms
         state.setTimeoutTimestamp(max(expire, state.getCurrentWatermarkMs() + 1))
-    yield res[[f.name for f in OUT_SCHEMA.fields]]
 
 
 def stream_order_state(changes: DataFrame, ttl_days: int | None = None) -> DataFrame:
@@ -138,7 +193,7 @@ def stream_order_state(changes: DataFrame, ttl_days: int | None = None) -> DataF
         fn, timeout = fold_group, GroupStateTimeout.NoTimeout
     src = fold_input(changes)
     out = (src.groupBy("order_id")
-           .applyInPandasWithState(fn, OUT_SCHEMA, STATE_SCHEMA, "append", timeout))
+           .applyInPandasWithState(fn, OUT_SCHEMA, STORED_SCHEMA, "append", timeout))
     return out.select(*[F.col(c).cast("timestamp_ntz").alias(c)
                         if c in ("ts", "expected_ship_date", "created_at", "updated_at")
                         else F.col(c) for c in OUT_SCHEMA.fieldNames()])

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from orderflow import schemas as S
 from orderflow.operators import backlog as BL
 from orderflow.operators import cdc as CDC
+from orderflow.session import ship_package
 from orderflow.streaming import fold as FOLD
 from orderflow.streaming import sinks as SK
 from orderflow.streaming.sources import parquet_stream, text_stream
@@ -36,16 +37,23 @@ def _trigger(w, available_now: bool, interval: str):
     return w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
 
 
-def dedup_stream(changes: DataFrame, strict: bool = False) -> DataFrame:
-    """STR-5 on a stream: ``dropDuplicatesWithinWatermark`` on the keyed
-    branch (state bounded by the watermark, Q12); null/0 LSN passes through."""
+def dedup_stream(changes: DataFrame, strict: bool = False, lossless: bool = False) -> DataFrame:
+    """STR-5 on a stream; null/0 LSN passes through.
+
+    By default ``dropDuplicatesWithinWatermark`` on the keyed branch: state
+    bounded by the watermark (Q12), rows behind it are dropped. ``lossless``
+    keeps every key instead and drops nothing but redeliveries; the fold
+    uses it, since a late event still belongs to its order."""
     image = F.coalesce(F.col("after"), F.col("before"))
-    df = (changes.withColumn("event_ts", F.col("ts").cast("timestamp"))
-          .withColumn("_pk", CDC.row_pk(F.col("source_table"), image))
-          .withWatermark("event_ts", S.WATERMARK_DELAY))
+    df = changes.withColumn("_pk", CDC.row_pk(F.col("source_table"), image))
     keyed = F.col("lsn").isNotNull() & (F.col("lsn") != 0)
     key = ["order_id", "lsn"] if strict else ["order_id", "source_table", "_pk", "lsn"]
-    kept = df.where(keyed).dropDuplicatesWithinWatermark(key)
+    if lossless:
+        kept = df.where(keyed).dropDuplicates(key)
+    else:
+        df = (df.withColumn("event_ts", F.col("ts").cast("timestamp"))
+              .withWatermark("event_ts", S.WATERMARK_DELAY))
+        kept = df.where(keyed).dropDuplicatesWithinWatermark(key)
     # event_ts stays: it carries the watermark to later stateful operators
     return kept.unionByName(df.where(~keyed)).drop("_pk")
 
@@ -55,15 +63,18 @@ def start_order_state_job(spark: SparkSession, raw_dir: str, out_dir: str, dlq_d
                           interval: str = "30 seconds", max_files: int | None = None,
                           ttl_days: int | None = None):
     """``max_files`` bounds a micro-batch, which also bounds the rows one
-    order contributes to a single call of the stateful function; ``ttl_days``
-    expires idle orders from the state store (event time)."""
+    order contributes to a single call of the stateful function. Late and
+    out-of-order events are folded at their event position. ``ttl_days`` is off
+    by default: it expires idle orders from the state store by event time,
+    which needs the watermark and so gives up events behind it."""
+    ship_package(spark)
     parsed = CDC.parse_envelope(text_stream(spark, raw_dir, max_files))
     dlq = CDC.dead_letters(parsed, "cdc.public.orders")
     q_dlq = _trigger(dlq.writeStream.format("parquet")
                      .option("checkpointLocation", os.path.join(ckpt, "dlq")),
                      available_now, interval).start(dlq_dir)
-    enriched = observe_fold(FOLD.stream_order_state(dedup_stream(CDC.valid(parsed)),
-                                                    ttl_days=ttl_days))
+    changes = dedup_stream(CDC.valid(parsed), lossless=not ttl_days)
+    enriched = observe_fold(FOLD.stream_order_state(changes, ttl_days=ttl_days))
     q = _trigger(enriched.writeStream.format("parquet")
                  .option("checkpointLocation", os.path.join(ckpt, "fold")),
                  available_now, interval).start(out_dir)
@@ -117,17 +128,17 @@ def start_backlog_job(spark: SparkSession, enriched_dir: str, metrics_dir: str,
 
 def start_dashboard_job(spark: SparkSession, metrics_dir: str, summary_dir: str, ckpt: str,
                         metrics_schema, available_now: bool = True,
-                        interval: str = "30 seconds"):
+                        interval: str = "30 seconds", retention_days: int | None = None):
     """STR-10: on each trigger, recompute the summary from the whole metric
-    table (not only the new rows) and store it under the batch id."""
+    table (not only the new rows) and store it under the batch id. As in the
+    batch summary, ``retention_days`` is off unless asked for."""
     def push(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         m = SK.read_latest(spark, metrics_dir, WINDOW_KEY)
-        # the metric table's retention (30 days, event time) bounds each recompute
-        newest = m.select(F.max("window_start")).scalar()
-        m = m.where(F.col("window_start") >= newest - F.make_dt_interval(
-            days=F.lit(S.RETENTION_DAYS["backlog_metrics"])))
+        if retention_days:
+            newest = m.select(F.max("window_start")).scalar()
+            m = m.where(F.col("window_start") >= newest - F.make_dt_interval(days=F.lit(retention_days)))
         summary = BL.backlog_summary(m).withColumn("type", F.lit("backlog_update"))
         SK.batch_append_sink(summary_dir)(summary, batch_id)
     src = spark.readStream.schema(metrics_schema).parquet(metrics_dir)
@@ -158,14 +169,14 @@ def order_document(enriched: DataFrame) -> DataFrame:
         X.ts_to_iso(F.col("created_at")).alias("created_at"),
         X.ts_to_iso(F.col("updated_at")).alias("updated_at"),
         X.ts_to_iso(F.col("expected_ship_date")).alias("expected_ship_date"),
-        F.struct("ts", "lsn").alias("_seq"))
+        F.col("version").alias("_seq"))
 
 
 def start_index_sync_job(spark: SparkSession, enriched_dir: str, docs_dir: str, ckpt: str,
                          available_now: bool = True, interval: str = "2 seconds"):
     """SNK-6: documents upserted by ``order_id`` per micro-batch (2 s
-    trigger in production); the latest state in the batch wins and a replay
-    of the same batch id rewrites the same version."""
+    trigger in production); an order's highest version wins, stored or new,
+    and a replay of the same batch id rewrites the same version."""
     docs = order_document(parquet_stream(spark, enriched_dir, enriched_schema()))
     return _trigger(docs.writeStream.option("checkpointLocation", ckpt)
                     .foreachBatch(SK.upsert_sink(spark, docs_dir, ["order_id"], F.col("_seq"))),

@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.operators.merge import latest_per_key, upsert_merge
+from orderflow.operators.merge import latest_per_key
 
 
 def batch_append_sink(path: str):
@@ -52,7 +53,9 @@ def _latest_version(spark: SparkSession, path: str, below: int | None = None) ->
     """Highest committed version (optionally below ``below``): one scalar."""
     try:
         c = spark.read.parquet(os.path.join(path, COMMITS))
-    except Exception:  # noqa: BLE001 - no commit yet (path absent)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":     # only "no commit yet" means no table
+            raise
         return None
     if below is not None:
         c = c.where(F.col("version") < below)
@@ -66,15 +69,16 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
 
 def upsert_sink(spark: SparkSession, path: str, key: list[str], order: Column,
                 listing_path: str | None = None, listing_filter: Column | None = None):
-    """SNK-2 (+ SNK-3 when ``listing_path`` is given): latest row per key in
-    the batch replaces the stored row. Only committed versions are read, so a
+    """SNK-2 (+ SNK-3 when ``listing_path`` is given): of the stored row and
+    the batch's rows of a key the latest by ``order`` stays, so an older row
+    that comes late changes nothing. Only committed versions are read, so a
     crash mid-write leaves the previous version current."""
     def write(batch: DataFrame, batch_id: int) -> None:
         latest = latest_per_key(batch, key, order)
         prev = _latest_version(spark, path, below=batch_id)
         if prev is not None:
             cur = spark.read.parquet(os.path.join(path, f"v={prev}"))
-            merged = upsert_merge(cur, latest, key)
+            merged = latest_per_key(cur.unionByName(latest), key, order)
         else:
             merged = latest
         merged.write.mode("overwrite").parquet(os.path.join(path, f"v={batch_id}"))

@@ -72,3 +72,71 @@ def test_fold_with_state_ttl_matches_without(spark, sf):
         q_dlq.awaitTermination()
         outs.append(sorted(spark.read.parquet(out).drop("total_value").collect()))
     assert outs[0] == outs[1]
+
+
+def test_older_row_does_not_replace_a_newer_stored_one(spark):
+    path = scratch_path(spark, f"upsert-{uuid.uuid4().hex[:8]}")
+    sink = SK.upsert_sink(spark, path, ["k"], F.col("ts"))
+    for batch, rows in enumerate(([("a", 9), ("b", 1)], [("a", 5), ("c", 2)])):
+        sink(spark.createDataFrame(rows, "k string, ts long"), batch)
+        sink(spark.createDataFrame(rows, "k string, ts long"), batch)      # replay
+    assert sorted(tuple(r) for r in SK.read_snapshot(spark, path).collect()) == \
+        [("a", 9), ("b", 1), ("c", 2)]
+
+
+def test_unreadable_markers_are_an_error_not_an_empty_table(spark):
+    import pytest
+    path = scratch_path(spark, f"marker-{uuid.uuid4().hex[:8]}")
+    assert SK.read_snapshot(spark, path) is None
+    folder = os.path.join(path.replace("file:", ""), SK.COMMITS, "v=0")
+    os.makedirs(folder)
+    with open(os.path.join(folder, "part-0.parquet"), "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception):
+        SK.read_snapshot(spark, path)
+
+
+def test_fold_keeps_late_events_and_never_moves_back():
+    import pandas as pd
+    from orderflow.streaming import fold as FOLD
+
+    class State:
+        exists, hasTimedOut, value = False, False, None
+
+        @property
+        def get(self):
+            return self.value
+
+        def update(self, v):
+            self.exists, self.value = True, v
+
+    def chunk(*events):
+        rows = []
+        for ts, lsn, status in events:
+            row = {"order_id": "o", "source_table": "orders", "op": "u", "ts": pd.Timestamp(ts, unit="s"),
+                   "lsn": lsn, "is_header": True, "has_family": False, "v_family": None}
+            for f in FOLD.VALUE_FIELDS:
+                row[f"has_{f}"], row[f"v_{f}"] = f == "order_status", status if f == "order_status" else None
+            rows.append(row)
+        return pd.DataFrame(rows).astype({"lsn": "Int64"})
+
+    state, seen = State(), []
+    batches = ([chunk((100, 1, "CREATED")), chunk((300, 3, "SHIPPED"))], [chunk((200, 2, "ALLOCATED"))],
+               [chunk((50, None, "DRAFT"), (400, 4, "CLOSED"))])
+    for chunks in batches:
+        for out in FOLD.fold_group(("o",), iter(chunks), state):
+            seen += list(zip(out["order_status"], out["version"], out["created_at"].astype("int64")))
+    assert [s for s, _, _ in seen] == ["CREATED", "SHIPPED", "SHIPPED", "SHIPPED", "CLOSED"]
+    assert [v for _, v, _ in seen] == [1, 2, 3, 4, 5]
+    assert pd.Timestamp(state.value[FOLD.STATE_FIELDS.index("created_at")]) == pd.Timestamp(50, unit="s")
+
+
+def test_page_limits_are_errors(spark):
+    import pytest
+    from orderflow.operators import search as SR
+    df = spark.createDataFrame([("o", "x")], "order_id string, updated_at string")
+    for page, size in ((0, 20), (1, 0), (1, S.SEARCH_PAGE_MAX + 1)):
+        with pytest.raises(ValueError):
+            SR.search_page(df, page, size)
+    with pytest.raises(ValueError):
+        SR.orders_by_status(df, "a", "b", S.BY_STATUS_LIMIT_MAX + 1)
