@@ -268,6 +268,7 @@ def hot_marks(found: DataFrame, unit, value: Column, repeats) -> DataFrame:
     each = cut(windows(strings, unit))
     values = each.groupBy(F.col("w").alias("w_")).agg(value.alias("v"))
     of = each.join(values, F.col("w") == F.col("w_")).groupBy(F.col("b").alias("c"), F.col("b2").alias("c2")).agg(F.collect_list(F.struct("i", "v")).alias("vs"))
+    of = cut(of)  # read back, it leaves Spark free to split the equal pieces in the join
     told = found.join(of, (F.col("b") == F.col("c")) & (F.col("b2") == F.col("c2")))
     going = F.transform(F.filter("vs", lambda x: repeats(x["v"], F.col("doc"))), lambda x: x["i"])
     told = told.select("k", "k2", "start", going.alias("going")).where(F.size("going") > 0)
