@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderflow.llm import fairqueue, histosort, quality, simhash, winnow
-from orderflow.llm.common import table, text_of
+from orderflow.llm.common import table, text_of, write_once
 from orderflow.session import checkpoint_root, ship_package
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -74,6 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        write_once(stage(spark, docs, sf_dir), f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs

@@ -36,6 +36,8 @@ class Words:
 
     window: int
     gram: int
+    #: Whether a window that recurs in its own text only counts.
+    within = True
 
     def split(self, text: bytes) -> list[bytes]:
         return text.split()
@@ -61,6 +63,7 @@ class Bytes:
 
     window: int
     gram: int = 24
+    within = False
 
     def split(self, text: bytes) -> bytes:
         return text
@@ -129,7 +132,7 @@ def batch_grams(batches: Iterator[pa.RecordBatch], unit, buckets: int) -> Iterat
         k = np.array(ks, np.int64)
         h = np.concatenate([x for x, _ in found])
         d = np.repeat(np.arange(len(ks), dtype=np.uint16), [len(x) for x, _ in found])
-        twice = np.concatenate([n for _, n in found]) > 1
+        twice = (np.concatenate([n for _, n in found]) > 1) & unit.within
         order = np.argsort(h, kind="stable")
         h, d, twice = h[order], d[order], twice[order]
         same = h[1:] == h[:-1]
@@ -153,8 +156,8 @@ def batch_grams(batches: Iterator[pa.RecordBatch], unit, buckets: int) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), GRAMS)], schema=GRAMS)
 
 
-def matched_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, hs) of hashes that a bucket holds twice; rows come sorted by bucket."""
+def matched_grams(batches: Iterator[pa.RecordBatch], within: bool) -> Iterator[pa.RecordBatch]:
+    """(k, hs) of hashes that a bucket holds twice (in two texts, if not ``within``); rows come sorted by bucket."""
     schema = pa.schema([("k", pa.int64()), ("hs", pa.list_(pa.int64()))])
 
     def bucket_rows(bucket: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -162,13 +165,13 @@ def matched_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         k = np.concatenate([np.append(np.frombuffer(ks, np.int64), 0)[np.minimum(np.frombuffer(d, np.uint16), len(ks) // 8)] for _, _, d, ks in parts])
         told = np.concatenate([np.frombuffer(d, np.uint16) == TOLD for _, _, d, _ in parts])
         if bucket >= 0:
-            order = np.argsort(h, kind="stable")
+            order = np.lexsort((k, h))
             h, k, told = h[order], k[order], told[order]
-            same = h[1:] == h[:-1]
-            keep = np.zeros(len(h), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            h, k = h[keep & ~told], k[keep & ~told]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            last = np.append(first[1:], len(h)) - 1
+            many = last > first if within else (k[last] != k[first]) | np.maximum.reduceat(told, first)
+            keep = np.repeat(many, last - first + 1) & ~told
+            h, k = h[keep], k[keep]
         if len(h):
             order = np.lexsort((h, k))
             h, k = h[order].view(np.int64), k[order]
@@ -191,14 +194,14 @@ def matched_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def repeated_grams(rows: DataFrame, unit) -> DataFrame:
-    """(k, hs): for each text the anchors' hashes (48 bits) that occur elsewhere too.
+    """(k, hs): for each text the anchors' hashes (48 bits) that occur in others too, or (``within``) twice in it.
 
     Hashes travel as packed arrays, one a batch and bucket; there are 4 buckets a shuffle
     partition, so their size is that of any shuffle's.
     """
     buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = rows.select("k", "text").mapInArrow(lambda batches: batch_grams(batches, unit, buckets), "bucket int, high binary, low binary, d binary, ks binary")
-    met = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(matched_grams, "k long, hs array<long>")
+    met = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: matched_grams(batches, unit.within), "k long, hs array<long>")
     return met.select("k", F.explode("hs").alias("h")).groupBy("k").agg(F.collect_set("h").alias("hs"))
 
 
@@ -210,6 +213,7 @@ def found_pieces(docs: DataFrame, unit) -> DataFrame:
     rows = keyed(docs)
     texts = rows.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc").alias("first"))
     info = texts.join(repeated_grams(rows, unit), "k").select(F.col("k").alias("i"), F.col("k2").alias("i2"), "copies", "first", "hs")
+    info = cut(info)  # the hashes' shuffle ends before the texts' begins
     joined = rows.join(info, (F.col("k") == F.col("i")) & (F.col("k2") == F.col("i2")) & (F.col("doc") == F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import uuid
 from functools import lru_cache
@@ -30,17 +29,19 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     checkpoint_root(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    write_once(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
-
-    It learns of them from the driver's garbage collection, which may otherwise be late.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def write_once(df: DataFrame, path: str) -> None:
+    """Write Parquet; the shuffle files of the write go when it ends, not when the driver's heap fills."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(key)
+    conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, was)
 
 
 def text_of(col: str = "text") -> Column:

@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.llm.anchors import HOT, Bytes, finish, found_pieces, hot_grams, hot_marks, spread
-from orderflow.llm.common import release
 from orderflow.llm.superkmer import MARKS
 
 RUN = pa.schema([("bucket", pa.int64()), ("shared", pa.binary()), ("rests", pa.binary()), ("rest_sizes", pa.binary()), ("befores", pa.binary()), ("before_sizes", pa.binary()), ("lasts", pa.binary()), ("starts", pa.binary()), ("owners", pa.binary()), ("texts", pa.binary())])
@@ -203,7 +202,6 @@ def remove_repeats(docs: DataFrame, window: int = 50, buckets: int | None = None
     unit = Bytes(window)
     buckets = buckets or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = found_pieces(docs, unit)
-    release(docs.sparkSession)
     usual, crowded = hot_grams(found, hot)
     gram = unit.gram
     runs = usual.drop("weight").mapInArrow(lambda batches: sorted_runs(batches, window, buckets), RUN_SQL)

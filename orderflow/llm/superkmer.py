@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.llm.anchors import HOT, Words, finish, found_pieces, hot_grams, hot_marks, spread
-from orderflow.llm.common import release
 
 MARKS = pa.schema([("k", pa.int64()), ("k2", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
@@ -84,7 +83,6 @@ def remove_repeats(docs: DataFrame, window: int = 35, minimiser: int = 6, hot: i
     """
     unit = Words(window, minimiser)
     found = found_pieces(docs, unit)
-    release(docs.sparkSession)
     usual, crowded = hot_grams(found, hot)
     marks = usual.drop("doc", "at").repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: count_bucket(batches, window), "k long, k2 long, a int, b int")
     if crowded is not None:
