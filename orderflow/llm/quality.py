@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import base64
 import os
+from array import array
 from collections.abc import Mapping
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,7 @@ SCRIPTS = {"Latin": ((0x41, 0x24F),), "Greek": ((0x370, 0x3FF),), "Cyrillic": ((
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A task forgets its words beyond so many, which bounds its memory and changes no result.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _SYMBOLS = b"#*$%&|<>"
@@ -68,29 +70,42 @@ def encoders(ranks: bytes, model: bytes):
 
 
 class Words(dict):
-    """word -> number; tokens, pieces and byte fallbacks by number."""
+    """word -> number; by number its tokens (in one array, with their ends) and counts of pieces and byte fallbacks."""
 
     def __init__(self, ranks: bytes, model: bytes):
         super().__init__()
         self.bpe, self.sp, self.is_byte = encoders(ranks, model)
-        self.tokens: list[np.ndarray] = []
-        self.pieces: list[int] = []
-        self.fallbacks: list[int] = []
+        self.tokens, self.ends = array("i"), array("q", [0])
+        self.pieces, self.fallbacks = array("q"), array("q")
         self.new: list[str] = []
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         text = word.decode("utf-8", "replace")
-        self.tokens.append(np.array(self.bpe.encode_ordinary(" " + text), np.int32))
+        self.tokens.extend(self.bpe.encode_ordinary(" " + text))
+        self.ends.append(len(self.tokens))
         self.new.append(text)
         return n
 
     def settle(self) -> None:
-        for ids in self.sp.encode(self.new, num_threads=1) if self.new else ():
-            self.pieces.append(len(ids))
-            self.fallbacks.append(int(self.is_byte[ids].sum()))
+        if not self.new:
+            return
+        ids = self.sp.encode(self.new, num_threads=1)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        ends = np.cumsum(sizes)
+        upto = np.append(0, np.cumsum(self.is_byte[np.fromiter(chain.from_iterable(ids), np.int64, ends[-1])]))
+        self.pieces.frombytes(sizes.tobytes())
+        self.fallbacks.frombytes((upto[ends] - upto[ends - sizes]).astype(np.int64).tobytes())
         self.new.clear()
 
+    def tokens_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' tokens, one word after the other, and how many each has."""
+        ends = np.frombuffer(self.ends, np.int64)
+        start = ends[numbers]
+        sizes = ends[numbers + 1] - start
+        at = np.repeat(start - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.frombuffer(self.tokens, np.int32)[at], sizes
+
 
 def script(text: str) -> str:
     """The script of most letters, by the blocks in SCRIPTS."""
@@ -135,13 +150,13 @@ def measure(text: bytes, lang: str | None, words: Words, bands: Mapping) -> dict
     tokens = pieces = fallbacks = 0
     entropy = 0.0
     if n:
-        lists = [words.tokens[i] for i in unique.tolist()]
-        _, inverse = np.unique(np.concatenate(lists), return_inverse=True)
-        weight = np.bincount(inverse, np.repeat(counts, [len(x) for x in lists]))
+        found_tokens, sizes = words.tokens_of(unique)
+        _, inverse = np.unique(found_tokens, return_inverse=True)
+        weight = np.bincount(inverse, np.repeat(counts, sizes))
         tokens = int(weight.sum())
         entropy = float(np.log2(tokens) - (weight * np.log2(weight)).sum() / tokens)
-        pieces = int((counts * [words.pieces[i] for i in unique.tolist()]).sum())
-        fallbacks = int((counts * [words.fallbacks[i] for i in unique.tolist()]).sum())
+        pieces = int((counts * np.frombuffer(words.pieces, np.int64)[unique]).sum())
+        fallbacks = int((counts * np.frombuffer(words.fallbacks, np.int64)[unique]).sum())
     return {"n_words": n, "word_chars": chars, "n_symbols": len(text) - len(text.translate(None, _SYMBOLS)), "n_dup_lines": duplicate_lines(text), "n_repeat_words": repeated(ids),
             "n_tokens": tokens, "n_pieces": pieces, "chars_per_token": chars / tokens if tokens else None, "chars_per_piece": chars / pieces if pieces else None,
             "byte_fallback_share": fallbacks / pieces if pieces else None, "token_entropy": entropy if n else None, "band": lang if lang in bands else script(text.decode("utf-8", "replace"))}
