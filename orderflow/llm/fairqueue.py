@@ -77,10 +77,14 @@ def fair_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats:
     def queued(rows: DataFrame) -> DataFrame:
         """Rows with _src, _seg, _key and size, with their cumulative size in their source."""
         rows = rows.drop("source_size", "target", "copies", "taken")
-        inside = Window.partitionBy("_src", "_seg").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size")
+        # two keys that are never null, so the join finds the rows where the window left them
+        keys = [F.col("_src").isNull(), F.coalesce(F.col("_src").cast("string"), F.lit(""))]
+        ahead = seg.select(keys[0].alias("_a0"), keys[1].alias("_a1"), "_sg", "_ahead", "source_size", "target")
+        rows = rows.withColumns({"_k0": keys[0], "_k1": keys[1]})
+        inside = Window.partitionBy("_k0", "_k1", "_seg").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size")
         return (rows.withColumn("_in", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-                .join(seg.withColumnRenamed("_src", "_s"), F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_seg") == F.col("_sg")))
-                .withColumn("_cum", F.col("_ahead") + F.col("_in")).drop("_s", "_sg", "_ahead", "_in"))
+                .join(ahead, (F.col("_k0") == F.col("_a0")) & (F.col("_k1") == F.col("_a1")) & (F.col("_seg") == F.col("_sg")))
+                .withColumn("_cum", F.col("_ahead") + F.col("_in")).drop("_k0", "_k1", "_a0", "_a1", "_sg", "_ahead", "_in"))
 
     def finish(epoch) -> Column:
         return (F.col("_cum") + epoch * F.col("source_size")) / F.col("target")
