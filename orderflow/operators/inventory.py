@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orderflow import schemas as S
-from orderflow.functions.scan import segmented_scan
+from orderflow.functions.scan import segmented_scan, segmented_scan_multi
 from orderflow.sources import adapters as A
 from orderflow.sources.tables import read_table
 
@@ -83,23 +83,34 @@ def supply_by_sku(position: DataFrame, sku: str | None = None) -> DataFrame:
 
 
 def asof_inventory(lines: DataFrame, events: DataFrame, line_ts: Column) -> DataFrame:
-    """JN-9: each line sees the latest inventory event of its SKU at or
-    before its own time (inventory first on ties). Both sides are unioned and
-    one running ``last(.., ignorenulls)`` per SKU carries the latest event
-    forward — no pairwise join, and a hot SKU is split into time segments."""
-    inv = events.select("sku", F.col("ts"), F.lit(0).alias("side"), F.col("seq"),
-                        F.lit(None).cast("string").alias("line_id"),
-                        F.struct(F.col("ts").alias("inv_ts"), "warehouse_id", "op",
-                                 "available_qty").alias("inv"))
-    ln = lines.select("sku", line_ts.alias("ts"), F.lit(1).alias("side"),
-                      F.lit(None).cast(inv.schema["seq"].dataType).alias("seq"),
-                      "line_id", F.lit(None).cast(inv.schema["inv"].dataType).alias("inv"))
-    # month segments split a hot SKU across tasks (two-level prefix scan)
-    u = segmented_scan(inv.unionByName(ln), ["sku"], F.date_trunc("month", F.col("ts")),
-                       ["ts", "side", "seq", "line_id"], F.col("inv"), "last", "cur")
-    return u.where(F.col("side") == 1).select("line_id", "sku", F.col("ts").alias("line_ts"),
-                                              "cur.inv_ts", "cur.warehouse_id", "cur.op",
-                                              "cur.available_qty")
+    """JN-9: each line sees its SKU's supply as of its own time (inventory
+    first on ties): the total over the warehouses whose latest event is no
+    delete, their number, and the time of the SKU's newest event (0, 0 and
+    null before the first). An event changes the total by what it adds to its
+    warehouse's earlier row, so running sums per SKU carry the total forward:
+    no pairwise join, and a hot SKU is split into time segments."""
+    month = F.date_trunc("month", F.col("ts"))   # segments of the two-level prefix scans
+    live = F.col("op") != "d"
+    row = F.struct(F.when(live, F.col("available_qty")).otherwise(F.lit(0).cast(S.QTY)).alias("qty"),
+                   live.cast("int").alias("live"))
+    ev = segmented_scan(events.select("sku", "warehouse_id", "ts", "seq", row.alias("row")),
+                        ["sku", "warehouse_id"], month, ["seq"], F.col("row"), "last", "was",
+                        inclusive=False)
+    zero = F.lit(0)
+    inv = ev.select("sku", "ts", F.lit(0).alias("side"), "seq",
+                    F.lit(None).cast("string").alias("line_id"),
+                    (F.col("row.qty") - F.coalesce("was.qty", zero)).alias("d_qty"),
+                    (F.col("row.live") - F.coalesce("was.live", zero)).alias("d_live"),
+                    F.col("ts").alias("inv"))
+    ln = lines.select("sku", line_ts.alias("ts"), F.lit(1).alias("side"), "line_id")
+    u = segmented_scan_multi(inv.unionByName(ln, allowMissingColumns=True), ["sku"], month,
+                             ["ts", "side", "seq", "line_id"],
+                             [("available", F.col("d_qty"), "sum"), ("count", F.col("d_live"), "sum"),
+                              ("inv_ts", F.col("inv"), "max")])
+    return u.where(F.col("side") == 1).select(
+        "line_id", "sku", F.col("ts").alias("line_ts"), "inv_ts",
+        F.col("count").cast("bigint").alias("warehouse_count"),
+        F.col("available").alias("available_qty"))
 
 
 def enrich_with_state(df: DataFrame, state: DataFrame, key: str) -> DataFrame:

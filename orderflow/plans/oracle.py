@@ -304,16 +304,15 @@ ln AS (
   SELECT l.line_id, CAST(l.l_partkey AS VARCHAR) AS sku, h.created_at AS line_ts
   FROM lcur l JOIN hdr h ON l.l_orderkey = h.o_orderkey),
 m AS (
-  SELECT ln.line_id, ln.sku, ln.line_ts,
-         arg_max({{'inv_ts': e.ts, 'warehouse_id': e.warehouse_id, 'op': e.op,
-                   'available_qty': e.available_qty}},
+  SELECT ln.line_id, ln.sku, ln.line_ts, e.warehouse_id, max(e.ts) AS ts,
+         arg_max({{'op': e.op, 'available_qty': e.available_qty}},
                  (e.ts, e.l_orderkey, e.l_linenumber, e.l_suppkey, e.l_quantity, e.l_extendedprice,
                   e.l_discount, e.l_tax, e.l_returnflag, e.l_linestatus)) AS cur
   FROM ln LEFT JOIN inv_ev e ON e.sku = ln.sku AND e.ts <= ln.line_ts
-  GROUP BY ln.line_id, ln.sku, ln.line_ts)
-SELECT line_id, sku, line_ts, cur.inv_ts AS inv_ts, cur.warehouse_id AS warehouse_id, cur.op AS op,
-       CAST(cur.available_qty AS DOUBLE) AS available_qty
-FROM m"""
+  GROUP BY ln.line_id, ln.sku, ln.line_ts, e.warehouse_id)
+SELECT line_id, sku, line_ts, max(ts) AS inv_ts, count(*) FILTER (WHERE cur.op = 'u') AS warehouse_count,
+       coalesce(CAST(sum(cur.available_qty) FILTER (WHERE cur.op = 'u') AS DOUBLE), 0.0) AS available_qty
+FROM m GROUP BY line_id, sku, line_ts"""
 
 ORACLE["enrich_broadcast"] = f"""WITH {STAR}, {INV}
 SELECT l.line_id, CAST(l.l_partkey AS VARCHAR) AS sku, l.l_quantity AS quantity,

@@ -309,7 +309,7 @@ def inventory_asof_orders(spark, sf_dir):
     hdr = A.star_orders(spark, sf_dir).select("o_orderkey", "created_at")
     ln = lines.join(hdr, lines.l_orderkey == hdr.o_orderkey)
     r = INV.asof_inventory(ln, INV.inventory_events(spark, sf_dir), F.col("created_at"))
-    return r.select("line_id", "sku", "line_ts", "inv_ts", "warehouse_id", "op",
+    return r.select("line_id", "sku", "line_ts", "inv_ts", "warehouse_count",
                     F.col("available_qty").cast("double").alias("available_qty"))
 
 

@@ -34,6 +34,23 @@ def test_q13_ship_dates_as_epoch_ms_or_iso(spark):
     assert got[0] == got[1] == dt.datetime(2023, 11, 14, 22, 13, 20) and got[2] is None
 
 
+def test_asof_supply_is_the_total_of_live_warehouses(spark):
+    def at(h):
+        return T0 + dt.timedelta(days=20 * h)
+    ev = spark.createDataFrame(
+        [("S", "W0", "u", at(1), 1, 5), ("S", "W1", "u", at(2), 2, 7), ("S", "W0", "u", at(3), 3, 2),
+         ("S", "W1", "d", at(4), 4, 9), ("S", "W1", "u", at(5), 5, 1)],
+        "sku string, warehouse_id string, op string, ts timestamp_ntz, seq int, available_qty int")
+    ev = ev.withColumn("available_qty", F.col("available_qty").cast(S.QTY))
+    ln = spark.createDataFrame([(f"L{h}", "S", at(h)) for h in range(6)] + [("X", "other", at(3))],
+                               "line_id string, sku string, at timestamp_ntz")
+    got = {r.line_id: (r.inv_ts, r.warehouse_count, int(r.available_qty))
+           for r in INV.asof_inventory(ln, ev, F.col("at")).collect()}
+    assert got == {"L0": (None, 0, 0), "L1": (at(1), 1, 5), "L2": (at(2), 2, 12),
+                   "L3": (at(3), 2, 9), "L4": (at(4), 1, 2), "L5": (at(5), 2, 3),
+                   "X": (None, 0, 0)}
+
+
 def test_q16_row_level_delete_by_default_whole_sku_optional(spark):
     ev = spark.createDataFrame(
         [("S1", "WH-0", "u", T0, 1), ("S1", "WH-1", "u", T0, 2), ("S1", "WH-0", "d", T0, 3)],
