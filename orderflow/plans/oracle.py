@@ -737,22 +737,15 @@ SELECT order_id, order_status, updated_at, customer_name, product_family, priori
 FROM fo WHERE business_unit = 'EMEA' AND order_status = 'SHIPPED'
 ORDER BY updated_at DESC, order_id LIMIT 100"""
 
-ORACLE["order_storage_rows"] = f"""WITH {STAR},
-fs AS (SELECT l_orderkey, l_linenumber, min(({LSEQ})) AS first_seq FROM lineitem GROUP BY ALL),
-li AS (
-  SELECT CAST(l.l_orderkey AS VARCHAR) AS order_id,
-         CAST(to_json(list({{'line_id': l.line_id, 'sku': CAST(l.l_partkey AS VARCHAR),
-                       'product_family': l.p_type, 'description': l.p_name,
-                       'quantity': l.l_quantity, 'unit_price': l.l_extendedprice / l.l_quantity,
-                       'line_status': 'OPEN'}} ORDER BY f.first_seq)) AS VARCHAR) AS line_items,
-         count(*) AS n, sum(l.l_quantity) AS q
-  FROM lcur l JOIN fs f ON l.l_orderkey = f.l_orderkey AND l.l_linenumber = f.l_linenumber
-  GROUP BY l.l_orderkey)
-SELECT st.order_id, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS n_parts, business_unit,
-       order_status, CAST(total_value AS DOUBLE) AS total_value,
-       coalesce(li.line_items, '[]') AS line_items, CAST(coalesce(li.n, 0) AS INTEGER) AS line_items_parsed,
-       coalesce(li.q, 0.0) AS parsed_quantity
-FROM st LEFT JOIN li ON st.order_id = li.order_id"""
+ORACLE["order_storage_rows"] = f"""WITH {STAR}
+SELECT st.order_id, l.line_id, business_unit, order_status, CAST(total_value AS DOUBLE) AS total_value,
+       CASE WHEN l.line_id IS NOT NULL THEN
+         CAST(to_json({{'line_id': l.line_id, 'sku': CAST(l.l_partkey AS VARCHAR),
+                        'product_family': l.p_type, 'description': l.p_name,
+                        'quantity': l.l_quantity, 'unit_price': l.l_extendedprice / l.l_quantity,
+                        'line_status': 'OPEN'}}) AS VARCHAR) END AS line_item,
+       l.line_id AS parsed_line_id, l.l_quantity AS parsed_quantity
+FROM st LEFT JOIN lcur l ON st.order_id = CAST(l.l_orderkey AS VARCHAR)"""
 
 # the streamed position table must equal the batch position
 ORACLE["stream_inventory_position"] = ORACLE["inventory_position"]

@@ -615,35 +615,19 @@ def order_documents(spark, sf_dir):
 
 @register("order_storage_rows")
 def order_storage_rows(spark, sf_dir):
-    """PRJ-10/11: storage rows with nested children as JSON text, and the
-    round trip back to structs. A document is split into parts of about
-    ``STORAGE_PART_LINES`` lines (part = hash of the line id modulo the
-    order's part count), so no order's lines are ever gathered into one
-    value; ordinary orders have a single part."""
-    lines = A.star_lines(spark, sf_dir)
-    parts = lines.groupBy("order_id").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(STORAGE_PART_LINES)).cast("bigint").alias("n_parts"))
-    keyed = lines.join(parts, "order_id").withColumn(
-        "part", F.pmod(F.xxhash64("line_id"), F.col("n_parts")))
-    items = keyed.groupBy("order_id", "part", "n_parts").agg(F.sort_array(F.collect_list(
-        F.struct(F.col("first_seq").alias("_o"), F.struct(
-            "line_id", "sku", "product_family", "description", "quantity", "unit_price",
-            F.lit(S.DEFAULT_LINE_STATUS).alias("line_status")).alias("item")))).alias("li"))
-    items = items.select("order_id", "part", "n_parts",
-                         F.to_json(F.transform("li", lambda x: x["item"])).alias("line_items"))
+    """PRJ-10/11: storage rows with a nested child as JSON text, and the round
+    trip back to its fields. Children are stored at line grain, one row a
+    line (an order without lines has one row without), so no order's lines
+    are ever gathered into one value, whatever their number."""
+    items = A.star_lines(spark, sf_dir).select("order_id", "line_id", F.to_json(F.struct(
+        "line_id", "sku", "product_family", "description", "quantity", "unit_price",
+        F.lit(S.DEFAULT_LINE_STATUS).alias("line_status"))).alias("line_item"))
     st = ORD.star_order_state(spark, sf_dir).join(items, "order_id", "left")
-    li_json = F.coalesce(F.col("line_items"), F.lit("[]"))
-    back = F.from_json(li_json, "array<struct<line_id:string,quantity:double>>")
-    return st.select("order_id", F.coalesce("part", F.lit(0)).cast("bigint").alias("part"),
-                     F.coalesce("n_parts", F.lit(1)).cast("bigint").alias("n_parts"),
-                     "business_unit", "order_status",
-                     X.money_out(F.col("total_value")).alias("total_value"),
-                     li_json.alias("line_items"), F.size(back).alias("line_items_parsed"),
-                     F.aggregate(back, F.lit(0.0), lambda acc, x: acc + x["quantity"])
-                     .alias("parsed_quantity"))
-
-
-STORAGE_PART_LINES = 1000
+    back = F.from_json("line_item", "line_id string, quantity double")
+    return st.select("order_id", "line_id", "business_unit", "order_status",
+                     X.money_out(F.col("total_value")).alias("total_value"), "line_item",
+                     back["line_id"].alias("parsed_line_id"),
+                     back["quantity"].alias("parsed_quantity"))
 
 
 # ---------------------------------------------------------------------------
@@ -866,7 +850,8 @@ def serving_orders_by_status(spark, sf_dir):
     (listing.select("business_unit", "order_status", "updated_at", "order_id",
                     "customer_name", "product_family", "priority_tier",
                     X.money_out(F.col("total_value")).alias("total_value"))
-     .repartition("business_unit", "order_status")
+     # few files a directory, but a large directory is split by size over tasks
+     .hint("rebalance", F.col("business_unit"), F.col("order_status"))
      .write.partitionBy("business_unit", "order_status").parquet(path))
     df = read_serving_table(spark, path, business_unit="EMEA", order_status="SHIPPED")
     return (df.select("order_id", "order_status", "updated_at", "customer_name",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orderflow import schemas as S
 from orderflow.functions import expressions as X
+from orderflow.functions.quantiles import exact_quantiles
 from orderflow.operators import cdc as CDC
 from orderflow.operators import inventory as INV
 from orderflow.operators import state as ST
@@ -51,6 +52,20 @@ def test_asof_supply_is_the_total_of_live_warehouses(spark):
                    "X": (None, 0, 0)}
 
 
+def test_quantiles_of_split_groups_equal_percentile(spark):
+    df = spark.range(5000).select(
+        F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("g"),
+        F.when(F.col("id") % 7 > 0, F.pmod(F.xxhash64("id"), F.lit(977)) / 8.0).alias("x"))
+    df = df.unionByName(spark.createDataFrame([("one", 4.5), ("none", None)], df.schema))
+    probs = {"p00": 0.0, "p05": 0.05, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    got = exact_quantiles(df, ["g"], F.col("x"), probs)
+    want = df.where("x is not null").groupBy("g").agg(
+        F.count("x").alias("n"), *[F.percentile("x", p).alias(k) for k, p in probs.items()])
+    def rows(d):
+        return {r.g: [round(v, 9) for v in r[1:]] for r in d.collect()}
+    assert rows(got) == rows(want) and set(rows(got)) == {"a", "b", None, "one"}
+
+
 def test_q16_row_level_delete_by_default_whole_sku_optional(spark):
     ev = spark.createDataFrame(
         [("S1", "WH-0", "u", T0, 1), ("S1", "WH-1", "u", T0, 2), ("S1", "WH-0", "d", T0, 3)],
