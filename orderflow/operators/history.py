@@ -7,7 +7,7 @@ gathered into a single value.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderflow import schemas as S
@@ -18,17 +18,20 @@ from orderflow.operators import state as ST
 def status_history(changes: DataFrame, segment: str = "hour") -> DataFrame:
     """ST-5/WIN-2: an entry whenever a header event's status differs from the
     current one; the initial status is CREATED, so a first CREATED adds
-    nothing. Events without the key neither add nor reset anything.
+    nothing. Events without the key neither add nor reset anything; a null
+    status under the key is a status, as in the fold.
 
     The previous status and the entry number are running values per order,
     computed as segmented scans (hour buckets), so a hot order is spread
     over many tasks."""
     ev = ST.prepare(changes).where(F.col("has_order_status"))
     seg = F.date_trunc(segment, F.col("ts"))
-    p = segmented_scan(ev, ["order_id"], seg, ["seq"], F.col("v_order_status"), "last",
-                       "_prev", inclusive=False)
+    # wrapped, so that a present null is carried as well
+    p = segmented_scan(ev, ["order_id"], seg, ["seq"], F.struct(F.col("v_order_status").alias("s")),
+                       "last", "_prev", inclusive=False)
     ch = (p.select("order_id", "ts", "lsn", "seq", F.col("v_order_status").alias("status"),
-                   F.coalesce(F.col("_prev"), F.lit(S.DEFAULT_STATUS)).alias("prev_status"))
+                   F.when(F.col("_prev").isNull(), F.lit(S.DEFAULT_STATUS))
+                   .otherwise(F.col("_prev.s")).alias("prev_status"))
           .where(~F.col("status").eqNullSafe(F.col("prev_status"))))
     n = segmented_scan(ch, ["order_id"], seg, ["seq"], F.lit(1).cast("bigint"), "sum",
                        "seq_no")
@@ -38,13 +41,26 @@ def status_history(changes: DataFrame, segment: str = "hour") -> DataFrame:
 
 
 def status_timeline(history: DataFrame) -> DataFrame:
-    """WIN-3: time spent in each stage (until the next change; open stage null)."""
-    w = Window.partitionBy("order_id").orderBy("seq_no")
-    nxt = F.lead("timestamp").over(w)
-    dur = (F.unix_micros(nxt.cast("timestamp")) -
-           F.unix_micros(F.col("timestamp").cast("timestamp"))) / F.lit(1e6)
-    return history.select("order_id", "seq_no", "status", F.col("timestamp").alias("entered_at"),
-                          nxt.alias("left_at"), dur.alias("seconds_in_stage"))
+    """WIN-3: time spent in each stage (until the next change; open stage null).
+
+    Each entry goes to its own number and, as the end of the stage before, to
+    the number before; the two meet in an aggregate on (order, number), so
+    the entries of a hot order spread over many tasks."""
+    own = F.struct(F.col("seq_no"), F.lit(1).alias("own"), F.col("status"),
+                   F.col("timestamp").alias("entered_at"),
+                   F.lit(None).cast("timestamp_ntz").alias("left_at"))
+    ends = F.struct((F.col("seq_no") - 1).alias("seq_no"), F.lit(0).alias("own"),
+                    F.lit(None).cast("string").alias("status"),
+                    F.lit(None).cast("timestamp_ntz").alias("entered_at"),
+                    F.col("timestamp").alias("left_at"))
+    met = (history.select("order_id", F.explode(F.array(own, ends)).alias("e"))
+           .groupBy("order_id", F.col("e.seq_no").alias("seq_no"))
+           .agg(*[F.max(f"e.{c}").alias(c) for c in ("own", "status", "entered_at", "left_at")])
+           .where("own = 1"))
+    dur = (F.unix_micros(F.col("left_at").cast("timestamp")) -
+           F.unix_micros(F.col("entered_at").cast("timestamp"))) / F.lit(1e6)
+    return met.select("order_id", "seq_no", "status", "entered_at", "left_at",
+                      dur.alias("seconds_in_stage"))
 
 
 def legal_transitions(spark: SparkSession) -> DataFrame:

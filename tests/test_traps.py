@@ -11,6 +11,7 @@ from orderflow import schemas as S
 from orderflow.functions import expressions as X
 from orderflow.functions.quantiles import exact_quantiles
 from orderflow.operators import cdc as CDC
+from orderflow.operators import history as H
 from orderflow.operators import inventory as INV
 from orderflow.operators import state as ST
 from orderflow.session import scratch_path
@@ -66,6 +67,18 @@ def test_quantiles_of_split_groups_equal_percentile(spark):
     assert rows(got) == rows(want) and set(rows(got)) == {"a", "b", None, "one"}
 
 
+def test_a_null_status_is_a_stage_of_its_own(spark):
+    rows = [Row(order_id="A", source_table="orders", op="u", ts=T0 + dt.timedelta(hours=2 * i),
+                lsn=i + 1, before=None, after={"order_status": v} if v != "-" else {"channel": "x"})
+            for i, v in enumerate(["CREATED", "ALLOCATED", "-", None, "ALLOCATED"])]
+    hist = H.status_history(spark.createDataFrame(rows, S.CHANGE_EVENT))
+    got = [(r.seq_no, r.prev_status, r.status) for r in hist.orderBy("seq_no").collect()]
+    assert got == [(1, "CREATED", "ALLOCATED"), (2, "ALLOCATED", None), (3, None, "ALLOCATED")]
+    line = [(r.seq_no, r.status, r.seconds_in_stage)
+            for r in H.status_timeline(hist).orderBy("seq_no").collect()]
+    assert line == [(1, "ALLOCATED", 14400.0), (2, None, 7200.0), (3, "ALLOCATED", None)]
+
+
 def test_q16_row_level_delete_by_default_whole_sku_optional(spark):
     ev = spark.createDataFrame(
         [("S1", "WH-0", "u", T0, 1), ("S1", "WH-1", "u", T0, 2), ("S1", "WH-0", "d", T0, 3)],
