@@ -226,6 +226,27 @@ def fold_children(changes: DataFrame) -> DataFrame:
                 "first_line.line_family_seq", "allocation_count", "allocated_qty", "shipment")
 
 
+def child_rows(changes: DataFrame, table: str) -> DataFrame:
+    """ST-3/ST-2: the folded rows of one child table, keyed (order_id, child
+    id): the last write of each child as a whole, absent fields at their
+    defaults, unreadable numbers 0. Children stay rows, never a per-order array."""
+    ev = prepare(changes) if IMAGE not in changes.columns else changes
+    v = _child_versions(ev.where(F.col("source_table") == table))
+    if table == "order_line_items":
+        name, fields, numbers = "line_id", LINE_FIELDS, {"quantity": S.QTY, "unit_price": "double"}
+    elif table == "allocation_records":
+        name, fields, numbers = "allocation_id", ALLOC_FIELDS, {"allocated_qty": S.QTY}
+    else:
+        raise ValueError(f"no child table: {table}")
+    cols = [F.col("order_id"), F.coalesce("child_id", F.lit("")).alias(name)]
+    for f, default in fields.items():
+        c = F.coalesce(F.col("img")[f], F.lit(default))
+        if f in numbers:
+            c = F.coalesce(c.try_cast(numbers[f]), F.lit(0).cast(numbers[f]))
+        cols.append(c.alias(f))
+    return v.select(*cols)
+
+
 def order_state(changes: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Full fold: header (``fold_orders``) + children (``fold_children``),
     joined on the order key; family = header candidate or first-line

@@ -623,11 +623,13 @@ SELECT event_type, count(*) AS n_rows,
        count(*) > 0.05 * (SELECT count(*) FROM events) AS is_hot
 FROM events GROUP BY event_type"""
 
-_UPS_COLS = ("order_id, {src} AS source, business_unit, order_status, total_value, updated_at, "
+_UPS_COLS = ("order_id, {src} AS source, business_unit, product_family, order_status, total_value, "
+             "created_at, updated_at, "
              "(business_unit <> '' AND order_status <> '') AS listed")
+UPSERT_SPLIT = "TIMESTAMP '2024-01-30 00:00:00'"
 ORACLE["upsert_latest_orders"] = f"""WITH
-b AS ({fold_sql(where="WHERE ts < TIMESTAMP '2024-01-15 00:00:00'")}),
-d AS ({fold_sql(where="WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'")})
+b AS ({fold_sql(where=f"WHERE ts < {UPSERT_SPLIT}")}),
+d AS ({fold_sql(where=f"WHERE order_id IN (SELECT order_id FROM chg WHERE ts >= {UPSERT_SPLIT})")})
 SELECT {_UPS_COLS.format(src="'delta'")} FROM d
 UNION ALL
 SELECT {_UPS_COLS.format(src="'base'")} FROM b WHERE order_id NOT IN (SELECT order_id FROM d)"""
@@ -747,6 +749,20 @@ SELECT st.order_id, l.line_id, business_unit, order_status, CAST(total_value AS
        l.line_id AS parsed_line_id, l.l_quantity AS parsed_quantity
 FROM st LEFT JOIN lcur l ON st.order_id = CAST(l.l_orderkey AS VARCHAR)"""
 
+ORACLE["star_cdc_lines"] = f"""WITH {STAR}
+SELECT CAST(l_orderkey AS VARCHAR) AS order_id, line_id, CAST(l_partkey AS VARCHAR) AS sku,
+       coalesce(p_type, '') AS product_family, p_name AS description, l_quantity AS quantity,
+       l_extendedprice / l_quantity AS unit_price, 'OPEN' AS line_status
+FROM lcur WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"""
+
+ORACLE["star_cdc_allocations"] = f"""
+SELECT CAST(l_orderkey AS VARCHAR) AS order_id,
+       CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS allocation_id,
+       CAST(l_partkey AS VARCHAR) AS sku, 'WH-' || CAST(l_suppkey % 4 AS VARCHAR) AS warehouse_id,
+       l_quantity AS allocated_qty, 'ALLOCATED' AS status
+FROM lineitem WHERE l_linestatus = 'F' AND l_orderkey IN (SELECT o_orderkey FROM orders)
+QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {LSEQ_DESC}) = 1"""
+
 # the streamed position table must equal the batch position
 ORACLE["stream_inventory_position"] = ORACLE["inventory_position"]
 

@@ -558,21 +558,24 @@ def hot_keys_salted_totals(spark, sf_dir):
     return GOV.salted_totals(ev, "event_type", X.money(F.col("value")), "user_id")
 
 
-UPSERT_SPLIT = "2024-01-15 00:00:00"
+UPSERT_SPLIT = "2024-01-30 00:00:00"
 
 
 @register("upsert_latest_orders")
 def upsert_latest_orders(spark, sf_dir):
     """Stored snapshot (events before the split) upserted with the state of
-    the orders touched after it; listing eligibility as in the bu/status table."""
+    the orders touched after it, which keeps what their earlier events set;
+    listing eligibility as in the bu/status table."""
     ch = _clean_changes(spark, sf_dir)
     split = F.lit(UPSERT_SPLIT).cast("timestamp_ntz")
     base = ST.fold_orders(ch.where(F.col("ts") < split)).withColumn("source", F.lit("base"))
-    delta = ST.fold_orders(ch.where(F.col("ts") >= split)).withColumn("source", F.lit("delta"))
+    touched = ch.where(F.col("ts") >= split).select("order_id").distinct()
+    delta = (ST.fold_orders(ch.join(touched, "order_id", "left_semi"))
+             .withColumn("source", F.lit("delta")))
     m = MRG.upsert_merge(base, delta, ["order_id"])
-    return m.select("order_id", "source", "business_unit", "order_status",
-                    X.money_out(F.col("total_value")).alias("total_value"), "updated_at",
-                    ((F.col("business_unit") != "") & (F.col("order_status") != ""))
+    return m.select("order_id", "source", "business_unit", "product_family", "order_status",
+                    X.money_out(F.col("total_value")).alias("total_value"), "created_at",
+                    "updated_at", ((F.col("business_unit") != "") & (F.col("order_status") != ""))
                     .alias("listed"))
 
 
@@ -821,6 +824,23 @@ def star_cdc_fold(spark, sf_dir):
         "created_at", "updated_at")
 
 
+@register("star_cdc_lines")
+def star_cdc_lines(spark, sf_dir):
+    """ST-3: folded line rows of the change stream, defaults applied."""
+    r = ST.child_rows(star_domain_changes(spark, sf_dir), "order_line_items")
+    return r.select("order_id", "line_id", "sku", "product_family", "description",
+                    F.col("quantity").cast("double").alias("quantity"),
+                    "unit_price", "line_status")
+
+
+@register("star_cdc_allocations")
+def star_cdc_allocations(spark, sf_dir):
+    """ST-2: folded allocation rows of the change stream, defaults applied."""
+    r = ST.child_rows(star_domain_changes(spark, sf_dir), "allocation_records")
+    return r.select("order_id", "allocation_id", "sku", "warehouse_id",
+                    F.col("allocated_qty").cast("double").alias("allocated_qty"), "status")
+
+
 # ---------------------------------------------------------------------------
 # audit log, serving tables with partition pruning, point-in-time export
 # ---------------------------------------------------------------------------
