@@ -239,6 +239,24 @@ def test_disclosing_terms(spark):
     assert out[10] == texts[10] and out[len(texts) - 1] == "copied Quillfeather of [EMAIL] said"
 
 
+def test_disclosing_terms_everywhere(spark):
+    rng = random.Random(9)
+    filler = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    # two contexts of one address; a term of a domain whose addresses occur once each
+    texts = [f"{filler(5)} Zebulon writes from z@home.org about {filler(60)} zebulon, {filler(9)}" for _ in range(2)]
+    texts += [f"{filler(5)} Acmeco writes from p{k}@acme.org about {filler(9)}" for k in range(5)]
+    texts += [f"{filler(60)} ACMECO {filler(5)}", f"{filler(5)} acmeco.sales@other.org {filler(9)}"]
+    texts += [f"{filler(9)} writes from home about {filler(5)}" for _ in range(600)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.sanitised for r in sanitize.sanitise(frame).collect()}
+    assert len(out) == len(texts)
+    assert not any("zebulon" in out[i].lower() for i in (0, 1)) and not any("acmeco" in out[i].lower() for i in range(2, 9))
+    assert "[EMAIL]" in out[8] and "other.org" not in out[8] and all("writes" in out[i] for i in range(7))
+    spans = {r.doc_id: r.terms for r in sanitize.disclosure_spans(frame).select("doc_id", "terms").collect()}
+    for i, forms in ((0, {"Zebulon", "zebulon"}), (7, {"ACMECO"}), (8, set())):
+        assert {texts[i][t.start:t.end] for t in spans[i]} == forms
+
+
 def test_empty_tables(spark):
     ship_package(spark)
     none = spark.createDataFrame([], DOCS)
