@@ -71,6 +71,16 @@ def test_quality_measures():
     assert abs(m["token_entropy"] - entropy) < 1e-9
 
 
+def test_quality_bands_against_labels(spark):
+    ship_package(spark)
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.quality(docs).where("not quality.base_failed").join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id").select("label", "quality.*").collect()
+    assert all(r.kept for r in out if r.label == 1)
+    by_entropy = [r for r in out if r.label == 0 and r.token_entropy < quality.BANDS[r.band][5]]
+    assert by_entropy and not any(r.kept for r in by_entropy)
+
+
 @pytest.mark.parametrize("bits", [0, 1, 2])
 def test_simhash(docs, rows, bits):
     out = simhash.near_duplicates(docs, 3, bits).select("doc_id", simhash.as_hex(F.col("fingerprint")), "component_id")
