@@ -57,27 +57,29 @@ def segmented_scan_multi(df: DataFrame, keys: list[str], segment: Column, order:
     the running ``how`` ('last'/'first' non-null, 'max', 'sum') of ``value``
     per ``keys`` in ``order``. ``segment`` must be non-decreasing in
     ``order`` within a key; ``inclusive=False`` excludes the current row."""
-    d = df.withColumn("_seg", segment)
+    # one struct as the key: it equals another also where fields are null, and the
+    # window, the aggregate and the join share its partitioning
+    d = df.withColumn("_key", F.struct(*[F.col(k) for k in keys], segment.alias("_seg")))
     for i, (_o, val, _h) in enumerate(specs):
         d = d.withColumn(f"_v{i}", val)
     hi = Window.currentRow if inclusive else -1
-    w_local = (Window.partitionBy(*keys, "_seg").orderBy(*order)
+    w_local = (Window.partitionBy("_key").orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, hi))
     for i, (_o, _v, how) in enumerate(specs):
         d = d.withColumn(f"_l{i}", _local(how, f"_v{i}", w_local))
-    segs = d.groupBy(*keys, "_seg").agg(
+    segs = d.groupBy("_key").agg(
         *[_seg_final(how, f"_v{i}", order).alias(f"_f{i}") for i, (_o, _v, how) in
           enumerate(specs)])
-    w_seg = (Window.partitionBy(*keys).orderBy("_seg")
+    w_seg = (Window.partitionBy(*[f"_key.{k}" for k in keys]).orderBy("_key._seg")
              .rowsBetween(Window.unboundedPreceding, -1))
     carry_fn = {"last": lambda c: F.last(c, ignorenulls=True), "first":
                 lambda c: F.first(c, ignorenulls=True), "max": F.max, "sum": F.sum}
-    carry = segs.select(*keys, "_seg", *[carry_fn[how](f"_f{i}").over(w_seg).alias(f"_c{i}")
-                                         for i, (_o, _v, how) in enumerate(specs)])
-    res = d.join(carry, [*keys, "_seg"], "left")
+    carry = segs.select("_key", *[carry_fn[how](f"_f{i}").over(w_seg).alias(f"_c{i}")
+                                  for i, (_o, _v, how) in enumerate(specs)])
+    res = d.join(carry, "_key", "left")
     for i, (out, _v, how) in enumerate(specs):
         res = res.withColumn(out, _combine(how, F.col(f"_l{i}"), F.col(f"_c{i}")))
-    drop = ["_seg"] + [f"_{p}{i}" for i in range(len(specs)) for p in "vlc"]
+    drop = ["_key"] + [f"_{p}{i}" for i in range(len(specs)) for p in "vlc"]
     return res.drop(*drop)
 
 

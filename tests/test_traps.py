@@ -119,3 +119,14 @@ def test_batch_append_sink_replay_and_latest(spark):
     got = {r["k"]: r["v"] for r in SK.read_latest(spark, path, ["k"]).collect()}
     assert got == {"a": 2, "b": 5}
     assert os.path.isdir(os.path.join(path, "batch_id=1"))
+
+
+def test_scan_carries_rows_of_a_null_key_and_null_segment(spark):
+    from orderflow.functions.scan import segmented_scan
+    rows = [(k, seg, i, v) for k in (None, "a") for i, (seg, v) in enumerate([(None, 7), (1, 5), (1, None), (2, None), (3, 4), (3, None)])]
+    df = spark.createDataFrame(rows, "k string, seg int, i int, v int")
+    last = segmented_scan(df, ["k"], F.col("seg"), ["i"], F.col("v"), "last", "r").collect()
+    total = segmented_scan(df, ["k"], F.col("seg"), ["i"], F.col("v"), "sum", "r", inclusive=False).collect()
+    for k in (None, "a"):
+        assert [r.r for r in sorted(last, key=lambda r: r.i) if r.k == k] == [7, 5, 5, 5, 4, 4]
+        assert [r.r for r in sorted(total, key=lambda r: r.i) if r.k == k] == [0, 7, 12, 12, 12, 16]
