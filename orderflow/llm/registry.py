@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.llm import chatfsm, fairqueue, histosort, quality, sanitize, simhash, suffixmerge, superkmer, viterbi, winnow
+from orderflow.llm import chatfsm, fairqueue, histosort, infill, prefixtrie, quality, sanitize, simhash, suffixmerge, superkmer, tokenfiles, viterbi, winnow
 from orderflow.llm.common import table, text_of
 from orderflow.session import ship_package
 
@@ -97,6 +97,24 @@ def op9_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
                       sanitize.report(spans).alias("spans"), F.size("terms").cast("long").alias("n_term"))
 
 
+@query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tokenfiles.token_folder(spark)
+    index = tokenfiles.write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
+    return tokenfiles.read_token_files(index, folder)
+
+
+@query
+def op12_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), output=False)
+    return out.select("doc_id", *(f"infill.{c}" for c in ("n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")))
+
+
+@query
+def op13_block_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(prefixtrie.rebuilt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
 ORACLE["op8_chat_fsm"] = r"""
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -133,3 +151,22 @@ k AS (SELECT doc_id, key, source, sum(size)::BIGINT AS taken FROM r WHERE run <=
 SELECT c.doc_id, c.size, c.source_size, c.target, coalesce(k.taken, 0)::BIGINT AS taken
 FROM c LEFT JOIN k ON c.doc_id IS NOT DISTINCT FROM k.doc_id AND c.source IS NOT DISTINCT FROM k.source
 """
+
+ORACLE["op12_piece_table"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (
+  SELECT *, len(u) AS n, [('0x' || x[1:8])::UBIGINT % (len(u) + 1), ('0x' || x[9:16])::UBIGINT % (len(u) + 1)] AS c,
+    ('0x' || x[25:32])::UBIGINT % 100 < 50 AS spm,
+    t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain FROM d),
+p AS (
+  SELECT *, array_to_string(u[1:list_min(c)], '') AS a, array_to_string(u[list_min(c) + 1:list_max(c)], '') AS b,
+    array_to_string(u[list_max(c) + 1:], '') AS s FROM h)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT plain THEN length(a) END AS prefix_chars, CASE WHEN NOT plain THEN length(b) END AS middle_chars,
+  sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || s || '<P>' || a || '<M>' || b
+    ELSE '<P>' || a || '<S>' || s || '<M>' || b END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
