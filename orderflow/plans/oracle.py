@@ -804,3 +804,71 @@ ORACLE["order_trends_day_unit"] = trend_sql(
 
 ORACLE["supply_for_sku"] = (f"WITH {INV} SELECT sku, warehouse_id, {QTY3}, updated_at FROM pos "
                             "WHERE sku = '42'")
+
+# ---------------------------------------------------------------------------
+# the whole order state on a stream equals the batch fold
+# ---------------------------------------------------------------------------
+for _n in ("stream_order_state_full", "stream_order_state_recovered", "stream_handover_state"):
+    ORACLE[_n] = ORACLE["star_cdc_fold"]
+ORACLE["stream_lines"] = ORACLE["star_cdc_lines"]
+ORACLE["stream_allocations"] = ORACLE["star_cdc_allocations"]
+# event time travels as epoch milliseconds
+HIST_MS = CHG.replace("chg AS (", "chg0 AS (") + """,
+chg AS (SELECT * REPLACE (make_timestamp((epoch_us(ts) // 1000) * 1000) AS ts) FROM chg0)""" + HIST[len(CHG):]
+ORACLE["stream_status_history"] = f"""WITH {HIST_MS}
+SELECT order_id, seq_no, status, timestamp, source, prev_status FROM hist"""
+ORACLE["stream_order_listing"] = f"""WITH {STAR}
+SELECT business_unit, order_status, order_id, updated_at, customer_name, product_family, priority_tier,
+       CAST(total_value AS DOUBLE) AS total_value
+FROM st WHERE business_unit <> '' AND order_status <> ''"""
+ORACLE["stream_order_documents_full"] = f"""WITH {STAR},
+ship AS (SELECT l.l_orderkey, max(l.l_shipdate) AS shipped
+         FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'F' GROUP BY l.l_orderkey)
+SELECT order_id, customer_id, customer_name, channel, business_unit, product_family, order_status,
+       priority_tier, CAST(total_value AS DOUBLE) AS total_value, currency, atp_feasible,
+       {_iso('created_at')} AS created_at, {_iso('updated_at')} AS updated_at,
+       {_iso('expected_ship_date')} AS expected_ship_date, line_count,
+       CASE WHEN shipped IS NOT NULL
+            THEN (['FedEx', 'UPS', 'DHL', 'Amazon Logistics'])[o_orderkey % 4 + 1] END AS shipment_carrier,
+       CASE WHEN shipped IS NOT NULL THEN 'SHIPPED' END AS shipment_status,
+       {_iso('shipped')} AS shipment_ship_date
+FROM st LEFT JOIN ship ON st.o_orderkey = ship.l_orderkey"""
+STAR_EVENTS = """ev AS (
+  SELECT 'orders' AS source_table, o_orderkey AS k, o_orderdate::TIMESTAMP AS ts FROM orders
+  UNION ALL SELECT 'order_line_items', l_orderkey, l_shipdate::TIMESTAMP FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)
+  UNION ALL SELECT 'allocation_records', l_orderkey, l_shipdate::TIMESTAMP FROM lineitem
+    WHERE l_linestatus = 'F' AND l_orderkey IN (SELECT o_orderkey FROM orders)
+  UNION ALL SELECT 'shipments', l_orderkey, l_shipdate::TIMESTAMP FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F')"""
+ORACLE["stream_topic_routing"] = f"""WITH {STAR_EVENTS}
+SELECT source_table AS topic, count(*) AS events, count(DISTINCT k) AS orders FROM ev GROUP BY source_table"""
+ORACLE["stream_table_windows"] = f"""WITH {STAR_EVENTS},
+w AS (SELECT source_table, make_timestamp(epoch_us(ts) // 2592000000000 * 2592000000000) AS window_start, count(*) AS events FROM ev GROUP BY ALL),
+slow AS (SELECT min(m) - INTERVAL 30 SECOND AS wm FROM (SELECT max(ts) AS m FROM ev GROUP BY source_table))
+SELECT source_table, window_start, window_start + INTERVAL 30 DAY AS window_end, events
+FROM w WHERE window_start + INTERVAL 30 DAY <= (SELECT wm FROM slow)"""
+
+
+def _supply_round(k: int) -> str:
+    inv = INV.replace("FROM lineitem)", f"FROM lineitem WHERE l_orderkey % 3 <= {k})")
+    return f"""SELECT * FROM (WITH {inv}
+SELECT CAST(l.l_orderkey AS VARCHAR) AS order_id, CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) AS line_id,
+       CAST(l.l_partkey AS VARCHAR) AS sku, CAST(l.l_quantity AS DOUBLE) AS quantity, CAST(sup.available_qty AS DOUBLE) AS available_qty,
+       {k}::BIGINT AS position_version, coalesce(sup.available_qty, 0) >= l.l_quantity AS atp_feasible
+FROM lineitem l LEFT JOIN sup ON CAST(l.l_partkey AS VARCHAR) = sup.sku WHERE l.l_orderkey % 3 = {k})"""
+
+
+ORACLE["stream_order_supply"] = " UNION ALL ".join(_supply_round(k) for k in range(3))
+WINDOWS_MULTI = RECORDS + ",\n" + ",\n".join(window_select(*w) for w in (
+    (60, 5, "sliding_1h", "m1"), (24 * 60, 60, "sliding_24h", "m2"), (24 * 60, 24 * 60, "tumbling_daily", "m3")))
+ORACLE["stream_windows_multi"] = f"""WITH {WINDOWS_MULTI},
+m AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3)
+SELECT * FROM m WHERE window_end <= (SELECT max(ts) FROM rec) - INTERVAL 30 SECOND"""
+_SETTLED = "window_end <= (SELECT max(ts) FROM rec) - INTERVAL 30 SECOND AND (order_count > 0 OR available_supply > 0)"
+ORACLE["stream_late_side_output"] = f"""WITH {WINDOWS_MULTI}
+SELECT bu, product_family, horizon, window_start, round(unfulfilled_demand, 2) AS unfulfilled_demand,
+       round(available_supply, 2) AS available_supply, order_count FROM m3 WHERE {_SETTLED}"""
+ORACLE["stream_batch_reconciliation"] = f"""WITH {WINDOWS_MULTI}
+SELECT bu, product_family, horizon, window_start, round(available_supply, 2) AS batch_supply,
+       0.0::DOUBLE AS unexplained_demand, 0.0::DOUBLE AS unexplained_supply, 0::BIGINT AS unexplained_count FROM m1 WHERE {_SETTLED}"""
+ORACLE["stream_fold_metrics"] = f"""WITH {STREAM_CHG}
+SELECT count(*) AS events, 4::BIGINT AS batches, count(*) AS rows_written FROM chg"""

@@ -10,6 +10,7 @@ import os
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,11 @@ from orderflow.session import scratch_path
 from orderflow.sources import adapters as A
 from orderflow.sources.tables import read_serving_table
 from orderflow.streaming import jobs as JOBS
+from orderflow.streaming import lifecycle as LC
+from orderflow.streaming import metrics as MET
 from orderflow.streaming import sinks as SK
-from orderflow.streaming.sources import text_stream
+from orderflow.streaming import windows as WIN
+from orderflow.streaming.sources import parquet_stream, text_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -692,12 +696,12 @@ def stream_order_state_out_of_order(spark, sf_dir):
     root = _run_dir(spark, "stream-shuffled")
     raw = os.path.join(root, "raw")
     lines = A.raw_envelope_lines(spark, sf_dir, duplicates=True).select("value")
+    n = STREAM_PARTS * STREAM_FILES
     mix = F.xxhash64("value")
-    part = F.pmod(mix, F.lit(STREAM_PARTS))
-    again = F.pmod(mix, F.lit(10)) == 0
-    for k in range(STREAM_PARTS):
-        rows = lines.where((part == k) | (again & (part == k - 1)))
-        rows.repartition(STREAM_FILES).write.mode("append").text(raw)
+    file = F.pmod(mix, F.lit(n))
+    again = (F.pmod(mix, F.lit(10)) == 0) & (file + STREAM_FILES < n)
+    lines = lines.withColumn("file", F.explode(F.when(again, F.array(file, file + STREAM_FILES)).otherwise(F.array(file))))
+    lines.repartitionByRange(n, "file").select("value").write.text(raw)
     out = os.path.join(root, "enriched")
     runs = JOBS.start_order_state_job(spark, raw, out, os.path.join(root, "dlq"),
                                       os.path.join(root, "ckpt"), max_files=STREAM_FILES)
@@ -881,19 +885,19 @@ def serving_orders_by_status(spark, sf_dir):
 
 @register("stream_inventory_position")
 def stream_inventory_position(spark, sf_dir):
-    """Inventory change events streamed in three micro-batches in no order of
+    """Inventory change events streamed in four micro-batches in no order of
     time, folded into the position table; equals the batch position."""
     root = _run_dir(spark, "stream-inventory")
     ev = INV.inventory_events(spark, sf_dir)
     src = os.path.join(root, "events")
-    part = F.pmod(F.xxhash64("sku", "warehouse_id", "ts"), F.lit(STREAM_PARTS))
-    for k in range(STREAM_PARTS):
-        ev.where(part == k).repartition(STREAM_FILES).write.mode("append").parquet(src)
+    # files dealt by a hash, without regard to time
+    (ev.repartition(STREAM_PARTS * STREAM_FILES, F.xxhash64("sku", "warehouse_id", "ts"))
+     .write.parquet(src))
     state = os.path.join(root, "state")
     q = JOBS.start_inventory_state_job(spark, src, state, os.path.join(root, "ckpt"),
-                                       spark.read.parquet(src).schema, max_files=STREAM_FILES)
+                                       ev.schema, max_files=STREAM_FILES)
     q.awaitTermination()
-    p = SK.read_state(spark, state)
+    p = JOBS.inventory_at(spark, state)
     return p.select("sku", "warehouse_id", *_qty_out(p, QTY_COLS), F.col("ts").alias("updated_at"))
 
 
@@ -906,7 +910,7 @@ def stream_order_documents(spark, sf_dir):
     docs = os.path.join(root, "docs")
     q = JOBS.start_index_sync_job(spark, enriched, docs, os.path.join(root, "ckpt-docs"))
     q.awaitTermination()
-    return SK.read_snapshot(spark, docs).drop("_seq")
+    return SK.read_latest(spark, docs, ["order_id"], F.col("_seq")).drop("_seq")
 
 
 @register("orders_by_status_as_coded")
@@ -949,3 +953,278 @@ def supply_for_sku(spark, sf_dir):
     """LIM-7 as the endpoint asks it: every warehouse row of one SKU."""
     p = INV.inventory_position(INV.inventory_events(spark, sf_dir, sku="42"))
     return p.select("sku", "warehouse_id", *_qty_out(p, QTY_COLS), "updated_at")
+
+
+# ---------------------------------------------------------------------------
+# the whole order state on a stream: four topics, out of order, redelivered
+# ---------------------------------------------------------------------------
+
+TOPIC_PARTS = 3
+
+
+def _star_events(spark, sf_dir) -> DataFrame:
+    """The four tables' changes as they come from their topics: each row image
+    with its order id, and a log position, the rank in the order's total order."""
+    at = Window.partitionBy("order_id").orderBy("seq", "source_table")
+    image = F.when(F.col("source_table") == "orders", F.col("after")).otherwise(
+        F.map_concat(F.create_map(F.lit("order_id"), F.col("order_id")), "after"))
+    return (star_domain_changes(spark, sf_dir).withColumn("after", image)
+            .withColumn("lsn", F.row_number().over(at).cast("bigint")).drop("seq"))
+
+
+def _topics(root: str, names=S.TOPICS) -> dict[str, str]:
+    return {t: os.path.join(root, f"topic={t}") for t in names}
+
+
+def _lifecycle(spark, sf_dir, name: str, changes: DataFrame, names=S.TOPICS, **options) -> str:
+    root = _run_dir(spark, name)
+    A.write_topics(changes, os.path.join(root, "raw"), TOPIC_PARTS, STREAM_FILES)
+    q = JOBS.start_lifecycle_job(
+        spark, _topics(os.path.join(root, "raw"), names), os.path.join(root, "state"),
+        os.path.join(root, "ckpt"), os.path.join(root, "listing"), max_files=STREAM_FILES, **options)
+    q.awaitTermination()
+    return root
+
+
+#: (application, data folder) -> tables of a finished lifecycle run; the queries below read them
+_RUNS: dict[tuple[str, str], str] = {}
+
+
+def _star_run(spark, sf_dir) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RUNS:
+        _RUNS[key] = _lifecycle(spark, sf_dir, "stream-lifecycle", _star_events(spark, sf_dir))
+    return _RUNS[key]
+
+
+def _star_state(st: DataFrame) -> DataFrame:
+    ntz = lambda c: F.col(c).cast("timestamp_ntz")
+    return st.select(
+        "order_id", "business_unit", "order_status", "priority_tier",
+        F.round("total_value", 2).alias("total_value"), "product_family", "line_count",
+        "total_demand", "allocation_count", ntz("shipment.ship_date").alias("ship_date"),
+        F.col("shipment.status").alias("shipment_status"), "atp_feasible",
+        ntz("created_at").alias("created_at"), ntz("updated_at").alias("updated_at"))
+
+
+@register("stream_order_state_full")
+def stream_order_state_full(spark, sf_dir):
+    """ST-1..ST-9 on a stream: each order's newest state row."""
+    return _star_state(LC.order_table(spark, os.path.join(_star_run(spark, sf_dir), "state")))
+
+
+@register("stream_lines")
+def stream_lines(spark, sf_dir):
+    """ST-2 on a stream: each line's newest row."""
+    return LC.child_table(spark, os.path.join(_star_run(spark, sf_dir), "state"), "line")
+
+
+@register("stream_allocations")
+def stream_allocations(spark, sf_dir):
+    """ST-3 on a stream: each allocation's newest row."""
+    return LC.child_table(spark, os.path.join(_star_run(spark, sf_dir), "state"), "allocation")
+
+
+@register("stream_order_listing")
+def stream_order_listing(spark, sf_dir):
+    """SNK-3 by the stream: the (bu, status) directories it wrote, with the
+    rows that are still an order's newest."""
+    root = _star_run(spark, sf_dir)
+    listing = SK.read_batches(spark, os.path.join(root, "listing"))
+    newest = LC.order_table(spark, os.path.join(root, "state")).select("order_id", "version")
+    return listing.join(newest, ["order_id", "version"], "left_semi").select(
+        "business_unit", "order_status", "order_id", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"),
+        "customer_name", "product_family", "priority_tier", F.round("total_value", 2).alias("total_value"))
+
+
+@register("stream_order_documents_full")
+def stream_order_documents_full(spark, sf_dir):
+    """PRJ-12 on the stream: search documents with line totals and shipment."""
+    st = LC.order_table(spark, os.path.join(_star_run(spark, sf_dir), "state"))
+    iso = lambda c: X.ts_to_iso(F.col(c))
+    return st.where(F.coalesce("order_id", F.lit("")) != "").select(
+        "order_id", "customer_id", "customer_name", "channel", "business_unit", "product_family",
+        "order_status", "priority_tier", F.round("total_value", 2).alias("total_value"), "currency",
+        "atp_feasible", iso("created_at").alias("created_at"), iso("updated_at").alias("updated_at"),
+        iso("expected_ship_date").alias("expected_ship_date"), "line_count",
+        F.col("shipment.carrier").alias("shipment_carrier"), F.col("shipment.status").alias("shipment_status"),
+        iso("shipment.ship_date").alias("shipment_ship_date"))
+
+
+@register("stream_status_history")
+def stream_status_history(spark, sf_dir):
+    """ST-5 on a stream: header events of adapter B out of order and
+    redelivered; entries that a late event took back are gone."""
+    root = _lifecycle(spark, sf_dir, "stream-history", A.change_stream(spark, sf_dir), ["orders"])
+    return LC.history_table(spark, os.path.join(root, "state")).drop("lsn")
+
+
+class StoppedBetweenCommits(RuntimeError):
+    """Raised by ``stream_order_state_recovered`` in place of a lost driver."""
+
+
+@register("stream_order_state_recovered")
+def stream_order_state_recovered(spark, sf_dir):
+    """STR-8: the run ends after a batch's state and rows are written and
+    before Spark commits the batch, then starts again on its checkpoint."""
+    root = _run_dir(spark, "stream-recovery")
+    A.write_topics(_star_events(spark, sf_dir), os.path.join(root, "raw"), TOPIC_PARTS, STREAM_FILES)
+
+    def stop(batch_id: int) -> None:
+        if batch_id == 1:
+            raise StoppedBetweenCommits
+
+    for after_write in (stop, None):
+        q = JOBS.start_lifecycle_job(
+            spark, _topics(os.path.join(root, "raw")), os.path.join(root, "state"),
+            os.path.join(root, "ckpt"), max_files=STREAM_FILES, after_write=after_write)
+        try:
+            q.awaitTermination()
+        except StreamingQueryException as e:
+            if "StoppedBetweenCommits" not in str(e):
+                raise
+    return _star_state(LC.order_table(spark, os.path.join(root, "state")))
+
+
+@register("stream_handover_state")
+def stream_handover_state(spark, sf_dir):
+    """SRC-4 + ST-11: state seeded from the batch fold of a snapshot, the
+    stream from an earlier position on (the overlap counts once), and the
+    state then read from the checkpoint."""
+    ch = _star_events(spark, sf_dir)
+    snapshot, tail = ch.where(F.col("lsn") <= 4), ch.where(F.col("lsn") >= 3)
+    root = _lifecycle(spark, sf_dir, "stream-handover", tail, initial_state=LC.seed_rows(snapshot))
+    return _star_state(LC.state_orders(spark, os.path.join(root, "ckpt")))
+
+
+@register("stream_table_windows")
+def stream_table_windows(spark, sf_dir):
+    """SET-1/STR-1: events per table and 30 days over four united topics with
+    their own watermarks; windows close by the slowest topic."""
+    root = _run_dir(spark, "stream-topics")
+    A.write_topics(_star_events(spark, sf_dir), os.path.join(root, "raw"), 1, STREAM_FILES, again=1 << 20)
+    out = os.path.join(root, "out")
+    JOBS.start_table_windows_job(spark, _topics(os.path.join(root, "raw")), out,
+                                 os.path.join(root, "ckpt")).awaitTermination()
+    return SK.read_batches(spark, out).drop("_batch", SK.BATCH)
+
+
+@register("stream_topic_routing")
+def stream_topic_routing(spark, sf_dir):
+    """SRC-3: all topics through one subscription, routed by topic."""
+    root = _run_dir(spark, "stream-routing")
+    A.write_topics(_star_events(spark, sf_dir), os.path.join(root, "raw"), 1, STREAM_FILES, again=1 << 20)
+    out = os.path.join(root, "out")
+    JOBS.start_topic_router_job(spark, os.path.join(root, "raw"), out, os.path.join(root, "ckpt")).awaitTermination()
+    return (SK.read_batches(spark, out).where("reject_reason is null").groupBy("topic")
+            .agg(F.count(F.lit(1)).alias("events"), F.countDistinct("order_id").alias("orders")))
+
+
+@register("stream_order_supply")
+def stream_order_supply(spark, sf_dir):
+    """JN-1/STR-6: three rounds of inventory changes and order lines; each line
+    row carries the version of the position table it saw."""
+    root = _run_dir(spark, "stream-supply")
+    at = lambda *p: os.path.join(root, *p)
+    ev = INV.inventory_events(spark, sf_dir)
+    lines = A.read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.col("l_orderkey").cast("string").alias("order_id"),
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("line_id"),
+        F.col("l_partkey").cast("string").alias("sku"), F.col("l_quantity").cast(S.QTY).alias("quantity"))
+    for k in range(TOPIC_PARTS):
+        ev.where(F.col("seq.l_orderkey") % TOPIC_PARTS == k).write.mode("append").parquet(at("events"))
+        JOBS.start_inventory_state_job(spark, at("events"), at("position"), at("ckpt-position"), ev.schema,
+                                       max_files=None).awaitTermination()
+        lines.where(F.col("l_orderkey") % TOPIC_PARTS == k).drop("l_orderkey").write.mode("append").parquet(at("lines"))
+        JOBS.start_order_supply_job(spark, at("lines"), lines.drop("l_orderkey").schema, at("position"), at("ckpt-position"),
+                                    at("out"), at("ckpt-lines")).awaitTermination()
+    rows = SK.read_batches(spark, at("out", "rows"))
+    return rows.select("order_id", "line_id", "sku", F.col("quantity").cast("double").alias("quantity"),
+                       F.col("available_qty").cast("double").alias("available_qty"), "position_version", "atp_feasible")
+
+
+# ---------------------------------------------------------------------------
+# windows of several sizes from one pass, late rows beside them
+# ---------------------------------------------------------------------------
+
+def _window_run(spark, sf_dir, name: str, files: int) -> str:
+    """Backlog records dealt over ``files`` micro-batches without regard to time."""
+    root = _run_dir(spark, name)
+    src = os.path.join(root, "records")
+    rec = _event_records(spark, sf_dir)
+    rec.repartition(files, F.xxhash64("order_id", "ts")).write.parquet(src)
+    stream = parquet_stream(spark, src, rec.schema, 1 if files > 1 else None)
+    q = JOBS.start_windows_job(spark, stream, os.path.join(root, "rows"), os.path.join(root, "metrics"),
+                               os.path.join(root, "ckpt"))
+    q.awaitTermination()
+    return root
+
+
+@register("stream_windows_multi")
+def stream_windows_multi(spark, sf_dir):
+    """STR-2/3/3b: sliding 1 h, sliding 24 h and daily windows from one query."""
+    root = _window_run(spark, sf_dir, "stream-windows", 1)
+    return SK.read_batches(spark, os.path.join(root, "metrics")).drop("_batch", SK.BATCH, "json")
+
+
+def _stream_against_batch(spark, root: str, sf_dir: str, window_type: str, size: str, slide: str | None) -> DataFrame:
+    """Full outer join of a window run with the batch windows, and the late sums."""
+    key = [*BL.KEY, "window_start"]
+    stream = SK.read_batches(spark, os.path.join(root, "metrics")).where(F.col("window_type") == window_type)
+    late = WIN.finish(WIN.late_sums(WIN.read_late(spark, os.path.join(root, "rows")))).where(F.col("window_type") == window_type)
+    meas = ["unfulfilled_demand", "available_supply", "order_count"]
+    part = lambda d, p: d.select(*key, *[F.col(m).alias(f"{p}_{m}") for m in meas])
+    batch = BL.backlog_windows(_event_records(spark, sf_dir), size, slide, window_type)
+    # windows still open at the end of the stream have no row there yet
+    j = part(batch, "b").join(part(stream, "s"), key, "full").join(part(late, "l"), key, "full")
+    zero = {f"{p}_{m}": 0.0 for p in "bsl" for m in meas[:2]} | {f"{p}_{meas[2]}": 0 for p in "bsl"}
+    return j.na.fill(zero)
+
+
+@register("stream_late_side_output")
+def stream_late_side_output(spark, sf_dir):
+    """STR-7/SNK-10: four micro-batches in no order of time; window sums and
+    the sums of the late rows, which together are the batch's."""
+    j = _stream_against_batch(spark, _window_run(spark, sf_dir, "stream-late", STREAM_PARTS), sf_dir, "tumbling_daily", "24 hours", None)
+    both = lambda m: F.round(F.col(f"s_{m}") + F.col(f"l_{m}"), 2)
+    closed = j.where("s_order_count + l_order_count > 0 or s_available_supply + l_available_supply > 0")
+    return closed.select(*BL.KEY, "window_start", both("unfulfilled_demand").alias("unfulfilled_demand"),
+                         both("available_supply").alias("available_supply"),
+                         (F.col("s_order_count") + F.col("l_order_count")).alias("order_count"))
+
+
+@register("stream_batch_reconciliation")
+def stream_batch_reconciliation(spark, sf_dir):
+    """JN-8: the stream's hourly windows against the batch's after settling;
+    a deviation is the exact sum of the late rows, so nothing is unexplained."""
+    j = _stream_against_batch(spark, _window_run(spark, sf_dir, "stream-reconcile", STREAM_PARTS), sf_dir, "sliding_1h", "1 hour", "5 minutes")
+    closed = j.where("s_order_count + l_order_count > 0 or s_available_supply + l_available_supply > 0")
+    rest = lambda m: F.round(F.col(f"b_{m}") - F.col(f"s_{m}") - F.col(f"l_{m}"), 2)
+    return closed.select(*BL.KEY, "window_start", F.round("b_available_supply", 2).alias("batch_supply"),
+                         rest("unfulfilled_demand").alias("unexplained_demand"),
+                         rest("available_supply").alias("unexplained_supply"),
+                         (F.col("b_order_count") - F.col("s_order_count") - F.col("l_order_count")).alias("unexplained_count"))
+
+
+@register("stream_fold_metrics")
+def stream_fold_metrics(spark, sf_dir):
+    """AGG-14 live: the metrics a listener stored, by batch, of a fold in four
+    micro-batches; their rows are the rows the fold wrote."""
+    root = _run_dir(spark, "stream-metrics")
+    raw = os.path.join(root, "raw")
+    (A.raw_envelope_lines(spark, sf_dir, duplicates=True)
+     .repartition(STREAM_PARTS, F.xxhash64("value")).select("value").write.text(raw))
+    heard = MET.ObservedMetrics(spark, os.path.join(root, "observed"), "fold")
+    spark.streams.addListener(heard)
+    try:
+        q, dlq = JOBS.start_order_state_job(spark, raw, os.path.join(root, "out"), os.path.join(root, "dlq"),
+                                            os.path.join(root, "ckpt"), max_files=1)
+        heard.follow(q)
+        q.awaitTermination()
+        dlq.awaitTermination()
+        heard.ended.wait(60)
+    finally:
+        spark.streams.removeListener(heard)
+    m = MET.read_metrics(spark, os.path.join(root, "observed"), "rows bigint")
+    written = spark.read.parquet(os.path.join(root, "out")).agg(F.count(F.lit(1)).alias("rows_written"))
+    return m.agg(F.sum("observed.rows").alias("events"), F.count(F.lit(1)).alias("batches")).crossJoin(written)

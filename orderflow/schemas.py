@@ -51,6 +51,7 @@ FACET_SIZES = {"order_status": 10, "business_unit": 20, "product_family": 20,
                "priority_tier": 10, "channel": 20}
 SUMMARY_FAMILY_SIZE = 50
 HOT_KEY_SHARE = 0.05
+TOPICS = ["orders", "order_line_items", "allocation_records", "shipments"]   # one per table
 # ---------------------------------------------------------------------------
 
 MONEY = T.DecimalType(15, 2)

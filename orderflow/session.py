@@ -27,6 +27,8 @@ BASE_CONF = {
     # larger falls back to a shuffle join. Fixed-domain lookups are hinted.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    # a union of streams waits for the slowest of them
+    "spark.sql.streaming.multipleWatermarkPolicy": "min",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

@@ -248,3 +248,17 @@ def duplicated_change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change stream with every ``event_id % 50 = 0`` row delivered twice."""
     ch = change_stream(spark, sf_dir)
     return ch.unionByName(ch.where(F.col("lsn") % 50 == 0))
+
+
+def write_topics(changes: DataFrame, root: str, parts: int, files: int = 2, again: int = 10) -> None:
+    """Changes as envelope JSON lines, one directory per table topic, dealt
+    without regard to time over ``parts`` groups of ``files`` files; a row in
+    ``again`` is delivered once more, in the next group. One pass over the input."""
+    rows = changes.select(F.col("source_table").alias("topic"), _envelope_json(changes, F.col("op")).alias("value"))
+    mix = F.pmod(F.xxhash64("value"), F.lit(parts * again * files))
+    part = F.pmod(mix, F.lit(parts))
+    twice = (F.floor(mix / parts) % again == 0) & (part + 1 < parts)
+    rows = rows.withColumn("part", F.explode(F.when(twice, F.array(part, part + 1)).otherwise(F.array(part))))
+    rows = rows.withColumn("file", F.pmod(F.xxhash64("value", F.lit(1)), F.lit(files)))
+    (rows.repartition("topic", "part", "file").select("topic", "part", "value")
+     .write.partitionBy("topic", "part").text(root))

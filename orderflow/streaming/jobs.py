@@ -7,6 +7,12 @@ pipeline plus the dashboard push.
 * ``start_backlog_job``: enriched directory as a stream -> backlog records ->
   event-time windows with a 30 s watermark, append mode (only closed windows)
   -> idempotent ``foreachBatch`` sink keyed by the window key (SNK-4).
+* ``start_lifecycle_job``: one text stream per table topic, each with its own
+  watermark, united into the whole order state (``streaming.lifecycle``).
+* ``start_windows_job``: several window sizes from one pass, late rows as a
+  second output (``streaming.windows``).
+* ``start_inventory_state_job`` / ``start_order_supply_job``: the inventory
+  position, and order lines that read it at a recorded version.
 * ``start_dashboard_job``: every trigger recomputes the backlog summary from
   the metric table and stores it with the batch id (STR-10).
 
@@ -17,6 +23,7 @@ Each job gets its own checkpoint folder under ``spark.checkpoint.dir``
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +34,10 @@ from orderflow.operators import backlog as BL
 from orderflow.operators import cdc as CDC
 from orderflow.session import ship_package
 from orderflow.streaming import fold as FOLD
+from orderflow.streaming import lifecycle as LC
 from orderflow.streaming import sinks as SK
-from orderflow.streaming.sources import parquet_stream, text_stream
+from orderflow.streaming import windows as WIN
+from orderflow.streaming.sources import parquet_stream, route_by_topic, text_stream
 
 WINDOW_KEY = [*BL.KEY, "window_type", "window_start"]
 
@@ -150,12 +159,110 @@ def start_inventory_state_job(spark: SparkSession, events_dir: str, state_dir: s
                               schema: T.StructType, max_files: int | None = 1,
                               available_now: bool = True, interval: str = "30 seconds"):
     """STR-6/AGG-9 on a stream: inventory change events maintain the
-    (sku, warehouse) position table once per micro-batch; enrichment jobs
-    read its latest committed version (a stream-static join per batch)."""
+    (sku, warehouse) position table, a batch's own rows at a time; read it
+    with ``inventory_at``."""
     src = parquet_stream(spark, events_dir, schema, max_files)
     return _trigger(src.writeStream.option("checkpointLocation", ckpt)
-                    .foreachBatch(SK.state_snapshot_sink(spark, state_dir,
-                                                         ["sku", "warehouse_id"], "seq")),
+                    .foreachBatch(SK.upsert_sink(state_dir, ["sku", "warehouse_id"], F.col("seq"))),
+                    available_now, interval).start()
+
+
+def inventory_at(spark: SparkSession, state_dir: str, version: int | None = None) -> DataFrame:
+    """The position table after micro-batch ``version`` (default: all). Deletes
+    are rows as well, so that an older event cannot bring a row back."""
+    return SK.read_latest(spark, state_dir, ["sku", "warehouse_id"], F.col("seq"), version).where(F.col("op") != "d")
+
+
+def start_order_supply_job(spark: SparkSession, lines_dir: str, schema: T.StructType, state_dir: str,
+                           state_ckpt: str, out_dir: str, ckpt: str, max_files: int | None = None,
+                           available_now: bool = True, interval: str = "30 seconds"):
+    """JN-1/STR-6: order lines (``sku``, ``quantity``) joined with the supply of
+    their SKU. The static side is resolved anew in each micro-batch, at the
+    newest batch the inventory query has committed; that version is recorded
+    and stands in each row, and a replayed batch reads the same one. Spark's
+    measured sizes decide whether the supply is broadcast."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        v = SK.recorded_version(spark, os.path.join(out_dir, "versions"), batch_id,
+                                lambda: SK.committed_batch(spark, state_ckpt))
+        if v is None:
+            supply = batch.select("sku", F.lit(0).cast(S.QTY).alias("available_qty")).where("false")
+        else:
+            supply = inventory_at(spark, state_dir, v).groupBy("sku").agg(F.sum("available_qty").alias("available_qty"))
+        rows = batch.join(supply, "sku", "left").select(
+            *batch.columns, "available_qty", F.lit(v).cast("bigint").alias("position_version"),
+            (F.coalesce("available_qty", F.lit(0)) >= F.col("quantity")).alias("atp_feasible"))
+        SK.batch_append_sink(os.path.join(out_dir, "rows"))(rows, batch_id)
+    src = parquet_stream(spark, lines_dir, schema, max_files)
+    return _trigger(src.writeStream.option("checkpointLocation", ckpt).foreachBatch(write),
+                    available_now, interval).start()
+
+
+def topic_changes(spark: SparkSession, sources: dict[str, str], max_files: int | None = None,
+                  delay: str = S.WATERMARK_DELAY) -> DataFrame:
+    """SET-1/STR-1: one stream per topic, each with its own event-time
+    watermark, united. Spark takes the lowest of them for the operators behind
+    (``spark.sql.streaming.multipleWatermarkPolicy`` = min, set in
+    ``session.BASE_CONF``), so a slow source holds windows open."""
+    streams = []
+    for path in sources.values():
+        ch = CDC.valid(CDC.parse_envelope(text_stream(spark, path, max_files)))
+        streams.append(ch.withColumn("event_ts", F.col("ts").cast("timestamp")).withWatermark("event_ts", delay))
+    return CDC.union_changes(*streams)
+
+
+def start_lifecycle_job(spark: SparkSession, sources: dict[str, str], state_dir: str, ckpt: str,
+                        listing_dir: str | None = None, max_files: int | None = None,
+                        settle: int | None = None, ttl_days: int | None = None,
+                        initial_state: DataFrame | None = None,
+                        after_write: Callable[[int], None] | None = None,
+                        available_now: bool = True, interval: str = "30 seconds"):
+    """The whole order state over any number of table topics; see
+    ``streaming.lifecycle`` for what is written and how long state lives."""
+    ship_package(spark)
+    rows = LC.fold_orders_stream(topic_changes(spark, sources, max_files), settle, ttl_days, initial_state)
+    rows = rows.observe("lifecycle", F.count(F.lit(1)).alias("rows"),
+                        F.count_if(F.col("kind") == "order").alias("orders"))
+    return _trigger(rows.writeStream.outputMode("update").option("checkpointLocation", ckpt)
+                    .foreachBatch(LC.lifecycle_sink(state_dir, listing_dir, after_write)),
+                    available_now, interval).start()
+
+
+def start_table_windows_job(spark: SparkSession, sources: dict[str, str], out_dir: str, ckpt: str,
+                            size: str = "30 days", max_files: int | None = None,
+                            available_now: bool = True, interval: str = "30 seconds"):
+    """Events per table and window over the united topics, in append mode: a
+    window leaves once the watermark of the slowest topic has passed it."""
+    ch = topic_changes(spark, sources, max_files)
+    g = ch.groupBy(F.window("event_ts", size).alias("w"), "source_table").agg(F.count(F.lit(1)).alias("events"))
+    out = g.select("source_table", F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                   F.col("w.end").cast("timestamp_ntz").alias("window_end"), "events")
+    return _trigger(out.writeStream.outputMode("append").option("checkpointLocation", ckpt)
+                    .foreachBatch(SK.batch_append_sink(out_dir)), available_now, interval).start()
+
+
+def start_windows_job(spark: SparkSession, records: DataFrame, rows_dir: str, metrics_dir: str, ckpt: str,
+                      specs: dict = WIN.SPECS, available_now: bool = True, interval: str = "30 seconds"):
+    """Backlog windows of every size in ``specs`` and the late rows, from one
+    stateful step over a stream of backlog records."""
+    ship_package(spark)
+    return _trigger(WIN.fold_windows(records, specs).writeStream.outputMode("append")
+                    .option("checkpointLocation", ckpt)
+                    .foreachBatch(WIN.window_sink(rows_dir, metrics_dir, specs)),
+                    available_now, interval).start()
+
+
+def start_topic_router_job(spark: SparkSession, root: str, out_dir: str, ckpt: str,
+                           max_files: int | None = None, available_now: bool = True,
+                           interval: str = "30 seconds"):
+    """SRC-3: one subscription to all topics (directories ``topic=...`` of
+    ``root``). A batch is routed to its topics' parsers in one write; rejects
+    keep their topic as well."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        parsed = [CDC.parse_envelope(rows).withColumn("topic", F.lit(topic))
+                  for topic, rows in route_by_topic(batch, S.TOPICS).items()]
+        SK.batch_append_sink(out_dir, ("topic",))(CDC.union_changes(*parsed), batch_id)
+    return _trigger(text_stream(spark, root, max_files).writeStream
+                    .option("checkpointLocation", ckpt).foreachBatch(write),
                     available_now, interval).start()
 
 
@@ -175,9 +282,9 @@ def order_document(enriched: DataFrame) -> DataFrame:
 def start_index_sync_job(spark: SparkSession, enriched_dir: str, docs_dir: str, ckpt: str,
                          available_now: bool = True, interval: str = "2 seconds"):
     """SNK-6: documents upserted by ``order_id`` per micro-batch (2 s
-    trigger in production); an order's highest version wins, stored or new,
-    and a replay of the same batch id rewrites the same version."""
+    trigger in production); an order's highest version wins on read, and a
+    replay of the same batch id rewrites the same rows."""
     docs = order_document(parquet_stream(spark, enriched_dir, enriched_schema()))
     return _trigger(docs.writeStream.option("checkpointLocation", ckpt)
-                    .foreachBatch(SK.upsert_sink(spark, docs_dir, ["order_id"], F.col("_seq"))),
+                    .foreachBatch(SK.upsert_sink(docs_dir, ["order_id"], F.col("_seq"))),
                     available_now, interval).start()

@@ -1,21 +1,17 @@
-"""Idempotent micro-batch sinks (SNK-2/3/4/6, STR-8, Q18).
-
-A replayed micro-batch (same ``batch_id`` after a restart) must not change
-the result. Two forms, both plain parquet writes from ``foreachBatch``:
-
-* ``batch_append_sink``: each batch overwrites its own ``batch_id=N``
-  directory. Replays overwrite the same directory; readers take the latest
-  row per key (``read_latest``). Suited to insert-mostly outputs such as
-  closed windows — no rewrite of earlier data, so cost tracks the batch.
-* ``upsert_sink``: the batch is reduced to its latest row per key and merged
-  with the current snapshot into a new version directory ``v=N`` (written
-  once; a replay rewrites the same version from the same inputs). A version
-  becomes visible only after its commit marker (``_commits/v=N``) is written.
+"""Micro-batch sinks at a batch's cost (SNK-2/3/4/6, STR-8, Q18).
+
+A micro-batch writes its own rows and nothing else: ``foreachBatch`` overwrites
+the batch's own ``batch_id=N`` directory, so a batch replayed after a restart
+leaves the same files and the bytes written follow the batch, not the table.
+An upsert is resolved on read: of a key's rows the latest by event order wins,
+whichever batch brought it, so an older row that comes late changes nothing.
+Readers are plain Parquet scans with one hash aggregate.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,93 +19,75 @@ from pyspark.sql import functions as F
 
 from orderflow.operators.merge import latest_per_key
 
-
-def batch_append_sink(path: str):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id).cast("bigint")) \
-            .write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
-    return write
-
-
-def read_latest(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
-    """Latest row per key over all batch directories (later batch wins)."""
-    df = spark.read.parquet(path)
-    cols = [c for c in df.columns if c not in ("_batch", "batch_id")]
-    return latest_per_key(df.select(*cols, F.col("batch_id").alias("_b")), key, F.col("_b")) \
-        .drop("_b")
+BATCH = "batch_id"
 
 
-COMMITS = "_commits"
+def batch_path(path: str, batch_id: int) -> str:
+    return os.path.join(path, f"{BATCH}={batch_id}")
 
 
-def _commit(spark: SparkSession, path: str, version: int) -> None:
-    """Record a finished version. The marker is written only after the
-    version's data write has succeeded, so readers never see partial data."""
-    spark.range(1).select(F.lit(version).cast("bigint").alias("version")) \
-        .write.mode("overwrite").parquet(os.path.join(path, COMMITS, f"v={version}"))
+def batch_append_sink(path: str, partition_by: tuple[str, ...] = ()):
+    def write(batch: DataFrame, batch_id: int) -> None:
+        out = batch.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+        (out.partitionBy(*partition_by) if partition_by else out).parquet(batch_path(path, batch_id))
+    return write
 
 
-def _latest_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
-    """Highest committed version (optionally below ``below``): one scalar."""
-    try:
-        c = spark.read.parquet(os.path.join(path, COMMITS))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":     # only "no commit yet" means no table
-            raise
-        return None
-    if below is not None:
-        c = c.where(F.col("version") < below)
-    return c.agg(F.max("version")).first()[0]
+def read_batches(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """All rows written so far, or those of the batches up to ``upto``."""
+    df = spark.read.parquet(path).withColumn(BATCH, F.col(BATCH).cast("bigint"))
+    return df if upto is None else df.where(F.col(BATCH) <= upto)
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    v = _latest_version(spark, path)
-    return None if v is None else spark.read.parquet(os.path.join(path, f"v={v}"))
+def read_latest(spark: SparkSession, path: str, key: list[str], order: Column | None = None,
+                upto: int | None = None) -> DataFrame:
+    """The row of each key that is latest by ``order``, the later batch on a tie."""
+    df = read_batches(spark, path, upto)
+    by = F.struct(*([order] if order is not None else []), F.col(BATCH)).alias("_by")
+    kept = [F.col(c) for c in df.columns if c not in ("_batch", BATCH)]
+    return latest_per_key(df.select(*kept, by), key, F.col("_by")).drop("_by")
 
 
-def upsert_sink(spark: SparkSession, path: str, key: list[str], order: Column,
-                listing_path: str | None = None, listing_filter: Column | None = None):
-    """SNK-2 (+ SNK-3 when ``listing_path`` is given): of the stored row and
-    the batch's rows of a key the latest by ``order`` stays, so an older row
-    that comes late changes nothing. Only committed versions are read, so a
-    crash mid-write leaves the previous version current."""
+def upsert_sink(path: str, key: list[str], order: Column, listing_path: str | None = None,
+                listing_filter: Column | None = None, listing_by: tuple[str, ...] = ()):
+    """SNK-2 (+ SNK-3 when ``listing_path`` is given): the batch, reduced to
+    its latest row per key, is written once; the listing rows are taken from
+    what was written, in directories by ``listing_by``. Read with
+    ``read_latest(path, key, order)``."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest = latest_per_key(batch, key, order)
-        prev = _latest_version(spark, path, below=batch_id)
-        if prev is not None:
-            cur = spark.read.parquet(os.path.join(path, f"v={prev}"))
-            merged = latest_per_key(cur.unionByName(latest), key, order)
-        else:
-            merged = latest
-        merged.write.mode("overwrite").parquet(os.path.join(path, f"v={batch_id}"))
-        _commit(spark, path, batch_id)
+        batch_append_sink(path)(latest_per_key(batch, key, order), batch_id)
         if listing_path is not None:
-            rows = latest if listing_filter is None else latest.where(listing_filter)
-            batch_append_sink(listing_path)(rows, batch_id)
+            rows = batch.sparkSession.read.parquet(batch_path(path, batch_id))
+            rows = rows if listing_filter is None else rows.where(listing_filter)
+            batch_append_sink(listing_path, listing_by)(rows.drop("_batch"), batch_id)
     return write
 
 
-def state_snapshot_sink(spark: SparkSession, path: str, key: list[str], order: str):
-    """Keyed state table maintained per micro-batch (STR-6: the inventory
-    position behind the broadcast enrichment). Stored rows and the batch are
-    merged by *event order* (``order`` column kept in the table), so an
-    older event arriving late never overwrites a newer one; delete events
-    stay as tombstones (``op = 'd'``) for the same reason and are filtered
-    by ``read_state``."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        prev = _latest_version(spark, path, below=batch_id)
-        rows = batch
-        if prev is not None:
-            rows = spark.read.parquet(os.path.join(path, f"v={prev}")).unionByName(batch)
-        latest_per_key(rows, key, F.col(order)).write.mode("overwrite") \
-            .parquet(os.path.join(path, f"v={batch_id}"))
-        _commit(spark, path, batch_id)
-    return write
+def committed_batch(spark: SparkSession, checkpoint: str) -> int | None:
+    """The newest batch the query of this checkpoint has finished, by Spark's
+    own commit log (one file a batch); None before the first."""
+    try:
+        log = spark.read.text(os.path.join(checkpoint, "commits"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":     # only "no commit yet" means no batch
+            raise
+        return None
+    return log.select(F.max(F.col("_metadata.file_name").cast("bigint"))).first()[0]
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame | None:
-    snap = read_snapshot(spark, path)
-    return None if snap is None else snap.where(F.col("op") != "d")
+def recorded_version(spark: SparkSession, path: str, batch_id: int,
+                     resolve: Callable[[], int | None]) -> int | None:
+    """The version a micro-batch reads of another table: resolved at its first
+    run and recorded, so that a replay reads the same one."""
+    here = batch_path(path, batch_id)
+    try:
+        return spark.read.schema("version bigint").parquet(here).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    version = resolve()
+    spark.range(1).select(F.lit(version).cast("bigint").alias("version")).write.mode("overwrite").parquet(here)
+    return version
 
 
 def kafka_sink(df: DataFrame, servers: str, topic: str, key_col: str, checkpoint: str):

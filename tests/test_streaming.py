@@ -76,24 +76,28 @@ def test_fold_with_state_ttl_matches_without(spark, sf):
 
 def test_older_row_does_not_replace_a_newer_stored_one(spark):
     path = scratch_path(spark, f"upsert-{uuid.uuid4().hex[:8]}")
-    sink = SK.upsert_sink(spark, path, ["k"], F.col("ts"))
+    sink = SK.upsert_sink(path, ["k"], F.col("ts"))
     for batch, rows in enumerate(([("a", 9), ("b", 1)], [("a", 5), ("c", 2)])):
         sink(spark.createDataFrame(rows, "k string, ts long"), batch)
         sink(spark.createDataFrame(rows, "k string, ts long"), batch)      # replay
-    assert sorted(tuple(r) for r in SK.read_snapshot(spark, path).collect()) == \
+    assert sorted(tuple(r) for r in SK.read_latest(spark, path, ["k"], F.col("ts")).collect()) == \
         [("a", 9), ("b", 1), ("c", 2)]
 
 
-def test_unreadable_markers_are_an_error_not_an_empty_table(spark):
+def test_an_unreadable_commit_log_is_an_error_not_an_empty_one(spark):
     import pytest
-    path = scratch_path(spark, f"marker-{uuid.uuid4().hex[:8]}")
-    assert SK.read_snapshot(spark, path) is None
-    folder = os.path.join(path.replace("file:", ""), SK.COMMITS, "v=0")
+    ckpt = scratch_path(spark, f"marker-{uuid.uuid4().hex[:8]}")
+    assert SK.committed_batch(spark, ckpt) is None
+    folder = os.path.join(ckpt.replace("file:", ""), "commits")
     os.makedirs(folder)
-    with open(os.path.join(folder, "part-0.parquet"), "w") as f:
-        f.write("no parquet")
+    for name in ("0", "11"):
+        with open(os.path.join(folder, name), "w") as f:
+            f.write("v1\n{}")
+    assert SK.committed_batch(spark, ckpt) == 11
+    with open(os.path.join(folder, "no-batch"), "w") as f:
+        f.write("v1")
     with pytest.raises(Exception):
-        SK.read_snapshot(spark, path)
+        SK.committed_batch(spark, ckpt)
 
 
 def test_fold_keeps_late_events_and_never_moves_back():

@@ -99,14 +99,15 @@ def test_q2_expected_ship_date_is_folded(spark):
 
 def test_upsert_sink_is_idempotent_on_replay(spark):
     path = scratch_path(spark, f"upsert-{uuid.uuid4().hex[:8]}")
-    sink = SK.upsert_sink(spark, path, ["k"], F.col("ts"))
+    sink = SK.upsert_sink(path, ["k"], F.col("ts"))
+    read = lambda: SK.read_latest(spark, path, ["k"], F.col("ts"))
     b0 = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, ts int, v string")
     b1 = spark.createDataFrame([("a", 2, "z"), ("a", 3, "w")], "k string, ts int, v string")
     sink(b0, 0)
     sink(b1, 1)
-    first = sorted(SK.read_snapshot(spark, path).collect())
+    first = sorted(read().collect())
     sink(b1, 1)                                       # replay after a restart
-    assert sorted(SK.read_snapshot(spark, path).collect()) == first
+    assert sorted(read().collect()) == first
     assert {r["k"]: r["v"] for r in first} == {"a": "w", "b": "y"}
 
 
