@@ -12,6 +12,7 @@ Spark commits, names the files that count, so a task may fail or run twice.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -31,14 +32,14 @@ from orderflow.llm.common import TOKENIZERS, cut, read_bytes, text_of
 
 MODEL = "byte_bpe_50k.json"
 END_ID = 0
-#: White space as the tokenizer's splitting pattern means it: Python's own, less the
+#: White space as the byte-level splitting pattern means it: Python's own, less the
 #: information separators. Between other text and white space no token crosses.
 SPACE, OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 PIECE = re.compile(rf"{SPACE}*{OTHER}+|{SPACE}+")
 BORDER = re.compile(rf"(?<={OTHER})(?={SPACE})")
 #: Characters handled at once, and what a worker remembers: pieces of at most so many
 #: characters, in at most so many bytes of ids and text. Neither changes a result.
-BLOCK, KEPT_PIECE, KEPT_BYTES = 1 << 18, 48, 32 << 20
+BLOCK, KEPT_PIECE, KEPT_BYTES = 1 << 18, 48, 128 << 20
 
 
 def place(uri: str):
@@ -50,7 +51,11 @@ def place(uri: str):
 
 
 class Encoder(dict):
-    """piece -> its ids as bytes, remembered up to KEPT_BYTES."""
+    """piece -> its ids as bytes, remembered up to KEPT_BYTES.
+
+    A byte-level tokenizer with its usual pattern (no normalizer, no prefix space) encodes
+    the pieces of a block it has not met, joined to one text; any other one whole texts.
+    """
 
     def __init__(self, vocabulary: bytes):
         from tokenizers import Tokenizer
@@ -60,24 +65,45 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
         self.kind = "<u2" if max(self.tokenizer.get_vocab(True).values()) < 1 << 16 else "<u4"
         self.kept = 0
+        spec = json.loads(vocabulary)
+        split, added = spec["pre_tokenizer"] or {}, spec["added_tokens"]
+        self.splits = (spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+                       and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(SPACE, t["content"]) for t in added))
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
-        if len(piece) <= KEPT_PIECE:
-            if self.kept > KEPT_BYTES:
-                self.clear()
-                self.kept = 0
-            self[piece] = ids
-            self.kept += 200 + len(ids) + 4 * len(piece)
-        return ids
+        return self._bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of pieces that all begin with white space: encoded in a row they stay apart."""
+        found = self.tokenizer.encode("".join(pieces), add_special_tokens=False)
+        starts = np.fromiter((a for a, _ in found.offsets), np.int64)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        cuts = np.searchsorted(starts, sizes.cumsum()) * int(self.kind[-1])
+        ids, at = self._bytes(found.ids), 0
+        for piece, end in zip(pieces, cuts.tolist()):
+            self[piece] = ids[at:end]
+            at = end
+        self.kept += 200 * len(pieces) + len(ids) + 4 * int(sizes.sum())
 
     def encode(self, text: str) -> Iterator[bytes]:
         """The ids of a text, block by block."""
+        if not self.splits:
+            yield self[text]
+            return
         at = 0
         while at < len(text):
             border = BORDER.search(text, at + BLOCK) if len(text) - at > BLOCK else None
             end = border.start() if border else len(text)
-            yield b"".join(map(self.__getitem__, PIECE.findall(text[at:end])))
+            pieces = PIECE.findall(text[at:end])
+            if self.kept > KEPT_BYTES:
+                self.clear()
+                self.kept = 0
+            if new := [p for p in set(pieces) if p not in self and len(p) <= KEPT_PIECE and p[0] in " \n\t" and not p.isspace()]:
+                self._learn(new)
+            yield b"".join(map(self.__getitem__, pieces))
             at = end
 
 
