@@ -39,7 +39,7 @@ PIECE = re.compile(rf"{SPACE}*{OTHER}+|{SPACE}+")
 BORDER = re.compile(rf"(?<={OTHER})(?={SPACE})")
 #: Characters handled at once, and what a worker remembers: pieces of at most so many
 #: characters, in at most so many bytes of ids and text. Neither changes a result.
-BLOCK, KEPT_PIECE, KEPT_BYTES = 1 << 18, 48, 128 << 20
+BLOCK, KEPT_PIECE, KEPT_BYTES = 1 << 18, 48, 256 << 20
 
 
 def place(uri: str):
@@ -78,6 +78,8 @@ class Encoder(dict):
 
     def _learn(self, pieces: list[str]) -> None:
         """Ids of pieces that all begin with white space: encoded in a row they stay apart."""
+        if not pieces:
+            return
         found = self.tokenizer.encode("".join(pieces), add_special_tokens=False)
         starts = np.fromiter((a for a, _ in found.offsets), np.int64)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -101,9 +103,13 @@ class Encoder(dict):
             if self.kept > KEPT_BYTES:
                 self.clear()
                 self.kept = 0
-            if new := [p for p in set(pieces) if p not in self and len(p) <= KEPT_PIECE and p[0] in " \n\t" and not p.isspace()]:
-                self._learn(new)
-            yield b"".join(map(self.__getitem__, pieces))
+            found = list(map(self.get, pieces))
+            if None in found:
+                unmet = [i for i, ids in enumerate(found) if ids is None]
+                self._learn([p for p in dict.fromkeys([pieces[i] for i in unmet]) if len(p) <= KEPT_PIECE and p[0] in " \n\t" and not p.isspace()])
+                for i in unmet:
+                    found[i] = self[pieces[i]]
+            yield b"".join(found)
             at = end
 
 
@@ -115,8 +121,8 @@ def encoder(vocabulary: bytes) -> Encoder:
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = os.path.join(TOKENIZERS, MODEL), end_id: int = END_ID) -> DataFrame:
     """Write the ids of all documents under ``path``; return the index (doc_id, part, slot, width, n_tokens).
 
-    Documents go in ascending doc_id order, nulls first; rows of one doc_id by a hash of
-    their text, so repeated rows and nulls spread over many partitions. A null or empty
+    Documents go in ascending doc_id order, nulls first; rows of one doc_id as they
+    are read, so repeated rows and nulls spread over many partitions. A null or empty
     text is its end id alone. Texts are encoded whole but handled in blocks that end
     before white space, so a very long one takes a block's memory; text without white
     space is one piece of the tokenizer and is held whole. Only doc_id and text are read,
@@ -124,8 +130,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = os.path.join
     """
     model = read_bytes(vocabulary)
     rows = docs.select("doc_id", text_of().alias("text"))
-    keyed = rows.select("doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("i"), "text")
-    ordered = keyed.repartitionByRange("doc_id", "h", "i").sortWithinPartitions("doc_id", "h", "i").select("doc_id", "text")
+    keyed = rows.select("doc_id", F.monotonically_increasing_id().alias("i"), "text")
+    ordered = keyed.repartitionByRange("doc_id", "i").sortWithinPartitions("doc_id", "i").select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
