@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,20 @@ def write_once(df: DataFrame, path: str) -> None:
         conf.set(key, was)
 
 
+def apart(docs: DataFrame, used: set[str], replaced: set[str]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with only the ``used`` columns under their own names, so that no other can
+    clash with a column an operator adds on the way, and a function that gives a result its
+    input columns back, less the ``replaced`` ones, and the added ones behind them."""
+    kept = [c for c in docs.columns if c.lower() not in replaced]
+    safe = {c: c if c in used else f"in{i}" for i, c in enumerate(kept)}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+
+    def back(out: DataFrame, *added: Column) -> DataFrame:
+        return out.select(*[F.col(safe[c]).alias(c) for c in kept], *added)
+
+    return docs.select(*[quoted(c).alias(safe[c]) for c in kept]), back
+
+
 def text_of(col: str = "text") -> Column:
     """A text, null as the empty one."""
     return F.coalesce(F.col(col), F.lit(""))

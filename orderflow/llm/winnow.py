@@ -2,14 +2,20 @@
 
 Of every run of ``window`` words the smallest hash among its k-word grams is kept (the
 rightmost, if equal), in documents and in benchmark items alike. The choice depends on the
-window's words only, so a shared window shares a fingerprint at the same offset:
-joining the fingerprints misses no shared span of ``window`` words. Each meeting is then
-extended word by word to both sides; spans that reach the window's length are hits.
+window's words only, so a shared window shares its fingerprint: no shared span of
+``window`` words is missed.
+
+Documents keep a fingerprint only if it may be one of the benchmark's, by a bit map of
+fixed size. What is left is extended to both sides where it stands, to each window that
+keeps it, and training and test sides join on (fingerprint, digest of the extended
+window): a gram common to many items and documents meets only where the words around it
+are equal, and no text is exchanged. Longer shared spans are the union of their windows.
 Items shorter than the window are windows of their own length, with grams to match.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import cut
+from orderflow.llm.common import apart, cut, text_of
 
 #: Byte by byte: A-Z lowered; all ASCII but 0-9 and a-z parts words.
 FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-BASE = np.uint64(0x9E3779B97F4A7C15)
-HITS = "struct<n_words:long,n_hit:long,spans:array<struct<start:int,end:int>>,items:array<string>>"
+#: The same words, before lower-casing, as a pattern.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BASE = np.array([0x9E3779B97F4A7C15], np.uint64)
+#: Bits of the map of the benchmark's fingerprints: 2 MB, whatever the benchmark's size.
+#: A fuller map lets more fingerprints of documents through and changes no result.
+MAP_BITS = 1 << 24
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -35,105 +45,133 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
-def winnow(words: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the grams that windows of ``length`` words keep."""
+def winnow(words: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """For each window of ``length`` words, in order, the hash of the gram it keeps."""
     k = min(gram, length)
     n = len(words) - k + 1
     w = length - k + 1
     if n < w:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    g = np.full(n, np.uint64(length) * BASE, np.uint64)
+        return np.zeros(0, np.uint64)
+    g = np.full(n, np.uint64(length)) * BASE
     for i in range(k):
         g = (g ^ words[i:n + i]) * BASE
         g ^= g >> np.uint64(29)
     views = np.lib.stride_tricks.sliding_window_view(g, w)
-    at = np.unique(np.arange(n - w + 1) + (w - 1 - views[:, ::-1].argmin(1)))
-    return at, g[at]
+    return g[np.arange(n - w + 1) + (w - 1 - views[:, ::-1].argmin(1))]
 
 
-def fingerprints(texts: DataFrame, lengths: list[int], window: int, gram: int, own: bool) -> DataFrame:
-    """(key, at, h) of rows (key, text); ``own``: each text's own length only, as for items."""
+def extended(words: list[bytes], start: int, length: int) -> bytes:
+    return hashlib.blake2b(b" ".join(words[start:start + length]), digest_size=16).digest()
+
+
+def windows(texts: DataFrame, window: int, gram: int, lengths: list[int] | None = None, wanted: np.ndarray | None = None) -> DataFrame:
+    """(key, start, len, h, around) of the windows of rows (key, text).
+
+    Without ``lengths`` a text has windows of its own length, at most ``window``, as items
+    do; with ``wanted``, a bit map, only windows whose fingerprint it holds are extended.
+    A text is held as its words, about five times its own size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, ats, hs = [], [], [], []
+            keys, starts, sizes, kept, around = [], [], [], [], []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary())):
-                words = hashes(words_of(text.as_py()))
-                for length in [min(len(words), window)] if own and len(words) else [] if own else lengths:
-                    at, h = winnow(words, length, gram)
-                    keys.append(key)
-                    sizes.append(len(at))
-                    ats.append(at)
-                    hs.append(h)
+                words = words_of(text.as_py())
+                hashed = hashes(words)
+                for length in lengths if lengths is not None else [min(len(words), window)] if words else []:
+                    h = winnow(hashed, length, gram)
+                    if wanted is None:
+                        at = np.arange(len(h))
+                    else:
+                        bit = h & np.uint64(MAP_BITS - 1)
+                        at = np.flatnonzero(wanted[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                    if len(at):
+                        keys += [key] * len(at)
+                        starts.append(at)
+                        sizes += [length] * len(at)
+                        kept.append(h[at])
+                        around += [extended(words, i, length) for i in at.tolist()]
             if keys:
-                index = pa.array(np.repeat(np.arange(len(keys)), sizes))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field("key").type).take(index), pa.array(np.concatenate(ats).astype(np.int32)), pa.array(np.concatenate(hs).view(np.int64))], ["key", "at", "h"])
-
-    return texts.mapInArrow(run, f"key {texts.schema['key'].dataType.simpleString()}, at int, h long")
-
-
-def extend(doc: list[bytes], item: list[bytes], meetings: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-    """Maximal equal spans of the document through the meetings, of ``least`` words or more."""
-    spans, reached = [], {}
-    for p, q in sorted(meetings):
-        if reached.get(p - q, -1) > p:
-            continue
-        a, b = p, q
-        while a and b and doc[a - 1] == item[b - 1]:
-            a, b = a - 1, b - 1
-        e, f = p, q
-        while e < len(doc) and f < len(item) and doc[e] == item[f]:
-            e, f = e + 1, f + 1
-        reached[p - q] = max(e, p + 1)
-        if e - a >= least:
-            spans.append((a, e))
-    return spans
-
-
-def judge(text: Column, meetings: Column, window: int) -> Column:
-    """Words and hits of a text, from its meetings array<struct<item_id, text, at array<struct<p, q>>>>."""
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
-
-    def run(texts: pa.Array, found: pa.Array) -> pa.Array:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field("key").type), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(sizes, pa.int32()),
+                                                  pa.array(np.concatenate(kept).view(np.int64)), pa.array(around, pa.binary())], names=["key", "start", "len", "h", "around"])
+
+    return texts.mapInArrow(run, f"key {texts.schema['key'].dataType.simpleString()}, start int, len int, h long, around binary")
+
+
+def bit_map(prints: DataFrame) -> np.ndarray:
+    """The fingerprints ``h`` modulo MAP_BITS as a bit map of MAP_BITS / 8 bytes, gathered as at most MAP_BITS / 64 numbers."""
+    bit = F.col("h").bitwiseAND(F.lit(MAP_BITS - 1))
+    rows = prints.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(MAP_BITS // 64, "<i8")
+    for batch in rows.toArrow().to_batches():
+        out[batch.column("w").to_numpy()] = batch.column("b").to_numpy()
+    return out.view(np.uint8)
+
+
+def merged(spans: Column) -> Column:
+    """Windows array<struct<start, end>> as maximal spans."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(column: pa.Array) -> pa.Array:
         rows = []
-        for text, items in zip(texts.cast(pa.binary()), found):
-            words, spans, ids = words_of(text.as_py()), [], []
-            for item in items.as_py() or ():
-                own = words_of(item["text"].encode())
-                if got := extend(words, own, [(x["p"], x["q"]) for x in item["at"]], min(len(own), window)):
-                    spans += got
-                    ids += item["item_ids"]
-            merged: list = []
-            for a, b in sorted(spans):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
+        for windows_ in column.to_pylist():
+            out: list = []
+            for x in sorted(windows_ or (), key=lambda x: (x["start"], x["end"])):
+                if out and x["start"] <= out[-1]["end"]:
+                    out[-1]["end"] = max(out[-1]["end"], x["end"])
                 else:
-                    merged.append([a, b])
-            rows.append({"n_words": len(words), "n_hit": sum(b - a for a, b in merged), "spans": [{"start": a, "end": b} for a, b in merged], "items": sorted(set(ids))})
+                    out.append(dict(x))
+            rows.append(out)
         return pa.array(rows, kind)
 
-    return F.arrow_udf(run, HITS)(text, meetings)
+    return F.arrow_udf(run, "array<struct<start:int,end:int>>")(spans)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
+    """(key, n_hit, spans, items) of each distinct text of ``docs`` (text) that holds a window; ``key`` is the text's md5.
+
+    Copies of a text hit alike, so a text's windows are gathered once. The items of a set
+    of windows are looked up once for all texts that hit the same set.
+    """
+    items = benchmark.where("item_id is not null and text is not null").select(F.md5("text").alias("key"), "text", F.col("item_id").cast("string").alias("item_id"))
+    named = cut(items.select("key", "item_id").distinct())
+    tested = cut(windows(items.groupBy("key").agg(F.first("text").alias("text")), window, gram))
+    lengths = sorted(r[0] for r in tested.select("len").distinct().collect())  # at most `window` rows
+    if not lengths:
+        lengths, wanted = [window], np.zeros(MAP_BITS // 8, np.uint8)
+    else:
+        wanted = bit_map(tested)
+    trained = windows(docs.select(F.md5("text").alias("key"), "text").where("text is not null"), window, gram, lengths, wanted)
+    grams = tested.select("h", "around").distinct()
+    met = cut(trained.join(grams, ["h", "around"]).select("key", "start", "len", "around").distinct())
+    hit = met.groupBy("key").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end"))).alias("windows"),
+                                 F.sort_array(F.collect_set("around")).alias("around"))
+    sign = F.md5(F.aggregate("around", F.lit(b""), lambda x, y: F.concat(x, y)))
+    hit = cut(hit.select("key", "windows", "around", sign.alias("sign")))
+    sets = hit.groupBy("sign").agg(F.first("around").alias("around")).select("sign", F.explode("around").alias("around"))
+    where = tested.select("around", F.col("key").alias("item")).distinct()
+    found = sets.join(where, "around").select("sign", "item").distinct().join(named.withColumnRenamed("key", "item"), "item")
+    found = found.groupBy("sign").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    out = hit.join(found, "sign").select("key", merged(F.col("windows")).alias("spans"), "items")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut(out.select("key", n_hit.alias("n_hit"), "spans", "items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, column: str = "leak") -> DataFrame:
     """``docs`` (text, ...) with struct ``column``: n_words, n_hit, spans of hit words, items (ids as strings).
 
-    ``benchmark`` has item_id and text. Null texts have no words; items without words or
-    with a null id don't occur; items of equal text are matched once and all named. Copies
-    of a document meet in one row until the end. Fingerprints are joined as Spark's size
-    check decides: broadcast while the benchmark's are few, shuffled beyond. An existing
-    column of that name is replaced; empty tables give no hits.
+    ``benchmark`` has item_id and text. Null and empty texts have no words; items without
+    words or with a null id don't occur; items of equal text are matched once and all
+    named; repeated rows get equal results. Only keys are joined to the rows, as Spark's
+    size check decides: broadcast while the hits are few, shuffled beyond, where a text's
+    many copies can be split; a caller that drops the text shuffles none. An existing column
+    of that name is replaced, any other may have any name; empty tables give no hits.
     """
-    items = benchmark.where("item_id is not null and text is not null").groupBy("text").agg(F.collect_set(F.col("item_id").cast("string")).alias("item_ids"))
-    items = items.select(F.md5("text").alias("key"), "text", "item_ids")
-    n = F.least(F.size(F.filter(F.split(F.col("text"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")), F.lit(window))
-    lengths = sorted(r[0] for r in items.select(n.alias("n")).distinct().collect() if r[0])  # at most `window` rows
-    keyed = docs.drop(column).withColumn("_key", F.md5("text"))
-    tested = fingerprints(items.select("key", "text"), [], window, gram, True).select(F.col("key").alias("item"), F.col("at").alias("q"), "h")
-    trained = fingerprints(keyed.select(F.col("_key").alias("key"), "text"), lengths, window, gram, False).select("key", F.col("at").alias("p"), "h")
-    met = trained.join(tested, "h").groupBy("key", "item").agg(F.collect_set(F.struct("p", "q")).alias("at"))
-    met = met.join(items.withColumnRenamed("key", "item"), "item")
-    met = met.groupBy(F.col("key").alias("_met")).agg(F.collect_list(F.struct("item_ids", "text", "at")).alias("_meetings"))
-    met = cut(met)  # read back, it leaves Spark free to split the copies of a text in the join
-    out = keyed.join(met, F.col("_key") == F.col("_met"), "left")
-    return out.withColumn(column, judge(F.col("text"), F.col("_meetings"), window)).drop("_key", "_met", "_meetings")
+    rows, back = apart(docs, {"text"}, {column})
+    found = leaks(rows, benchmark, window, gram).select(F.col("key").alias("_met"), "n_hit", "spans", "items")
+    rows = rows.withColumns({"_key": F.md5("text"), "_words": F.regexp_count(text_of(), F.lit(TERM)).cast("long")})
+    out = rows.join(found, F.col("_key") == F.col("_met"), "left")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    leak = F.struct(F.col("_words").alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("spans", none).alias("spans"),
+                    F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return back(out, leak.alias(column))
