@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 
 from orderflow.llm.common import cut, text_of
 
-LAST = (1 << 63) - 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Grams met in more pieces than this are compared window by window, spread over all tasks.
-HOT = 2000
-PIECE = pa.schema([("k", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("weight", pa.int32()), ("start", pa.int32()), ("at", pa.int32()), ("h", pa.int64()), ("body", pa.binary())])
-PIECE_SQL = "k long, k2 long, doc long, weight int, start int, at int, h long, body binary"
+#: Different strings of one gram that a task holds at once, some 100 bytes (bytes) or 500 (words) each.
+#: Copies of a string are one. A gram with more is compared window by window over all tasks.
+HOT = 50_000
+
+
+def order(doc: str = "doc") -> Column:
+    """Documents in order of their id, whatever its type; null is the largest."""
+    return F.struct(F.col(doc).isNull().alias("null"), F.col(doc).alias("id"))
 
 
 @dataclass(frozen=True)
@@ -100,9 +103,9 @@ def pieces(unit, units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc, text, k, k2): null doc_ids come last, null texts are empty, k and k2 tell texts apart."""
+    """(doc, text, k, k2): null texts are empty, k and k2 tell texts apart."""
     text = text_of()
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text.alias("text"), F.xxhash64(text).alias("k"), F.xxhash64(F.lit(1), text).alias("k2"))
+    return docs.select(F.col("doc_id").alias("doc"), text.alias("text"), F.xxhash64(text).alias("k"), F.xxhash64(F.lit(1), text).alias("k2"))
 
 
 #: Texts whose anchors one row may number; the last number marks an entry that only tells.
@@ -208,75 +211,119 @@ def repeated_grams(rows: DataFrame, unit) -> DataFrame:
 def found_pieces(docs: DataFrame, unit) -> DataFrame:
     """Pieces of repeated anchors in one document of each text, as a written table.
 
-    (k, k2, doc, weight, start, at, h, body): weight is 2 if the text has copies.
+    (h, b, b2, k, k2, doc, weight, start, at, n, body): b and b2 tell strings apart, n is the
+    number of windows, weight is 2 if the text has copies.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     rows = keyed(docs)
-    texts = rows.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc").alias("first"))
+    texts = rows.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min(order()).alias("first"))
     info = texts.join(repeated_grams(rows, unit), "k").select(F.col("k").alias("i"), F.col("k2").alias("i2"), "copies", "first", "hs")
     info = cut(info)  # the hashes' shuffle ends before the texts' begins
-    joined = rows.join(info, (F.col("k") == F.col("i")) & (F.col("k2") == F.col("i2")) & (F.col("doc") == F.col("first")))
+    joined = rows.join(info, (F.col("k") == F.col("i")) & (F.col("k2") == F.col("i2")) & F.col("doc").eqNullSafe(F.col("first.id")))
+    id_type = rows.schema["doc"].dataType
+    schema = pa.schema([("h", pa.int64()), ("b", pa.int64()), ("b2", pa.int64()), ("k", pa.int64()), ("k2", pa.int64()), ("doc", to_arrow_type(id_type)), ("weight", pa.int64()),
+                        ("start", pa.int32()), ("at", pa.int32()), ("n", pa.int32()), ("body", pa.binary())])
+    ddl = f"h long, b long, b2 long, k long, k2 long, doc {id_type.simpleString()}, weight long, start int, at int, n int, body binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         for batch in batches:
-            out: list[tuple] = []
-            size = 0
+            columns: list[list] = [[] for _ in schema]
+            bodies, size = columns[-1], 0
             for doc, k, k2, copies, text, hs in zip(*(batch.column(c).to_pylist() for c in ("doc", "k", "k2", "copies")), batch.column("text").cast(pa.binary()), batch.column("hs")):
                 units = unit.split(text.as_py())
                 start, end, at, h = pieces(unit, units)
                 h = (h >> np.uint64(16)).view(np.int64)
                 chosen = np.flatnonzero(np.isin(h, hs.values.to_numpy()))
-                for a, b, p, x in zip(start[chosen].tolist(), (end[chosen] + unit.window - 1).tolist(), at[chosen].tolist(), h[chosen].tolist()):
-                    body = unit.join(units[a:b])
-                    out.append((k, k2, doc, min(copies, 2), a, p, x, body))
-                    size += len(body)
-                if size > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), PIECE)], schema=PIECE)
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), PIECE)], schema=PIECE)
-
-    return cut(joined.select("doc", "k", "k2", "copies", "text", "hs").mapInArrow(run, PIECE_SQL))
+                n = len(chosen)
+                first, ends = start[chosen], end[chosen]
+                own = [unit.join(units[a:b]) for a, b in zip(first.tolist(), (ends + unit.window - 1).tolist())]
+                names = np.frombuffer(b"".join(map(xxh3_128_digest, own)), np.int64).reshape(-1, 2)
+                for column, values in zip(columns, (h[chosen], names[:, 0], names[:, 1])):
+                    column.extend(values.tolist())
+                for column, value in zip(columns[3:7], (k, k2, doc, min(copies, 2))):
+                    column += [value] * n
+                for column, values in zip(columns[7:10], (first, at[chosen] - first, ends - first)):
+                    column.extend(values.tolist())
+                bodies += own
+                size += sum(map(len, own))
+                if size > 1 << 23:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+                    columns = [[] for _ in schema]
+                    bodies, size = columns[-1], 0
+            if bodies:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return cut(joined.select("doc", "k", "k2", "copies", "text", "hs").mapInArrow(run, ddl))
+
+
+def strings(found: DataFrame) -> DataFrame:
+    """The different strings of the pieces, as a written table: (h, b, b2, body, at, n, first, weight, places).
+
+    Copies of a string meet before any text is compared: ``first`` is the smallest document
+    with it, ``weight`` counts its places with their texts' copies.
+    """
+    out = found.groupBy("h", "b", "b2").agg(F.min(order()).alias("first"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("places"),
+                                            F.first("body").alias("body"), F.first("at").alias("at"), F.first("n").alias("n"))
+    return cut(out)
 
 
 def hot_grams(found: DataFrame, hot: int) -> tuple[DataFrame, DataFrame | None]:
-    """Pieces of ordinary grams, and those of grams in more than ``hot`` pieces, if there are any."""
-    many = cut(found.groupBy("h").count().where(F.col("count") > hot).select(F.col("h").alias("_hot")))
-    if many.isEmpty():
-        return found, None
-    return found.join(many, found["h"] == many["_hot"], "left_anti"), found.join(many, found["h"] == many["_hot"], "left_semi")
+    """Strings of grams with two to ``hot`` different ones, and those of grams with more, if there are any."""
+    many = cut(found.groupBy("h").count().where("count > 1").select(F.col("h").alias("g"), (F.col("count") > hot).alias("crowded")))
+    pair = lambda rows: found.join(rows, found["h"] == rows["g"], "left_semi")
+    crowded = many.where("crowded")
+    return pair(many.where("not crowded")), None if crowded.isEmpty() else pair(crowded)
 
 
 def windows(found: DataFrame, unit) -> DataFrame:
-    """(w binary, i, b, b2, ...): one row for each window of the strings (body, b, b2, doc, weight)."""
+    """(w binary, i, b, b2, first, weight): one row for each window of the strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                units = unit.split(row["body"])
+            for row in range(batch.num_rows):
+                units = unit.split(batch.column("body")[row].as_py())
                 n = len(units) - unit.window + 1
-                yield pa.RecordBatch.from_pydict({"w": [unit.join(units[i:i + unit.window]) for i in range(n)], "i": pa.array(range(n), pa.int32()), "b": [row["b"]] * n, "b2": [row["b2"]] * n,
-                                                  "doc": [row["doc"]] * n, "weight": pa.array([row["weight"]] * n, pa.int64())})
+                rest = batch.slice(row, 1).take(pa.array([0] * n))
+                own = pa.array([unit.join(units[i:i + unit.window]) for i in range(n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([own, pa.array(range(n), pa.int32()), *rest.select(["b", "b2", "first", "weight"]).columns], names=["w", "i", "b", "b2", "first", "weight"])
 
-    return found.select("body", "b", "b2", "doc", "weight").mapInArrow(run, "w binary, i int, b long, b2 long, doc long, weight long")
+    rows = found.select("body", "b", "b2", "first", "weight")
+    return rows.mapInArrow(run, f"w binary, i int, b long, b2 long, first {rows.schema['first'].dataType.simpleString()}, weight long")
 
 
-def hot_marks(found: DataFrame, unit, value: Column, repeats) -> DataFrame:
-    """Marks (k, k2, a, b) of windows in pieces of crowded grams.
-
-    Equal pieces meet in one string (their weights summed, the smallest doc). ``value`` is
-    aggregated over equal windows of these; ``repeats(v, doc)`` tells whether a window of a doc's
-    goes. A piece has fewer windows than a window has units, so those that go cover one span.
-    """
-    found = found.withColumns({"b": F.xxhash64("body"), "b2": F.xxhash64(F.lit(1), "body")})
-    strings = found.groupBy("body", "b", "b2").agg(F.min("doc").alias("doc"), F.sum("weight").alias("weight"))
-    each = cut(windows(strings, unit))
+def hot_spans(found: DataFrame, unit, value: Column, repeats: Column) -> DataFrame:
+    """(b, b2, spans) of crowded grams' strings: ``value`` is aggregated as ``v`` over equal
+    windows, ``repeats`` tells by ``v`` whether a window of a string's goes."""
+    each = cut(windows(found, unit))
     values = each.groupBy(F.col("w").alias("w_")).agg(value.alias("v"))
-    of = each.join(values, F.col("w") == F.col("w_")).groupBy(F.col("b").alias("c"), F.col("b2").alias("c2")).agg(F.collect_list(F.struct("i", "v")).alias("vs"))
-    of = cut(of)  # read back, it leaves Spark free to split the equal pieces in the join
-    told = found.join(of, (F.col("b") == F.col("c")) & (F.col("b2") == F.col("c2")))
-    going = F.transform(F.filter("vs", lambda x: repeats(x["v"], F.col("doc"))), lambda x: x["i"])
-    told = told.select("k", "k2", "start", going.alias("going")).where(F.size("going") > 0)
-    return told.select("k", "k2", (F.col("start") + F.array_min("going")).alias("a"), (F.col("start") + F.array_max("going") + unit.window).alias("b"))
+    going = each.join(values, F.col("w") == F.col("w_")).where(repeats).groupBy("b", "b2").agg(F.collect_list("i").alias("i"))
+    return going.select("b", "b2", F.transform("i", lambda i: F.struct(i.alias("a"), (i + unit.window).alias("b"))).alias("spans"))
+
+
+def marks(found: DataFrame, own: DataFrame, spans: DataFrame, window: int, whole: Column) -> DataFrame:
+    """Marks (k, k2, a, b) of all pieces: the whole piece where ``whole`` holds of the piece and
+    its string, else the string's own ``spans``."""
+    spans = spans.select(F.col("b").alias("c"), F.col("b2").alias("c2"), "spans")
+    told = own.join(spans, (F.col("b") == F.col("c")) & (F.col("b2") == F.col("c2")), "left").where("weight > 1 or spans is not null")
+    told = cut(told.select(F.col("b").alias("c"), F.col("b2").alias("c2"), "first", F.col("weight").alias("all"), "spans"))
+    # read back, it leaves Spark free to split the many places of one string
+    met = found.select("k", "k2", "doc", "start", "n", "b", "b2").join(told, (F.col("b") == F.col("c")) & (F.col("b2") == F.col("c2")))
+    full = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") + window - 1).alias("b")))
+    out = met.select("k", "k2", "start", F.explode(F.when(whole, full).otherwise(F.col("spans"))).alias("s"))
+    return out.select("k", "k2", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
+
+
+SPANS = pa.schema([("b", pa.int64()), ("b2", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
+SPANS_SQL = "b long, b2 long, spans array<struct<a:int,b:int>>"
+
+
+def span_rows(rows: list[tuple]) -> pa.RecordBatch:
+    """(b, b2, [(a, b)]) as a batch."""
+    b, b2, spans = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(b2, pa.int64()), pa.array([[{"a": x, "b": y} for x, y in s] for s in spans], SPANS.field("spans").type)], schema=SPANS)
 
 
 def spread(flags: list[bool], start: int, window: int) -> list[tuple[int, int]]:
@@ -291,9 +338,6 @@ def spread(flags: list[bool], start: int, window: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-RESULT = "doc long, n long, n_removed long, spans array<struct<start:int,end:int>>, sha string"
-
-
 def finish(docs: DataFrame, marks: DataFrame, unit, copies_go: str) -> DataFrame:
     """(doc_id, n, n_removed, spans, kept_sha256) of every document from its text's marks.
 
@@ -302,14 +346,17 @@ def finish(docs: DataFrame, marks: DataFrame, unit, copies_go: str) -> DataFrame
     """
     from hashlib import sha256
 
+    from pyspark.sql.pandas.types import to_arrow_type
+
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("sha", pa.string())])
+    id_type = docs.schema["doc_id"].dataType
+    schema = pa.schema([("doc", to_arrow_type(id_type)), ("n", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("sha", pa.string())])
     rows = keyed(docs)
     marks = marks.groupBy(F.col("k").alias("m"), F.col("k2").alias("m2")).agg(F.collect_set(F.struct("a", "b")).alias("marks"))
-    info = rows.groupBy(F.col("k").alias("i"), F.col("k2").alias("i2")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc").alias("first"))
+    info = rows.groupBy(F.col("k").alias("i"), F.col("k2").alias("i2")).agg(F.count(F.lit(1)).alias("copies"), F.min(order()).alias("first"))
     info = info.join(marks, (F.col("i") == F.col("m")) & (F.col("i2") == F.col("m2")), "left")
     info = cut(info)  # read back, it leaves Spark free to split the copies of a text in the join
-    gone = F.col("copies") > 1 if copies_go == "all" else F.col("doc") > F.col("first")
+    gone = F.col("copies") > 1 if copies_go == "all" else order() > F.col("first")
     joined = rows.join(info, (F.col("k") == F.col("i")) & (F.col("k2") == F.col("i2"))).select("doc", "text", "marks", gone.alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,5 +378,5 @@ def finish(docs: DataFrame, marks: DataFrame, unit, copies_go: str) -> DataFrame
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    out = joined.mapInArrow(run, RESULT)
-    return out.select(F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), "n", "n_removed", "spans", F.col("sha").alias("kept_sha256"))
+    out = joined.mapInArrow(run, f"doc {id_type.simpleString()}, n long, n_removed long, spans array<struct<start:int,end:int>>, sha string")
+    return out.select(F.col("doc").alias("doc_id"), "n", "n_removed", "spans", F.col("sha").alias("kept_sha256"))

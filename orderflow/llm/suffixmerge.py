@@ -7,7 +7,9 @@ anchor of. Each task sorts its suffixes and front-codes the runs (length of the
 the one before, and the rest); runs are exchanged by the hash of the anchor's gram, and a
 loser tree merges them. Its matches start after the prefix that both sides share with the
 last winner, so no known prefix is compared again, and the prefix lengths come out with the
-order. They bound which windows of neighbours can be equal; those take the smallest doc.
+order: a window's equals lie in a run of the order that shares the window's part of the
+suffix, and the bytes before the anchor part the run. Equal strings have met before, in
+an aggregate, so only different ones are sorted.
 """
 
 from __future__ import annotations
@@ -19,11 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.anchors import HOT, Bytes, finish, found_pieces, hot_grams, hot_marks, spread
-from orderflow.llm.superkmer import MARKS
+from orderflow.llm.anchors import HOT, SPANS_SQL, Bytes, finish, found_pieces, hot_grams, hot_spans, marks, order, span_rows, spread, strings
 
-RUN = pa.schema([("bucket", pa.int64()), ("shared", pa.binary()), ("rests", pa.binary()), ("rest_sizes", pa.binary()), ("befores", pa.binary()), ("before_sizes", pa.binary()), ("lasts", pa.binary()), ("starts", pa.binary()), ("owners", pa.binary()), ("texts", pa.binary())])
-RUN_SQL = "bucket long, shared binary, rests binary, rest_sizes binary, befores binary, before_sizes binary, lasts binary, starts binary, owners binary, texts binary"
+RUN = [("bucket", pa.int64()), *((c, pa.binary()) for c in ("shared", "rests", "rest_sizes", "befores", "before_sizes", "lasts", "names"))]
+RUN_SQL = "bucket long, shared binary, rests binary, rest_sizes binary, befores binary, before_sizes binary, lasts binary, names binary"
 
 
 def common(a: bytes, b: bytes, known: int = 0) -> int:
@@ -42,23 +43,22 @@ def common(a: bytes, b: bytes, known: int = 0) -> int:
 
 
 def sorted_runs(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Front-coded runs, one a bucket and batch, of rows (h, body, at, start, doc, k, k2)."""
+    """Front-coded runs, one a bucket and batch, of rows (h, body, at, id, b, b2)."""
     for batch in batches:
+        schema = pa.schema([*RUN, ("ids", pa.list_(batch.schema.field("id").type))])
         by: dict[int, list] = {}
-        for h, body, at, start, doc, k, k2 in zip(*(batch.column(c).to_pylist() for c in ("h", "body", "at", "start", "doc", "k", "k2"))):
-            cut = at - start
-            by.setdefault(h % buckets, []).append((body[cut:cut + window], body[:cut], len(body) - window, start, (doc, k, k2)))
+        for h, body, at, doc, b, b2 in zip(*(batch.column(c).to_pylist() for c in ("h", "body", "at", "id", "b", "b2"))):
+            by.setdefault(h % buckets, []).append((body[at:at + window], body[:at], len(body) - window, b, b2, doc))
         rows = []
         for bucket, run in by.items():
             run.sort(key=lambda x: x[0])
-            suffixes, befores, lasts, starts, owners = zip(*run)
-            shared = [0] + [common(a, b) for a, b in zip(suffixes, suffixes[1:])]
+            suffixes, befores, lasts, b, b2, ids = zip(*run)
+            shared = [0] + [common(x, y) for x, y in zip(suffixes, suffixes[1:])]
             rests = [s[n:] for s, n in zip(suffixes, shared)]
-            texts = {owner: i for i, owner in enumerate(dict.fromkeys(owners))}
             rows.append((bucket, bytes(shared), b"".join(rests), bytes(map(len, rests)), b"".join(befores), bytes(map(len, befores)), bytes(lasts),
-                         np.array(starts, np.int32).tobytes(), np.array([texts[o] for o in owners], np.int32).tobytes(), np.array(list(texts), np.int64).tobytes()))
+                         np.array([b, b2], np.int64).tobytes(), list(ids)))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), RUN)], schema=RUN)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def parted(blob: bytes, sizes: bytes) -> list[bytes]:
@@ -124,46 +124,57 @@ class LoserTree:
             self.winner = w
 
 
-def smallest_docs(group: list[tuple], window: int) -> list[tuple[int, int, int, int]]:
-    """Spans (k, k2, a, b) of windows that also start in a smaller doc.
+def smallest_docs(group: list[tuple], window: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(b, b2, spans) of windows that also start in a document of smaller rank.
 
-    ``group``: suffixes of one gram in order, as (shared with the one before, suffix,
-    before, start, last, doc, k, k2); ``last`` counts the windows after the first.
+    ``group``: different strings of one gram in order of their suffixes, as (shared with the
+    one before, suffix, before, last, b, b2, rank); ``last`` counts the windows after the
+    first. A window with c bytes before the gram needs window - c bytes of the suffix: the
+    strings that can hold it are a run of the order, in which each shares that much with
+    the one before. Within a run the c bytes before decide.
     """
-    low, high = min(x[5] for x in group), max(x[5] for x in group)
-    if low == high:
-        return []
-    reach = [max(x[0] if i else 0, group[i + 1][0] if i + 1 < len(group) else 0) for i, x in enumerate(group)]
-    least: dict[bytes, int] = {}
-    spans = []
-    for (_, suffix, before, start, last, doc, k, k2), far in zip(group, reach):
-        body = before + suffix
-        # window i has window - len(before) + i bytes of the suffix, which a neighbour must share
-        n = min(last, far - window + len(before)) + 1
-        cuts = [body[i:i + window] for i in range(n)]
-        spans.append(cuts)
-        for c in cuts:
-            if least.get(c, doc) >= doc:
-                least[c] = doc
-    out = []
-    for (_, _, _, start, _, doc, k, k2), cuts in zip(group, spans):
-        if doc > low:
-            out += [(k, k2, a, b) for a, b in spread([least[c] < doc for c in cuts], start, window)]
-    return out
-
-
-def merge_bucket(runs: list[dict], window: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
-    columns = [(parted(r["befores"], r["before_sizes"]), np.frombuffer(r["starts"], np.int32).tolist(), r["lasts"], np.frombuffer(r["owners"], np.int32).tolist(),
-                np.frombuffer(r["texts"], np.int64).reshape(-1, 3).tolist()) for r in runs]
+    ranks = [x[6] for x in group]
+    if min(ranks) == max(ranks):
+        return
+    flags = [[False] * (x[3] + 1) for x in group]
+    for c in range(max(len(x[2]) for x in group) + 1):
+        run: list[int] = []
+        for i, (shared, _, before, last, _, _, _) in enumerate(group):
+            if shared < window - c and run:
+                _least(run, group, flags, c)
+                run = []
+            run.append(i)
+        _least(run, group, flags, c)
+    for (_, _, _, _, b, b2, _), own in zip(group, flags):
+        if any(own):
+            yield b, b2, spread(own, 0, window)
+
+
+def _least(run: list[int], group: list[tuple], flags: list[list[bool]], c: int) -> None:
+    """Flags the window with ``c`` bytes before the gram in each string of a run whose rank isn't the smallest with it."""
+    if len(run) < 2:
+        return
+    own = [(group[i][2][len(group[i][2]) - c:], group[i][6], i) for i in run if 0 <= len(group[i][2]) - c <= group[i][3]]
+    own.sort()  # equal bytes before lie together, the smallest rank first
+    was, least = None, 0
+    for before, rank, i in own:
+        if before != was:
+            was, least = before, rank
+        elif rank > least:
+            flags[i][len(group[i][2]) - c] = True
+
+
+def merge_bucket(runs: list[dict], window: int, gram: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    columns = [(parted(r["befores"], r["before_sizes"]), r["lasts"], *np.frombuffer(r["names"], np.int64).reshape(2, -1).tolist(),
+                [(x is None, x) for x in r["ids"]]) for r in runs]  # null is the largest
     group: list[tuple] = []
     for shared, run, place, suffix in LoserTree([(r["shared"], parted(r["rests"], r["rest_sizes"])) for r in runs]):
         if shared < gram and group:
             if len(group) > 1:
                 yield from smallest_docs(group, window)
             group = []
-        befores, starts, lasts, owners, texts = columns[run]
-        group.append((shared, suffix, befores[place], starts[place], lasts[place], *texts[owners[place]]))
-    if group:
+        group.append((shared, suffix, *(column[place] for column in columns[run])))
+    if len(group) > 1:
         yield from smallest_docs(group, window)
 
 
@@ -174,7 +185,7 @@ def merged(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterato
     def marks(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         out = list(merge_bucket(rows, window, gram))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), MARKS)], schema=MARKS)
+            yield span_rows(out)
 
     for batch in batches:
         for row in batch.to_pylist():
@@ -192,20 +203,26 @@ def remove_repeats(docs: DataFrame, window: int = 50, buckets: int | None = None
 
     A byte goes if a string of ``window`` bytes that covers it also starts in a document
     with a smaller doc_id; strings are judged on the input and never cross documents. Null
-    texts are empty; a null doc_id counts as the largest; documents of equal doc_id don't
-    cost each other anything. ``buckets`` (2 a shuffle partition by default) part the
-    grams, so that one's runs fit a task; grams in more than ``hot`` pieces are compared by exact
-    window over all tasks. An empty table gives an empty result; other columns are ignored.
+    texts are empty; doc_ids may be of any type, a null one counts as the largest;
+    documents of equal doc_id don't cost each other anything. Equal strings meet before
+    they are sorted. ``buckets`` (2 a shuffle partition by default) part the grams, so that
+    one's runs fit a task; a gram with more than ``hot`` different strings is compared by
+    exact window over all tasks. A text is held about twice. An empty table gives an empty
+    result; other columns are ignored.
     """
     if not 25 <= window <= 255:
         raise ValueError("window must be 25 to 255 bytes")
     unit = Bytes(window)
     buckets = buckets or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = found_pieces(docs, unit)
-    usual, crowded = hot_grams(found, hot)
-    gram = unit.gram
-    runs = usual.drop("weight").mapInArrow(lambda batches: sorted_runs(batches, window, buckets), RUN_SQL)
-    marks = runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: merged(batches, window, gram), "k long, k2 long, a int, b int")
+    own = strings(found)
+    usual, crowded = hot_grams(own, hot)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    runs = usual.select("h", "body", "at", F.col("first.id").alias("id"), "b", "b2").mapInArrow(
+        lambda batches: sorted_runs(batches, window, buckets), f"{RUN_SQL}, ids array<{id_type}>")
+    spans = runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: merged(batches, window, unit.gram), SPANS_SQL)
     if crowded is not None:
-        marks = marks.union(hot_marks(crowded, unit, F.min("doc"), lambda v, doc: v < doc))
-    return finish(docs, marks, unit, "later")
+        spans = spans.union(hot_spans(crowded, unit, F.min("first"), F.col("v") < F.col("first")))
+    # a place of a string goes as a whole if a smaller document has the string
+    out = marks(found, own, spans, window, order() > F.col("first"))
+    return finish(docs, out, unit, "later")

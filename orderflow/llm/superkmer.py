@@ -1,7 +1,8 @@
 """Substring dedup by super-k-mer partitioning.
 
 Consecutive windows that share a minimiser travel as one packed string to the task of that
-minimiser, where all windows of its strings are sorted and equal neighbours counted.
+minimiser, where all windows of its strings are sorted and equal neighbours counted. Equal
+strings meet in an aggregate before, with a count, so only different ones are sorted.
 Strings of minimisers that occur once in the corpus hold no repeated window and
 don't travel (see ``anchors``).
 """
@@ -14,14 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.anchors import HOT, Words, finish, found_pieces, hot_grams, hot_marks, spread
+from orderflow.llm.anchors import HOT, SPANS_SQL, Words, finish, found_pieces, hot_grams, hot_spans, marks, span_rows, spread, strings
 
-MARKS = pa.schema([("k", pa.int64()), ("k2", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
-
-def count_windows(rows: list[tuple], window: int) -> list[tuple[int, int, int, int]]:
-    """Spans (k, k2, a, b) of repeated windows in the strings (packed, weight, k, k2, start) of one minimiser."""
-    if len(rows) < 2 and rows[0][1] < 2:
+def count_windows(rows: list[tuple], window: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """(b, b2, spans) of repeated windows in the different strings (packed, weight, b, b2) of one minimiser."""
+    if len(rows) < 2:
         return []
     cuts, owner = [], []
     for r, (packed, *_) in enumerate(rows):
@@ -45,9 +44,10 @@ def count_windows(rows: list[tuple], window: int) -> list[tuple[int, int, int, i
                 flags[x] = True
         i = j
     out, at = [], 0
-    for r, (packed, _, k, k2, start) in enumerate(rows):
+    for packed, weight, b, b2 in rows:
         n = packed.count(b" ") + 2 - window
-        out += [(k, k2, a, b) for a, b in spread(flags[at:at + n], start, window)]
+        if weight < 2 and (spans := spread(flags[at:at + n], 0, window)):
+            out.append((b, b2, spans))
         at += n
     return out
 
@@ -56,19 +56,19 @@ def count_bucket(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
     """Rows come sorted by h; at most HOT of them share one."""
     last, rows, out = None, [], []
     for batch in batches:
-        for h, *row in zip(*(batch.column(c).to_pylist() for c in ("h", "body", "weight", "k", "k2", "start"))):
+        for h, *row in zip(*(batch.column(c).to_pylist() for c in ("h", "body", "weight", "b", "b2"))):
             if h != last and rows:
                 out += count_windows(rows, window)
                 rows = []
             last = h
             rows.append(tuple(row))
         if len(out) > 20_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), MARKS)], schema=MARKS)
+            yield span_rows(out)
             out = []
     if rows:
         out += count_windows(rows, window)
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), MARKS)], schema=MARKS)
+        yield span_rows(out)
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, minimiser: int = 6, hot: int = HOT) -> DataFrame:
@@ -77,14 +77,17 @@ def remove_repeats(docs: DataFrame, window: int = 35, minimiser: int = 6, hot: i
     A word goes if a window of ``window`` words that covers it starts anywhere else too, in
     the same document included; windows are judged on the input. Null and empty texts
     have no words. Of equal texts every window repeats. Repeated rows are copies of each
-    other. Null doc_ids stay null. Minimisers in more than ``hot`` strings are counted by
-    exact window over all tasks. An empty table gives an empty result; other columns
-    are ignored.
+    other. doc_ids may be of any type; null ones stay null. Equal strings meet before they
+    are sorted; a minimiser with more than ``hot`` different ones is counted by exact window
+    over all tasks. A text is held as its words, about five times its size. An empty
+    table gives an empty result; other columns are ignored.
     """
     unit = Words(window, minimiser)
     found = found_pieces(docs, unit)
-    usual, crowded = hot_grams(found, hot)
-    marks = usual.drop("doc", "at").repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: count_bucket(batches, window), "k long, k2 long, a int, b int")
+    own = strings(found)
+    usual, crowded = hot_grams(own, hot)
+    spans = usual.select("h", "body", "weight", "b", "b2").repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: count_bucket(batches, window), SPANS_SQL)
     if crowded is not None:
-        marks = marks.union(hot_marks(crowded, unit, F.sum("weight"), lambda v, doc: v > 1))
-    return finish(docs, marks, unit, "all")
+        spans = spans.union(hot_spans(crowded, unit, F.sum("weight"), F.col("v") > 1))
+    # a string of two places or copies repeats as a whole
+    return finish(docs, marks(found, own, spans, window, F.col("all") > 1), unit, "all")
