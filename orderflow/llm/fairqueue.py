@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import WORD, cut, text_of
+from orderflow.llm.common import WORD, apart, cut, text_of
 
 #: Bins of one histogram of finish times, and rows that one window may order.
 BINS, RACE_ROWS = 4096, 50_000
@@ -64,7 +64,10 @@ def fair_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats:
     columns called as the added ones are replaced.
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
-    packets = docs.withColumns({"size": size if size is not None else word_count(), "_key": key,
+    added = ["size", "source_size", "target", "copies", "taken"]
+    sized = docs.withColumn("size", size if size is not None else word_count())
+    packets, back = apart(sized, {"doc_id", "source", "text", "size"}, set(added) - {"size"})
+    packets = packets.withColumns({"_key": key,
                                 "_seg": F.substring(key, 1, segment_digits), "_src": F.col("source")})
     narrow = cut(packets.select(F.col("_src").alias("source"), "_seg", "_key", "doc_id", "size"))
     targets = cut(source_targets(narrow, weights, max_repeats))
@@ -127,4 +130,4 @@ def fair_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats:
             take = take | ((f == lf) & (earlier | (F.col("_src").eqNullSafe(F.lit(ls)) & tie)))
         takes.append(F.when((F.col("size") > 0) & take, 1).otherwise(0))
     out = queued(packets).withColumn("copies", sum(takes[1:], takes[0])).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("_src", "_seg", "_key", "_cum")
+    return back(out, *[F.col(c) for c in added[1:]])

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import cut, text_of
+from orderflow.llm.common import apart, cut, text_of
 
 #: Low bits that are left of the key after each round of probes; copies of a text agree above DOC_BITS.
 ROUNDS = (53, 43, 33, 24, 12, 0)
@@ -82,7 +82,8 @@ def histogram_shard(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.00
     An empty table gives an empty result. Input columns called as the added ones are
     replaced.
     """
-    rows = docs.drop("shard", "slot").withColumns({"size": byte_size(), "_k": sort_key()})
+    rows, back = apart(docs, {"doc_id", "text"}, {"shard", "slot", "size"})
+    rows = rows.withColumns({"size": byte_size(), "_k": sort_key()})
     keys = cut(rows.select("_k", "size"))
     cuts, below, hist = splitters(keys, n_shards, tolerance, copy_tolerance)
     top = ROUNDS[0]
@@ -106,8 +107,8 @@ def histogram_shard(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.00
     placed = rows.withColumn("_seg", seg).withColumn("_r", rank).join(segs, F.col("_seg") == F.col("_sg"))
     shard = sum((F.when(F.col("_k") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
     first_row = F.element_at(F.array(F.lit(0).cast("long"), *[F.lit(n).cast("long") for n in below]), F.col("shard") + 1)
-    return (placed.withColumn("shard", shard).withColumn("slot", F.col("_start") + F.col("_r") - 1 - first_row)
-            .drop("_k", "_seg", "_sg", "_r", "_start"))
+    placed = placed.withColumn("shard", shard).withColumn("slot", F.col("_start") + F.col("_r") - 1 - first_row)
+    return back(placed, F.col("size"), F.col("shard"), F.col("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import cut, text_of
+from orderflow.llm.common import apart, cut, text_of
 
 #: Fixed patterns of personal data, in the order of reports. Possessive loops, look-behinds
 #: and \G (the end of the last match) only spare the search; they match what the plain
@@ -74,7 +74,9 @@ def _entities(s: Column) -> Column:
 
 
 def row_key() -> Column:
-    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text_of()))
+    """Tells (doc_id, text) pairs apart; the id's length keeps the two from running into each other."""
+    doc = F.col("doc_id").cast("string")
+    return F.md5(F.concat(F.coalesce(F.length(doc), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(doc, F.lit("")), text_of()))
 
 
 def keyed_spans(docs: DataFrame, radius: int) -> DataFrame:
@@ -168,11 +170,12 @@ def report(spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """``docs`` with sanitised: personal data as [KIND], terms as [TERM] or gone. A null text stays null."""
-    found = disclosure_spans(docs, **thresholds).drop("doc_id").dropDuplicates(["row"])
+    rows, back = apart(docs, {"doc_id", "text"}, {"sanitised"})
+    found = disclosure_spans(rows, **thresholds).drop("doc_id").dropDuplicates(["row"])
     swap = lambda s, by: F.struct(s["start"].alias("start"), s["end"].alias("end"), by.alias("by"))
     spans = F.sort_array(F.concat(F.transform("personal", lambda s: swap(s, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))),
                                   F.transform("terms", lambda s: swap(s, F.when(s["remove"], "").otherwise("[TERM]")))))
-    out = docs.drop("sanitised").withColumn("_row", row_key()).join(found.withColumn("_spans", spans).select("row", "_spans"), F.col("_row") == F.col("row"))
+    out = rows.withColumn("_row", row_key()).join(found.withColumn("_spans", spans).select("row", "_spans"), F.col("_row") == F.col("row"))
 
     def step(acc: Column, s: Column) -> Column:  # overlapping spans: the first one's mark stands
         text = F.concat(acc["text"], F.when(s["start"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), s["by"])).otherwise(""))
@@ -180,4 +183,4 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
 
     clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), step,
                         lambda acc: F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return out.withColumn("sanitised", clean).drop("_row", "row", "_spans")
+    return back(out, clean.alias("sanitised"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import cut
+from orderflow.llm.common import apart, cut
 
 SEED = 42
 #: Hashes whose bits are unpacked at once.
@@ -122,17 +122,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with fingerprint (long) and component_id.
+    """``docs`` (doc_id, text, ...) with fingerprint (long), component_id and representative.
 
     ``component_id`` is the smallest doc_id reachable over links of ``max_bits`` or fewer
     bits, the own included; null doc_ids don't count, and only a group without any other
-    has a null one. Texts without words have fingerprint 0. Copies share a fingerprint and
+    has a null one. ``representative`` marks the rows of that id and of one fingerprint in
+    each component: one document, or its copies where ids repeat or are null. Texts without words have fingerprint 0. Copies share a fingerprint and
     meet in one row before anything is joined. Columns called as the added ones are
     replaced; an empty table gives an empty result.
     """
-    prints = cut(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("p")).groupBy("p").agg(F.min("doc_id").alias("least")))
+    rows, back = apart(docs, {"doc_id", "text"}, {"component_id", "fingerprint", "representative"})
+    prints = cut(rows.select("doc_id", fingerprint(F.col("text"), shingle).alias("p")).groupBy("p").agg(F.min("doc_id").alias("least")))
     root = components(links(prints.select("p"), max_bits))
     rooted = prints.join(root, "p", "left").select("p", "least", F.coalesce("root", "p").alias("root"))
-    rooted = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("p").alias("_p"), "component_id")
-    out = docs.drop("component_id", "fingerprint").withColumn("fingerprint", fingerprint(F.col("text"), shingle))
-    return out.join(rooted, F.col("fingerprint") == F.col("_p")).drop("_p")
+    first = F.struct(F.col("least").isNull(), "least", "p")
+    rooted = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min_by("p", first).alias("winner")), "root")
+    rooted = rooted.select(F.col("p").alias("_p"), "component_id", (F.col("p") == F.col("winner")).alias("_first"))
+    out = rows.withColumn("fingerprint", fingerprint(F.col("text"), shingle)).join(rooted, F.col("fingerprint") == F.col("_p"))
+    stays = F.col("_first") & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return back(out, F.col("fingerprint"), F.col("component_id"), stays.alias("representative"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import TOKENIZERS, read_bytes
+from orderflow.llm.common import TOKENIZERS, apart, read_bytes
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -107,5 +107,6 @@ def token_counts(docs: DataFrame, vocabulary: str = os.path.join(TOKENIZERS, MOD
         pairs = [count(x.as_py() or "") for x in texts]
         return pa.StructArray.from_arrays([pa.array([n for n, _ in pairs], pa.int64()), pa.array([s for _, s in pairs], pa.float64())], fields=list(kind))
 
-    counted = docs.drop("n_pieces", "score").withColumn("_counts", F.arrow_udf(run, COUNTS)(F.col(text)))
-    return counted.select("*", "_counts.n_pieces", "_counts.score").drop("_counts")
+    rows, back = apart(docs, {text}, {"n_pieces", "score"})
+    counted = rows.withColumn("_counts", F.arrow_udf(run, COUNTS)(F.col(text)))
+    return back(counted, F.col("_counts.n_pieces"), F.col("_counts.score"))
