@@ -21,37 +21,50 @@ SHARDS = 16
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: documents that fail the base rules or a band go."""
+    """Operator 1: documents that fail the base rules or a band go.
+
+    Null and empty texts fail; repeated rows fare alike; an empty table stays empty.
+    """
     ship_package(spark)
     return quality.quality(docs).where("quality.kept").select(*COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: of each component the document with the smallest id stays.
+    """Operator 2: of each component one row stays, of the document with the smallest id.
 
-    Rows without an id stay if their component has no id; equal rows stay together.
+    A row without an id stays if its component has no id. Of rows that repeat with the
+    winning id, or all lack one, a single one stays: representatives share a fingerprint,
+    by which the operator has left them together. Null and empty texts are one component;
+    an empty table stays empty.
     """
     ship_package(spark)
     out = simhash.near_duplicates(docs, shingle=3, max_bits=2)
-    return out.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*COLUMNS)
+    return out.where("representative").dropDuplicates(["fingerprint"]).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents that hold a window of a benchmark item go."""
+    """Operator 5: documents that hold a window of a benchmark item go.
+
+    Null and empty texts hold none; repeated rows fare alike; without items all stay.
+    """
     ship_package(spark)
     out = winnow.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return out.where("leak.n_hit = 0").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: each document as many times as the mix takes it."""
+    """Operator 6: each document as many times as the mix takes it.
+
+    Null and empty texts are never taken; a null source is one of its own; an empty table
+    stays empty.
+    """
     mixed = fairqueue.fair_mix(docs)
     copies = F.explode(F.array_repeat(F.lit(0), F.col("copies")))
     return mixed.where("copies > 0").withColumn("_copy", copies).select(*COLUMNS)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: 16 shards of near equal bytes."""
+    """Operator 7: 16 shards of near equal bytes; null texts count as empty, copies lie side by side."""
     rows = docs.withColumn("text_crc32", F.crc32(F.encode(text_of(), "UTF-8")))
     return histosort.histogram_shard(rows, SHARDS).select("doc_id", "size", "text_crc32", "shard", "slot")
 
