@@ -362,11 +362,12 @@ def finish(docs: DataFrame, marks: DataFrame, unit, copies_go: str) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, gone, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc", "gone")), batch.column("text").cast(pa.binary()), batch.column("marks").to_pylist()):
+            # marks become Python objects a row at a time: a batch's may be millions
+            for doc, gone, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc", "gone")), batch.column("text").cast(pa.binary()), batch.column("marks")):
                 units = unit.split(text.as_py())
                 n = len(units)
                 merged: list[list[int]] = []
-                for a, b in [(0, n)] if gone and n >= unit.window else sorted((x["a"], x["b"]) for x in found or ()):
+                for a, b in [(0, n)] if gone and n >= unit.window else sorted((x["a"], x["b"]) for x in found.as_py() or ()):
                     if merged and a <= merged[-1][1]:
                         merged[-1][1] = max(b, merged[-1][1])
                     else:
