@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import apart, cut, text_of
+from orderflow.llm.common import apart, cut, row_key, text_of
 
 #: Fixed patterns of personal data, in the order of reports. Possessive loops, look-behinds
 #: and \G (the end of the last match) only spare the search; they match what the plain
@@ -73,12 +73,6 @@ def _entities(s: Column) -> Column:
     return F.concat(F.array(F.concat_ws(":", s["kind"], value)), domain)
 
 
-def row_key() -> Column:
-    """Tells (doc_id, text) pairs apart; the id's length keeps the two from running into each other."""
-    doc = F.col("doc_id").cast("string")
-    return F.md5(F.concat(F.coalesce(F.length(doc), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(doc, F.lit("")), text_of()))
-
-
 def keyed_spans(docs: DataFrame, radius: int) -> DataFrame:
     """(doc_id, row, spans, contexts): spans of each row, and ``radius`` characters around each mention."""
     text = text_of()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import apart, cut
+from orderflow.llm.common import apart, cut, row_key
 
 SEED = 42
 #: Hashes whose bits are unpacked at once.
@@ -121,23 +121,31 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("p"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("p"), F.col("a").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with fingerprint (long), component_id and representative.
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, keep_one: bool = False) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with fingerprint (long) and component_id.
 
     ``component_id`` is the smallest doc_id reachable over links of ``max_bits`` or fewer
     bits, the own included; null doc_ids don't count, and only a group without any other
-    has a null one. ``representative`` marks the rows of that id and of one fingerprint in
-    each component: one document, or its copies where ids repeat or are null. Texts without words have fingerprint 0. Copies share a fingerprint and
-    meet in one row before anything is joined. Columns called as the added ones are
-    replaced; an empty table gives an empty result.
+    has a null one. With ``keep_one`` a single row of each component stays, one of that id.
+    Null and empty texts, and those without words, have fingerprint 0. A text is held
+    with its words, about five times its size. Fingerprints are computed once and written
+    under a key of (doc_id, text), by which the rows find theirs; repeated rows share it.
+    Copies share a fingerprint and meet in one row before anything is joined. Columns
+    called as the added ones are replaced, others may have any name; an empty table gives an
+    empty result.
     """
-    rows, back = apart(docs, {"doc_id", "text"}, {"component_id", "fingerprint", "representative"})
-    prints = cut(rows.select("doc_id", fingerprint(F.col("text"), shingle).alias("p")).groupBy("p").agg(F.min("doc_id").alias("least")))
+    rows, back = apart(docs, {"doc_id", "text"}, {"component_id", "fingerprint"})
+    own = cut(rows.select(row_key().alias("key"), "doc_id", fingerprint(F.col("text"), shingle).alias("p")).distinct())
+    prints = cut(own.groupBy("p").agg(F.min("doc_id").alias("least")))
     root = components(links(prints.select("p"), max_bits))
     rooted = prints.join(root, "p", "left").select("p", "least", F.coalesce("root", "p").alias("root"))
-    first = F.struct(F.col("least").isNull(), "least", "p")
-    rooted = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min_by("p", first).alias("winner")), "root")
-    rooted = rooted.select(F.col("p").alias("_p"), "component_id", (F.col("p") == F.col("winner")).alias("_first"))
-    out = rows.withColumn("fingerprint", fingerprint(F.col("text"), shingle)).join(rooted, F.col("fingerprint") == F.col("_p"))
-    stays = F.col("_first") & F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return back(out, F.col("fingerprint"), F.col("component_id"), stays.alias("representative"))
+    rooted = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("p").alias("q"), "component_id", "root")
+    told = own.join(rooted, F.col("p") == F.col("q")).select("key", "p", "component_id", "root", "doc_id")
+    if keep_one:
+        first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key", "p", "component_id")
+        told = told.groupBy("root").agg(F.min(first).alias("r")).select("r.key", "r.p", "r.component_id")
+    told = told.select(F.col("key").alias("_told"), F.col("p").alias("fingerprint"), "component_id")
+    out = rows.withColumn("_key", row_key()).join(told, F.col("_key") == F.col("_told"))
+    if keep_one:
+        out = out.dropDuplicates(["_key"])
+    return back(out, F.col("fingerprint"), F.col("component_id"))
