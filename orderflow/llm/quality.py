@@ -50,8 +50,9 @@ BANDS: dict[str, tuple[float, float, float, float, float, float]] = {
 SCRIPTS = {"Latin": ((0x41, 0x24F),), "Greek": ((0x370, 0x3FF),), "Cyrillic": ((0x400, 0x52F),), "Arabic": ((0x600, 0x6FF),), "Han": ((0x3040, 0x30FF), (0x4E00, 0x9FFF))}
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: A task forgets its words beyond so many, which bounds its memory and changes no result.
-KEPT_WORDS = 400_000
+#: A task forgets its words beyond so many, or beyond so many bytes of words and tokens at
+#: the end of a text, which bounds its memory by that and one text, and changes no result.
+KEPT_WORDS, KEPT_BYTES = 400_000, 64 << 20
 
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _SYMBOLS = b"#*$%&|<>"
@@ -81,11 +82,13 @@ class Words(dict):
         self.tokens, self.ends = array("i"), array("q", [0])
         self.pieces, self.fallbacks = array("q"), array("q")
         self.new: list[str] = []
+        self.held = 0
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         text = word.decode("utf-8", "replace")
         self.tokens.extend(self.bpe.encode_ordinary(" " + text))
+        self.held += len(word) + 4 * (len(self.tokens) - self.ends[-1])
         self.ends.append(len(self.tokens))
         self.new.append(text)
         return n
@@ -176,7 +179,7 @@ def measures(vocabularies: str = TOKENIZERS, bands: Mapping = BANDS):
         for texts, langs in batches:
             rows = []
             for text, lang in zip(texts.cast(pa.binary()), langs):
-                if len(words) > KEPT_WORDS:
+                if len(words) > KEPT_WORDS or words.held > KEPT_BYTES:
                     words = Words(ranks, model)
                 rows.append(measure(text.as_py() or b"", lang.as_py(), words, bands))
             yield pa.array(rows, kind)

@@ -27,8 +27,9 @@ from orderflow.llm.common import TOKENIZERS, apart, read_bytes
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-#: A task forgets its parts beyond so many, which bounds its memory and changes no result.
-KEPT_PARTS = 400_000
+#: A task keeps parts of at most so many characters, and forgets them all beyond so many
+#: bytes. Both bound its memory and change no result.
+KEPT_PART, KEPT_BYTES = 64, 96 << 20
 COUNTS = "struct<n_pieces:long,score:double>"
 
 
@@ -43,38 +44,48 @@ class Counter(dict):
         for piece, score in pieces.items():
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.held, self.longest = 0, max(map(len, pieces))
         self.unknown = min(pieces.values()) - UNKNOWN_PENALTY
         splits = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         alien = "" if any("\n" in p for p in pieces) else "\n"
         self.parts = re.compile(rf"{SPACE}*[^{SPACE}{alien}]+|{SPACE}+" + ("|\n+" if alien else "")) if splits else re.compile(r"(?s).+")
 
     def __missing__(self, part: str) -> tuple[int, float]:
-        n = len(part)
-        best: list = [None] * (n + 1)
-        count = [0] * (n + 1)
-        best[0] = 0.0
-        ends: list = [None] * n
-        for end, match in self.automaton.iter(part):
-            if ends[end] is None:
-                ends[end] = [match]
-            else:
-                ends[end].append(match)
-        for i in range(n):
+        found = self.search(part)
+        if len(part) <= KEPT_PART:
+            self.held += 200 + 4 * len(part)
+            if self.held > KEPT_BYTES:
+                self.clear()
+                self.held = 0
+            self[part] = found
+        return found
+
+    def search(self, part: str) -> tuple[int, float]:
+        """Pieces and score of the best path; only the last positions that a piece can reach back to are held."""
+        m = self.longest + 1
+        best, count = [0.0] * m, [0] * m
+        matches = self.automaton.iter(part)
+        match = next(matches, None)
+        for i, letter in enumerate(part):
+            ends = []
+            while match is not None and match[0] == i:
+                ends.append(match[1])
+                match = next(matches, None)
+            if len(ends) > 1:
+                ends.sort(reverse=True)
             at, single = None, False
-            for length, score in sorted(ends[i], reverse=True) if ends[i] else ():
+            for length, score in ends:
                 single |= length == 1
-                total = best[i + 1 - length] + score
+                start = (i + 1 - length) % m
+                total = best[start] + score
                 if at is None or total > at:
-                    at, pieces = total, count[i + 1 - length] + 1
+                    at, pieces = total, count[start] + 1
             if not single:
-                total = best[i] + self.unknown
+                total = best[i % m] + self.unknown
                 if at is None or total > at:
-                    at, pieces = total, count[i] + len(part[i].encode("utf-8", "surrogatepass"))
-            best[i + 1], count[i + 1] = at, pieces
-        if len(self) >= KEPT_PARTS:
-            self.clear()
-        self[part] = found = (count[n], best[n])
-        return found
+                    at, pieces = total, count[i % m] + len(letter.encode("utf-8", "surrogatepass"))
+            best[(i + 1) % m], count[(i + 1) % m] = at, pieces
+        return count[len(part) % m], best[len(part) % m]
 
     def count(self, text: str) -> tuple[int, float]:
         if not text:
@@ -95,7 +106,8 @@ def counter(model: bytes) -> Counter:
 def token_counts(docs: DataFrame, vocabulary: str = os.path.join(TOKENIZERS, MODEL), text: str = "text") -> DataFrame:
     """``docs`` with n_pieces and score, the piece count and score of the best path.
 
-    The text is taken as it is, a space mark put before it and in place of each space. A
+    A very long text takes its own size a few times over; a long part without spaces takes
+    no more. The text is taken as it is, a space mark put before it and in place of each space. A
     null or empty text has 0 pieces and score 0. Rows are independent; columns called as
     the added ones are replaced; an empty table stays empty.
     """

@@ -171,6 +171,27 @@ def test_pieces_cover_all_windows():
                 assert seen.setdefault(unit.join(units[w:w + unit.window]), (p - w, x)) == (p - w, x)
 
 
+def test_long_parts_are_not_kept(monkeypatch):
+    """Han texts: parts that never recur leave no trace in a worker, and a long one is searched in a few positions."""
+    import public_tokenizers as P
+    with open(P.path(viterbi.MODEL), "rb") as f:
+        counter = viterbi.counter(f.read())
+    rng = random.Random(4)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(900)) for _ in range(60)]
+    before = len(counter)
+    counts = [counter.count(t) for t in texts]
+    assert len(counter) == before and all(n >= 900 for n, _ in counts)
+    monkeypatch.setattr(viterbi, "KEPT_BYTES", 3000)
+    for word in range(500):
+        counter.count(f"part{word}")
+    assert len(counter) < 20
+    import tracemalloc
+    tracemalloc.start()
+    counter.count("漢字ab" * 50_000)
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+
+
 def test_winnowing(spark, docs, rows):
     passage = next(t for d, t in pairs(rows) if d == 9)
     words = passage.split()
