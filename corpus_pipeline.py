@@ -33,13 +33,11 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Operator 2: of each component one row stays, of the document with the smallest id.
 
     A row without an id stays if its component has no id. Of rows that repeat with the
-    winning id, or all lack one, a single one stays: representatives share a fingerprint,
-    by which the operator has left them together. Null and empty texts are one component;
-    an empty table stays empty.
+    winning id, or all lack one, a single one stays. Null and empty texts are one
+    component; an empty table stays empty.
     """
     ship_package(spark)
-    out = simhash.near_duplicates(docs, shingle=3, max_bits=2)
-    return out.where("representative").dropDuplicates(["fingerprint"]).select(*COLUMNS)
+    return simhash.near_duplicates(docs, shingle=3, max_bits=2, keep_one=True).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
