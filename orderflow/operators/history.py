@@ -7,12 +7,12 @@ gathered into a single value.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orderflow import schemas as S
-from orderflow.functions.scan import segmented_scan
 from orderflow.operators import state as ST
+from orderflow.session import written
 
 
 def status_history(changes: DataFrame, segment: str = "hour") -> DataFrame:
@@ -21,23 +21,33 @@ def status_history(changes: DataFrame, segment: str = "hour") -> DataFrame:
     nothing. Events without the key neither add nor reset anything; a null
     status under the key is a status, as in the fold.
 
-    The previous status and the entry number are running values per order,
-    computed as segmented scans (hour buckets), so a hot order is spread
-    over many tasks."""
+    The previous status and the entry number come from one scan in two levels:
+    inside each (order, hour) a look back and a running count of changes, and
+    over an order's hours the status and the count carried in. A hot order
+    spreads over many tasks; the narrow input is written once and read twice."""
     ev = ST.prepare(changes).where(F.col("has_order_status"))
-    seg = F.date_trunc(segment, F.col("ts"))
-    # wrapped, so that a present null is carried as well
-    p = segmented_scan(ev, ["order_id"], seg, ["seq"], F.struct(F.col("v_order_status").alias("s")),
-                       "last", "_prev", inclusive=False)
-    ch = (p.select("order_id", "ts", "lsn", "seq", F.col("v_order_status").alias("status"),
-                   F.when(F.col("_prev").isNull(), F.lit(S.DEFAULT_STATUS))
-                   .otherwise(F.col("_prev.s")).alias("prev_status"))
-          .where(~F.col("status").eqNullSafe(F.col("prev_status"))))
-    n = segmented_scan(ch, ["order_id"], seg, ["seq"], F.lit(1).cast("bigint"), "sum",
-                       "seq_no")
-    return n.select("order_id", F.col("seq_no").cast("bigint").alias("seq_no"), "status",
+    ev = written(ev.select("order_id", "ts", "lsn", "seq", F.col("v_order_status").alias("status")), "status-events")
+    # wrapped, so that a present null is a status as well
+    own = F.struct(F.col("status").alias("s"))
+    d = ev.withColumn("_key", F.struct("order_id", F.date_trunc(segment, F.col("ts")).alias("hour")))
+    w = Window.partitionBy("_key").orderBy("seq")
+    d = d.withColumn("_before", F.lag(own).over(w))
+    inner = F.col("_before").isNotNull() & ~F.col("status").eqNullSafe(F.col("_before.s"))
+    d = d.withColumn("_n", F.sum(inner.cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    hours = d.groupBy("_key").agg(F.min_by(own, "seq").alias("first"), F.max_by(own, "seq").alias("last"),
+                                  F.max("_n").alias("n"))
+    over = Window.partitionBy("_key.order_id").orderBy("_key.hour")
+    came = F.lag("last").over(over)
+    hours = hours.withColumn("_came", F.when(came.isNull(), F.lit(S.DEFAULT_STATUS)).otherwise(came["s"]))
+    hours = hours.withColumn("_opens", (~F.col("first.s").eqNullSafe(F.col("_came"))).cast("bigint"))
+    done = F.sum(F.col("_opens") + F.col("n")).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    carry = hours.select("_key", "_came", (F.coalesce(done, F.lit(0)) + F.col("_opens")).alias("_base"))
+    prev = F.when(F.col("_before").isNull(), F.col("_came")).otherwise(F.col("_before.s"))
+    r = d.join(carry, "_key").withColumn("prev_status", prev)
+    return (r.where(~F.col("status").eqNullSafe(F.col("prev_status")))
+            .select("order_id", (F.col("_base") + F.col("_n")).alias("seq_no"), "status",
                     F.col("ts").alias("timestamp"), F.lit(S.HISTORY_SOURCE).alias("source"),
-                    "prev_status", "lsn")
+                    "prev_status", "lsn"))
 
 
 def status_timeline(history: DataFrame) -> DataFrame:

@@ -227,7 +227,7 @@ def fold_children(changes: DataFrame) -> DataFrame:
 
 
 def child_rows(changes: DataFrame, table: str) -> DataFrame:
-    """ST-3/ST-2: the folded rows of one child table, keyed (order_id, child
+    """ST-2/ST-3: the folded rows of one child table, keyed (order_id, child
     id): the last write of each child as a whole, absent fields at their
     defaults, unreadable numbers 0. Children stay rows, never a per-order array."""
     ev = prepare(changes) if IMAGE not in changes.columns else changes

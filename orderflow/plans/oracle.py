@@ -872,3 +872,28 @@ SELECT bu, product_family, horizon, window_start, round(available_supply, 2) AS
        0.0::DOUBLE AS unexplained_demand, 0.0::DOUBLE AS unexplained_supply, 0::BIGINT AS unexplained_count FROM m1 WHERE {_SETTLED}"""
 ORACLE["stream_fold_metrics"] = f"""WITH {STREAM_CHG}
 SELECT count(*) AS events, 4::BIGINT AS batches, count(*) AS rows_written FROM chg"""
+
+# adapter B with line demand
+DEMAND_CHG = CHG + """,
+dem AS (
+  SELECT order_id, ts, lsn + 1000000000000 AS lsn, order_id || '-' || CAST(k % 5 AS VARCHAR) AS line_id,
+         CAST(k % 4 AS DECIMAL(15,3)) AS quantity FROM chg WHERE k % 3 = 0),
+chgd AS (
+  SELECT order_id, source_table, op, ts, lsn, order_status, business_unit, product_family, priority_tier, total_value,
+         expected_ship_date, has_bu, op <> 'd' AS hdr, CAST(0 AS DECIMAL(15,3)) AS d FROM chg
+  UNION ALL
+  SELECT order_id, 'order_line_items', 'u', ts, lsn, NULL, NULL, NULL, NULL, NULL, NULL, FALSE, FALSE,
+         quantity - coalesce(lag(quantity) OVER (PARTITION BY order_id, line_id ORDER BY ts, lsn), 0) FROM dem)"""
+DEMAND_CHANGELOG = DEMAND_CHG + CHANGELOG[len(CHG):].replace("op <> 'd'", "hdr").replace("FROM chg\n", "FROM chgd\n").replace(
+    "AS updated_at\n", "AS updated_at,\n    sum(d) OVER w AS total_demand\n")
+_ATP = "('ALLOCATED', 'IN_PRODUCTION', 'SHIPPED', 'DELIVERED')"
+ORACLE["backlog_supply_1h"] = f"""WITH {DEMAND_CHANGELOG + RECORDS[len(CHANGELOG):].replace(
+    "TRUE AS atp_feasible", f"(total_demand = 0 OR order_status IN {_ATP}) AS atp_feasible")},
+{window_select(60, 5, "sliding_1h", "ms")}
+SELECT * FROM ms"""
+ORACLE["order_state_demand"] = f"""WITH {DEMAND_CHANGELOG},
+last AS (SELECT * FROM cl QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, lsn DESC) = 1),
+n AS (SELECT order_id, count(DISTINCT line_id) AS line_count FROM dem GROUP BY order_id)
+SELECT order_id, order_status, coalesce(line_count, 0) AS line_count, CAST(total_demand AS DOUBLE) AS total_demand,
+       (total_demand = 0 OR order_status IN {_ATP}) AS atp_feasible, created_at, updated_at
+FROM last LEFT JOIN n USING (order_id)"""

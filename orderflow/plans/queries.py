@@ -27,7 +27,7 @@ from orderflow.operators import merge as MRG
 from orderflow.operators import orders as ORD
 from orderflow.operators import search as SR
 from orderflow.operators import state as ST
-from orderflow.session import scratch_path
+from orderflow.session import scratch_path, written
 from orderflow.sources import adapters as A
 from orderflow.sources.tables import read_serving_table
 from orderflow.streaming import jobs as JOBS
@@ -413,7 +413,7 @@ def orders_by_status(spark, sf_dir):
 
 
 def _trend(spark, sf_dir, unit):
-    st = ORD.star_order_state(spark, sf_dir)
+    st = A.star_orders(spark, sf_dir)           # header columns only: no line is read
     return SR.calendar_histogram(st, "created_at", unit, {
         "order_count": F.count(F.lit(1)),
         "total_value": X.money_out(F.sum("total_value"))})
@@ -445,7 +445,7 @@ def status_trends_day(spark, sf_dir):
 
 @register("order_intake_rate")
 def order_intake_rate(spark, sf_dir):
-    st = ORD.star_order_state(spark, sf_dir)
+    st = A.star_orders(spark, sf_dir)
     daily = SR.calendar_histogram(st, "created_at", "day", {"orders": F.count(F.lit(1))})
     return SR.trailing_rate(daily, "orders", 7)
 
@@ -455,7 +455,8 @@ def order_intake_rate(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def _metrics(spark, sf_dir):
-    rec = _event_records(spark, sf_dir)
+    # both window types read the records, which a fold over all events has made, from one table
+    rec = written(_event_records(spark, sf_dir).drop("order_id"), "records")
     return BL.backlog_windows(rec, "1 hour", "5 minutes", "sliding_1h").unionByName(
         BL.backlog_windows(rec, "24 hours", None, "tumbling_daily"))
 
@@ -830,7 +831,7 @@ def star_cdc_fold(spark, sf_dir):
 
 @register("star_cdc_lines")
 def star_cdc_lines(spark, sf_dir):
-    """ST-3: folded line rows of the change stream, defaults applied."""
+    """ST-2: folded line rows of the change stream, defaults applied."""
     r = ST.child_rows(star_domain_changes(spark, sf_dir), "order_line_items")
     return r.select("order_id", "line_id", "sku", "product_family", "description",
                     F.col("quantity").cast("double").alias("quantity"),
@@ -839,7 +840,7 @@ def star_cdc_lines(spark, sf_dir):
 
 @register("star_cdc_allocations")
 def star_cdc_allocations(spark, sf_dir):
-    """ST-2: folded allocation rows of the change stream, defaults applied."""
+    """ST-3: folded allocation rows of the change stream, defaults applied."""
     r = ST.child_rows(star_domain_changes(spark, sf_dir), "allocation_records")
     return r.select("order_id", "allocation_id", "sku", "warehouse_id",
                     F.col("allocated_qty").cast("double").alias("allocated_qty"), "status")
@@ -942,7 +943,7 @@ def order_search_terms_page(spark, sf_dir):
 @register("order_trends_day_unit")
 def order_trends_day_unit(spark, sf_dir):
     """AGG-6 restricted to one business unit (the trends endpoint's filter)."""
-    st = SR.filter_orders(ORD.star_order_state(spark, sf_dir), business_unit="EUROPE")
+    st = SR.filter_orders(A.star_orders(spark, sf_dir), business_unit="EUROPE")
     return SR.calendar_histogram(st, "created_at", "day", {
         "order_count": F.count(F.lit(1)),
         "total_value": X.money_out(F.sum("total_value"))})
@@ -1228,3 +1229,27 @@ def stream_fold_metrics(spark, sf_dir):
     m = MET.read_metrics(spark, os.path.join(root, "observed"), "rows bigint")
     written = spark.read.parquet(os.path.join(root, "out")).agg(F.count(F.lit(1)).alias("rows_written"))
     return m.agg(F.sum("observed.rows").alias("events"), F.count(F.lit(1)).alias("batches")).crossJoin(written)
+
+
+# ---------------------------------------------------------------------------
+# adapter B with line demand: ATP is false in some rows
+# ---------------------------------------------------------------------------
+
+def _demand_changes(spark, sf_dir) -> DataFrame:
+    return CDC.dedup_lsn(CDC.union_changes(A.change_stream(spark, sf_dir), A.line_demand_changes(spark, sf_dir)))
+
+
+@register("order_state_demand")
+def order_state_demand(spark, sf_dir):
+    """JN-3: folded state with the demand of the order's current lines and ATP as coded."""
+    st = ST.order_state(_demand_changes(spark, sf_dir))
+    return st.select("order_id", "order_status", "line_count", F.col("total_demand").cast("double").alias("total_demand"),
+                     "atp_feasible", "created_at", "updated_at")
+
+
+@register("backlog_supply_1h")
+def backlog_supply_1h(spark, sf_dir):
+    """AGG-1 over states with demand: supply counts only the orders that are feasible."""
+    cl = ST.order_changelog(_demand_changes(spark, sf_dir))
+    rec = BL.backlog_records(cl, A.as_of_col(A.EVENTS_AS_OF))
+    return BL.backlog_windows(rec, S.SLIDING_SIZE, S.SLIDING_SLIDE, "sliding_1h")

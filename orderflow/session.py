@@ -9,9 +9,10 @@ skew-join splitting, broadcast conversion behind a measured size).
 from __future__ import annotations
 
 import os
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Session defaults every query in this package assumes.
 BASE_CONF = {
@@ -59,17 +60,30 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and lineage-cutting tables.
 
     The cluster names it in ``spark.checkpoint.dir``; that value always wins.
-    Where it is unset, a folder under the warehouse serves, which every
-    executor shares as well; never a machine-local one.
+    Where it is unset, a folder under the warehouse serves, unless that is a
+    folder of the driver's own machine and executors run elsewhere.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        local = spark.sparkContext.master.startswith("local") or not d.startswith(("file:", "/"))
+        if not local:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: its upstream
+    runs once however often the result is scanned, and a lost executor costs
+    no more than a read."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, once per application.
 

@@ -24,6 +24,8 @@ from orderflow.sources.tables import read_table
 # FIXED VALUES: the clocks at which each adapter is evaluated.
 STAR_AS_OF = dt.datetime(2001, 8, 1)
 EVENTS_AS_OF = dt.datetime(2024, 1, 31)
+#: where the line events' log positions begin
+LINE_LSN = 1_000_000_000_000
 
 
 def as_of_col(value: dt.datetime) -> Column:
@@ -244,6 +246,21 @@ def raw_unwrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.to_json(F.map_concat(image, meta)).alias("value"))
 
 
+def line_demand_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line upserts beside adapter B's header events: every event with ``k % 3
+    = 0`` writes line ``k % 5`` of its order with quantity ``k % 4``, at the
+    event's time and a log position after all header events."""
+    r = event_rows(spark, sf_dir).where(F.col("k") % 3 == 0)
+    image = F.create_map(
+        F.lit("order_id"), F.col("order_id"),
+        F.lit("line_id"), F.concat_ws("-", "order_id", (F.col("k") % 5).cast("string")),
+        F.lit("quantity"), (F.col("k") % 4).cast("string"))
+    return r.select(
+        "order_id", F.lit("order_line_items").alias("source_table"), F.lit("u").alias("op"), "ts",
+        (F.col("lsn") + LINE_LSN).alias("lsn"),
+        F.lit(None).cast("map<string,string>").alias("before"), image.alias("after"))
+
+
 def duplicated_change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change stream with every ``event_id % 50 = 0`` row delivered twice."""
     ch = change_stream(spark, sf_dir)
