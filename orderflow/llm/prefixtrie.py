@@ -200,7 +200,9 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
     sums = named.agg(F.coalesce(F.sum("self.saved"), F.lit(0)).alias("saved_tokens"), F.coalesce(F.sum(F.when(F.col("name") == at, F.col("n_children"))), F.lit(0)).alias("n_children"),
                      F.coalesce(F.count_if(F.col("self").isNotNull() & (F.col("n_children") == 0)), F.lit(0)).alias("leaves"))
     turnless = ends(convs.where("n is null").select("conv_id", F.lit(1).alias("root")), ["root"]).agg(F.max("ends_sha256").alias("x"))
-    root = top.crossJoin(sums).crossJoin(turnless).where("n_convs > 0").select(
+    root = top.unionByName(sums, True).unionByName(turnless, True).agg(  # one row each
+        *[F.max(c).alias(c) for c in ("conv_id", "n_convs", "n_children", "leaves", "saved_tokens", "x")]).where("n_convs > 0")
+    root = root.select(
         "conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast(top.schema["conv_id"].dataType).alias("parent_conv_id"), "n_convs", "n_children",
         F.greatest("leaves", F.lit(1)).alias("n_leaves"), "saved_tokens", F.coalesce("x", none).alias("ends_sha256"))
     names = node.select(F.col("name").alias("parent"), F.col("conv_id").alias("above")).unionByName(
