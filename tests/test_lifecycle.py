@@ -350,3 +350,21 @@ def test_hot_key_of_windows_spreads_over_salts(spark):
     m = SK.read_batches(spark, os.path.join(root, "metrics"))
     assert m.count() == m.select("bu", "product_family", "window_type", "window_end").distinct().count()
     assert json.loads(m.first()["json"])["bu"] == "EMEA"                 # SNK-5: one JSON document a window
+
+
+def test_settle_and_expiry_on_a_stream(spark, sf):
+    """With event-time timers: the same rows leave, and idle orders leave the store."""
+    root = scratch_path(spark, f"ttl-{uuid.uuid4().hex[:8]}")
+    ch = Q._star_events(spark, sf).where("cast(order_id as int) < 60")
+    A.write_topics(ch, os.path.join(root, "raw"), 1, again=1 << 20)
+    rows = []
+    for name, options in (("plain", {}), ("timed", {"settle": 3600, "ttl_days": 400})):
+        JOBS.start_lifecycle_job(spark, Q._topics(os.path.join(root, "raw")), os.path.join(root, name), os.path.join(root, f"ckpt-{name}"),
+                                 **options).awaitTermination()
+        rows.append(sorted(tuple(r) for r in Q._star_state(LC.order_table(spark, os.path.join(root, name))).collect()))
+    assert rows[0] == rows[1] and rows[0]
+    newest = {r.order_id: r.t for r in ch.groupBy("order_id").agg(F.max("ts").alias("t")).collect()}
+    mark = min(r.t for r in ch.groupBy("source_table").agg(F.max("ts").alias("t")).collect()) - dt.timedelta(seconds=30)
+    kept = {r.order_id for r in LC.state_orders(spark, os.path.join(root, "ckpt-timed")).collect()}
+    assert kept == {o for o, t in newest.items() if t + dt.timedelta(days=400) > mark} and 0 < len(kept) < len(newest)
+    assert {r.order_id for r in LC.state_orders(spark, os.path.join(root, "ckpt-plain")).collect()} == set(newest)
