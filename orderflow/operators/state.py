@@ -171,41 +171,32 @@ ALLOC_FIELDS = {"sku": "", "warehouse_id": "", "allocated_qty": "0",
 CHILD_TABLES = ["order_line_items", "allocation_records", "shipments"]
 
 
+def _child_id(img: Column, table: Column) -> Column:
+    return (F.when(table == "order_line_items", img["line_id"])
+            .when(table == "allocation_records", img["allocation_id"])
+            .otherwise(F.lit("")))
+
+
 def _child_versions(ev: DataFrame) -> DataFrame:
-    """One aggregation for all three child tables: latest row image per
-    (order, table, child id) — a whole-record replace, as the source does —
-    with first-seen position and, for lines, the first non-empty family."""
+    """The latest row image per (order, table, child id) of the child tables —
+    a whole-record replace, as the source does."""
     img = F.col(IMAGE)
     table = F.col("source_table")
-    child_id = (F.when(table == "order_line_items", img["line_id"])
-                .when(table == "allocation_records", img["allocation_id"])
-                .otherwise(F.lit("")))
-    fam = img["product_family"]
-    has_fam = (table == "order_line_items") & fam.isNotNull() & (fam != "")
     kids = ev.where(table.isin(*CHILD_TABLES) & (F.col("op") != "d"))
-    return kids.groupBy("order_id", "source_table", child_id.alias("child_id")).agg(
-        F.max_by(img, F.col("seq")).alias("img"),
-        F.max("seq").alias("last_seq"),
-        F.min("seq").alias("first_seq"),
-        F.min_by(fam, F.when(has_fam, F.col("seq"))).alias("fam"),
-        F.min(F.when(has_fam, F.col("seq"))).alias("fam_seq"))
+    return kids.groupBy("order_id", "source_table", _child_id(img, table).alias("child_id")).agg(
+        F.max_by(img, F.col("seq")).alias("img"))
 
 
-def fold_children(changes: DataFrame) -> DataFrame:
-    """Per-order child rollups (ST-2/3/4): line count and demand, allocation
-    count and quantity, the latest shipment, and the product-family candidate
-    of the first-seen line (its first version with a non-empty family).
-    Two aggregations over one scan; no per-order arrays are collected."""
-    ev = prepare(changes) if "seq" not in changes.columns or IMAGE not in changes.columns \
-        else changes
-    v = _child_versions(ev)
-    img = F.col("img")
+def _children(ev: DataFrame) -> DataFrame:
+    """``fold_children`` over any rows, and their number (``events``). An order
+    whose rows hold no live child is kept, with nulls. The first aggregate carries
+    a position once with all that is read from its row, typed, not the image."""
+    img = F.col(IMAGE)
     table = F.col("source_table")
     is_line, is_alloc, is_ship = (table == "order_line_items"), \
         (table == "allocation_records"), (table == "shipments")
     zero = F.lit(0).cast(S.QTY)
-    qty = F.coalesce(F.coalesce(img["quantity"], F.lit(LINE_FIELDS["quantity"])).try_cast(S.QTY),
-                     zero)
+    qty = F.coalesce(F.coalesce(img["quantity"], F.lit(LINE_FIELDS["quantity"])).try_cast(S.QTY), zero)
     aqty = F.coalesce(F.coalesce(img["allocated_qty"], F.lit("0")).try_cast(S.QTY), zero)
     shipment = F.struct(
         F.coalesce(img["shipment_id"], F.lit("")).alias("shipment_id"),
@@ -213,19 +204,43 @@ def fold_children(changes: DataFrame) -> DataFrame:
         F.coalesce(img["status"], F.lit(S.DEFAULT_SHIPMENT_STATUS)).alias("status"),
         X.flexible_ts(img["ship_date"]).alias("ship_date"),
         X.flexible_ts(img["delivery_date"]).alias("delivery_date"))
+    live = table.isin(*CHILD_TABLES) & (F.col("op") != "d")
+    fam = F.when(is_line & (img["product_family"] != ""), img["product_family"])
+    rows = ev.select(
+        "order_id", "source_table", "seq", live.alias("live"), F.when(live, _child_id(img, table)).alias("child_id"),
+        F.when(is_line, qty).when(is_alloc, aqty).alias("qty"), F.when(is_ship, shipment).alias("shipment"), fam.alias("fam"))
+    # a child's first family and first position: one minimum each, null where there is none
+    v = rows.groupBy("order_id", "source_table", "live", "child_id").agg(
+        F.max(F.struct("seq", "qty", "shipment")).alias("last"),
+        F.min("seq").alias("first_seq"),
+        F.min(F.when(F.col("fam").isNotNull(), F.struct("seq", "fam"))).alias("fam"),
+        F.count(F.lit(1)).alias("events"))
+    is_line, is_alloc, is_ship = [F.col("live") & c for c in (is_line, is_alloc, is_ship)]
     return v.groupBy("order_id").agg(
+        F.count_if(F.col("live")).alias("kids"), F.sum("events").alias("events"),
         F.count_if(is_line).alias("line_count"),
-        F.sum(F.when(is_line, qty)).alias("total_demand"),
-        F.min_by(F.struct(F.col("fam").alias("line_family"),
-                          F.col("fam_seq").alias("line_family_seq")),
+        F.sum(F.when(is_line, F.col("last.qty"))).alias("total_demand"),
+        F.min_by(F.struct(F.col("fam.fam").alias("line_family"),
+                          F.col("fam.seq").alias("line_family_seq")),
                  F.when(is_line, F.col("first_seq"))).alias("first_line"),
         F.count_if(is_alloc).alias("allocation_count"),
-        F.sum(F.when(is_alloc, aqty)).alias("allocated_qty"),
-        F.max_by(shipment, F.when(is_ship, F.col("last_seq"))).alias("shipment")) \
-        .select("order_id", "line_count", "total_demand", "first_line.line_family",
+        F.sum(F.when(is_alloc, F.col("last.qty"))).alias("allocated_qty"),
+        F.max_by(F.col("last.shipment"), F.when(is_ship, F.col("last.seq"))).alias("shipment")) \
+        .select("order_id", "kids", "events", "line_count", "total_demand", "first_line.line_family",
                 "first_line.line_family_seq", "allocation_count", "allocated_qty", "shipment")
 
 
+def fold_children(changes: DataFrame) -> DataFrame:
+    """Per-order child rollups (ST-2/3/4): line count and demand, allocation
+    count and quantity, the latest shipment, and the product-family candidate
+    of the first-seen line (its first version with a non-empty family).
+    Two aggregations over one scan; no per-order arrays are collected."""
+    ev = prepare(changes) if "seq" not in changes.columns or IMAGE not in changes.columns \
+        else changes
+    ev = ev.where(F.col("source_table").isin(*CHILD_TABLES) & (F.col("op") != "d"))
+    return _children(ev).drop("kids", "events")
+
+
 def child_rows(changes: DataFrame, table: str) -> DataFrame:
     """ST-2/ST-3: the folded rows of one child table, keyed (order_id, child
     id): the last write of each child as a whole, absent fields at their
@@ -254,9 +269,23 @@ def order_state(changes: DataFrame, as_of: Column | None = None) -> DataFrame:
     folded demand."""
     if as_of is not None:
         changes = changes.where(F.col("ts") <= as_of)
-    h = fold_orders(changes, keep_family_seq=True).drop("product_family")
-    c = fold_children(changes)
-    j = h.join(c, "order_id", "left")
+    # a null order id joins nothing; its rows are all in the first part
+    header = F.col("source_table").eqNullSafe(F.lit("orders")) | F.col("order_id").isNull()
+    return state_of(changes.where(header), changes.where(~header))
+
+
+def state_of(headers: DataFrame, others: DataFrame) -> DataFrame:
+    """``order_state`` of changes that come in two parts, the header rows and
+    the rows of other tables (with an order id): the many child rows carry no
+    header fields. An order known only by other rows has the defaults."""
+    h = fold_orders(headers, keep_family_seq=True).drop("product_family")
+    c = _children(prepare(others))
+    j = h.join(c, "order_id", "full")
+    defaults = {name: spec[1] for name, spec in _field_specs().items()}
+    missing = F.col("event_count").isNull()
+    j = j.withColumns({
+        "event_count": F.coalesce("event_count", F.lit(0)) + F.coalesce("events", F.lit(0)),
+        **{n: F.when(missing, d).otherwise(F.col(n)) for n, d in defaults.items()}})
     use_line = F.col("line_family").isNotNull() & (
         F.col("_h_family").isNull() | (F.col("line_family_seq") < F.col("_family_seq")))
     fam = F.when(use_line, F.col("line_family")).otherwise(F.coalesce("_h_family", F.lit("")))
