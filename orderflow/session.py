@@ -114,6 +114,27 @@ def ship_package(spark: SparkSession) -> None:
     sc.addPyFile(path)
 
 
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+@contextmanager
+def unsorted_writes(spark: SparkSession, directories: int = 16) -> Iterator[None]:
+    """Around a write into a few directories: a task keeps a file open in each,
+    in place of sorting its rows by directory first."""
+    with _setting(spark, "spark.sql.maxConcurrentOutputFileWriters", str(directories)):
+        yield
+
+
 @contextmanager
 def stateful(spark: SparkSession) -> Iterator[None]:
     """Around ``start()`` of a query with keyed state: the package is shipped and
@@ -121,15 +142,8 @@ def stateful(spark: SparkSession) -> Iterator[None]:
     ``transformWithState`` runs on no other store. A query takes a copy of the
     session's settings as it starts, so they are put back at once."""
     ship_package(spark)
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKSDB)
-    try:
+    with _setting(spark, STORE, ROCKSDB):
         yield
-    finally:
-        if before is None:
-            spark.conf.unset(STORE)
-        else:
-            spark.conf.set(STORE, before)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

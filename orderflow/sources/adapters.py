@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from orderflow import schemas as S
 from orderflow.functions import expressions as X
+from orderflow.session import unsorted_writes
 from orderflow.sources.tables import read_table
 
 # FIXED VALUES: the clocks at which each adapter is evaluated.
@@ -164,13 +165,13 @@ def star_line_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     of the first row in the total order (the order's family, ST-7)."""
     li = read_table(spark, sf_dir, "lineitem")
     seq = F.struct(*_line_order())
+    # the position holds every column of the row, so the latest one is the row
     vals = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag",
             "l_linestatus", "l_shipdate"]
     latest = (li.groupBy("l_orderkey", "l_linenumber")
-              .agg(F.max_by(F.struct(*vals), seq).alias("v"),
-                   F.min(seq).alias("first_seq"),
-                   F.min_by(F.col("l_partkey"), seq).alias("first_partkey"))
-              .select("l_orderkey", "l_linenumber", "v.*", "first_seq", "first_partkey"))
+              .agg(F.max(seq).alias("v"), F.min(seq).alias("first_seq"))
+              .select("l_orderkey", "l_linenumber", *[F.col(f"v.{c}").alias(c) for c in vals], "first_seq",
+                      F.col("first_seq.l_partkey").alias("first_partkey")))
     return latest.select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"),
                     F.col("l_linenumber").cast("string")).alias("line_id"),
@@ -270,12 +271,18 @@ def duplicated_change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_topics(changes: DataFrame, root: str, parts: int, files: int = 2, again: int = 10) -> None:
     """Changes as envelope JSON lines, one directory per table topic, dealt
     without regard to time over ``parts`` groups of ``files`` files; a row in
-    ``again`` is delivered once more, in the next group. One pass over the input."""
+    ``again`` is delivered once more, in the next group. One pass over the input.
+    A single group is one micro-batch whatever its files, so its rows stay
+    where they are, and their many files are compressed."""
     rows = changes.select(F.col("source_table").alias("topic"), _envelope_json(changes, F.col("op")).alias("value"))
     mix = F.pmod(F.xxhash64("value"), F.lit(parts * again * files))
     part = F.pmod(mix, F.lit(parts))
     twice = (F.floor(mix / parts) % again == 0) & (part + 1 < parts)
     rows = rows.withColumn("part", F.explode(F.when(twice, F.array(part, part + 1)).otherwise(F.array(part))))
+    if parts == 1:
+        with unsorted_writes(rows.sparkSession):
+            rows.write.partitionBy("topic", "part").option("compression", "gzip").text(root)
+        return
     rows = rows.withColumn("file", F.pmod(F.xxhash64("value", F.lit(1)), F.lit(files)))
     (rows.repartition("topic", "part", "file").select("topic", "part", "value")
      .write.partitionBy("topic", "part").text(root))

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from orderflow import schemas as S
 from orderflow.operators import backlog as BL
 from orderflow.operators import cdc as CDC
-from orderflow.session import stateful
+from orderflow.session import stateful, unsorted_writes
 from orderflow.streaming import fold as FOLD
 from orderflow.streaming import lifecycle as LC
 from orderflow.streaming import sinks as SK
@@ -260,7 +260,8 @@ def start_topic_router_job(spark: SparkSession, root: str, out_dir: str, ckpt: s
     def write(batch: DataFrame, batch_id: int) -> None:
         parsed = [CDC.parse_envelope(rows).withColumn("topic", F.lit(topic))
                   for topic, rows in route_by_topic(batch, S.TOPICS).items()]
-        SK.batch_append_sink(out_dir, ("topic",))(CDC.union_changes(*parsed), batch_id)
+        with unsorted_writes(batch.sparkSession):
+            SK.batch_append_sink(out_dir, ("topic",))(CDC.union_changes(*parsed), batch_id)
     return _trigger(text_stream(spark, root, max_files).writeStream
                     .option("checkpointLocation", ckpt).foreachBatch(write),
                     available_now, interval).start()
