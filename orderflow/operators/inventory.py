@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from orderflow import schemas as S
 from orderflow.functions.scan import segmented_scan, segmented_scan_multi
+from orderflow.session import written
 from orderflow.sources import adapters as A
 from orderflow.sources.tables import read_table
 
@@ -89,24 +90,24 @@ def asof_inventory(lines: DataFrame, events: DataFrame, line_ts: Column) -> Data
     null before the first). An event changes the total by what it adds to its
     warehouse's earlier row, so running sums per SKU carry the total forward:
     no pairwise join, and a hot SKU is split into time segments."""
-    month = F.date_trunc("month", F.col("ts"))   # segments of the two-level prefix scans
+    year = F.date_trunc("year", F.col("ts"))   # segments of the two-level prefix scans
     live = F.col("op") != "d"
     row = F.struct(F.when(live, F.col("available_qty")).otherwise(F.lit(0).cast(S.QTY)).alias("qty"),
                    live.cast("int").alias("live"))
     ev = segmented_scan(events.select("sku", "warehouse_id", "ts", "seq", row.alias("row")),
-                        ["sku", "warehouse_id"], month, ["seq"], F.col("row"), "last", "was",
+                        ["sku", "warehouse_id"], year, ["seq"], F.col("row"), "last", "was",
                         inclusive=False)
     zero = F.lit(0)
-    inv = ev.select("sku", "ts", F.lit(0).alias("side"), "seq",
-                    F.lit(None).cast("string").alias("line_id"),
-                    (F.col("row.qty") - F.coalesce("was.qty", zero)).alias("d_qty"),
-                    (F.col("row.live") - F.coalesce("was.live", zero)).alias("d_live"),
-                    F.col("ts").alias("inv"))
-    ln = lines.select("sku", line_ts.alias("ts"), F.lit(1).alias("side"), "line_id")
-    u = segmented_scan_multi(inv.unionByName(ln, allowMissingColumns=True), ["sku"], month,
-                             ["ts", "side", "seq", "line_id"],
+    # written once, as a few narrow columns: the second scan reads its input twice
+    inv = written(ev.select("sku", "ts", (F.col("row.qty") - F.coalesce("was.qty", zero)).alias("d_qty"),
+                            (F.col("row.live") - F.coalesce("was.live", zero)).alias("d_live")), "supply-changes")
+    inv = inv.select("sku", "ts", F.lit(0).alias("side"), F.lit(None).cast("string").alias("line_id"), "d_qty", "d_live")
+    ln = written(lines.select("sku", line_ts.alias("ts"), F.lit(1).alias("side"), "line_id"), "supply-lines")
+    # a line sees all events of its time, in whatever order these lie
+    u = segmented_scan_multi(inv.unionByName(ln, allowMissingColumns=True), ["sku"], year,
+                             ["ts", "side"],
                              [("available", F.col("d_qty"), "sum"), ("count", F.col("d_live"), "sum"),
-                              ("inv_ts", F.col("inv"), "max")])
+                              ("inv_ts", F.when(F.col("side") == 0, F.col("ts")), "max")])
     return u.where(F.col("side") == 1).select(
         "line_id", "sku", F.col("ts").alias("line_ts"), "inv_ts",
         F.col("count").cast("bigint").alias("warehouse_count"),
