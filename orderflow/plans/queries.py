@@ -821,8 +821,7 @@ def _star_children() -> Column:
 
 def _star_parts(spark, sf_dir) -> list[DataFrame]:
     """Header changes and child changes of ``star_domain_changes``."""
-    # one row an order: dealt by it as it is, narrower than an aggregate's buffers
-    h = _star_headers(spark, sf_dir).repartition("order_id").select(
+    h = _star_headers(spark, sf_dir).select(
         "order_id", F.lit("orders").alias("source_table"), F.lit("r").alias("op"), "after", "seq")
     kids = (_star_line_rows(spark, sf_dir).withColumn("kid", F.explode(_star_children()))
             .select("order_id", "kid.source_table", F.lit("u").alias("op"), "kid.after", "seq"))
