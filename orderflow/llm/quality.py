@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from array import array
 from collections.abc import Mapping
 from functools import lru_cache
@@ -54,6 +55,11 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: the end of a text, which bounds its memory by that and one text, and changes no result.
 KEPT_WORDS, KEPT_BYTES = 400_000, 64 << 20
 
+#: Words of these letters and signs, joined by a space, have the tokens they have alone: no
+#: normal form of them has a space or is empty. Others are encoded one by one.
+PLAIN = re.compile("[ !-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+")
+JOINED_WORDS = 1024
+
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _SYMBOLS = b"#*$%&|<>"
 
@@ -62,7 +68,8 @@ MEASURES = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,
 
 @lru_cache(maxsize=2)
 def encoders(ranks: bytes, model: bytes):
-    """Tokenizers of this Python worker, and which piece ids are byte fallbacks."""
+    """Tokenizers of this Python worker, the bytes of each token, and which piece ids are
+    byte fallbacks and which begin a word (None where pieces may reach over a space)."""
     import sentencepiece
     import tiktoken
 
@@ -70,7 +77,12 @@ def encoders(ranks: bytes, model: bytes):
     bpe = tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=merges, special_tokens={})
     pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
     is_byte = np.array([pieces.is_byte(i) for i in range(pieces.vocab_size())])
-    return bpe, pieces, is_byte
+    token_bytes = np.zeros(max(merges.values()) + 1, np.int64)
+    token_bytes[np.fromiter(merges.values(), np.int64)] = np.fromiter(map(len, merges), np.int64)
+    names = [pieces.id_to_piece(i) for i in range(pieces.vocab_size())]
+    apart = pieces.encode("a b") == pieces.encode("a") + pieces.encode("b") and not any(x.strip("\u2581") and "\u2581" in x[1:] for x in names)
+    begins = np.array([x.startswith("\u2581") for x in names]) if apart else None
+    return bpe, pieces, token_bytes, is_byte, begins
 
 
 class Words(dict):
@@ -78,32 +90,54 @@ class Words(dict):
 
     def __init__(self, ranks: bytes, model: bytes):
         super().__init__()
-        self.bpe, self.sp, self.is_byte = encoders(ranks, model)
+        self.bpe, self.sp, self.token_bytes, self.is_byte, self.begins = encoders(ranks, model)
         self.tokens, self.ends = array("i"), array("q", [0])
         self.pieces, self.fallbacks = array("q"), array("q")
-        self.new: list[str] = []
+        self.new: list[bytes] = []
         self.held = 0
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
-        text = word.decode("utf-8", "replace")
-        self.tokens.extend(self.bpe.encode_ordinary(" " + text))
-        self.held += len(word) + 4 * (len(self.tokens) - self.ends[-1])
-        self.ends.append(len(self.tokens))
-        self.new.append(text)
+        self.new.append(word)
         return n
 
     def settle(self) -> None:
-        if not self.new:
-            return
-        ids = self.sp.encode(self.new, num_threads=1)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        ends = np.cumsum(sizes)
-        upto = np.append(0, np.cumsum(self.is_byte[np.fromiter(chain.from_iterable(ids), np.int64, ends[-1])]))
-        self.pieces.frombytes(sizes.tobytes())
-        self.fallbacks.frombytes((upto[ends] - upto[ends - sizes]).astype(np.int64).tobytes())
+        for i in range(0, len(self.new), JOINED_WORDS):
+            new = self.new[i:i + JOINED_WORDS]
+            joined = b" ".join(new).decode("utf-8", "replace")
+            if self.begins is None or not PLAIN.fullmatch(joined) or not self._together(new, joined):
+                self._alone([word.decode("utf-8", "replace") for word in new])
+            self.held += sum(map(len, new))
         self.new.clear()
 
+    def _together(self, new: list[bytes], joined: str) -> bool:
+        ids = np.array(self.sp.encode(joined), np.int64)
+        starts = np.flatnonzero(self.begins[ids])
+        tokens = np.array(self.bpe.encode_ordinary(" " + joined), np.int32)
+        reach = np.cumsum(self.token_bytes[tokens])
+        ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + 1)
+        upto = np.searchsorted(reach, ends)
+        if len(starts) != len(new) or starts[0] or not np.array_equal(reach[upto], ends):
+            return False
+        self._keep(tokens, upto + 1, ids, np.append(starts[1:], len(ids)))
+        return True
+
+    def _alone(self, new: list[str]) -> None:
+        tokens = [self.bpe.encode_ordinary(" " + text) for text in new]
+        ids = self.sp.encode(new, num_threads=1)
+        ends, upto = (np.cumsum(np.fromiter(map(len, x), np.int64, len(new))) for x in (ids, tokens))
+        self._keep(np.fromiter(chain.from_iterable(tokens), np.int32, upto[-1]), upto, np.fromiter(chain.from_iterable(ids), np.int64, ends[-1]), ends)
+
+    def _keep(self, tokens: np.ndarray, upto: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
+        """The words' tokens and pieces, one word after the other, with their ends."""
+        first = len(self.tokens)
+        self.tokens.frombytes(tokens.tobytes())
+        self.ends.frombytes((first + upto).astype(np.int64).tobytes())
+        fallbacks = np.append(0, np.cumsum(self.is_byte[ids]))[ends]
+        self.pieces.frombytes(np.diff(ends, prepend=0).astype(np.int64).tobytes())
+        self.fallbacks.frombytes(np.diff(fallbacks, prepend=0).astype(np.int64).tobytes())
+        self.held += 4 * len(tokens)
+
     def tokens_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words' tokens, one word after the other, and how many each has."""
         ends = np.frombuffer(self.ends, np.int64)
@@ -121,16 +155,18 @@ def script(text: str) -> str:
     return best if counts[best] else "other"
 
 
-def repeated(ids: np.ndarray) -> int:
-    """Words inside 3-word windows that occur twice or more."""
-    n = len(ids)
+def repeated(local: np.ndarray) -> int:
+    """Words inside 3-word windows that occur twice or more; words are numbered from 0."""
+    n = len(local)
     if n < 4:
         return 0
-    _, local = np.unique(ids, return_inverse=True)
     m = int(local.max()) + 1
     windows = (local[:-2] * m + local[1:-1]) * m + local[2:] if m < 2_000_000 else np.unique(np.stack([local[:-2], local[1:-1], local[2:]]), axis=1, return_inverse=True)[1].ravel()
-    _, inverse, counts = np.unique(windows, return_inverse=True, return_counts=True)
-    twice = counts[inverse] > 1
+    ordered = np.sort(windows)
+    more = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(more):
+        return 0
+    twice = more[np.minimum(np.searchsorted(more, windows), len(more) - 1)] == windows
     covered = np.zeros(n, bool)
     for k in range(3):
         covered[k:n - 2 + k] |= twice
@@ -152,7 +188,7 @@ def measure(text: bytes, lang: str | None, words: Words, bands: Mapping) -> dict
     chars = len(b"".join(found).translate(None, _CONTINUATION))
     ids = np.fromiter(map(words.__getitem__, found), np.int64, n)
     words.settle()
-    unique, counts = np.unique(ids, return_counts=True)
+    unique, local, counts = np.unique(ids, return_inverse=True, return_counts=True)
     tokens = pieces = fallbacks = 0
     entropy = 0.0
     if n:
@@ -163,7 +199,7 @@ def measure(text: bytes, lang: str | None, words: Words, bands: Mapping) -> dict
         entropy = float(np.log2(tokens) - (weight * np.log2(weight)).sum() / tokens)
         pieces = int((counts * np.frombuffer(words.pieces, np.int64)[unique]).sum())
         fallbacks = int((counts * np.frombuffer(words.fallbacks, np.int64)[unique]).sum())
-    return {"n_words": n, "word_chars": chars, "n_symbols": len(text) - len(text.translate(None, _SYMBOLS)), "n_dup_lines": duplicate_lines(text), "n_repeat_words": repeated(ids),
+    return {"n_words": n, "word_chars": chars, "n_symbols": len(text) - len(text.translate(None, _SYMBOLS)), "n_dup_lines": duplicate_lines(text), "n_repeat_words": repeated(local),
             "n_tokens": tokens, "n_pieces": pieces, "chars_per_token": chars / tokens if tokens else None, "chars_per_piece": chars / pieces if pieces else None,
             "byte_fallback_share": fallbacks / pieces if pieces else None, "token_entropy": entropy if n else None, "band": lang if lang in bands else script(text.decode("utf-8", "replace"))}
 
