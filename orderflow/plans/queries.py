@@ -27,7 +27,7 @@ from orderflow.operators import merge as MRG
 from orderflow.operators import orders as ORD
 from orderflow.operators import search as SR
 from orderflow.operators import state as ST
-from orderflow.session import scratch_path, written
+from orderflow.session import SMALL_SPLIT, scratch_path, small_splits, written
 from orderflow.sources import adapters as A
 from orderflow.sources.tables import read_serving_table
 from orderflow.streaming import jobs as JOBS
@@ -915,11 +915,12 @@ def stream_inventory_position(spark, sf_dir):
     src = os.path.join(root, "events")
     # files dealt by a hash, without regard to time
     (ev.repartition(STREAM_PARTS * STREAM_FILES, F.xxhash64("sku", "warehouse_id", "ts"))
-     .write.parquet(src))
+     .write.option("parquet.block.size", str(SMALL_SPLIT)).parquet(src))
     state = os.path.join(root, "state")
-    q = JOBS.start_inventory_state_job(spark, src, state, os.path.join(root, "ckpt"),
-                                       ev.schema, max_files=STREAM_FILES)
-    q.awaitTermination()
+    with small_splits(spark):
+        q = JOBS.start_inventory_state_job(spark, src, state, os.path.join(root, "ckpt"),
+                                           ev.schema, max_files=STREAM_FILES)
+        q.awaitTermination()
     p = JOBS.inventory_at(spark, state)
     return p.select("sku", "warehouse_id", *_qty_out(p, QTY_COLS), F.col("ts").alias("updated_at"))
 
@@ -1168,9 +1169,11 @@ def stream_order_supply(spark, sf_dir):
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("line_id"),
         F.col("l_partkey").cast("string").alias("sku"), F.col("l_quantity").cast(S.QTY).alias("quantity"))
     for k in range(TOPIC_PARTS):
-        ev.where(F.col("seq.l_orderkey") % TOPIC_PARTS == k).write.mode("append").parquet(at("events"))
-        JOBS.start_inventory_state_job(spark, at("events"), at("position"), at("ckpt-position"), ev.schema,
-                                       max_files=None).awaitTermination()
+        (ev.where(F.col("seq.l_orderkey") % TOPIC_PARTS == k).write.mode("append")
+         .option("parquet.block.size", str(SMALL_SPLIT)).parquet(at("events")))
+        with small_splits(spark):
+            JOBS.start_inventory_state_job(spark, at("events"), at("position"), at("ckpt-position"), ev.schema,
+                                           max_files=None).awaitTermination()
         lines.where(F.col("l_orderkey") % TOPIC_PARTS == k).drop("l_orderkey").write.mode("append").parquet(at("lines"))
         JOBS.start_order_supply_job(spark, at("lines"), lines.drop("l_orderkey").schema, at("position"), at("ckpt-position"),
                                     at("out"), at("ckpt-lines")).awaitTermination()

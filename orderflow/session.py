@@ -135,6 +135,19 @@ def unsorted_writes(spark: SparkSession, directories: int = 16) -> Iterator[None
         yield
 
 
+#: bytes of a file that one task reads, and of a row group, where wide rows are sorted whole
+SMALL_SPLIT = 16 << 20
+
+
+@contextmanager
+def small_splits(spark: SparkSession) -> Iterator[None]:
+    """Around runs whose tasks sort what they read: the rows of a task do not
+    grow with the files. A file is cut between row groups only, so its writer
+    sets ``parquet.block.size`` to ``SMALL_SPLIT`` as well."""
+    with _setting(spark, "spark.sql.files.maxPartitionBytes", str(SMALL_SPLIT)):
+        yield
+
+
 @contextmanager
 def stateful(spark: SparkSession) -> Iterator[None]:
     """Around ``start()`` of a query with keyed state: the package is shipped and

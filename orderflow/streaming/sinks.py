@@ -43,9 +43,9 @@ def read_latest(spark: SparkSession, path: str, key: list[str], order: Column |
                 upto: int | None = None) -> DataFrame:
     """The row of each key that is latest by ``order``, the later batch on a tie."""
     df = read_batches(spark, path, upto)
-    by = F.struct(*([order] if order is not None else []), F.col(BATCH)).alias("_by")
-    kept = [F.col(c) for c in df.columns if c not in ("_batch", BATCH)]
-    return latest_per_key(df.select(*kept, by), key, F.col("_by")).drop("_by")
+    # the order is no column of its own: the rows that are sorted by key hold it once
+    by = F.struct(*([order] if order is not None else []), F.col(BATCH))
+    return latest_per_key(df.drop("_batch"), key, by).drop(BATCH)
 
 
 def upsert_sink(path: str, key: list[str], order: Column, listing_path: str | None = None,
