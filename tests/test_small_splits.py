@@ -38,4 +38,4 @@ def test_the_order_is_sorted_once(spark, tmp_path):
     got = SK.read_latest(spark, path, ["k"], F.col("seq"))
     assert got.columns == ["k", "seq", "v"]
     assert sorted((r.k, r.v) for r in got.collect()) == [(1, "new"), (2, "new")]
-    assert "_by" not in got._jdf.queryExecution().executedPlan().toString()
+    assert " _by#" not in got._jdf.queryExecution().executedPlan().toString()
