@@ -198,6 +198,44 @@ def test_an_idle_order_expires_by_event_time():
     assert list(p.handleExpiredTimer(("o",), At(2000_000), None)) == [] and handle.states["order"].v is None
 
 
+def snapshot(spark):
+    """A large order and a small one; the prices are no numbers."""
+    t0, rows = dt.datetime(2024, 1, 1), []
+    for order, n, total in (("big", 300, "5.5"), ("small", 2, "7")):
+        rows.append((order, "orders", "r", t0, 1, None, {"order_id": order, "order_status": "ALLOCATED", "total_value": total}))
+        rows += [(order, "order_line_items", "u", t0, i + 2, None, {"order_id": order, "line_id": f"l{i}", "sku": "s\"\n", "quantity": "2", "unit_price": "NaN"})
+                 for i in range(n)]
+    return spark.createDataFrame(rows, S.CHANGE_EVENT)
+
+
+def test_an_orders_seeds_reach_the_operator_together(spark):
+    seeds = LC.seed_rows(snapshot(spark))
+    rows = collections.defaultdict(list)
+    for r in seeds.collect():
+        rows[r.order_id].append(r.asDict())
+    assert {o: len(v) for o, v in rows.items()} == {"big": 2, "small": 1}       # 302 and 4 seeds
+    assert max(len(json.loads(r["seeds"])) for v in rows.values() for r in v) <= LC.SEEDS
+    for order, n in (("big", 300), ("small", 2)):
+        handle, p = Handle(), LC.OrderFold()
+        p.init(handle)
+        for r in rows[order]:
+            p.handleInitialState((order,), r, At(0))
+        out = {r["child_id"]: json.loads(r["payload"]) for r in p.handleInputRows((order,), iter([line(1, 1, "l0", 9), header(1, 1, channel="c")]), At(0))}
+        state = out[None]
+        assert (state["order_status"], state["line_count"], state["total_demand"]) == ("ALLOCATED", n, 2.0 * n)
+        assert state["total_value"] == {"big": 5.5, "small": 7.0}[order]
+        assert out["l0"]["sku"] == "s\"\n" and np.isnan(out["l0"]["unit_price"])   # the event is older than the snapshot
+
+
+def test_a_large_order_is_handed_over_in_several_rows(spark):
+    root = scratch_path(spark, f"seeds-{uuid.uuid4().hex[:8]}")
+    A.write_topics(snapshot(spark).where("source_table = 'orders' or lsn < 60"), os.path.join(root, "raw"), 3)
+    JOBS.start_lifecycle_job(spark, Q._topics(os.path.join(root, "raw"), ["orders", "order_line_items"]), os.path.join(root, "state"),
+                             os.path.join(root, "ckpt"), max_files=1, initial_state=LC.seed_rows(snapshot(spark))).awaitTermination()
+    got = {(r.order_id, r.line_count, r.total_demand) for r in LC.state_orders(spark, os.path.join(root, "ckpt")).collect()}
+    assert got == {("big", 300, 600.0), ("small", 2, 4.0)}
+
+
 def test_history_run_equals_batch_history_and_readers_are_independent(spark, sf):
     """Two readers of the same topic, with their own checkpoints and batch sizes."""
     root = scratch_path(spark, f"readers-{uuid.uuid4().hex[:8]}")
