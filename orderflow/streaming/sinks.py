@@ -2,7 +2,8 @@
 
 A micro-batch writes its own rows and nothing else: ``foreachBatch`` overwrites
 the batch's own ``batch_id=N`` directory, so a batch replayed after a restart
-leaves the same files and the bytes written follow the batch, not the table.
+leaves the same files and the bytes written follow the batch, not the table;
+they are kept for good, so they are compressed well.
 An upsert is resolved on read: of a key's rows the latest by event order wins,
 whichever batch brought it, so an older row that comes late changes nothing.
 Readers are plain Parquet scans with one hash aggregate.
@@ -28,7 +29,7 @@ def batch_path(path: str, batch_id: int) -> str:
 
 def batch_append_sink(path: str, partition_by: tuple[str, ...] = ()):
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = batch.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+        out = batch.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option("compression", "zstd")
         (out.partitionBy(*partition_by) if partition_by else out).parquet(batch_path(path, batch_id))
     return write
 
